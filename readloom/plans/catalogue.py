@@ -1,4 +1,285 @@
-"""All queries of the engine and their SQL."""
+"""Queries over the supplied tables, and the same in SQL.
 
-QUERIES = {}
-SQL = {}
+Each document's whole text becomes a sequence (letters mapped to bases) that is cut into reads of ``TILE`` bases; the
+document's source is the sample. ``benchmark`` texts are the references, ordered by id.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from readloom.functions.sequences import read_id_of, reverse_complement, sample_of, taxonomy_levels, trim_head, trim_tail
+from readloom.operators import align, database, filtering, otu
+
+TILE, K, SIMILARITY = 60, 16, 0.97
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+CLEAN, WITH_N = "ACGTACGTACGTACGTACGTACGTAC", "ACGTACGTACGTACGTACGTACGTAN"
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _bases(text: str, bases: str) -> F.Column:
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]", ""), LETTERS, bases)
+
+
+def _whole(spark: SparkSession, sf: str, bases: str = CLEAN) -> DataFrame:
+    return _table(spark, sf, "documents").select(F.col("doc_id"), F.col("source").alias("sample"), _bases("text", bases).alias("seq"))
+
+
+def _reads(spark: SparkSession, sf: str, bases: str = CLEAN) -> DataFrame:
+    rows = _whole(spark, sf, bases).filter("seq <> ''")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / TILE).cast("int"))).alias("i"))
+    return rows.select((F.col("doc_id") * 100000 + F.col("i")).alias("read_id"), "sample", F.substring("seq", F.col("i") * TILE + 1, F.lit(TILE)).alias("seq"))
+
+
+def _refs(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_ord"), F.col("item_id").alias("ref_id"), _bases("text", CLEAN).alias("seq"))
+
+
+def _offsets(spark: SparkSession, sf: str, spacer: int = 0) -> DataFrame:
+    return database.concat_offsets(_refs(spark, sf), spacer)
+
+
+def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second reference has an entry."""
+    names = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tax = F.concat(F.lit("k__"), F.col("r_name"), F.lit("; p__"), F.col("n_name"))
+    return _refs(spark, sf).filter("ref_id % 2 = 0").join(names, F.expr("ref_id % 25") == F.col("n_nationkey")).select(F.col("ref_id").alias("otu_id"), tax.alias("taxonomy"))
+
+
+def _unique(spark: SparkSession, sf: str) -> DataFrame:
+    return filtering.dereplicate(_reads(spark, sf))
+
+
+def _best(spark: SparkSession, sf: str) -> DataFrame:
+    return align.best_hit(align.hamming_hits(_unique(spark, sf), _refs(spark, sf), SIMILARITY), _offsets(spark, sf))
+
+
+def _otu(spark: SparkSession, sf: str) -> DataFrame:
+    return otu.otu_table(filtering.sample_histogram(_reads(spark, sf)), _best(spark, sf))
+
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    total = _refs(spark, sf).agg(F.sum(F.length("seq"))).first()[0]
+    return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.pmod(F.col("o_orderkey") * 7919, F.lit(total + 1)).alias("pos"))
+
+
+def _support(mode: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return filtering.kmer_support(_unique(spark, sf), filtering.count_kmers(_reads(spark, sf), K), K, mode).select("seq", "min_kmer")
+
+    return query
+
+
+def q01(spark, sf):
+    header = F.concat(F.lit(">"), "source", F.lit("_"), "doc_id", F.lit(" x=1"))
+    return _table(spark, sf, "documents").select(sample_of(header).alias("sample"), read_id_of(header).alias("read_id"))
+
+
+def q02(spark, sf):
+    seq = F.lower("seq")
+    return _whole(spark, sf).select("doc_id", F.upper(trim_head(seq, 100)).alias("head"), F.upper(trim_tail(seq, 80)).alias("tail"))
+
+
+def q03(spark, sf):
+    return filtering.reject_ambiguous(_reads(spark, sf, WITH_N))[1]
+
+
+def q04(spark, sf):
+    return filtering.convert_ambiguous(_reads(spark, sf, WITH_N)).select("read_id", "seq")
+
+
+def q05(spark, sf):
+    return _reads(spark, sf).select("read_id", reverse_complement(F.col("seq")).alias("rc"))
+
+
+def q08(spark, sf):
+    return filtering.prefix_compact(_reads(spark, sf))
+
+
+def q09(spark, sf):
+    return filtering.denoise(_unique(spark, sf).withColumn("min_kmer", F.lit(None).cast("long")), 2, None).select("seq", "copies")
+
+
+def q14(spark, sf):
+    supported = filtering.kmer_support(_unique(spark, sf), filtering.count_kmers(_reads(spark, sf), K), K)
+    return filtering.denoise(supported, 1, 3).select("seq", "copies", "min_kmer")
+
+
+def q15(spark, sf):
+    """Each document a sample of its own: all fall into one."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("sample"))
+    return filtering.single_sample_fallback(rows).groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q16(spark, sf):
+    return _offsets(spark, sf).select("ref_id", "start_off", "end_off")
+
+
+def q17(spark, sf):
+    return _offsets(spark, sf, 50).select("ref_id", "start_off", "end_off")
+
+
+def q18(spark, sf):
+    return database.locate(_positions(spark, sf), _offsets(spark, sf)).select("key", "pos", "ref_id")
+
+
+def q19(spark, sf):
+    hits = database.locate(_positions(spark, sf), _offsets(spark, sf)).withColumn("len", F.lit(60))
+    return database.chimera_flag(hits).select("key", "pos", "is_chimera")
+
+
+def q20(spark, sf):
+    return align.hamming_hits(_unique(spark, sf), _refs(spark, sf), 1.0).select("seq", "ref_id", "pos")
+
+
+def q21(spark, sf):
+    return _best(spark, sf)
+
+
+def q22(spark, sf):
+    return align.best_hit(align.edit_hits(_unique(spark, sf), _refs(spark, sf), SIMILARITY), _offsets(spark, sf))
+
+
+def q23(spark, sf):
+    return align.both_strands(lambda r, f: align.hamming_hits(r, f, 1.0), _unique(spark, sf), _refs(spark, sf)).select("seq", "ref_id", "pos", "strand")
+
+
+def q24(spark, sf):
+    """Neighbouring reads of a document as mates."""
+    best = _best(spark, sf)
+    placed = _reads(spark, sf).join(best, "seq").select("read_id", "ref_id", "pos", F.length("seq").cast("long").alias("len"))
+    first = placed.withColumn("pair_id", F.col("read_id"))
+    second = placed.withColumn("pair_id", F.col("read_id") - 1)
+    return align.concordant_pairs(first, second).select("pair_id", "ref_id", "pos", "pos2", "span")
+
+
+def q25(spark, sf):
+    best, refs = _best(spark, sf), _refs(spark, sf).select("ref_id", F.col("seq").alias("ref"))
+    hits = best.join(refs, "ref_id").select(F.col("g_pos").alias("pos"), F.substring("ref", F.col("pos").cast("int"), F.length("seq")).alias("win")).distinct()
+    return otu.compact_positions(hits, 1).select("win", "pos", "new_pos")
+
+
+def q27(spark, sf):
+    samples = [f"src{i}" for i in range(20)]
+    return otu.pivot_table(_otu(spark, sf), samples)
+
+
+def q28(spark, sf):
+    return otu.with_taxonomy(_otu(spark, sf), _taxonomy(spark, sf)).select("otu_id", "sample", "n", "taxonomy")
+
+
+def q29(spark, sf):
+    return _taxonomy(spark, sf).select("otu_id", F.array_join(taxonomy_levels(F.col("taxonomy")), "|").alias("levels"))
+
+
+def q30(spark, sf):
+    return otu.otu_map(_reads(spark, sf), _best(spark, sf))
+
+
+def q31(spark, sf):
+    return otu.pass_fail(_reads(spark, sf), _best(spark, sf))
+
+
+def q32(spark, sf):
+    return filtering.run_metrics(_reads(spark, sf, WITH_N))
+
+
+def q33(spark, sf):
+    from readloom.sources.fasta import biom_rows
+
+    order = _refs(spark, sf).select(F.col("ref_id").alias("otu_id"), "ref_ord")
+    return biom_rows(_otu(spark, sf), _taxonomy(spark, sf), [f"src{i}" for i in range(20)], order)
+
+
+QUERIES = {
+    "q01_sample_extract": q01, "q02_trim": q02, "q03_ambiguity_reject": q03, "q04_convert_ambiguous": q04, "q05_revcomp": q05,
+    "q06_dereplicate": lambda s, d: _unique(s, d), "q07_sample_histogram": lambda s, d: filtering.sample_histogram(_reads(s, d)),
+    "q08_prefix_compact": q08, "q09_min_copies": q09, "q10_kmer_count": lambda s, d: filtering.count_kmers(_reads(s, d, WITH_N), K),
+    "q11_kmer_support": _support("aligned"), "q12_support_endpiece": _support("endpiece"), "q13_support_deep": _support("deep"),
+    "q14_denoise_xy": q14, "q15_single_sample_fallback": q15, "q16_concat_offsets": q16, "q17_concat_offsets_spacers": q17,
+    "q18_offset_lookup": q18, "q19_chimera_filter": q19, "q20_exact_align": q20, "q21_similarity_join": q21, "q22_similarity_edit": q22,
+    "q23_both_strands": q23, "q24_paired_insert": q24, "q25_compact_positions": q25, "q26_otu_table_long": lambda s, d: _otu(s, d),
+    "q27_otu_table_pivot": q27, "q28_taxonomy_join": q28, "q29_taxonomy_split": q29, "q30_otu_map": q30, "q31_pass_fail": q31,
+    "q32_run_metrics": q32, "q33_biom_rows": q33,
+}
+
+# ---- SQL -------------------------------------------------------------------------------------------------------
+
+
+def _seq_sql(bases: str) -> str:
+    return f"translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{bases}')"
+
+
+_TILES = "SELECT doc_id * 100000 + i AS read_id, sample, substr(s, (i * 60 + 1)::BIGINT, 60) AS seq FROM (SELECT doc_id, sample, s, unnest(range((length(s) + 59) // 60)) AS i FROM (SELECT doc_id, source AS sample, {seq} AS s FROM documents) WHERE s <> '')"
+_CTE = {
+    "whole": f"SELECT doc_id, source AS sample, {_seq_sql(CLEAN)} AS seq FROM documents",
+    "reads": _TILES.format(seq=_seq_sql(CLEAN)),
+    "nreads": _TILES.format(seq=_seq_sql(WITH_N)),
+    "refs": f"SELECT item_id AS ref_id, {_seq_sql(CLEAN)} AS seq FROM benchmark",
+    "offs": "SELECT ref_id, seq, (coalesce(sum(length(seq)) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_off FROM refs",
+    "uniq": "SELECT seq, count(*) AS copies FROM reads GROUP BY seq",
+    "kc": f"SELECT substr(s, (p)::BIGINT, {K}) AS kmer, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - {K} + 2)) AS p FROM (SELECT regexp_replace(seq, '[^ACGT]', 'A', 'g') AS s FROM {{src}}) WHERE length(s) >= {K}) GROUP BY 1",
+    "pieces": "SELECT seq, e, length(seq) // (e + 1) AS k, i * (length(seq) // (e + 1)) AS off, substr(seq, (i * (length(seq) // (e + 1)) + 1)::BIGINT, length(seq) // (e + 1)) AS piece FROM (SELECT seq, e, unnest(range(e + 1)) AS i FROM (SELECT seq, floor({gap} * length(seq) + 1e-9)::BIGINT AS e FROM uniq))",
+    "words": "SELECT ref_id, k, p0, substr(ref, (p0 + 1)::BIGINT, k) AS piece FROM (SELECT ref_id, seq AS ref, k, unnest(range(length(seq) - k + 1)) AS p0 FROM refs JOIN (SELECT DISTINCT k FROM pieces) ON length(seq) >= k)",
+    "hits": "SELECT seq, ref_id, start + 1 AS pos, ed FROM (SELECT seq, e, c.ref_id, start, hamming(seq, substr(r.ref, (start + 1)::BIGINT, length(seq))) AS ed FROM (SELECT DISTINCT p.seq, p.e, w.ref_id, w.p0 - p.off AS start FROM pieces p JOIN words w ON p.k = w.k AND p.piece = w.piece) c JOIN (SELECT ref_id, seq AS ref FROM refs) r ON r.ref_id = c.ref_id WHERE start >= 0 AND start + length(seq) <= length(r.ref)) WHERE ed <= e",
+    "best": "SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT h.*, start_off + pos AS g_pos, row_number() OVER (PARTITION BY h.seq ORDER BY ed, start_off + pos) AS rn FROM hits h JOIN (SELECT ref_id, start_off FROM offs) o ON o.ref_id = h.ref_id) WHERE rn = 1",
+    "otus": "SELECT ref_id AS otu_id, sample, count(*) AS n FROM reads JOIN best ON reads.seq = best.seq GROUP BY 1, 2",
+    "tax": "SELECT ref_id AS otu_id, 'k__' || r_name || '; p__' || n_name AS taxonomy FROM refs JOIN nation ON ref_id % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE ref_id % 2 = 0",
+    "places": "SELECT o_orderkey AS key, (o_orderkey * 7919) % ((SELECT sum(length(seq)) FROM refs)::BIGINT + 1) AS pos FROM orders",
+    "located": "SELECT key, pos, ref_id, start_off, length(seq) AS len FROM places ASOF JOIN (SELECT * FROM offs WHERE seq <> '') o ON places.pos >= o.start_off",
+}
+_NEEDS = {"offs": ["refs"], "uniq": ["reads"], "pieces": ["uniq"], "words": ["refs", "pieces"], "hits": ["refs", "pieces", "words"], "best": ["hits", "offs"], "otus": ["reads", "best"], "tax": ["refs"], "places": ["refs"], "located": ["places", "offs"]}
+
+
+def _sql(body: str, *names: str, gap: str = "(1 - 0.97::DOUBLE)", src: str = "reads") -> str:
+    def closure(n: str) -> list[str]:
+        return reduce(lambda out, x: out + [y for y in closure(x) if y not in out], _NEEDS.get(n, []) + ([src] if n == "kc" else []), []) + [n]
+
+    order = list(dict.fromkeys(y for n in names for y in closure(n)))
+    parts = [f"{n} AS ({_CTE[n].replace('{gap}', gap).replace('{src}', src)})" for n in order]
+    return f"WITH {', '.join(parts)} {body}"
+
+
+def _support_sql(words: str) -> str:
+    return _sql(f"SELECT u.seq, m.min_kmer FROM uniq u LEFT JOIN (SELECT seq, min(coalesce(n, 0)) AS min_kmer FROM (SELECT seq, word FROM ({words})) w LEFT JOIN kc ON w.word = kc.kmer GROUP BY seq) m ON u.seq = m.seq", "uniq", "kc")
+
+
+_ALIGNED = f"SELECT seq, substr(seq, (i * {K} + 1)::BIGINT, {K}) AS word FROM (SELECT seq, unnest(range(length(seq) // {K})) AS i FROM uniq WHERE length(seq) >= {K})"
+SQL = {
+    "q01_sample_extract": "SELECT regexp_extract(source || '_' || doc_id || ' x=1', '^([^_ ]*)', 1) AS sample, source || '_' || doc_id AS read_id FROM documents",
+    "q02_trim": _sql("SELECT doc_id, substr(seq, 1, 100) AS head, substr(seq, greatest(length(seq) - 79, 1)::BIGINT, 80) AS tail FROM whole", "whole"),
+    "q03_ambiguity_reject": _sql("SELECT read_id, 'AMBIGUOUS' AS reason FROM nreads WHERE seq = '' OR regexp_matches(seq, '[^ACGT]')", "nreads"),
+    "q04_convert_ambiguous": _sql("SELECT read_id, regexp_replace(seq, '[^ACGT]', 'A', 'g') AS seq FROM nreads", "nreads"),
+    "q05_revcomp": _sql("SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads", "reads"),
+    "q06_dereplicate": _sql("SELECT seq, copies FROM uniq", "uniq"),
+    "q07_sample_histogram": _sql("SELECT seq, sample, count(*) AS n FROM reads GROUP BY 1, 2", "reads"),
+    "q08_prefix_compact": _sql("SELECT rep, sample, count(*)::BIGINT AS n FROM reads JOIN (SELECT seq, last_value(seq) OVER (PARTITION BY grp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS rep FROM (SELECT seq, sum(brk) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (SELECT seq, CASE WHEN starts_with(seq, lag(seq) OVER (ORDER BY seq)) THEN 0 ELSE 1 END AS brk FROM uniq))) r ON reads.seq = r.seq GROUP BY 1, 2", "reads", "uniq"),
+    "q09_min_copies": _sql("SELECT seq, copies FROM uniq WHERE copies >= 2", "uniq"),
+    "q10_kmer_count": _sql("SELECT kmer, n FROM kc", "kc", src="nreads"),
+    "q11_kmer_support": _support_sql(_ALIGNED),
+    "q12_support_endpiece": _support_sql(f"{_ALIGNED} UNION ALL SELECT seq, substr(seq, (length(seq) - {K} + 1)::BIGINT, {K}) FROM uniq WHERE length(seq) >= {K}"),
+    "q13_support_deep": _support_sql(f"SELECT seq, substr(seq, p::BIGINT, {K}) AS word FROM (SELECT seq, unnest(range(1, length(seq) - {K} + 2)) AS p FROM uniq WHERE length(seq) >= {K})"),
+    "q14_denoise_xy": _sql(f"SELECT u.seq, copies, m.min_kmer FROM uniq u LEFT JOIN (SELECT seq, min(coalesce(n, 0)) AS min_kmer FROM ({_ALIGNED}) w LEFT JOIN kc ON w.word = kc.kmer GROUP BY seq) m ON u.seq = m.seq WHERE copies >= 2 OR coalesce(m.min_kmer, 4611686018427387904) >= 3", "uniq", "kc"),
+    "q15_single_sample_fallback": "SELECT 'AllSamps' AS sample, count(*) AS n FROM documents",
+    "q16_concat_offsets": _sql("SELECT ref_id, start_off, start_off + length(seq) AS end_off FROM offs", "offs"),
+    "q17_concat_offsets_spacers": _sql("SELECT ref_id, s AS start_off, s + length(seq) AS end_off FROM (SELECT ref_id, seq, (coalesce(sum(length(seq) + 100) OVER (ORDER BY ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM refs)", "refs"),
+    "q18_offset_lookup": _sql("SELECT key, pos, ref_id FROM located", "located"),
+    "q19_chimera_filter": _sql("SELECT key, pos, 60 > start_off + len - pos AS is_chimera FROM located", "located"),
+    "q20_exact_align": _sql("SELECT seq, ref_id, pos FROM hits", "hits", gap="0.0"),
+    "q21_similarity_join": _sql("SELECT seq, ref_id, pos, ed, g_pos FROM best", "best"),
+    "q24_paired_insert": _sql("SELECT a.read_id AS pair_id, a.ref_id, a.pos, b.pos AS pos2, b.pos + b.len - a.pos AS span FROM pl a JOIN pl b ON b.read_id = a.read_id + 1 AND a.ref_id = b.ref_id WHERE b.pos >= a.pos AND b.pos + b.len - a.pos <= 1400", "reads", "best").replace(" SELECT a.read_id", ", pl AS (SELECT read_id, ref_id, pos, length(reads.seq) AS len FROM reads JOIN best ON reads.seq = best.seq) SELECT a.read_id"),
+    "q25_compact_positions": _sql("SELECT win, pos, first_value(pos) OVER (PARTITION BY grp ORDER BY win, pos) AS new_pos FROM (SELECT win, pos, sum(brk) OVER (ORDER BY win, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (SELECT win, pos, CASE WHEN starts_with(win, lag(win) OVER (ORDER BY win, pos)) THEN 0 ELSE 1 END AS brk FROM (SELECT DISTINCT g_pos AS pos, substr(refs.seq, best.pos::BIGINT, length(best.seq)) AS win FROM best JOIN refs ON refs.ref_id = best.ref_id)))", "best", "refs"),
+    "q26_otu_table_long": _sql("SELECT otu_id, sample, n FROM otus", "otus"),
+    "q27_otu_table_pivot": _sql("SELECT otu_id, " + ", ".join(f"coalesce(sum(CASE WHEN sample = 'src{i}' THEN n END), 0)::BIGINT AS src{i}" for i in range(20)) + " FROM otus GROUP BY otu_id", "otus"),
+    "q28_taxonomy_join": _sql("SELECT otus.otu_id, sample, n, coalesce(taxonomy, 'UNSUPPORTED_MAPPING') AS taxonomy FROM otus LEFT JOIN tax ON otus.otu_id = tax.otu_id", "otus", "tax"),
+    "q29_taxonomy_split": _sql("SELECT otu_id, replace(taxonomy, '; ', '|') AS levels FROM tax", "tax"),
+    "q30_otu_map": _sql("SELECT ref_id AS otu_id, string_agg(read_id::VARCHAR, chr(9) ORDER BY read_id) AS reads FROM reads JOIN best ON reads.seq = best.seq GROUP BY 1", "reads", "best"),
+    "q31_pass_fail": _sql("SELECT read_id, ref_id AS otu_id FROM reads LEFT JOIN best ON reads.seq = best.seq", "reads", "best"),
+    "q32_run_metrics": _sql("SELECT count(*) AS n_reads, count(*) FILTER (regexp_matches(seq, '[^ACGT]')) AS n_ambiguous, sum(length(regexp_replace(seq, '[ACGT]', '', 'g')))::BIGINT AS ambiguous_bases, count(DISTINCT sample) AS n_samples, count(DISTINCT seq) AS n_distinct FROM nreads", "nreads"),
+}
