@@ -8,9 +8,12 @@ signatures of its own band and of the next one. Empty projections are left out w
 
 Equal sets are one class from the start. Signatures travel as sorted, compressed blocks, one per map batch and
 range of signatures, so a signature met in one class only never becomes a row. Classes that share signatures are
-compared exactly: first each with its smallest partner, then, as long as a signature holds classes of different
-components, one member of its smallest component (the pivot, which then leaves) with the others; once few enough
-pairs of different components remain, all of them. Pairs inside one component need no comparison, as they cannot change a component.
+compared in steps that lose no link: every member of a signature with its smallest one; then, for signatures whose
+members are still in different components, all members of different components by size and a parity sketch, which
+bounds the difference of two sets from below, and what that leaves by the full sets. Signatures of more than
+``IN_TASK`` members never meet in a task: one member of their smallest component (the pivot, which then leaves) is
+compared with the others, until they are in one component or few enough.
+Pairs inside one component need no comparison, as they cannot change a component.
 
 Rules: null and empty texts have no shingles and link with nothing; a text with fewer words than ``width`` has one
 shingle, its whole sequence; rows with a null id keep their class but never name a component. Classes are known by
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -39,8 +43,8 @@ N2, K2 = 3, 1
 SUBSETS = list(combinations(range(N2), N2 - K2))
 #: Classes named in a broadcast when texts of candidates are fetched; beyond, a join does it.
 MAX_BROADCAST_IDS = 1_000_000
-#: All pairs of different components that share a signature are compared once there are no more than these.
-REST_PAIRS = 200_000
+#: Members of a signature that one task compares with each other, by sketches and in memory.
+IN_TASK = 4096
 
 
 def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -72,36 +76,61 @@ def n_differences(num: int, den: int, largest: int) -> int:
     return 2 * (den - num) * largest // (den + num)
 
 
+@lru_cache(maxsize=4096)
+def _plan(size: int, num: int, den: int) -> list[tuple]:
+    """For the set's own band and the next one: (band, number of agreeing first-level ranges or 0, range edges, labels)."""
+    levels = bands(num, den, size)
+    own, out = len(levels) - 1, []
+    for level, largest in ((own, levels[-1][1]), (own + 1, (levels[-1][1] + 1) * den // num)):
+        k = n_differences(num, den, largest)
+        n1 = k // (K2 + 1) + 1 + min(3, k // 16)
+        edges = np.array([(j << 64) // (n1 * N2) for j in range(n1 * N2)], np.uint64)
+        label = np.arange(n1 * len(SUBSETS), dtype=np.uint64).reshape(n1, len(SUBSETS)) + np.uint64(level << 32)
+        out.append((level, n1 - k // (K2 + 1) if k else 0, edges, mix(label)))
+    return out
+
+
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """PartEnum signatures of a sorted set of hashes."""
     out = []
     size = len(s)
     if not size:
         return np.empty(0, np.uint64)
-    levels = bands(num, den, size)
-    own = len(levels) - 1
-    for level, largest in ((own, levels[-1][1]), (own + 1, (levels[-1][1] + 1) * den // num)):
-        k = n_differences(num, den, largest)
-        if not k:
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    for level, agreeing, edges, label in _plan(size, num, den):
+        if not agreeing:
             out.append(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=level)], np.uint64))
             continue
-        n1 = k // (K2 + 1) + 1 + min(3, k // 16)
-        edges = np.array([(j << 64) // (n1 * N2) for j in range(n1 * N2)], np.uint64)
         at = np.searchsorted(s, edges)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
         upper = np.append(at[1:], size)
-        part = (sums[upper] - sums[at]).reshape(n1, N2)
-        full = (upper > at).reshape(n1, N2)
-        sigs = np.stack([part[:, sub].sum(axis=1, dtype=np.uint64) for sub in SUBSETS], axis=1)
-        some = np.stack([full[:, sub].any(axis=1) for sub in SUBSETS], axis=1)
-        label = np.arange(n1 * len(SUBSETS), dtype=np.uint64).reshape(n1, len(SUBSETS)) + np.uint64(level << 32)
-        sigs = mix(sigs + mix(label))
-        # Similar sets agree, but for K2 parts, in at least n1 - k // (K2 + 1) first-level ranges. A set with fewer
-        # ranges that hold an empty projection shares one that is not empty, so its empty ones can go.
-        out.append(sigs[some] if (~some).any(axis=1).sum() < n1 - k // (K2 + 1) else sigs.ravel())
+        part = (sums[upper] - sums[at]).reshape(-1, N2)
+        full = (upper > at).reshape(-1, N2)
+        sigs = mix(np.stack([part[:, a] + part[:, b] for a, b in SUBSETS], axis=1) + label)
+        some = np.stack([full[:, a] | full[:, b] for a, b in SUBSETS], axis=1)
+        # Similar sets agree, but for K2 parts, in at least ``agreeing`` first-level ranges. A set with fewer ranges
+        # that hold an empty projection shares one that is not empty, so its empty ones can go.
+        out.append(sigs[some] if (~some).any(axis=1).sum() < agreeing else sigs.ravel())
     return np.concatenate(out)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of about as many cells as elements; two sketches differ in no more bits than the sets in elements."""
+    cells = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in which the sketched sets differ."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a)
+    n = len(a)
+    while n > len(b):
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return (x ^ int.from_bytes(b)).bit_count()
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
@@ -119,11 +148,11 @@ def _node(s: np.ndarray) -> int:
 
 
 SIGNED = pa.int64()
-BOTH = pa.schema([("part", pa.int32()), ("doc_id", SIGNED), ("node", SIGNED), ("n", SIGNED), ("payload", pa.binary())])
+BOTH = pa.schema([("part", pa.int32()), ("doc_id", SIGNED), ("node", SIGNED), ("n", SIGNED), ("sketch", pa.binary()), ("payload", pa.binary())])
 
 
 def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: part null, of a document, with its class and set size; else a block of signatures."""
+    """Rows of two kinds: part null, of a document, with its class, set size and sketch; else a block of signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held, done = [], 0, {}
@@ -134,11 +163,11 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts:
             order, at = split_by_range(sigs, n_parts)
             sigs, nodes = sigs[order], nodes[order]
             ranges = [(p, low, high) for p, (low, high) in enumerate(zip(at, at[1:], strict=False)) if low < high]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in ranges], pa.int32()), *[pa.nulls(len(ranges), SIGNED)] * 3, pa.array([_block(sigs[low:high], nodes[low:high]) for _, low, high in ranges], pa.binary())], schema=BOTH)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in ranges], pa.int32()), *[pa.nulls(len(ranges), SIGNED)] * 3, pa.nulls(len(ranges), pa.binary()), pa.array([_block(sigs[low:high], nodes[low:high]) for _, low, high in ranges], pa.binary())], schema=BOTH)
 
         for batch, sets in _sets(batches, width):
             nodes = [_node(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int32()), batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), SIGNED), pa.nulls(len(sets), pa.binary())], schema=BOTH)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int32()), batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), SIGNED), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.binary())], schema=BOTH)
             for node, s in zip(nodes, sets, strict=True):
                 if len(s) and node not in done:
                     done[node] = None
@@ -150,7 +179,7 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts:
         if held:
             yield blocks()
 
-    return _rows(docs, id_col, text_col).mapInArrow(sign, "part int, doc_id long, node long, n long, payload binary")
+    return _rows(docs, id_col, text_col).mapInArrow(sign, "part int, doc_id long, node long, n long, sketch binary, payload binary")
 
 
 def _block(sigs: np.ndarray, nodes: np.ndarray) -> bytes:
@@ -178,8 +207,23 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"sig": sigs[keep].view(np.int64), "node": nodes[keep].view(np.int64)})
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Without pairs whose sizes or sketches rule a link out; no link is lost."""
+    side = lambda x: sketches.select(F.col("node").alias(x), F.struct("n", "sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa.n", F.col("sb.n").alias("m"), "sa.sketch", F.col("sb.sketch").alias("other"))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = pa.array([num * max(i, j) <= den * min(i, j) and least_difference(p, q) * (den + num) <= (den - num) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(prune, "a long, b long")
+
+
+def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose texts' sets are similar."""
+    pairs = materialise(_possible(pairs, sketches, num, den), "possible")
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
@@ -205,35 +249,51 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _links(members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
+def _close_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of a signature's members that are in different components and that sizes and sketches allow."""
+    table = table.sort_by([("sig", "ascending"), ("node", "ascending")])
+    sigs = table["sig"].to_numpy()
+    columns = [table[c].to_pylist() for c in ("node", "label", "n", "sketch")]
+    num, den = table["num"][0].as_py(), table["den"][0].as_py()
+    cuts = np.append(np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])), len(sigs)).tolist()
+    out = set()
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        group = sorted(zip(*(c[low:high] for c in columns), strict=True), key=lambda x: x[2])
+        for at, (a, label, n, x) in enumerate(group):
+            for b, other, m, y in group[at + 1 :]:
+                if num * m > den * n:
+                    break  # sizes ascend
+                if label != other and least_difference(x, y) * (den + num) <= (den - num) * (n + m):
+                    out.add((min(a, b), max(a, b)))
+    return pa.table(list(map(pa.array, zip(*out, strict=True))) if out else [[], []], schema=pa.schema([("a", SIGNED), ("b", SIGNED)]))
+
+
+def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Enough links between classes to have all components."""
-    low = members.groupBy("sig").agg(F.min("node").alias("a"))
-    nearest = members.join(low, "sig").filter("a <> node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    tested = materialise(nearest, "pairs")
-    links = materialise(_linked(tested, texts, width, num, den), "linked")
+    # Near copies share many signatures; one for each set of members is enough.
+    alike = members.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"))
+    alike = alike.groupBy("x", "y", "n").agg(F.min(F.struct("sig", "a")).alias("s")).select("s.sig", "s.a")
+    members = materialise(members.join(alike, "sig"), "members")
+    tested = materialise(members.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    members = members.select("sig", "node")
+    links = materialise(_linked(tested, sketches, texts, width, num, den), "linked")
+    n_buckets = 4 * partitions(members.sparkSession)
     while True:
         labels = connected_components(links)
         named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         sizes = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        cross = (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2
-        groups = materialise(sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), cross.alias("cross"), F.min(F.struct("n", "node", "label")).alias("pivot")).filter("k > 1"), "groups")
-        most = groups.agg(F.sum("cross").alias("n")).first()["n"]
-        if not most:
-            return links
-        members = materialise(named.join(groups.select("sig", "pivot"), "sig"), "members")
-        rest = most <= REST_PAIRS
-        if rest:
-            other = members.select("sig", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = members.select("sig", F.col("node").alias("a"), "label").join(other, "sig").filter("a < b AND label <> label_b")
-        else:
-            pairs = members.filter("node <> pivot.node AND label <> pivot.label").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
-        pairs = materialise(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(_linked(pairs, texts, width, num, den), "linked")
-        links = links.union(found)
-        if rest:
+        groups = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.min(F.struct("n", "node", "label")).alias("pivot")).filter("k > 1").select("sig", (F.col("total") > IN_TASK).alias("large"), "pivot")
+        open_ = materialise(named.join(groups, "sig"), "open")
+        small = open_.filter("NOT large").join(sketches, "node").select("sig", "node", "label", "n", "sketch", F.lit(num).alias("num"), F.lit(den).alias("den"))
+        pairs = small.groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(_close_pairs, "a long, b long")
+        large = open_.filter("large AND node <> pivot.node")
+        pairs = pairs.union(large.filter("label <> pivot.label").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
+        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(materialise(_linked(pairs, sketches, texts, width, num, den), "linked"))
+        if large.isEmpty():
             return links
         tested = materialise(tested.union(pairs), "tested")
-        members = members.filter("node <> pivot.node").select("sig", "node")
+        members = materialise(large.select("sig", "node"), "members")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,6 +302,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     num, den = threshold.numerator, threshold.denominator
     both = materialise(classes_and_blocks(docs, width, num, den, partitions(spark), id_col, text_col), "signatures")
     rows = both.filter("part IS NULL").select("doc_id", "node", "n")
+    sketches = both.filter("part IS NULL").select("node", "n", "sketch")
     blocks = both.filter("part IS NOT NULL").select("part", "payload")
     members = materialise(blocks.groupBy("part").applyInArrow(_shared, "sig long, node long"), "shared")
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
@@ -250,7 +311,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
         labels = candidates.withColumn("label", F.col("node"))
     else:
         texts = _candidate_texts(docs, rows, candidates, width, id_col, text_col)
-        labels = connected_components(_links(members, texts, width, num, den))
+        sketches = materialise(sketches.join(candidates, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        labels = connected_components(_links(members, sketches, texts, width, num, den))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of_node = named.join(lowest, "label").select("node", "component_id")

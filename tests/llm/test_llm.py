@@ -159,9 +159,9 @@ def _components(rows, width, t):
     return {key: (len(s), low[find(i)]) for i, (key, s) in enumerate(sets)}
 
 
-@pytest.mark.parametrize("rest", [0, 2_000_000])
-def test_jaccard_components(spark, monkeypatch, rest):
-    monkeypatch.setattr(jaccard, "REST_PAIRS", rest)
+@pytest.mark.parametrize("in_task", [2, 4096])
+def test_jaccard_components(spark, monkeypatch, in_task):
+    monkeypatch.setattr(jaccard, "IN_TASK", in_task)
     rnd = random.Random(6)
     rows = []
     for g in range(6):
