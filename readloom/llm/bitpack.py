@@ -12,6 +12,7 @@ by their text. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,8 +45,11 @@ def unpack_bits(payload: bytes, width: int, n: int, start: int = 0) -> np.ndarra
     return bits.reshape(n, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width - 1, -1, -1, dtype=np.uint32))
 
 
+LETTER_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x09-\x0d\x20]|\Z)")
+
+
 class WordCache:
-    """Ids of words that white space separates, each encoded once; valid for tokenizers that drop white space."""
+    """Ids of words that white space separates, each encoded once; valid for tokenizers that lower-case and drop white space."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
@@ -61,10 +65,12 @@ class WordCache:
         """All ids of the texts, an end id after each, and the number of ids of each text."""
         if len(self.codes) > self.most:
             self.clear()
-        split = [t.split() for t in texts]
+        # The tokenizer lower-cases and always cuts between a letter and a full stop or comma, so fewer words differ.
+        # Texts that may hold a special token are left as they are.
+        split = [(t if b"<|" in t else LETTER_STOP.sub(rb" \1", t.lower())).split() for t in texts]
         new = list({w: None for words in split for w in words if w not in self.codes})
         if new or not len(self.starts):
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
             base = len(self.starts)
             if not base:
                 found, base = [[end_id], *found], 1

@@ -101,7 +101,8 @@ def test_token_ids(spark, docs, empty):
     path = public.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     extra = spark.createDataFrame([(20, "a<|endoftext|>b  İ ́x ǅ a b", *"abcd", 1, 2)], SCHEMA)
-    rows = docs.filter("doc_id IS NOT NULL").union(extra)
+    more = spark.createDataFrame([(21, "It's. NO,, x., É. don'T, A.b. é, l'a, 'S. 3. q,\xa0w.\x0b(b.)", *"abcd", 1, 2)], SCHEMA)
+    rows = docs.filter("doc_id IS NOT NULL").union(extra).union(more)
     got = bitpack.read_ids(spark, bitpack.write_ids(rows, bitpack.new_path(spark, "t"), path, 2), with_ids=True).orderBy("start").collect()
     want = [t.encode(r.text or "", add_special_tokens=False).ids + [2] for r in rows.orderBy("doc_id", "text").collect()]
     assert [r.ids for r in got] == want and [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
