@@ -9,9 +9,10 @@ signatures of its own band and of the next one. Empty projections are left out w
 Equal sets are one class from the start. Signatures travel as sorted, compressed blocks, one per map batch and
 range of signatures, so a signature met in one class only never becomes a row. Classes that share signatures are
 compared in steps that lose no link: every member of a signature with its smallest one; then, for signatures whose
-members are still in different components, all members of different components by size and a parity sketch, which
-bounds the difference of two sets from below, and what that leaves by the full sets. Signatures of more than
-``IN_TASK`` members never meet in a task: one member of their smallest component (the pivot, which then leaves) is
+members are still in different components, a task finds those members that size and a parity sketch, which bounds
+the difference of two sets from below, leave within reach of another component; the full sets of these meet in one
+task, which yields only as many links as join the components. Signatures of more than ``IN_TASK`` members, or
+``IN_TASK_ELEMENTS`` elements of their sets, never meet in a task: one member of their smallest component (the pivot, which then leaves) is
 compared with the others, until they are in one component or few enough.
 Pairs inside one component need no comparison, as they cannot change a component.
 
@@ -43,8 +44,8 @@ N2, K2 = 3, 1
 SUBSETS = list(combinations(range(N2), N2 - K2))
 #: Classes named in a broadcast when texts of candidates are fetched; beyond, a join does it.
 MAX_BROADCAST_IDS = 1_000_000
-#: Members of a signature that one task compares with each other, by sketches and in memory.
-IN_TASK = 4096
+#: Members of a signature that one task compares with each other in memory, and the elements of all their sets.
+IN_TASK, IN_TASK_ELEMENTS = 4096, 4 << 20
 
 
 def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -249,23 +250,77 @@ def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _close_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a signature's members that are in different components and that sizes and sketches allow."""
-    table = table.sort_by([("sig", "ascending"), ("node", "ascending")])
+def _groups(table: pa.Table) -> Iterator[pa.Table]:
+    """The table's rows of each signature."""
+    table = table.sort_by([("sig", "ascending"), ("n", "ascending"), ("node", "ascending")])
     sigs = table["sig"].to_numpy()
-    columns = [table[c].to_pylist() for c in ("node", "label", "n", "sketch")]
-    num, den = table["num"][0].as_py(), table["den"][0].as_py()
     cuts = np.append(np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])), len(sigs)).tolist()
-    out = set()
     for low, high in zip(cuts, cuts[1:], strict=False):
-        group = sorted(zip(*(c[low:high] for c in columns), strict=True), key=lambda x: x[2])
-        for at, (a, label, n, x) in enumerate(group):
-            for b, other, m, y in group[at + 1 :]:
-                if num * m > den * n:
-                    break  # sizes ascend
-                if label != other and least_difference(x, y) * (den + num) <= (den - num) * (n + m):
-                    out.add((min(a, b), max(a, b)))
-    return pa.table(list(map(pa.array, zip(*out, strict=True))) if out else [[], []], schema=pa.schema([("a", SIGNED), ("b", SIGNED)]))
+        yield table.slice(low, high - low)
+
+
+def _within_reach(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Members of signatures that have, in another component, a member whose size and sketch allow a link."""
+    out = []
+    for group in _groups(table):
+        labels, n = group["label"].to_numpy(), group["n"].to_numpy()
+        data = group["sketch"].to_pylist()
+        width = min(map(len, data))  # longer sketches are folded: the bound gets looser, never wrong
+        cells = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in data])
+        near = np.zeros(len(n), bool)
+        for i, last in enumerate(np.searchsorted(n, den * n // num, side="right").tolist()):
+            rest = slice(i + 1, last)
+            differ = np.bitwise_count(cells[rest] ^ cells[i]).sum(axis=1, dtype=np.int64)
+            close = (labels[rest] != labels[i]) & (differ * (den + num) <= (den - num) * (n[rest] + n[i]))
+            near[rest] |= close
+            near[i] |= close.any()
+        if near.any():
+            out.append(group.select(["sig", "node", "label", "n"]).filter(pa.array(near)))
+    return pa.concat_tables(out) if out else table.select(["sig", "node", "label", "n"]).slice(0, 0)
+
+
+def _spanning(group: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links that join the components of a signature's members as all their links would, found by an inverted index."""
+    sets = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+    nodes, sizes = group["node"].to_pylist(), np.array(list(map(len, sets)))
+    _, part = np.unique(group["label"].to_numpy(), return_inverse=True)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(element, kind="stable")]
+    n_holders = np.bincount(element)
+    first = np.cumsum(n_holders) - n_holders
+    at = np.cumsum(sizes) - sizes
+    # Of two members in different components, one is outside the component that is the largest now.
+    for i in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
+        if (part == part[0]).all():
+            return
+        own = element[at[i] : at[i] + sizes[i]]
+        length = n_holders[own]
+        ends = np.cumsum(length)
+        both = np.bincount(holder[np.repeat(first[own] - ends + length, length) + np.arange(ends[-1])], minlength=len(sets))
+        linked = (den * both >= num * (sizes + sizes[i] - both)) & (part != part[i])
+        others, where = np.unique(part[linked], return_index=True)
+        for j in np.flatnonzero(linked)[where].tolist():
+            yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j])
+        part[np.isin(part, others)] = part[i]
+
+
+def _spanning_links(near: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components among the members of each signature, by their full sets."""
+    alike = near.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("n"))
+    once = materialise(near.join(alike.groupBy("x", "y", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "once")
+    elements = once.agg(F.sum("n")).first()[0] or 0
+    n_buckets = max(4 * partitions(near.sparkSession), elements // (IN_TASK_ELEMENTS // 4))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+    def span(table: pa.Table) -> pa.Table:
+        out = {x for group in _groups(table) for x in _spanning(group, num, den)}
+        return pa.table(list(map(pa.array, zip(*out, strict=True))) if out else [[], []], schema=pa.schema([("a", SIGNED), ("b", SIGNED)]))
+
+    sets = texts.join(once.select("node").distinct(), "node").select("node", "text").mapInArrow(hashes, "node long, hashes binary")
+    return once.join(sets, "node").groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(span, "a long, b long")
 
 
 def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -273,27 +328,29 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
     # Near copies share many signatures; one for each set of members is enough.
     alike = members.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"))
     alike = alike.groupBy("x", "y", "n").agg(F.min(F.struct("sig", "a")).alias("s")).select("s.sig", "s.a")
-    members = materialise(members.join(alike, "sig"), "members")
+    members = materialise(members.join(alike, "sig").join(sketches.select("node", F.col("n").alias("size")), "node"), "members")
     tested = materialise(members.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    members = members.select("sig", "node")
+    members = members.select("sig", "node", "size")
     links = materialise(_linked(tested, sketches, texts, width, num, den), "linked")
     n_buckets = 4 * partitions(members.sparkSession)
     while True:
         labels = connected_components(links)
-        named = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        groups = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.min(F.struct("n", "node", "label")).alias("pivot")).filter("k > 1").select("sig", (F.col("total") > IN_TASK).alias("large"), "pivot")
+        named = members.join(labels, "node", "left").select("sig", "node", "size", F.coalesce("label", "node").alias("label"))
+        sizes = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.sum("size").alias("size"))
+        groups = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum("size").alias("elements"), F.min(F.struct("n", "node", "label")).alias("pivot"))
+        groups = groups.filter("k > 1").select("sig", ((F.col("total") > IN_TASK) | (F.col("elements") > IN_TASK_ELEMENTS)).alias("large"), "pivot")
         open_ = materialise(named.join(groups, "sig"), "open")
-        small = open_.filter("NOT large").join(sketches, "node").select("sig", "node", "label", "n", "sketch", F.lit(num).alias("num"), F.lit(den).alias("den"))
-        pairs = small.groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(_close_pairs, "a long, b long")
+        small = open_.filter("NOT large").join(sketches, "node").select("sig", "node", "label", "n", "sketch")
+        near = small.groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(lambda t: _within_reach(t, num, den), "sig long, node long, label long, n long")
+        links = links.union(materialise(_spanning_links(materialise(near, "near"), texts, width, num, den), "linked"))
         large = open_.filter("large AND node <> pivot.node")
-        pairs = pairs.union(large.filter("label <> pivot.label").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
-        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(materialise(_linked(pairs, sketches, texts, width, num, den), "linked"))
         if large.isEmpty():
             return links
+        pairs = large.filter("label <> pivot.label").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(materialise(_linked(pairs, sketches, texts, width, num, den), "linked"))
         tested = materialise(tested.union(pairs), "tested")
-        members = materialise(large.select("sig", "node"), "members")
+        members = materialise(large.select("sig", "node", "size"), "members")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
