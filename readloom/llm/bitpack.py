@@ -12,9 +12,12 @@ by their text. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import new_path, partitions
+from readloom.llm.textbatch import slices
 
 BLOCK = "shard int, block int, n_ids long, first long, width int, doc_ids array<long>, lengths array<int>, payload binary"
 
@@ -45,52 +49,104 @@ def unpack_bits(payload: bytes, width: int, n: int, start: int = 0) -> np.ndarra
     return bits.reshape(n, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width - 1, -1, -1, dtype=np.uint32))
 
 
-LETTER_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x09-\x0d\x20]|\Z)")
+#: A word that ends in a letter and then ASCII punctuation other than an apostrophe: the tokenizer always cuts between the two.
+LETTER_STOP = re.compile(rb"(.*(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.DOTALL)
+
+
+#: A word that neither the normaliser nor the splitter of the tokenizer changes.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes | None) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
 
 class WordCache:
-    """Ids of words that white space separates, each encoded once; valid for tokenizers that lower-case and drop white space."""
+    """Ids of words that white space separates, each encoded once.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Valid for byte-level tokenizers that lower-case, drop white space, and keep a run of letters in one piece.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 600_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.numbers = Numbers({None: 0})  # the end of a text
+        self.numbers.new = []
+        self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, an end id after each, and the number of ids of each text."""
-        if len(self.codes) > self.most:
-            self.clear()
-        # The tokenizer lower-cases and always cuts between a letter and a full stop or comma, so fewer words differ.
-        # Texts that may hold a special token are left as they are.
-        split = [(t if b"<|" in t else LETTER_STOP.sub(rb" \1", t.lower())).split() for t in texts]
-        new = list({w: None for words in split for w in words if w not in self.codes})
-        if new or not len(self.starts):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            base = len(self.starts)
-            if not base:
-                found, base = [[end_id], *found], 1
-            self.codes.update(zip(new, range(base, base + len(new)), strict=True))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, *(np.asarray(x, np.uint32) for x in found)])
-        counts = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-        get = self.codes.__getitem__
-        codes = np.zeros(int(counts.sum()), np.int64)  # code 0 is the end
-        at = 0
-        for words, n in zip(split, counts, strict=True):
-            codes[at : at + n - 1] = np.fromiter(map(get, words), np.int64, n - 1)
-            at += n
-        lengths = self.lengths[codes]
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(counts) - 1
-        return ids, np.diff(ends[last], prepend=0) if len(last) else np.empty(0, np.int64)
+        return self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def learn(self) -> None:
+        """Encodes the words that have a number but no ids yet."""
+        new, known = self.numbers.new, len(self.starts)
+        cut, halves = [], []
+        runs, others = ([], []), ([], [])
+        for n, word in enumerate(new, known):  # grows as halves are met for the first time
+            found = None if b"<|" in word else LETTER_STOP.match(word)
+            if found:
+                cut.append(n)
+                halves += [self.numbers[found[1]], self.numbers[found[2]]]
+            else:
+                text = word.decode("utf-8", "replace")
+                numbers, texts = runs if LETTERS.fullmatch(text) else others
+                numbers.append(n)
+                texts.append(text)
+        for tokenizer, (numbers, texts) in ((self.letters, runs), (self.tokenizer, others)):
+            encoded = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            self._append(np.array(numbers, np.int64), np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths, known + len(new))
+        both = np.array(halves, np.int64)
+        self._append(np.array(cut, np.int64), self.ids_of(both), self.lengths[both].reshape(-1, 2).sum(axis=1), known + len(new))
+        self.numbers.new = []
+
+    def _append(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray, total: int) -> None:
+        if len(self.starts) < total:
+            more = np.zeros(total - len(self.starts), np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
+        self.starts[numbers] = len(self.flat) + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes), an end id after each, and the number of ids of each text."""
+        if len(self.numbers) > self.most:
+            self.clear()
+        texts = texts.view(pa.string())
+        # Texts that may hold a special token keep their capitals, as those decide whether it is one.
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words, of = split.flatten(), np.repeat(np.arange(len(split)), pc.list_value_length(split))
+        full = pc.greater(pc.binary_length(words), 0)
+        counts = np.bincount(of[np.asarray(full)], minlength=len(split))
+        coded = words.filter(full).dictionary_encode()
+        distinct = coded.dictionary.view(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
+        if self.numbers.new:
+            self.learn()
+        numbers = np.insert(numbers, np.cumsum(counts), 0)
+        ends = np.cumsum(self.lengths[numbers])[np.cumsum(counts + 1) - 1]
+        return self.ids_of(numbers), np.diff(ends, prepend=0)
+
+
+@lru_cache(maxsize=1)
+def word_cache(path: str, end_id: int) -> WordCache:
+    """A Python worker keeps its cache from task to task."""
+    return WordCache(path, end_id)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16) -> str:
@@ -105,17 +161,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, block, first = WordCache(tokenizer), TaskContext.get().partitionId(), 0, 0
+        cache, shard, block, first = word_cache(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            sizes = np.asarray(pc.binary_length(texts))
-            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // (2 * block_ids), prepend=0))
-            for low, high in zip([0, *cut], [*cut, len(sizes)], strict=True):
-                if low == high:
-                    continue
-                ids, lengths = cache.encode(texts.slice(low, high - low).to_pylist(), end_id)
-                yield pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "n_ids": len(ids), "first": first, "width": width, "doc_ids": keys.slice(low, high - low).to_pylist(), "lengths": lengths.tolist(), "payload": pack_bits(ids, width)}], schema=ARROW_BLOCK)
-                block, first = block + 1, first + len(ids)
+            sizes = np.asarray(pc.binary_length(batch.column(1)))
+            for low, high in slices(sizes, 4 << 20):
+                ids, lengths = cache.encode(batch.column(1).slice(low, high - low))
+                ends, keys = np.cumsum(lengths), batch.column(0).slice(low, high - low)
+                cut = np.flatnonzero(np.diff(ends // block_ids, prepend=0))
+                for a, b in zip([0, *cut], [*cut, len(ends)], strict=True):
+                    if a < b:
+                        part = ids[ends[a] - lengths[a] : ends[b - 1]]
+                        yield pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "n_ids": len(part), "first": first, "width": width, "doc_ids": keys.slice(a, b - a).to_pylist(), "lengths": lengths[a:b].tolist(), "payload": pack_bits(part, width)}], schema=ARROW_BLOCK)
+                        block, first = block + 1, first + len(part)
 
     rows.mapInArrow(encode, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
