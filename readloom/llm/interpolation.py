@@ -2,16 +2,16 @@
 
 The probability of word w after v is ``l2[b] c(v, w) / c(v) + l1[b] q(w) + l0[b] / (V + 1)`` with weights for each
 bucket b of c(v), the number of times the context was seen: bucket 0 is a context never seen, bucket j > 0 holds
-2^(j-1) <= c(v) < 2^j, the last one all larger. q is the maximum-likelihood unigram estimate over the
-``MAX_HOT`` most frequent words; all other words, seen or not, share the rest evenly. The weights are learned by
+2^(j-1) <= c(v) < 2^j, the last one all larger. q is the maximum-likelihood unigram estimate over all words; words
+never seen share the place of one more word in the last term. The weights are learned by
 expectation-maximisation: counts come from training texts outside ``em_fold``, the events from those inside it.
 The final counts come from all training texts. Each text is BOS w1 .. wn END; END is predicted like a word.
 
-How it is spread: words are counted by a shuffle of (hash, count); the bounded table of frequent words goes to all
-executors. Then each bigram occurrence goes, in sorted compressed blocks, to the range that owns its context and
-pair; there its counts are complete, and it becomes two log-probabilities in steps of 1/2048. EM sees a histogram of
-held-out events by (bucket, log p2, log p1) in steps of 1/8, so at most about a million cells whatever the input.
-Last, each range sends every text of a batch the sum of its shares.
+How it is spread: texts are cut into batches of a few MB, written as codes of the batch's own words. Each batch sends
+its distinct words and pairs, with their counts in it, in sorted compressed blocks to the range that owns their hash;
+so a pair is one entry a batch, however often it occurs. A range adds up and answers each block with the totals, and
+the batch, which then knows every count it needs, works out its texts. EM sees a histogram of held-out events by (bucket, log p2, log p1) in steps of 1/8, so at most about a million
+cells whatever the input.
 
 Rules: a null text is empty, that is END alone; without training rows every token has probability 1 / (V + 1); rows
 are never joined by id, so repeated and null ids do no harm; a null id falls into the fold of the empty string.
@@ -29,16 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import id_fold, materialise, partitions
-from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, split_by_range
+from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices
 
 BOS, END = np.uint64(0x1F0A2B3C4D5E6F71), np.uint64(0x2E1D0C3B4A596877)
-MAX_HOT = (1 << 18) - 4
 N_BUCKETS = 20
 MAIN, EM, TEST = 0, 1, 2
-#: Frequent words have 18-bit numbers, a pair of them 36 bits; an odd factor spreads pairs over the key space.
-BITS, FACTOR = 36, 0x9E3779B97 | 1
-INVERSE = pow(FACTOR, -1, 1 << BITS)
-STEP, NEVER = 2048, 65535
+STEP, NEVER, COARSE = 2048, 65535, 8
+#: Text bytes of a batch.
+BATCH_BYTES = 4 << 20
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -55,30 +53,6 @@ def _prob(code: np.ndarray, step: float = STEP, never: int = NEVER) -> np.ndarra
     return np.where(code == never, 0.0, np.exp(-code.astype(np.float64) / step))
 
 
-class Vocabulary:
-    """Totals, and the frequent words: number 0 is any other word, the last two numbers are BOS and END."""
-
-    def __init__(self, hashes: np.ndarray, n_all: np.ndarray, n_main: np.ndarray, totals: dict):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.all = np.concatenate([[0], n_all[order]]).astype(np.float64)
-        self.main = np.concatenate([[0], n_main[order]]).astype(np.float64)
-        self.n, self.n_main, self.types = totals["n"], totals["n_main"], totals["types"]
-        cold = max(self.types - len(hashes), 0) + 1
-        self.q_all, self.q_main = (np.concatenate([[max(n - c.sum(), 0) / cold / max(n, 1)], c[1:] / max(n, 1)]) for c, n in ((self.all, self.n), (self.main, self.n_main)))
-        # BOS is a context, never a word: as often as END
-        end = int(np.searchsorted(self.hashes, END))
-        has_end = end < len(self.hashes) and self.hashes[end] == END
-        self.context_all, self.context_main = (np.append(c, c[end + 1] if has_end else 0) for c in (self.all, self.main))
-        self.end, self.bos = end + 1 if has_end else 0, len(hashes) + 1
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, 0)
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str, n_folds: int, test_fold: int, em_fold: int) -> DataFrame:
     fold = id_fold(F.col(id_col), n_folds)
     kind = F.when(fold == test_fold, TEST).when(fold == em_fold, EM).otherwise(MAIN)
@@ -89,179 +63,126 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     """Slices with the hashes of their words and the number of words of each text."""
     hasher = WordHasher()
     for batch in batches:
-        for low, high in slices(np.asarray(pc.binary_length(batch.column(1))), 6 << 20):
+        for low, high in slices(np.asarray(pc.binary_length(batch.column(1))), BATCH_BYTES):
             part = batch.slice(low, high - low)
             yield part, *hasher(part.column(1).to_pylist())
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """h, n (in all training texts), n_em (in those for EM), written to the shared folder."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, counts in _batches(batches):
-            kind = np.asarray(part.column(2))
-            kinds = np.append(np.repeat(kind, counts), kind)
-            h = np.append(words, np.full(len(kind), END))
-            h, kinds = h[kinds != TEST], kinds[kinds != TEST]
-            unique, at = np.unique(h, return_inverse=True)
-            n, n_em = np.bincount(at, minlength=len(unique)), np.bincount(at[kinds == EM], minlength=len(unique))
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n, pa.int64()), pa.array(n_em, pa.int64())], names=["h", "n", "n_em"])
-
-    sums = rows.mapInArrow(count, "h long, n long, n_em long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_em").alias("n_em"))
-    return materialise(sums, "words")
-
-
-def vocabulary(words: DataFrame, max_hot: int = MAX_HOT) -> Vocabulary:
-    """The driver sees totals, a histogram of counts by an eighth of a power of two, and at most max_hot words."""
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - F.col("n_em")), F.lit(0)).alias("n_main"), F.count(F.lit(1)).alias("types")).first().asDict()
-    size = F.floor(F.log2("n") * 8).cast("int")
-    least, held = 1 << 30, 0
-    for r in sorted(words.groupBy(size.alias("size")).count().collect(), reverse=True):
-        held += r["count"]
-        if held > max_hot:
-            break
-        least = r["size"]
-    end = int(END.view(np.int64))
-    hot = words.filter((size >= least) | (F.col("h") == end)).toPandas()
-    return Vocabulary(hot["h"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64), (hot["n"] - hot["n_em"]).to_numpy(np.int64), totals)
-
-
-ENTRIES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary())])
-BOTH, COLD_CONTEXT, COLD_WORD, TEXTS = range(4)
-
-
-def bigram_blocks(rows: DataFrame, shared, n_parts: int) -> DataFrame:
-    """Every bigram occurrence, in blocks for n_parts ranges, and a row for each batch's texts.
-
-    Kinds: BOTH words frequent (key: the pair's number); COLD_CONTEXT (key: the context's hash); COLD_WORD after a
-    frequent context (key: a hash of both). Each occurrence carries its text's place in the batch and fold kind.
-    """
+def write_batches(rows: DataFrame) -> DataFrame:
+    """One row a batch: its texts, the sorted hashes of its words, and the text and word of each token."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: Vocabulary = shared.value
         batch_id = TaskContext.get().partitionId() << 32
-        smooth = np.log10(vocab.n + 0.5 * (vocab.types + 1))
         for part, words, counts in _batches(batches):
             n = len(counts)
-            ends = np.cumsum(counts + 1)
             h = np.full(len(words) + n, END)
             is_word = np.ones(len(h), bool)
-            is_word[ends - 1] = False
+            is_word[np.cumsum(counts + 1) - 1] = False
             h[is_word] = words
-            number = vocab.numbers(h)
-            before, before_number = np.roll(h, 1), np.roll(number, 1)
-            firsts = ends - counts - 1
-            before[firsts], before_number[firsts] = BOS, vocab.bos
-            place = np.repeat(np.arange(n), counts + 1)
-            doc = (place << 2 | np.repeat(np.asarray(part.column(2)), counts + 1)).astype(np.uint16)
-            known = number > 0
-            base = np.bincount(place[known | ~is_word], np.log10(vocab.all[number[known | ~is_word]] + 0.5) - smooth, n)
-            n_known = np.bincount(place[known], minlength=n)
-            texts = pa.table({"doc_id": part.column(0), "fold": part.column(2), "n_tokens": counts + 1, "base": base, "n_known": n_known.astype(np.int64)})
+            hashes, code = np.unique(h, return_inverse=True)
+            place = np.repeat(np.arange(n, dtype=np.uint64), counts + 1)
             sink = pa.BufferOutputStream()
+            texts = pa.table({"doc_id": part.column(0), "fold": part.column(2), "n_tokens": counts + 1})
             with pa.ipc.new_stream(sink, texts.schema) as w:
                 w.write_table(texts)
-            out = [(((batch_id >> 32) * 31 + batch_id) % n_parts, TEXTS, sink.getvalue().to_pybytes())]
-            v_hot = before_number > 0
-            kinds = ((BOTH, v_hot & known, BITS), (COLD_CONTEXT, ~v_hot, 64), (COLD_WORD, v_hot & ~known, 64))
-            for kind, chosen, bits in kinds:
-                v, w, hv, hw, d = before_number[chosen], number[chosen], before[chosen], h[chosen], doc[chosen]
-                if kind == BOTH:
-                    key, columns = ((v << 18 | w).astype(np.uint64) * np.uint64(FACTOR)) & np.uint64((1 << BITS) - 1), [d]
-                elif kind == COLD_CONTEXT:
-                    key, columns = hv, [d, hw, w.astype(np.uint32)]
-                else:
-                    key, columns = mix(hv + mix(hw)), [d, v.astype(np.uint32)]
-                order, at = split_by_range(key, n_parts, bits)
-                key, columns = key[order], [c[order] for c in columns]
-                out += [(p, kind, encode(key[low:high], *(c[low:high] for c in columns))) for p, (low, high) in enumerate(zip(at, at[1:], strict=False)) if low < high]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([batch_id] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], schema=ENTRIES)
+            values = [batch_id, len(h), sink.getvalue().to_pybytes(), encode(hashes), encode(place, code.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, BATCHES.types, strict=True)], schema=BATCHES)
             batch_id += 1
 
-    return rows.mapInArrow(cut, "part int, kind int, batch long, payload binary")
+    return materialise(rows.mapInArrow(cut, "batch long, n long, texts binary, words binary, tokens binary"), "batches")
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """The number of the run of equal keys that each element of sorted arrays is in."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
+BATCHES = pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("texts", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
+WORDS, PAIRS, TEXTS, TOTALS = range(4)
 
 
-SHARES, EVENTS = 10, 11
-COARSE = 8
+class Batch:
+    """A batch opened: its texts, and for each token the text, the word's code, the context's code and the pair's."""
 
-
-def resolve(shared):
-    """Function of one range's blocks: shares of texts under each estimate, and held-out events."""
+    def __init__(self, texts: bytes, words: bytes, tokens: bytes):
+        self.texts = pa.ipc.open_stream(texts).read_all()
+        (self.hashes,) = decode(words)
+        self.place, code = decode(tokens, "u4")
+        self.code = code.astype(np.int64)
+        first = np.ones(len(code), bool)
+        first[1:] = self.place[1:] != self.place[:-1]
+        # BOS is a context, never a word: as often as END
+        self.before = np.where(first, np.searchsorted(self.hashes, END), np.roll(self.code, 1))
+        v = np.where(first, BOS, self.hashes[self.before])
+        self.pairs, self.pair = np.unique(mix(v + mix(self.hashes[self.code])), return_inverse=True)
+        self.fold = self.texts["fold"].to_numpy()[self.place.astype(np.int64)]
+
+
+def count_blocks(batches: DataFrame, n_parts: int) -> DataFrame:
+    """Each batch's distinct words and pairs with n (in its training texts) and n_em (in those for EM), for n_parts ranges."""
+    edges = np.array([(p << 64) // n_parts for p in range(n_parts)], np.uint64)
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for i in range(len(row)):
+                b = Batch(*(row.column(c)[i].as_py() for c in (2, 3, 4)))
+                out = []
+                for kind, keys, at in ((WORDS, b.hashes, b.code), (PAIRS, b.pairs, b.pair)):
+                    n, n_em = (np.bincount(at[x], minlength=len(keys)).astype(np.uint32) for x in (b.fold != TEST, b.fold == EM))
+                    cuts = np.append(np.searchsorted(keys, edges), len(keys))
+                    out += [(kind, p, encode(keys[x:y], n[x:y], n_em[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                kinds, parts, payloads = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array([row.column(0)[i].as_py()] * len(out), pa.int64()), pa.array(payloads, pa.binary())], names=["kind", "part", "batch", "payload"])
+
+    return batches.mapInArrow(count, "kind int, part int, batch long, payload binary")
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    """Answers each block of one range with the totals of its keys; a last row has the range's own totals."""
+    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    opened = [decode(x.as_py(), "u4", "u4") for x in table["payload"]]
+    cuts = np.cumsum([0] + [len(x[0]) for x in opened])
+    keys, n, n_em = (np.concatenate(c) for c in zip(*opened, strict=True))
+    del opened
+    unique, at = np.unique(keys, return_inverse=True)
+    n, n_em = (np.bincount(at, c, len(unique)).astype(np.uint64) for c in (n, n_em))
+    out = []
+    for batch, low, high in zip(table["batch"].to_pylist(), cuts, cuts[1:], strict=False):
+        x = at[low:high]
+        out.append((kind, part, batch, encode(np.zeros(len(x), np.uint64), n[x], n_em[x]), 0, 0, 0))
+    if kind == WORDS:
+        out.append((TOTALS, part, -1, None, int(n.sum()), int(n.sum() - n_em.sum()), int((n > 0).sum())))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), COUNTS.types, strict=True)], schema=COUNTS)
+
+
+COUNTS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary()), ("n", pa.int64()), ("n_main", pa.int64()), ("types", pa.int64())])
+RESOLVED = pa.schema([("texts", pa.binary()), ("tokens", pa.binary()), ("cells", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+
+
+def resolve(n_main: int):
+    """Function of a batch and the answers to its blocks: each token's counts of word and pair, and held-out events."""
 
     def run(table: pa.Table) -> pa.Table:
-        vocab: Vocabulary = shared.value
-        smooth = np.log10(vocab.n + 0.5 * (vocab.types + 1))
-        kinds, batches = table["kind"].to_numpy(), table["batch"].to_numpy()
-        out: list[tuple] = [(TEXTS, batches[i], 0, 0, table["payload"][int(i)].as_py(), None) for i in np.flatnonzero(kinds == TEXTS)]
-        events = []
-        shares: dict[int, list] = {}
-        for kind, types in ((BOTH, ("u2",)), (COLD_CONTEXT, ("u2", "u8", "u4")), (COLD_WORD, ("u2", "u4"))):
+        kinds, parts = table["kind"].to_numpy(), table["part"].to_numpy()
+        i = int(np.flatnonzero(kinds == TEXTS)[0])
+        texts = table["payload"][i].as_py()
+        b = Batch(texts, table["words"][i].as_py(), table["tokens"][i].as_py())
+
+        def totals(kind: int) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(kinds == kind)
-            if not len(at):
-                continue
-            opened = [decode(table["payload"][int(i)].as_py(), *types) for i in at]
-            source = np.repeat(np.arange(len(at)), [len(x[0]) for x in opened])
-            columns = [np.concatenate(c) for c in zip(*opened, strict=True)]
-            order = np.lexsort((columns[2], columns[0])) if kind == COLD_CONTEXT else np.argsort(columns[0], kind="stable")
-            source, columns = source[order], [c[order] for c in columns]
-            key, doc = columns[0], columns[1]
-            fold = doc & 3
-            main, train = (fold == MAIN).astype(np.float64), (fold != TEST).astype(np.float64)
-            pair = _runs(key, columns[2]) if kind == COLD_CONTEXT else _runs(key)
-            pair_all, pair_main = np.bincount(pair, train)[pair], np.bincount(pair, main)[pair]
-            if kind == COLD_CONTEXT:
-                run_ = _runs(key)
-                all_, main_ = np.bincount(run_, train)[run_], np.bincount(run_, main)[run_]
-                w = columns[3].astype(np.int64)
-            else:
-                if kind == BOTH:
-                    number = ((key * np.uint64(INVERSE)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                    v, w = number >> 18, number & ((1 << 18) - 1)
-                else:
-                    v, w = columns[2].astype(np.int64), np.zeros(len(key), np.int64)
-                all_, main_ = vocab.context_all[v], vocab.context_main[v]
-            held = fold == EM
-            if held.any():
-                p2, p1 = pair_main[held] / np.maximum(main_[held], 1), vocab.q_main[w[held]]
-                a, b = (np.minimum(_code(p).astype(np.int64) * COARSE // STEP, 255) for p in (p2, p1))
-                a[p2 == 0] = 255
-                cells, n = np.unique(_bucket(main_[held]).astype(np.int64) << 16 | a << 8 | b, return_counts=True)
-                events.append((cells, n))
-            b, c2, c1 = _bucket(all_), _code(pair_all / np.maximum(all_, 1)), _code(vocab.q_all[w])
-            order = np.lexsort((doc, source))
-            cuts = np.searchsorted(source[order], np.arange(len(at) + 1))
-            cold = (np.log10(all_ + 0.5) - smooth, all_ > 0) if kind == COLD_CONTEXT else None
-            for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                chosen = order[low:high]
-                entry = [(doc[chosen] >> 2).astype(np.uint64), b[chosen], c2[chosen], c1[chosen]]
-                base = known = np.zeros(0)
-                if cold:
-                    base, known = np.bincount(entry[0].astype(np.int64), cold[0][chosen]), np.bincount(entry[0].astype(np.int64), cold[1][chosen])
-                shares.setdefault(int(batches[at[i]]), []).append((entry, base, known))
-        for batch, parts in shares.items():
-            entry = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
-            order = np.argsort(entry[0], kind="stable")
-            base, known = next(((b, k) for _, b, k in parts if len(b)), (np.zeros(0), np.zeros(0)))
-            extra = encode(np.flatnonzero(base).astype(np.uint64), base[base != 0], known[base != 0])
-            out.append((SHARES, batch, 0, 0, encode(*(c[order] for c in entry)), extra))
-        for cells, n in events:
-            out += [(EVENTS, 0, int(c), int(k), None, None) for c, k in zip(cells, n, strict=True)]
-        return pa.table(list(map(pa.array, zip(*out, strict=True))) if out else [[]] * 6, schema=RESOLVED)
+            found = [decode(table["payload"][int(j)].as_py(), "u8", "u8")[1:] for j in at[np.argsort(parts[at])]]
+            return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+        (word, word_em), (pair, pair_em) = totals(WORDS), totals(PAIRS)
+        held = b.fold == EM
+        cells = n = np.zeros(0, np.int64)
+        if held.any():
+            of_word, of_pair = (word - word_em).astype(np.float64), (pair - pair_em).astype(np.float64)
+            context = of_word[b.before[held]]
+            p2, p1 = of_pair[b.pair[held]] / np.maximum(context, 1), of_word[b.code[held]] / max(n_main, 1)
+            x, y = (np.minimum(_code(p).astype(np.int64) * COARSE // STEP, 255) for p in (p2, p1))
+            cells, n = np.unique(_bucket(context).astype(np.int64) << 16 | x << 8 | y, return_counts=True)
+        row = [texts, encode(b.place, word[b.code], pair[b.pair]), cells.tolist(), n.tolist()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, RESOLVED.types, strict=True)], schema=RESOLVED)
 
     return run
 
 
-RESOLVED = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("code", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("extra", pa.binary())])
-
-
 def learn_weights(cells: np.ndarray, n: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
     """Weights [bucket, (l2, l1, l0)] by EM on events (bucket, p2, p1) with counts n."""
     bucket, a, b = cells >> 16, cells >> 8 & 255, cells & 255
@@ -283,47 +204,38 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, types: int, rounds: int = 60
     return weights
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_folds: int = 5, test_fold: int = 1, em_fold: int = 4, max_hot: int = MAX_HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_folds: int = 5, test_fold: int = 1, em_fold: int = 4, max_hot: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``max_hot`` is taken and has no effect: every word has its own estimate."""
     spark = docs.sparkSession
-    rows = _rows(docs, id_col, text_col, n_folds, test_fold, em_fold)
-    vocab = vocabulary(count_words(rows), max_hot)
-    shared = spark.sparkContext.broadcast(vocab)
-    blocks = bigram_blocks(rows, shared, partitions(spark)).groupBy("part").applyInArrow(resolve(shared), "kind int, batch long, code long, n long, payload binary, extra binary")
-    resolved = materialise(blocks, "bigrams")
-    events = resolved.filter(F.col("kind") == EVENTS).groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(events["code"].to_numpy(np.int64), events["n"].to_numpy(np.float64), vocab.types)
-    flat = 1 / (vocab.types + 1)
-    train_tokens = int(vocab.n)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if kind == SHARES:
-                    doc, b, c2, c1 = decode(payload, "u1", "u2", "u2")
-                    l2, l1, l0 = weights[b].T
-                    place, first = np.unique(doc, return_index=True)
-                    payload = encode(place, np.add.reduceat(np.log10(l2 * _prob(c2) + l1 * _prob(c1) + l0 * flat), first))
-                out.append(payload)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(3)], names=["batch", "kind", "payload", "extra"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        kinds, payloads = table["kind"].to_pylist(), table["payload"].to_pylist()
-        texts = pa.ipc.open_stream(payloads[kinds.index(TEXTS)]).read_all()
-        score, base, known = np.zeros(len(texts)), texts["base"].to_numpy().copy(), texts["n_known"].to_numpy().copy()
-        for kind, payload, extra in zip(kinds, payloads, table["extra"].to_pylist(), strict=True):
-            if kind == SHARES:
-                place, share = decode(payload, "f8")
-                score[place.astype(np.int64)] += share
-                place, b, k = decode(extra, "f8", "f8")
-                base[place.astype(np.int64)] += b
-                known[place.astype(np.int64)] += k.astype(np.int64)
-        test = pa.array(texts["fold"].to_numpy() == TEST)
-        return pa.table([texts["doc_id"], test, texts["n_tokens"], pa.array(known), pa.array(np.full(len(texts), train_tokens)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    shares = resolved.filter(F.col("kind") != EVENTS).select("batch", "kind", "payload", "extra").mapInArrow(weigh, "batch long, kind int, payload binary, extra binary")
-    return shares.groupBy("batch").applyInArrow(merge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    batches = write_batches(_rows(docs, id_col, text_col, n_folds, test_fold, em_fold))
+    answers = count_blocks(batches, partitions(spark)).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
+    counts = materialise(answers, "counts")
+    n, n_main, types = (x or 0 for x in counts.filter(F.col("kind") == TOTALS).agg(F.sum("n"), F.sum("n_main"), F.sum("types")).first())
+
+    none = F.lit(None).cast("binary")
+    texts = batches.select("batch", F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), F.col("texts").alias("payload"), "words", "tokens")
+    both = counts.filter(F.col("kind") != TOTALS).select("batch", "kind", "part", "payload", none.alias("words"), none.alias("tokens")).union(texts)
+    resolved = materialise(both.groupBy("batch").applyInArrow(resolve(n_main), "texts binary, tokens binary, cells array<long>, n array<long>"), "resolved")
+    cells = resolved.select(F.explode(F.arrays_zip("cells", "n")).alias("x")).groupBy(F.col("x.cells").alias("code")).agg(F.sum("x.n").alias("n"))
+    events = cells.toPandas()
+    weights = learn_weights(events["code"].to_numpy(np.int64), events["n"].to_numpy(np.float64), types)
+    flat, smooth = 1 / (types + 1), np.log10(n + 0.5 * (types + 1))
+
+    def weigh(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for opened, data in zip(row.column(0), row.column(1), strict=True):
+                texts = pa.ipc.open_stream(opened.as_py()).read_all()
+                place, word, pair = decode(data.as_py(), "u8", "u8")
+                place, word, pair = place.astype(np.int64), word.astype(np.float64), pair.astype(np.float64)
+                context = np.roll(word, 1)  # before a text's first word is the last one's END, as often as BOS
+                l2, l1, l0 = weights[_bucket(context)].T
+                p = l2 * pair / np.maximum(context, 1) + l1 * word / max(n, 1) + l0 * flat
+                score, base = np.bincount(place, np.log10(p), len(texts)), np.bincount(place, np.log10(word + 0.5) - smooth, len(texts))
+                known = np.bincount(place[word > 0], minlength=len(texts))
+                test = pa.array(texts["fold"].to_numpy() == TEST)
+                yield from pa.table([texts["doc_id"], test, texts["n_tokens"], pa.array(known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).to_batches()
+
+    return resolved.select("texts", "tokens").mapInArrow(weigh, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,3 +226,39 @@ def test_em_recovers_weights():
     cells = (5 << 16) | (rng.integers(0, 40, 4000) << 8) | rng.integers(0, 60, 4000)
     w = interpolation.learn_weights(cells, np.ones(4000), 1000)
     assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and (w >= 0).all()
+
+
+def test_interpolation_gives_every_word_its_own_estimate(spark, docs):
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choices(vocab, [1 / (k + 1) for k in range(60)], k=rnd.randrange(30)))) for i in range(300)]
+    fold = {k: zlib.crc32(str(k).encode()) % 5 for k, _ in rows}
+    grams = {k: list(zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)) for k, t in rows}
+
+    def counts(folds):
+        one, two = {}, {}
+        for k, g in grams.items():
+            for v, w in g if fold[k] in folds else ():
+                one[w], two[v, w] = one.get(w, 0) + 1, two.get((v, w), 0) + 1
+        one["<s>"] = one.get("</s>", 0)
+        return one, two, sum(n for w, n in one.items() if w != "<s>")
+
+    def terms(v, w, one, two, n):
+        c = one.get(v, 0)
+        return interpolation._bucket(np.array([c]))[0], two.get((v, w), 0) / max(c, 1), one.get(w, 0) / n
+
+    main, full = counts({0, 2, 3}), counts({0, 2, 3, 4})
+    cells = []
+    for k, g in grams.items():
+        for v, w in g if fold[k] == 4 else ():
+            b, p2, p1 = terms(v, w, *main)
+            x, y = (min(int(interpolation._code(np.array([p]))[0]) * 8 // 2048, 255) for p in (p2, p1))
+            cells.append(int(b) << 16 | x << 8 | y)
+    types = len(full[0]) - 1
+    weights = interpolation.learn_weights(*np.unique(cells, return_counts=True), types)
+    want = {k: sum(np.log10(weights[b] @ (p2, p1, 1 / (types + 1))) for b, p2, p1 in (terms(v, w, *full) for v, w in g)) for k, g in grams.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for max_hot in (3, 100):
+        got = {r.doc_id: r for r in interpolation.score_texts(table, max_hot=max_hot).collect()}
+        assert all(abs(got[k].score - want[k]) < 1e-6 * abs(want[k]) for k in want)
+        assert all(got[k].n_tokens == len(g) and got[k].n_known == sum(w in full[0] for _, w in g) for k, g in grams.items())
