@@ -10,7 +10,8 @@ The final counts come from all training texts. Each text is BOS w1 .. wn END; EN
 How it is spread: texts are cut into batches of a few MB, written as codes of the batch's own words. Each batch sends
 its distinct words and pairs, with their counts in it, in sorted compressed blocks to the range that owns their hash;
 so a pair is one entry a batch, however often it occurs. A range adds up and answers each block with the totals, and
-the batch, which then knows every count it needs, works out its texts. EM sees a histogram of held-out events by (bucket, log p2, log p1) in steps of 1/8, so at most about a million
+the batch, which then knows every count it needs, works out its texts. The number of ranges grows with the number of
+tokens. EM sees a histogram of held-out events by (bucket, log p2, log p1) in steps of 1/8, so at most about a million
 cells whatever the input.
 
 Rules: a null text is empty, that is END alone; without training rows every token has probability 1 / (V + 1); rows
@@ -35,8 +36,8 @@ BOS, END = np.uint64(0x1F0A2B3C4D5E6F71), np.uint64(0x2E1D0C3B4A596877)
 N_BUCKETS = 20
 MAIN, EM, TEST = 0, 1, 2
 STEP, NEVER, COARSE = 2048, 65535, 8
-#: Text bytes of a batch.
-BATCH_BYTES = 4 << 20
+#: Text bytes of a batch, and tokens for each range of hashes.
+BATCH_BYTES, RANGE_TOKENS = 4 << 20, 1 << 21
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -208,7 +209,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``max_hot`` is taken and has no effect: every word has its own estimate."""
     spark = docs.sparkSession
     batches = write_batches(_rows(docs, id_col, text_col, n_folds, test_fold, em_fold))
-    answers = count_blocks(batches, partitions(spark)).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
+    tokens = batches.agg(F.sum("n")).first()[0] or 0
+    n_parts = max(partitions(spark), -(-tokens // RANGE_TOKENS))
+    answers = count_blocks(batches, n_parts).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
     counts = materialise(answers, "counts")
     n, n_main, types = (x or 0 for x in counts.filter(F.col("kind") == TOTALS).agg(F.sum("n"), F.sum("n_main"), F.sum("types")).first())
 

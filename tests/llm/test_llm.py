@@ -262,3 +262,19 @@ def test_interpolation_gives_every_word_its_own_estimate(spark, docs):
         got = {r.doc_id: r for r in interpolation.score_texts(table, max_hot=max_hot).collect()}
         assert all(abs(got[k].score - want[k]) < 1e-6 * abs(want[k]) for k in want)
         assert all(got[k].n_tokens == len(g) and got[k].n_known == sum(w in full[0] for _, w in g) for k, g in grams.items())
+
+
+def test_interpolation_ranges_see_a_pair_once_a_batch(spark, monkeypatch):
+    hot = [(i, "same old line " * 700) for i in range(100)]
+    table = spark.createDataFrame(hot + [(1000 + i, f"a{i} b{i} c{i % 7}") for i in range(300)], "doc_id long, text string").repartition(3)
+    batches = interpolation.write_batches(interpolation._rows(table, "doc_id", "text", 5, 1, 4))
+    blocks = [(r.kind, r.batch, interpolation.decode(r.payload, "u4", "u4")) for r in interpolation.count_blocks(batches, 5).collect()]
+    keys = [(kind, batch, int(k)) for kind, batch, (found, _, _) in blocks for k in found]
+    assert len(keys) == len(set(keys)) < 5000 and max(int(n.max()) for _, _, (_, n, _) in blocks) > 10_000
+
+    asked, count = [], interpolation.count_blocks
+    monkeypatch.setattr(interpolation, "count_blocks", lambda b, n: asked.append(n) or count(b, n))
+    few = {r.doc_id: r.score for r in interpolation.score_texts(table).collect()}
+    monkeypatch.setattr(interpolation, "RANGE_TOKENS", 10_000)
+    many = {r.doc_id: r.score for r in interpolation.score_texts(table).collect()}
+    assert asked[0] == 4 and asked[1] == 22 and few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 * abs(few[k]) for k in few)
