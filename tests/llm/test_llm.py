@@ -278,3 +278,18 @@ def test_interpolation_ranges_see_a_pair_once_a_batch(spark, monkeypatch):
     monkeypatch.setattr(interpolation, "RANGE_TOKENS", 10_000)
     many = {r.doc_id: r.score for r in interpolation.score_texts(table).collect()}
     assert asked[0] == 4 and asked[1] == 22 and few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 * abs(few[k]) for k in few)
+
+
+def test_quality_threshold_follows_the_labelled_rows(spark):
+    rnd = random.Random(5)
+    plain, odd = [f"w{i}" for i in range(40)], [f"spam{i}" for i in range(40)]
+    text = lambda n: " ".join(rnd.choices(plain, k=100 - n) + rnd.choices(odd, k=n))
+    rows = [(i, text(3 if i % 4 == 0 else 0)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    held = {r.t_id: r.good for r in quality.held_ids(labels).collect()}
+    trusted = {r.t_id for r in quality.trusted_ids(labels).collect()}
+    assert not trusted & held.keys() and len(trusted) + len(held) == 600 and 50 < sum(held.values()) < 150
+    rows = quality.quality_rules(table, labels).collect()
+    assert sum(r.kept for r in rows if r.id % 4 and r.id in held) > 0.95 * sum(held.values())
+    assert sum(r.kept for r in rows if r.id % 4 == 0) < 0.05 * 150
