@@ -7,7 +7,11 @@ The original record is ``header + payload + CRLF CRLF`` and comes back through a
 Rules: a null payload is empty; of records with equal payloads of at least ``min_revisit`` bytes the one with
 the largest id is the response and the others revisit it; repeated rows with that same id are all responses;
 a null id makes a response, as nothing can refer to it; null urls are written as ``about:blank``; line breaks
-in a url are percent-encoded. Other columns of the input are ignored.
+in a url are percent-encoded. Header fields are read by whole lines, so a url that quotes one changes nothing.
+Other columns of the input are ignored.
+
+A payload that very many records share is no skewed key: when records are written, the few hot addresses are broadcast;
+when they are read, a payload is repeated once for every ``HOT`` of its records and the records are dealt over these.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from readloom.llm.common import new_path
 
 CRLF = "\r\n"
+#: Records of one payload that a reading task meets; at least so many (or 1 / MAX_HOT of all) make an address hot.
+HOT, MAX_HOT = 1000, 4096
 
 
 def _line(name: str, value: Column | str) -> Column:
@@ -28,17 +34,22 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     """Writes ``path/blobs`` and ``path/records``; returns path.
 
     Payload bytes are shuffled once, after equal ones have met inside each map task. Headers need only
-    addresses, so the second job moves no payload. A hot payload is a skewed key of a join between short rows.
+    addresses, so the second job moves no payload; at most ``MAX_HOT`` hot addresses are broadcast.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     address = [F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("n_bytes")]
-    blobs = rows.select(*address, "id", "payload").groupBy("digest", "n_bytes").agg(F.max("id").alias("owner"), F.first("payload").alias("payload"))
-    blobs.select("digest", "n_bytes", "owner", F.sha1("payload").alias("sha1"), "payload").write.option("compression", "zstd").parquet(f"{path}/blobs")
-
-    owners = spark.read.parquet(f"{path}/blobs").select("digest", "n_bytes", "owner", "sha1")
-    named = rows.select("id", "url", *address).join(owners, ["digest", "n_bytes"])
+    blobs = rows.select(*address, "id", "payload").groupBy("digest", "n_bytes").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("n_records"), F.first("payload").alias("payload"))
+    blobs.select("digest", "n_bytes", "owner", "n_records", F.sha1("payload").alias("sha1"), "payload").write.option("compression", "zstd").parquet(f"{path}/blobs")
+
+    owners = spark.read.parquet(f"{path}/blobs").select("digest", "n_bytes", "owner", "n_records", "sha1")
+    total = owners.agg(F.sum("n_records")).first()[0] or 0
+    hot = F.col("n_records") >= max(HOT, -(-total // MAX_HOT))
+    common = owners.filter(hot).select("digest", "n_bytes", F.struct("owner", "n_records", "sha1").alias("common"))
+    rows = rows.select("id", "url", *address).join(F.broadcast(common), ["digest", "n_bytes"], "left")
+    known = rows.filter("common IS NOT NULL").select("id", "url", "digest", "n_bytes", "common.*")
+    named = known.union(rows.filter("common IS NULL").join(owners.filter(~hot), ["digest", "n_bytes"]).select(known.columns))
     revisit = (F.col("n_bytes") >= min_revisit) & (F.col("id") != F.col("owner"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")
     uri = lambda key: F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("none")), F.lit(">"))
@@ -59,7 +70,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.lit(CRLF),
         F.col("http"),
     )
-    named.select("id", "digest", "n_bytes", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
+    named.select("id", "digest", "n_bytes", "n_records", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
     return path
 
 
@@ -72,18 +83,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     blobs = spark.read.parquet(f"{path}/blobs")
     sound = (F.sha2("payload", 256) == F.col("digest")) & (F.octet_length("payload") == F.col("n_bytes"))
-    blobs = blobs.select("digest", "n_bytes", F.when(sound, F.sha1("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
+    copies = F.floor(F.col("n_records") / HOT).cast("int")
+    blobs = blobs.select("digest", "n_bytes", F.explode(F.sequence(F.lit(0), copies)).alias("salt"), F.when(sound, F.sha1("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload")
     text = F.col("header").cast("string")
     field = lambda name: F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)\r\n", 1)
+    page = lambda name: F.regexp_extract(text, rf"\r\n{name}: <urn:page:([^>\r]*)>\r\n", 1).try_cast("long")
     parsed = spark.read.parquet(f"{path}/records").select(
-        F.expr("try_cast(regexp_extract(cast(header as string), '<urn:page:([^>]*)>', 1) as bigint)").alias("id"),
+        page("WARC-Record-ID").alias("id"),
         field("WARC-Type").alias("record_type"),
         field("WARC-Target-URI").alias("target_uri"),
         field("WARC-Payload-Digest").alias("stated"),
-        F.expr(r"try_cast(regexp_extract(cast(header as string), 'WARC-Refers-To: <urn:page:([^>]*)>', 1) as bigint)").alias("refers_to"),
-        "header", "digest", "n_bytes",
+        page("WARC-Refers-To").alias("refers_to"),
+        "header", "digest", "n_bytes", F.pmod(F.xxhash64("id", "header"), copies + 1).cast("int").alias("salt"),
     )
-    whole = parsed.join(blobs, ["digest", "n_bytes"])
+    whole = parsed.join(blobs, ["digest", "n_bytes", "salt"])
     digest = F.when(F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("stated"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header states another digest")))
     record = F.when(F.col("record_type") == "revisit", F.concat("header", F.lit(CRLF * 2).cast("binary"))).otherwise(F.concat("header", "payload", F.lit(CRLF * 2).cast("binary")))
     return whole.select("id", "record_type", "target_uri", "payload_bytes", digest.alias("payload_digest"), "refers_to", "header", "payload", record.alias("record"))

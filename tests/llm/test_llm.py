@@ -86,6 +86,19 @@ def test_warc(spark):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0), warc.new_path(spark, "t"))).count() == 0
 
 
+def test_warc_reads_whole_header_lines(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    big = "y" * 1000
+    urls = ["http://x/?WARC-Refers-To: <urn:page:77>", "<urn:page:5>", "WARC-Type: revisit", "u\r\nWARC-Refers-To: <urn:page:8>\r\n", None]
+    rows = [(i, u, f"p{i}") for i, u in enumerate(urls)] + [(100 + i, "u", big) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archive(pages, warc.new_path(spark, "t"))
+    got = {r.id: r for r in warc.read_archive(spark, path).collect()}
+    assert len(got) == len(rows) and all(got[i].refers_to is None and got[i].record_type == "response" for i in range(len(urls)))
+    assert {(r.record_type, r.refers_to) for k, r in got.items() if 100 <= k < 119} == {("revisit", 119)} and got[119].record_type == "response"
+    assert all(bytes(r.payload) == (big if k >= 100 else f"p{k}").encode() for k, r in got.items())
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 32])
 def test_bit_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64).astype(np.uint32)
@@ -123,6 +136,8 @@ def test_language(spark, docs, empty):
     got = docs.select("doc_id", language.predictor(spark, language.fit(docs))("text").alias("p")).collect()
     said = {r.doc_id: r.p.lang_pred for r in got}
     assert said[1] == said[2] == said[3] == said[11] == "und" and said[4] == "en" and said[7] == "fr"
+    odd = spark.createDataFrame([(t,) for t in ("²", "½ Ⅷ", "12_34 …", "\u0301", "a½", None)], "text string")
+    assert [r.p.lang_pred == "und" for r in odd.select(language.predictor(spark, language.fit(docs))("text").alias("p")).collect()] == [True, True, True, True, False, True]
     filters = language.LanguageFilters([f"l{i:03}" for i in range(70)], [np.array([i], np.uint64) for i in range(70)], 0)
     assert filters.lanes == 2 and filters.predict("abc")[0] == "l000"
 
