@@ -5,22 +5,22 @@ a bitmask of languages, so one look-up per hash function returns all languages t
 hits per language are popcounts over its n-grams, corrected for the filter's false-positive rate f as
 ``(hits - n f) / (1 - f)``; the largest corrected count decides, and its share of all is the score.
 
-Learning takes at most about ``max_train`` labelled texts (those with the smallest hashes of their ids); the
+Learning takes at most about ``max_train`` labelled texts (those with the smallest hashes of id and text); the
 driver then sees ``per_language`` n-grams a language. A prediction sees nothing but the text.
 
-Rules: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in order; a
+Rules: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; ties go to the first language in order; a
 text without any hit gets the language with most training texts and score 0; without training rows all is
 ``und``. Any number of languages is allowed: masks take as many 64-bit lanes as needed.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +30,16 @@ from readloom.llm.textbatch import mix
 ORDERS = (3, 4)
 N_HASHES = 3
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters, marks that belong to them, and nothing else: numerals such as a half or a superscript are none.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def ngrams(text: str | None, piece: int = 1 << 18) -> Iterator[np.ndarray]:
     """Hashes of the n-grams of the lower-cased text, in which anything but letters is one space; nothing if it has no letter."""
-    words = _NOT_LETTERS.sub(" ", text or "").strip().lower()
-    if not words:
+    if not text or not _LETTER.search(text):
         return
+    words = _NOT_LETTERS.sub(" ", text).strip().lower()
     points = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     for low in range(0, len(points), piece):
         for n in ORDERS:
@@ -102,7 +104,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     named = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = named.select(lang_col).count()
     share = min(1.0, max_train / max(total, 1))
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 30))
+    u = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("train")), F.lit(1 << 30))
     sample = named.filter(u < int(share * (1 << 30))) if share < 1 else named
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
