@@ -25,13 +25,13 @@ def id_fold(key: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see. Only a session without one (a test) gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all machines see. Only a session on one machine may do without and gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        path = found or tempfile.mkdtemp(prefix="spark-readloom-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="spark-readloom-")
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
@@ -47,5 +47,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialise`` wrote and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

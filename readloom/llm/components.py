@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialise
+from readloom.llm.common import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,6 +17,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = materialise(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        if new.filter("old <> label").isEmpty():
-            return new.select("node", "label")
+        discard(labels)
         labels = new.select("node", "label")
+        if new.filter("old <> label").isEmpty():
+            discard(both)
+            return labels

@@ -7,14 +7,16 @@ signature is made for every way of leaving out K2 second-level ranges, hence one
 signatures of its own band and of the next one. Empty projections are left out where enough others must agree.
 
 Equal sets are one class from the start. Signatures travel as sorted, compressed blocks, one per map batch and
-range of signatures, so a signature met in one class only never becomes a row. Classes that share signatures are
+range of signatures, so a signature met in one class only never becomes a row; of each ``SIG_BITS`` bits are kept,
+which can only add candidates. The number of ranges grows with the bytes of text. Classes that share signatures are
 compared in steps that lose no link: every member of a signature with its smallest one; then, for signatures whose
 members are still in different components, a task finds those members that size and a parity sketch, which bounds
-the difference of two sets from below, leave within reach of another component; the full sets of these meet in one
-task, which yields only as many links as join the components. Signatures of more than ``IN_TASK`` members, or
-``IN_TASK_ELEMENTS`` elements of their sets, never meet in a task: one member of their smallest component (the pivot, which then leaves) is
-compared with the others, until they are in one component or few enough.
-Pairs inside one component need no comparison, as they cannot change a component.
+the difference of two sets from below, leave within reach of another component. A signature of more than ``IN_TASK``
+members, or ``IN_TASK_ELEMENTS`` elements of their sets, is replaced by the pairs of its blocks first: its members
+outside its largest component are dealt into blocks, all members too, and each pair of such blocks is a group of its
+own. The members left are few; their full sets meet in one task for each hub (the smallest member of a signature), so
+a set that many signatures name travels once for each of its hubs, and the task yields only as many links as join the
+components. Pairs inside one component need no comparison, as they cannot change a component.
 
 Rules: null and empty texts have no shingles and link with nothing; a text with fewer words than ``width`` has one
 shingle, its whole sequence; rows with a null id keep their class but never name a component. Classes are known by
@@ -32,11 +34,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialise, partitions
+from readloom.llm.common import discard, materialise, partitions
 from readloom.llm.components import connected_components
 from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, split_by_range
 
@@ -46,6 +47,8 @@ SUBSETS = list(combinations(range(N2), N2 - K2))
 MAX_BROADCAST_IDS = 1_000_000
 #: Members of a signature that one task compares with each other in memory, and the elements of all their sets.
 IN_TASK, IN_TASK_ELEMENTS = 4096, 4 << 20
+#: Bits of a signature, and text bytes for each range of signatures: a shingle makes about half a signature.
+SIG_BITS, RANGE_BYTES = 52, 32 << 20
 
 
 def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -161,7 +164,8 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts:
         def blocks() -> pa.RecordBatch:
             sigs = np.concatenate([s for _, s in held])
             nodes = np.repeat(np.array([x for x, _ in held], np.uint64), [len(s) for _, s in held])
-            order, at = split_by_range(sigs, n_parts)
+            sigs >>= np.uint64(64 - SIG_BITS)
+            order, at = split_by_range(sigs, n_parts, SIG_BITS)
             sigs, nodes = sigs[order], nodes[order]
             ranges = [(p, low, high) for p, (low, high) in enumerate(zip(at, at[1:], strict=False)) if low < high]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in ranges], pa.int32()), *[pa.nulls(len(ranges), SIGNED)] * 3, pa.nulls(len(ranges), pa.binary()), pa.array([_block(sigs[low:high], nodes[low:high]) for _, low, high in ranges], pa.binary())], schema=BOTH)
@@ -222,9 +226,16 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     return both.mapInArrow(prune, "a long, b long")
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of some nodes; a short list of nodes is broadcast, so that the other texts do not travel."""
+    nodes = materialise(nodes, "named")
+    return texts.join(F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_IDS else nodes, "node", "left_semi")
+
+
 def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose texts' sets are similar."""
     pairs = materialise(_possible(pairs, sketches, num, den), "possible")
+    texts = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
@@ -251,7 +262,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
 
 
 def _groups(table: pa.Table) -> Iterator[pa.Table]:
-    """The table's rows of each signature."""
+    """The table's rows of each signature or hub."""
     table = table.sort_by([("sig", "ascending"), ("n", "ascending"), ("node", "ascending")])
     sigs = table["sig"].to_numpy()
     cuts = np.append(np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])), len(sigs)).tolist()
@@ -268,10 +279,13 @@ def _within_reach(table: pa.Table, num: int, den: int) -> pa.Table:
         width = min(map(len, data))  # longer sketches are folded: the bound gets looser, never wrong
         cells = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in data])
         near = np.zeros(len(n), bool)
-        for i, last in enumerate(np.searchsorted(n, den * n // num, side="right").tolist()):
-            rest = slice(i + 1, last)
+        # Of two members in different components, one is outside the group's largest component.
+        _, part = np.unique(labels, return_inverse=True)
+        for i in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
+            low, high = np.searchsorted(n, -(-num * n[i] // den)), np.searchsorted(n, den * n[i] // num, side="right")
+            rest = slice(low, high)
             differ = np.bitwise_count(cells[rest] ^ cells[i]).sum(axis=1, dtype=np.int64)
-            close = (labels[rest] != labels[i]) & (differ * (den + num) <= (den - num) * (n[rest] + n[i]))
+            close = (part[rest] != part[i]) & (differ * (den + num) <= (den - num) * (n[rest] + n[i]))
             near[rest] |= close
             near[i] |= close.any()
         if near.any():
@@ -306,10 +320,13 @@ def _spanning(group: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
 
 def _spanning_links(near: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between components among the members of each signature, by their full sets."""
-    alike = near.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("n"))
-    once = materialise(near.join(alike.groupBy("x", "y", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig"), "once")
-    elements = once.agg(F.sum("n")).first()[0] or 0
-    n_buckets = max(4 * partitions(near.sparkSession), elements // (IN_TASK_ELEMENTS // 4))
+    alike = near.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"), F.min(F.xxhash64("node", F.lit(2))).alias("hub"))
+    once = alike.groupBy("x", "y", "k", "elements", "hub").agg(F.min("sig").alias("sig"))
+    # Signatures of one hub share most of their members. A hub that holds too much is split by its signatures.
+    hubs = once.groupBy("hub").agg(F.ceil(F.sum("elements") / IN_TASK_ELEMENTS).alias("splits"))
+    once = once.join(hubs, "hub").select("sig", F.xxhash64("hub", F.pmod(F.xxhash64("sig"), "splits")).alias("hub"))
+    once = materialise(near.join(once, "sig").select(F.col("hub").alias("sig"), "node", "label", "n").distinct(), "once")
+    n_buckets = _n_buckets(once)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
@@ -319,56 +336,74 @@ def _spanning_links(near: DataFrame, texts: DataFrame, width: int, num: int, den
         out = {x for group in _groups(table) for x in _spanning(group, num, den)}
         return pa.table(list(map(pa.array, zip(*out, strict=True))) if out else [[], []], schema=pa.schema([("a", SIGNED), ("b", SIGNED)]))
 
-    sets = texts.join(once.select("node").distinct(), "node").select("node", "text").mapInArrow(hashes, "node long, hashes binary")
+    sets = _texts_of(texts, once.select("node").distinct()).select("node", "text").mapInArrow(hashes, "node long, hashes binary")
     return once.join(sets, "node").groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(span, "a long, b long")
 
 
+def _n_buckets(members: DataFrame) -> int:
+    """Groups of signatures for tasks in which their members (sig, n) meet."""
+    elements = members.agg(F.sum("n")).first()[0] or 0
+    return max(4 * partitions(members.sparkSession), -(-elements // (IN_TASK_ELEMENTS // 4)))
+
+
+def _paired_blocks(large: DataFrame) -> DataFrame:
+    """Groups (sig, node, label, n) in place of signatures too large for a task (sig, node, label, n, main, n_blocks, n_outer).
+
+    Every member outside the signature's component ``main`` meets every member in one of the new groups.
+    """
+    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    group = F.xxhash64("sig", "outer", "block").alias("sig")
+    outer = large.filter("label <> main").withColumn("outer", block(1, F.col("n_outer"))).withColumn("block", numbers(F.col("n_blocks")))
+    every = large.withColumn("block", block(2, F.col("n_blocks"))).withColumn("outer", numbers(F.col("n_outer")))
+    return outer.select(group, "node", "label", "n").union(every.select(group, "node", "label", "n")).distinct()
+
+
 def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Enough links between classes to have all components."""
     # Near copies share many signatures; one for each set of members is enough.
-    alike = members.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"))
-    alike = alike.groupBy("x", "y", "n").agg(F.min(F.struct("sig", "a")).alias("s")).select("s.sig", "s.a")
-    members = materialise(members.join(alike, "sig").join(sketches.select("node", F.col("n").alias("size")), "node"), "members")
+    alike = members.groupBy("sig").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count(F.lit(1)).alias("k"), F.min("node").alias("a"))
+    alike = alike.groupBy("x", "y", "k").agg(F.min(F.struct("sig", "a")).alias("s")).select("s.sig", "s.a")
+    members = materialise(members.join(alike, "sig").join(sketches.select("node", "n"), "node").select("sig", "node", "n", "a"), "members")
     tested = materialise(members.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    members = members.select("sig", "node", "size")
     links = materialise(_linked(tested, sketches, texts, width, num, den), "linked")
-    n_buckets = 4 * partitions(members.sparkSession)
-    while True:
-        labels = connected_components(links)
-        named = members.join(labels, "node", "left").select("sig", "node", "size", F.coalesce("label", "node").alias("label"))
-        sizes = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.sum("size").alias("size"))
-        groups = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum("size").alias("elements"), F.min(F.struct("n", "node", "label")).alias("pivot"))
-        groups = groups.filter("k > 1").select("sig", ((F.col("total") > IN_TASK) | (F.col("elements") > IN_TASK_ELEMENTS)).alias("large"), "pivot")
-        open_ = materialise(named.join(groups, "sig"), "open")
-        small = open_.filter("NOT large").join(sketches, "node").select("sig", "node", "label", "n", "sketch")
-        near = small.groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(lambda t: _within_reach(t, num, den), "sig long, node long, label long, n long")
-        links = links.union(materialise(_spanning_links(materialise(near, "near"), texts, width, num, den), "linked"))
-        large = open_.filter("large AND node <> pivot.node")
-        if large.isEmpty():
-            return links
-        pairs = large.filter("label <> pivot.label").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(materialise(_linked(pairs, sketches, texts, width, num, den), "linked"))
-        tested = materialise(tested.union(pairs), "tested")
-        members = materialise(large.select("sig", "node", "size"), "members")
+    labels = connected_components(links)
+    named = members.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
+    groups = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.sum("elements").alias("elements"), F.max(F.struct("k", "elements", "label")).alias("main")).filter("parts > 1")
+    blocks = lambda k, elements: F.greatest(F.ceil(2 * k / IN_TASK), F.ceil(2 * elements / IN_TASK_ELEMENTS), F.lit(1)).cast("int")
+    k, elements, main = F.col("k"), F.col("elements"), F.col("main")
+    groups = groups.select("sig", ((k > IN_TASK) | (elements > IN_TASK_ELEMENTS)).alias("large"), main["label"].alias("main"), blocks(k, elements).alias("n_blocks"), blocks(k - main["k"], elements - main["elements"]).alias("n_outer"))
+    open_ = materialise(named.join(groups, "sig"), "open")
+    met = open_.filter("NOT large").select("sig", "node", "label", "n")
+    large = open_.filter("large")
+    if not large.isEmpty():
+        met = materialise(met.union(_paired_blocks(large)), "met")
+    near = met.join(sketches.select("node", "sketch"), "node").select("sig", "node", "label", "n", "sketch")
+    near = near.groupBy(F.pmod(F.xxhash64("sig"), F.lit(_n_buckets(met)))).applyInArrow(lambda t: _within_reach(t, num, den), "sig long, node long, label long, n long")
+    return links.union(materialise(_spanning_links(materialise(near, "near"), texts, width, num, den), "linked"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links; null if no id is known), one row per row of docs."""
     spark = docs.sparkSession
     num, den = threshold.numerator, threshold.denominator
-    both = materialise(classes_and_blocks(docs, width, num, den, partitions(spark), id_col, text_col), "signatures")
-    rows = both.filter("part IS NULL").select("doc_id", "node", "n")
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_parts = max(partitions(spark), -(-n_bytes // RANGE_BYTES))
+    both = materialise(classes_and_blocks(docs, width, num, den, n_parts, id_col, text_col), "signatures")
+    rows = materialise(both.filter("part IS NULL").select("doc_id", "node", "n"), "classes")
     sketches = both.filter("part IS NULL").select("node", "n", "sketch")
     blocks = both.filter("part IS NOT NULL").select("part", "payload")
     members = materialise(blocks.groupBy("part").applyInArrow(_shared, "sig long, node long"), "shared")
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     candidates = materialise(members.select("node").distinct(), "nodes")
     if candidates.isEmpty():
+        discard(both)
         labels = candidates.withColumn("label", F.col("node"))
     else:
         texts = _candidate_texts(docs, rows, candidates, width, id_col, text_col)
         sketches = materialise(sketches.join(candidates, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        discard(both)
         labels = connected_components(_links(members, sketches, texts, width, num, den))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
