@@ -76,3 +76,34 @@ def test_stages(spark):
     for held in bins.values():
         assert sum(r.n_tokens for r in held) <= 2048
         assert len({source[r.doc_id] for r in held}) == len(held)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated ids, repeated rows, no rows, and columns named like the operators' own."""
+    schema = spark.createDataFrame([], "doc_id long, text string, lang string, source string, kept string, rate string, node long, row string").schema
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [
+        (3, near, "en", "a"), (5, near + " end", "en", "a"), (5, other, "en", None), (None, near + " tail", "fr", "a"), (None, other + " tail", "fr", "b"),
+        (7, None, None, "a"), (8, "", "en", "a"), (9, "12 34", "en", "a"), (4, "x", "en", "b"), (4, "x", "en", "b"),
+    ]
+    rows = [(*r, "k", "r", 1, "row") for r in rows]
+    assert all(_stage(spark, name, [], schema) == [] for name, _ in corpus_pipeline.STAGES)
+
+    kept = [tuple(r) for r in _stage(spark, "exact_dedup", rows, schema)]
+    assert sorted(kept, key=str) == sorted(rows[:5] + rows[6:9], key=str)
+    texts = [(r.doc_id, r.text) for r in _stage(spark, "near_dedup", rows, schema)]
+    assert sorted(texts, key=str) == sorted([(3, near), (5, other), (7, None), (8, ""), (9, "12 34"), (4, "x")], key=str)
+    mixed = {tuple(r) for r in _stage(spark, "mix_sources", rows, schema)}
+    assert mixed <= set(rows)
+    packed = _stage(spark, "pack", rows, schema)
+    assert len(packed) == len(rows)
+
+
+def test_language_stage_rejects_what_no_language_has(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = ["Tämä on suomenkielinen teksti, jossa kerrotaan järvestä", "qwrtz xkcdp vbnmlk zzxqj wqkrt pplmk", "это русский текст о погоде и людях", "½ 12 _", ""]
+    planted = spark.createDataFrame([(10_000 + i, t, None, "x", len(t)) for i, t in enumerate(strange)], docs.schema)
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs.union(planted), SF).collect()}
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert clean <= got and not got & {10_000 + i for i in range(len(strange))}
