@@ -7,11 +7,13 @@ boundary beyond its neighbourhood. Runs without a boundary are cut every ``MAX_C
 forward to the start of a character. Chunks are equal when their 128-bit BLAKE2b digests are; the smallest id
 that holds a chunk owns it and every other occurrence is a repeat.
 
-Only digests of a text's distinct chunks travel, first to find owners (summed inside map tasks), then to meet
-them again. Runs of neighbouring repeats of at least ``min_bytes`` are reported.
+Only digests of chunks travel, first to find owners (summed inside map tasks), then to meet them again. A chunk that
+very many texts hold is dealt over several keys in that join, its owner repeated for each. A row's chunks then meet in
+its runs; they are about as large as its text. Runs of neighbouring repeats of at least ``min_bytes`` are reported.
 
 Rules: null and empty texts have no chunks; repeats within one text count when they follow the first occurrence;
-rows with equal id are taken as one document; rows with a null id are not compared.
+rows with a null id are not compared. Of rows with equal id and different texts, the one with the smaller hash of its
+text comes first; rows with equal id and text are one document, met twice: each has the same runs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from readloom.llm.common import materialise
 from readloom.llm.textbatch import mix
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_BYTES = 4, 12, 512, 128
+#: Occurrences of a chunk that share a key; at least so many (or 1 / MAX_HOT of all) make a chunk hot.
+HOT, MAX_HOT = 10_000, 4096
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
@@ -63,36 +69,46 @@ def chunk_digests(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (halves of the digest), places (of the chunk in the text: index, start, end)."""
+    """row (its number), doc_id, text_hash, a, b (halves of the digest), i, start and end (the chunk's place in the text)."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 keys, texts = batch.column(0).slice(low, 256).to_numpy(zero_copy_only=False), batch.column(1).slice(low, 256).to_pylist()
                 parts = [chunk_digests(t) for t in texts]
                 n = [len(e) for e, _ in parts]
+                numbers, row = np.arange(row, row + len(texts)), row + len(texts)
                 if not sum(n):
                     continue
+                hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
                 digests, ends = np.concatenate([d for _, d in parts]), np.concatenate([e for e, _ in parts])
                 starts = np.concatenate([np.append(0, e[:-1]) if len(e) else e for e, _ in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["doc_id", "a", "b", "i", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(hashes, n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["row", "doc_id", "text_hash", "a", "b", "i", "start", "end"])
 
-    return rows.mapInArrow(cut, "doc_id long, a long, b long, i int, start int, end int")
+    return rows.mapInArrow(cut, "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int")
 
 
 def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b, owner, n_seen of chunks that occur more than once, written to the shared folder."""
-    sums = _chunks(docs, id_col, text_col).select("a", "b", "doc_id").groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_seen"))
-    return materialise(sums.filter("n_seen > 1"), "chunks")
+    """a, b, owner, owner_hash (of its text), n_seen of chunks that occur more than once, written to the shared folder."""
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    sums = _chunks(docs, id_col, text_col).groupBy("a", "b").agg(first, F.count(F.lit(1)).alias("n_seen")).filter("n_seen > 1")
+    return materialise(sums.select("a", "b", F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_hash"), "n_seen"), "chunks")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, owner_id, start, end, n_chunks: runs of chunks that belong to an earlier text or place, with the id that owns most of the run's chunks; start and end in bytes."""
     owners = chunk_owners(docs, id_col, text_col)
-    found = _chunks(docs, id_col, text_col).join(owners, ["a", "b"])
-    own = F.struct("i", "start", "end", "owner", "a", "b")
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("chunks"))
+    least = max(HOT, -(-(owners.agg(F.sum("n_seen")).first()[0] or 0) // MAX_HOT))
+    keys = F.floor(F.col("n_seen") / least).cast("int")
+    hot = owners.filter(F.col("n_seen") >= least).select("a", "b", keys.alias("keys"))
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), keys))).drop("n_seen")
+    chunks = _chunks(docs, id_col, text_col).join(F.broadcast(hot), ["a", "b"], "left")
+    chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
+    other = ((F.col("owner") != F.col("doc_id")) | (F.col("owner_hash") != F.col("text_hash"))).alias("other")
+    found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "owner", other, "a", "b").alias("chunk"))
+    per_doc = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("chunk")).alias("chunks")).drop("row")
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +116,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen, runs = set(), []
                 for c in chunks:
-                    again = c["owner"] != doc or (c["a"], c["b"]) in seen
+                    again = c["other"] or (c["a"], c["b"]) in seen
                     seen.add((c["a"], c["b"]))
                     if again and runs and runs[-1][2] == c["i"] - 1:
                         run = runs[-1]
