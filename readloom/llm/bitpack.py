@@ -12,6 +12,7 @@ by their text. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -69,15 +70,16 @@ class Numbers(dict):
 class WordCache:
     """Ids of words that white space separates, each encoded once.
 
-    Valid for byte-level tokenizers that lower-case, drop white space, and keep a run of letters in one piece.
+    Valid for byte-level tokenizers that lower-case, drop white space, and keep a run of letters in one piece; see
+    ``splits_at_spaces``.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 600_000):
+    def __init__(self, definition: str, end_id: int, most: int = 600_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        self.tokenizer, self.end_id, self.most = Tokenizer.from_str(definition), end_id, most
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.clear()
@@ -143,25 +145,62 @@ class WordCache:
         return self.ids_of(numbers), np.diff(ends, prepend=0)
 
 
+#: The pattern of the one kind of splitter that the word cache knows.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(definition: str) -> bool:
+    """Whether a tokenizer's definition is of the kind whose ids can be put together word by word."""
+    parts = json.loads(definition)
+    norm, pre = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    steps = norm.get("normalizers", [norm])
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if {"type": "Lowercase"} not in steps or any(x not in ({"type": "NFC"}, {"type": "Lowercase"}, spaces) for x in steps):
+        return False
+    split, *rest = pre.get("pretokenizers", [pre])
+    if split != {"type": "Split", "pattern": {"Regex": KNOWN_SPLIT}, "behavior": "Removed", "invert": True} or len(rest) != 1:
+        return False
+    return rest[0]["type"] == "ByteLevel" and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex") and parts.get("truncation") is None
+
+
+class WholeTexts:
+    """Ids of whole texts by the tokenizer itself, for any other tokenizer."""
+
+    def __init__(self, definition: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.end_id = Tokenizer.from_str(definition), end_id
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch_fast(texts.view(pa.string()).to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
+
+
 @lru_cache(maxsize=1)
-def word_cache(path: str, end_id: int) -> WordCache:
-    """A Python worker keeps its cache from task to task."""
-    return WordCache(path, end_id)
+def encoder(definition: str, end_id: int) -> WordCache | WholeTexts:
+    """A Python worker keeps its encoder from task to task."""
+    return (WordCache if splits_at_spaces(definition) else WholeTexts)(definition, end_id)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16) -> str:
-    """Writes ``path/blocks`` and ``path/shards``; returns path. The driver sees one number per shard."""
+    """Writes ``path/blocks`` and ``path/shards``; returns path. The driver sees one number per shard.
+
+    Only the driver opens the file ``tokenizer``; executors get the definition, which has the size of the vocabulary.
+    """
     spark = docs.sparkSession
     from tokenizers import Tokenizer
 
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
     width = max(1, (Tokenizer.from_str(definition).get_vocab_size(True) - 1).bit_length())
+    shared = spark.sparkContext.broadcast(definition)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, block, first = word_cache(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
+        cache, shard, block, first = encoder(shared.value, end_id), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column(1)))
             for low, high in slices(sizes, 4 << 20):
