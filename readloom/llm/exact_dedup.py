@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from readloom.llm.common import ascii_lower, partitions
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hot: int = 4096, min_hot: int = 200, n_salts: int = 64) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hot: int = 4096, min_hot: int = 200, n_salts: int = 64, nested: bool = False) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256; if nested, all columns of docs lie in one, ``row``.
 
     A text is hot from ``max(min_hot, rows / max_hot)`` copies on, so at most ``max_hot`` hashes are broadcast.
     """
@@ -57,6 +57,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.join(F.broadcast(whole), ["text_sha256", "n_bytes", "is_hot"], "left")
     kept = (F.col("rn") == 1) & (F.col("keep_salt").isNull() | (F.col("salt") == F.col("keep_salt")))
     results = {"keep_id": F.coalesce("all_keep", "keep_id"), "group_size": F.coalesce("all_size", "group_size"), "kept": kept, "text_sha256": F.col("text_sha256")}
+    if nested:
+        return joined.select("row", *[v.alias(k) for k, v in results.items()])
     return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in results], *[v.alias(k) for k, v in results.items()])
 
 

@@ -136,7 +136,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -152,7 +152,7 @@ def _node(s: np.ndarray) -> int:
 
 
 SIGNED = pa.int64()
-BOTH = pa.schema([("part", pa.int32()), ("doc_id", SIGNED), ("node", SIGNED), ("n", SIGNED), ("sketch", pa.binary()), ("payload", pa.binary())])
+BOTH = pa.schema([("part", pa.int32()), ("doc_id", SIGNED), ("node", SIGNED), ("n", SIGNED), ("text_hash", SIGNED), ("sketch", pa.binary()), ("payload", pa.binary())])
 
 
 def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts: int, id_col: str, text_col: str) -> DataFrame:
@@ -168,11 +168,11 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts:
             order, at = split_by_range(sigs, n_parts, SIG_BITS)
             sigs, nodes = sigs[order], nodes[order]
             ranges = [(p, low, high) for p, (low, high) in enumerate(zip(at, at[1:], strict=False)) if low < high]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in ranges], pa.int32()), *[pa.nulls(len(ranges), SIGNED)] * 3, pa.nulls(len(ranges), pa.binary()), pa.array([_block(sigs[low:high], nodes[low:high]) for _, low, high in ranges], pa.binary())], schema=BOTH)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in ranges], pa.int32()), *[pa.nulls(len(ranges), SIGNED)] * 4, pa.nulls(len(ranges), pa.binary()), pa.array([_block(sigs[low:high], nodes[low:high]) for _, low, high in ranges], pa.binary())], schema=BOTH)
 
         for batch, sets in _sets(batches, width):
             nodes = [_node(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int32()), batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), SIGNED), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.binary())], schema=BOTH)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int32()), batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), SIGNED), batch.column(2), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.binary())], schema=BOTH)
             for node, s in zip(nodes, sets, strict=True):
                 if len(s) and node not in done:
                     done[node] = None
@@ -184,7 +184,7 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts:
         if held:
             yield blocks()
 
-    return _rows(docs, id_col, text_col).mapInArrow(sign, "part int, doc_id long, node long, n long, sketch binary, payload binary")
+    return _rows(docs, id_col, text_col).mapInArrow(sign, "part int, doc_id long, node long, n long, text_hash long, sketch binary, payload binary")
 
 
 def _block(sigs: np.ndarray, nodes: np.ndarray) -> bytes:
@@ -385,13 +385,13 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links; null if no id is known), one row per row of docs."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links; null if no id is known), component (a hash, null without shingles) and text_hash (Spark's xxhash64), one row per row of docs."""
     spark = docs.sparkSession
     num, den = threshold.numerator, threshold.denominator
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_parts = max(partitions(spark), -(-n_bytes // RANGE_BYTES))
     both = materialise(classes_and_blocks(docs, width, num, den, n_parts, id_col, text_col), "signatures")
-    rows = materialise(both.filter("part IS NULL").select("doc_id", "node", "n"), "classes")
+    rows = materialise(both.filter("part IS NULL").select("doc_id", "node", "n", "text_hash"), "classes")
     sketches = both.filter("part IS NULL").select("node", "n", "sketch")
     blocks = both.filter("part IS NOT NULL").select("part", "payload")
     members = materialise(blocks.groupBy("part").applyInArrow(_shared, "sig long, node long"), "shared")
@@ -407,8 +407,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
         labels = connected_components(_links(members, sketches, texts, width, num, den))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_node = named.join(lowest, "label").select("node", "component_id")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_node = named.join(lowest, "label").select("node", "component_id", "label")
+    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("label").alias("component"), "text_hash")
 
 
 def _candidate_texts(docs: DataFrame, rows: DataFrame, candidates: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -429,4 +429,4 @@ def _candidate_texts(docs: DataFrame, rows: DataFrame, candidates: DataFrame, wi
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -69,16 +69,18 @@ class LanguageFilters:
         fill = np.array([(self.table[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))])
         self.false_rate = np.minimum(fill**N_HASHES, 0.999)
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Corrected number of the text's n-grams in each language, and the number of n-grams."""
-        hits, n = np.zeros(len(self.languages)), 0
+    def counts(self, text: str | None) -> tuple[np.ndarray, int, int]:
+        """Corrected number of the text's n-grams in each language, the number of n-grams, and of those in any language."""
+        hits, n, known = np.zeros(len(self.languages)), 0, 0
         for h in ngrams(text):
             n += len(h)
             slots = _slots(h, self.n_slots)
+            some = np.zeros(len(h), bool)
             for lane in range(self.lanes):
                 masks = self.table[lane][slots[0]]
                 for s in slots[1:]:
                     masks &= self.table[lane][s]
+                some |= masks != 0
                 here = min(64, len(self.languages) - 64 * lane)
                 if here <= 12:
                     found = np.bincount(masks.astype(np.int64), minlength=1 << here)
@@ -87,16 +89,18 @@ class LanguageFilters:
                     values, found = np.unique(masks, return_counts=True)
                 for i in range(here):
                     hits[64 * lane + i] += found[(values >> np.uint64(i) & np.uint64(1)).astype(bool)].sum()
-        return np.maximum(0, (hits - n * self.false_rate) / (1 - self.false_rate)), n
+            known += int(some.sum())
+        return np.maximum(0, (hits - n * self.false_rate) / (1 - self.false_rate)), n, known
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the share of the text's n-grams that any language has."""
         if not self.languages:
-            return UNKNOWN, 0.0
-        counts, n = self.counts(text)
+            return UNKNOWN, 0.0, 0.0
+        counts, n, known = self.counts(text)
         if not n:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         best, total = int(counts.argmax()), counts.sum()
-        return (self.languages[best], float(counts[best] / total)) if total > 0 else (self.languages[self.prior], 0.0)
+        return (self.languages[best], float(counts[best] / total), known / n) if total > 0 else (self.languages[self.prior], 0.0, known / n)
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 20_000, per_language: int = 6_000) -> LanguageFilters:
@@ -127,13 +131,13 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predictor(spark: SparkSession, filters: LanguageFilters):
-    """A column function: text to struct(lang_pred, score). The table's size depends on languages, not on rows."""
+    """A column function: text to struct(lang_pred, score, hit_share). The table's size depends on languages, not on rows."""
     shared = spark.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, hit_share double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "hit_share"])
 
     return predict
 

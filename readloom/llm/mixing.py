@@ -54,8 +54,11 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict | None, size: f
     return rated.withColumn("cdf", _cdf(F.col("rate") / F.col("parts")))
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, size: float | None = None, alpha: float = 0.5, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Rows of docs, each as often as its draw says, in a global random order; adds replica, rate and shuffle_key."""
+def mix_sources(docs: DataFrame, weights: dict | None = None, size: float | None = None, alpha: float = 0.5, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", nested: bool = False) -> DataFrame:
+    """Rows of docs, each as often as its draw says, in a global random order; adds replica, rate and shuffle_key.
+
+    If nested, all columns of docs lie in one, ``row``; else result columns replace columns of the same name.
+    """
     spark = docs.sparkSession
     rates = source_rates(docs, source_col, weights, size, alpha).select("source", "rate", "parts", "cdf")
     small = rates.count() <= MAX_BROADCAST_SOURCES
@@ -70,6 +73,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, size: float | None
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "key", "replica").cast("binary")))
     results = ["replica", "rate", "shuffle_key"]
     shuffled = rows.select("row", *results).repartitionByRange(partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    if nested:
+        return shuffled
     return shuffled.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in results], *results)
 
 
