@@ -37,7 +37,7 @@ N_BUCKETS = 20
 MAIN, EM, TEST = 0, 1, 2
 STEP, NEVER, COARSE = 2048, 65535, 8
 #: Text bytes of a batch, and tokens for each range of hashes.
-BATCH_BYTES, RANGE_TOKENS = 4 << 20, 1 << 21
+BATCH_BYTES, RANGE_TOKENS = 4 << 20, 1 << 20
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -141,6 +141,7 @@ def add_up(table: pa.Table) -> pa.Table:
     keys, n, n_em = (np.concatenate(c) for c in zip(*opened, strict=True))
     del opened
     unique, at = np.unique(keys, return_inverse=True)
+    del keys
     n, n_em = (np.bincount(at, c, len(unique)).astype(np.uint64) for c in (n, n_em))
     out = []
     for batch, low, high in zip(table["batch"].to_pylist(), cuts, cuts[1:], strict=False):
