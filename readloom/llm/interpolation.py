@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import id_fold, materialise, partitions
+from readloom.llm.common import discard, id_fold, materialise, partitions
 from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices
 
 BOS, END = np.uint64(0x1F0A2B3C4D5E6F71), np.uint64(0x2E1D0C3B4A596877)
@@ -220,6 +220,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = batches.select("batch", F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), F.col("texts").alias("payload"), "words", "tokens")
     both = counts.filter(F.col("kind") != TOTALS).select("batch", "kind", "part", "payload", none.alias("words"), none.alias("tokens")).union(texts)
     resolved = materialise(both.groupBy("batch").applyInArrow(resolve(n_main), "texts binary, tokens binary, cells array<long>, n array<long>"), "resolved")
+    discard(batches)
+    discard(counts)
     cells = resolved.select(F.explode(F.arrays_zip("cells", "n")).alias("x")).groupBy(F.col("x.cells").alias("code")).agg(F.sum("x.n").alias("n"))
     events = cells.toPandas()
     weights = learn_weights(events["code"].to_numpy(np.int64), events["n"].to_numpy(np.float64), types)
