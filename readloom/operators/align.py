@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.sequences import reverse_complement
+from readloom.tables import materialise
 
 
 def _read_pieces(reads: DataFrame, similarity: float) -> DataFrame:
@@ -23,17 +25,19 @@ def _read_pieces(reads: DataFrame, similarity: float) -> DataFrame:
     return rows.select("seq", "e", "k", (F.col("i") * F.col("k")).alias("off"), F.substring("seq", F.col("i") * F.col("k") + 1, F.col("k")).alias("piece"))
 
 
-def _ref_pieces(refs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All words of the references, for each length that a read's piece has (few: lengths, not rows)."""
-    rows = refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("n")).join(F.broadcast(sizes), F.col("n") >= F.col("k"))
+def _ref_pieces(refs: DataFrame, sizes: list[int]) -> DataFrame:
+    """All words of the references, for each length that a read's piece has (at most as many as the longest read has bases)."""
+    rows = refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("n"))
+    rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).filter("n >= k")
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))))
     return rows.select("ref_id", "k", "at", F.substring("ref", F.col("at") + 1, F.col("k")).alias("piece"))
 
 
 def candidates(reads: DataFrame, refs: DataFrame, similarity: float) -> DataFrame:
     """seq, e, ref_id, start (0-based, where an ungapped placement would begin)."""
+    reads = materialise(reads.select("seq"), "unique")  # read twice
     pieces = _read_pieces(reads, similarity)
-    words = _ref_pieces(refs, pieces.select("k").distinct())
+    words = _ref_pieces(refs, sorted(r["k"] for r in pieces.select("k").distinct().collect()))
     return pieces.join(words, ["k", "piece"]).select("seq", "e", "ref_id", (F.col("at") - F.col("off")).alias("start")).distinct()
 
 
@@ -47,18 +51,21 @@ def hamming_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97) ->
     return rows.filter("ed <= e").select("seq", "ref_id", (F.col("start") + 1).cast("long").alias("pos"), F.col("ed").cast("long").alias("ed"))
 
 
-def _semi_global(read: str, window: str, most: int) -> tuple[int, int] | None:
-    """Fewest edits of the whole read against a part of the window, and where that part begins; None over most."""
-    above = [(0, j) for j in range(len(window) + 1)]
-    for i, base in enumerate(read, 1):
-        row = [(i, 0)]
-        for j, other in enumerate(window, 1):
-            cost = (above[j - 1][0] + (base != other), above[j - 1][1])
-            row.append(min(cost, (above[j][0] + 1, above[j][1]), (row[j - 1][0] + 1, row[j - 1][1])))
-        above = row
-        if min(above)[0] > most:
-            return None
-    return min(above)
+def _semi_global(reads: list[str], windows: list[str]) -> np.ndarray:
+    """Fewest edits of each whole read against a part of its window, and where that part begins, as edits << 32 | place.
+
+    All reads have one length and all windows another, so a step of the table is taken for all pairs at once.
+    """
+    codes = lambda x: np.array([list(s.encode()) for s in x], np.uint8).reshape(len(x), -1)
+    read, window = codes(reads), codes(windows)
+    edit = np.int64(1 << 32)
+    steps = np.arange(window.shape[1] + 1, dtype=np.int64)
+    row = np.broadcast_to(steps, (len(reads), len(steps))).copy()
+    for i in range(read.shape[1]):
+        new = row + edit
+        np.minimum(new[:, 1:], row[:, :-1] + (read[:, i, None] != window) * edit, out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps * edit, axis=1) + steps * edit
+    return row.min(axis=1)
 
 
 def edit_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97) -> DataFrame:
@@ -69,15 +76,21 @@ def edit_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97) -> Da
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for seq, e, ref_id, low, win in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = win.find(seq)
-                hit = (0, at) if at >= 0 else _semi_global(seq, win, e) if e else None
-                if hit and hit[0] <= e:
-                    out.append({"seq": seq, "ref_id": ref_id, "pos": low + hit[1] + 1, "ed": hit[0]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("seq", pa.string()), ("ref_id", pa.int64()), ("pos", pa.int64()), ("ed", pa.int64())]))
-
-    return near.mapInArrow(verify, "seq string, ref_id long, pos long, ed long").distinct()
+            seqs, windows, shapes = batch.column(0).to_pylist(), batch.column(4).to_pylist(), {}
+            for i, (x, y) in enumerate(zip(seqs, windows, strict=True)):
+                shapes.setdefault((len(x), len(y)), []).append(i)
+            hits = np.zeros(len(seqs), np.int64)
+            for rows in shapes.values():
+                for low in range(0, len(rows), 4096):
+                    part = rows[low : low + 4096]
+                    hits[part] = _semi_global([seqs[i] for i in part], [windows[i] for i in part])
+            edits, place = hits >> 32, hits & 0xFFFFFFFF
+            keep = np.flatnonzero(edits <= batch.column(1).to_numpy())
+            pos = batch.column(3).to_numpy()[keep] + place[keep] + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(pos, pa.int64()), pa.array(edits[keep])], names=["seq", "ref_id", "pos", "ed"])
+
+    kind = refs.schema["ref_id"].dataType.simpleString()
+    return near.mapInArrow(verify, f"seq string, ref_id {kind}, pos long, ed long").distinct()
 
 
 def best_hit(hits: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -95,8 +108,14 @@ def both_strands(hits_of, reads: DataFrame, refs: DataFrame) -> DataFrame:
     return forward.union(back)
 
 
+def best_pair(pairs: DataFrame) -> DataFrame:
+    """Of each pair's placements the one with the fewest differences of both mates, then the lowest position."""
+    best = F.min(F.struct((F.col("ed") + F.col("ed2")).alias("ed"), "g_pos", "ref_id", "pos", "pos2")).alias("b")
+    return pairs.groupBy("pair_id").agg(best).select("pair_id", "b.*")
+
+
 def concordant_pairs(first: DataFrame, second: DataFrame, max_insert: int = 1400) -> DataFrame:
     """Mates (pair_id, ref_id, pos, len) on one reference, in order, spanning at most max_insert bases."""
-    other = second.select("pair_id", "ref_id", F.col("pos").alias("pos2"), F.col("len").alias("len2"))
+    other = second.select("pair_id", "ref_id", F.col("pos").alias("pos2"), F.col("len").alias("len2"), *([F.col("ed").alias("ed2")] if "ed" in second.columns else []))
     span = F.col("pos2") + F.col("len2") - F.col("pos")
     return first.join(other, ["pair_id", "ref_id"]).withColumn("span", span).filter((F.col("pos2") >= F.col("pos")) & (span <= max_insert))

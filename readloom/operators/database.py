@@ -5,31 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference tables up to so many rows are broadcast for the range look-up; larger ones meet positions in bins.
-MAX_BROADCAST_REFS = 100_000
+from readloom.operators.ordered import later, of_ranges, ranges, running_sum
 
 
-def concat_offsets(refs: DataFrame, spacer: int = 0, blocks: int = 4096) -> DataFrame:
-    """refs (ref_ord, ref_id, seq) with start_off, end_off and next_off; every gap adds 2 * spacer.
 
-    Sums run inside blocks of consecutive ordinals, then over the blocks, so no task sees the whole table.
-    """
+def concat_offsets(refs: DataFrame, spacer: int = 0, blocks: int | None = None) -> DataFrame:
+    """refs (ref_ord, ref_id, seq) with start_off, end_off and next_off; every gap adds 2 * spacer."""
     size = F.length("seq") + 2 * spacer
-    block = F.floor(F.col("ref_ord") / blocks)
-    totals = refs.groupBy(block.alias("block")).agg(F.sum(size).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("block", before.alias("block_start"))
-    inner = Window.partitionBy("block").orderBy("ref_ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = refs.withColumn("block", block).join(F.broadcast(totals), "block")
-    start = (F.col("block_start") + F.coalesce(F.sum(size).over(inner), F.lit(0))).cast("long")
-    return rows.withColumn("start_off", start).withColumn("end_off", F.col("start_off") + F.length("seq")).withColumn("next_off", F.col("start_off") + size).drop("block", "block_start")
+    rows = running_sum(refs, size, "start_off", "ref_ord", n=blocks)
+    return rows.withColumn("end_off", F.col("start_off") + F.length("seq")).withColumn("next_off", F.col("start_off") + size)
 
 
 def drop_empty_headers(records: DataFrame) -> DataFrame:
     """Of headers without a sequence between them the first names the sequence that follows (ord, header, seq)."""
-    order = Window.partitionBy(F.lit(0)).orderBy("ord")
-    run = F.sum(F.when(F.coalesce(F.lag(F.length("seq")).over(order), F.lit(1)) > 0, 1).otherwise(0)).over(order)
-    return records.withColumn("run", run).groupBy("run").agg(F.min("ord").alias("ord"), F.min_by("header", "ord").alias("header"), F.max_by("seq", "ord").alias("seq")).drop("run").filter("seq <> ''")
+    rows = ranges(records, "ord").withColumn("own", F.when(F.col("seq") != "", F.col("ord")))
+    rows = of_ranges(rows, F.min("own"), F.last("carried", ignorenulls=True).over(later()), "carried")
+    down = Window.partitionBy("range").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("named", F.coalesce(F.last("own", ignorenulls=True).over(down), "carried"))
+    found = rows.groupBy("named").agg(F.min("ord").alias("ord"), F.min_by("header", "ord").alias("header"), F.max_by("seq", "ord").alias("seq"))
+    return found.drop("named").filter("seq <> ''")
 
 
 def locate(positions: DataFrame, offsets: DataFrame, bin_size: int = 1 << 16) -> DataFrame:

@@ -5,14 +5,12 @@ Reads are rows of ``read_id, sample, seq``. Results stay in long form, one row p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.sequences import is_ambiguous, kmers, support_words, without_ambiguity
-
-#: Sequences of at least this length are compacted in windows of their first letters; shorter ones, of which
-#: there are at most 4^8 distinct, by joins on their whole text.
-HEAD = 8
+from readloom.operators.ordered import by_range, later, of_ranges, ranges
+from readloom.tables import materialise
 
 
 def reject_ambiguous(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,25 +41,22 @@ def dereplicate(reads: DataFrame, keys: tuple[str, ...] = ("seq",)) -> DataFrame
 def prefix_representatives(unique: DataFrame) -> DataFrame:
     """seq, rep: rep is the first sequence in order, from seq on, that is no prefix of the one after it.
 
-    Such a sequence has seq as a prefix, so sequences with different first letters never meet: a window over the
-    first HEAD letters is enough for long ones. Short ones take the smallest final sequence among their extensions.
+    Windows run inside ranges of the order; the next range's first sequence, and the first representative of the ranges
+    behind, are carried over. So a primer that all reads share makes no task larger.
     """
-    long = unique.filter(F.length("seq") >= HEAD).select("seq", F.substring("seq", 1, HEAD).alias("head"))
-    short = unique.filter(F.length("seq") < HEAD).select("seq")
-    order = Window.partitionBy("head").orderBy("seq")
-    long = long.withColumn("final", ~F.coalesce(F.lead("seq").over(order).startswith(F.col("seq")), F.lit(False)))
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    long = long.select("seq", F.first(F.when(F.col("final"), F.col("seq")), ignorenulls=True).over(rest).alias("rep"), "final")
-    cut = lambda df, less: df.filter(F.length("seq") > less).select("seq", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.length("seq") - less)), lambda i: F.substring("seq", F.lit(1), i))).alias("prefix"))
-    inner = cut(unique.select("seq"), 1).select(F.col("prefix").alias("seq")).distinct()
-    finals = long.filter("final").select("seq").union(short.join(inner, "seq", "left_anti"))
-    smallest = cut(finals, 0).groupBy("prefix").agg(F.min("seq").alias("rep"))
-    return long.select("seq", "rep").union(short.join(smallest, short["seq"] == smallest["prefix"]).select(short["seq"], "rep"))
+    rows = ranges(unique.select("seq"), "seq")
+    rows = of_ranges(rows, F.min("seq"), F.lead("after").over(by_range()), "after")
+    down = Window.partitionBy("range").orderBy(F.desc("seq"))
+    following = F.coalesce(F.lag("seq").over(down), F.col("after"))
+    rows = rows.withColumn("final", F.when(~F.coalesce(following.startswith(F.col("seq")), F.lit(False)), F.col("seq")))
+    rows = of_ranges(rows, F.min("final"), F.last("carried", ignorenulls=True).over(later()), "carried")
+    rep = F.last("final", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("seq", F.coalesce(rep, "carried").alias("rep"))
 
 
 def prefix_compact(reads: DataFrame) -> DataFrame:
     """rep, sample, n: every read counted for its representative."""
-    counts = sample_histogram(reads)
+    counts = materialise(sample_histogram(reads), "counts")
     reps = prefix_representatives(counts.select("seq").distinct())
     return counts.join(reps, "seq").groupBy("rep", "sample").agg(F.sum("n").alias("n"))
 
@@ -72,11 +67,11 @@ def count_kmers(reads: DataFrame, k: int) -> DataFrame:
     return weighted.select(F.explode(kmers(F.col("seq"), k)).alias("kmer"), "w").groupBy("kmer").agg(F.sum("w").alias("n"))
 
 
-def kmer_support(unique: DataFrame, counts: DataFrame, k: int, mode: str = "aligned") -> DataFrame:
-    """unique with min_kmer, the count of its rarest word; null if it has no word, 0 for unknown words."""
-    words = unique.select("seq", F.explode(F.array_distinct(support_words(F.col("seq"), k, mode))).alias("kmer"))
-    found = words.join(counts, "kmer", "left").groupBy("seq").agg(F.min(F.coalesce("n", F.lit(0))).alias("min_kmer"))
-    return unique.join(found, "seq", "left")
+def kmer_support(unique: DataFrame, counts: DataFrame, k: int, mode: str = "aligned", head: Column | None = None, keys: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """unique with min_kmer, the count of its rarest word; null if it has no word, 0 for unknown words. head is as in support_words."""
+    words = unique.select(*keys, F.explode(F.array_distinct(support_words(F.col("seq"), k, mode, head))).alias("kmer"))
+    found = words.join(counts, "kmer", "left").groupBy(*keys).agg(F.min(F.coalesce("n", F.lit(0))).alias("min_kmer"))
+    return unique.join(found, list(keys), "left")
 
 
 def denoise(unique: DataFrame, min_copies: int | None, min_kmer: int | None) -> DataFrame:
@@ -94,6 +89,22 @@ def denoise(unique: DataFrame, min_copies: int | None, min_kmer: int | None) ->
     return unique.filter((F.col("copies") > min_copies) | ((F.col("copies") == min_copies) & support))
 
 
+def reject_log(reads: DataFrame, kept: DataFrame) -> DataFrame:
+    """read_id, reason of reads that are ambiguous, or (FILTERED) whose sequence is not among those kept (seq)."""
+    clean, ambiguous = reject_ambiguous(reads)
+    return ambiguous.union(clean.join(kept.select("seq"), "seq", "left_anti").select("read_id", F.lit("FILTERED").alias("reason")))
+
+
+def representative_totals(counts: DataFrame) -> DataFrame:
+    """rep, n: the reads of each representative over all samples."""
+    return counts.groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def kmer_metrics(reads: DataFrame, k: int) -> DataFrame:
+    """One row: all k-mers of the reads and how many differ."""
+    return count_kmers(reads, k).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kmers"), F.count(F.lit(1)).alias("n_distinct_kmers"))
+
+
 def run_metrics(reads: DataFrame) -> DataFrame:
     """One row: reads, ambiguous reads and bases, samples, distinct sequences."""
     seq = F.col("seq")

@@ -12,9 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.sequences import read_id_of, reverse_complement, sample_of, taxonomy_levels, trim_head, trim_tail
+from readloom.config import Config
 from readloom.operators import align, database, filtering, otu
+from readloom.operators.ordered import number
+from readloom.run import run
+from readloom.sources import database_files, fasta, lzw
+from readloom.tables import materialise, new_path, spread
 
 TILE, K, SIMILARITY = 60, 16, 0.97
+#: Reads of one document have consecutive ids; a text has fewer than 2^31 bytes and so fewer tiles than this.
+TILES = 1 << 26
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CLEAN, WITH_N = "ACGTACGTACGTACGTACGTACGTAC", "ACGTACGTACGTACGTACGTACGTAN"
 
@@ -24,17 +31,18 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _bases(text: str, bases: str) -> F.Column:
-    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]", ""), LETTERS, bases)
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", ""), LETTERS, bases)
 
 
 def _whole(spark: SparkSession, sf: str, bases: str = CLEAN) -> DataFrame:
-    return _table(spark, sf, "documents").select(F.col("doc_id"), F.col("source").alias("sample"), _bases("text", bases).alias("seq"))
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select("doc_id", F.col("source").alias("sample"), _bases("text", bases).alias("seq"))
 
 
 def _reads(spark: SparkSession, sf: str, bases: str = CLEAN) -> DataFrame:
     rows = _whole(spark, sf, bases).filter("seq <> ''")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / TILE).cast("int"))).alias("i"))
-    return rows.select((F.col("doc_id") * 100000 + F.col("i")).alias("read_id"), "sample", F.substring("seq", F.col("i") * TILE + 1, F.lit(TILE)).alias("seq"))
+    return rows.select((F.col("doc_id") * TILES + F.col("i")).alias("read_id"), "sample", F.substring("seq", F.col("i") * TILE + 1, F.lit(TILE)).alias("seq"))
 
 
 def _refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,22 +54,42 @@ def _offsets(spark: SparkSession, sf: str, spacer: int = 0) -> DataFrame:
 
 
 def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    """Every second reference has an entry."""
+    """Three of four references have an entry."""
     names = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     tax = F.concat(F.lit("k__"), F.col("r_name"), F.lit("; p__"), F.col("n_name"))
-    return _refs(spark, sf).filter("ref_id % 2 = 0").join(names, F.expr("ref_id % 25") == F.col("n_nationkey")).select(F.col("ref_id").alias("otu_id"), tax.alias("taxonomy"))
+    return _refs(spark, sf).filter("ref_id % 4 <> 3").join(names, F.expr("ref_id % 25") == F.col("n_nationkey")).select(F.col("ref_id").alias("otu_id"), tax.alias("taxonomy"))
 
 
 def _unique(spark: SparkSession, sf: str) -> DataFrame:
     return filtering.dereplicate(_reads(spark, sf))
 
 
+def _best_of(unique: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    return align.best_hit(align.hamming_hits(unique, _refs(spark, sf), SIMILARITY), _offsets(spark, sf))
+
+
 def _best(spark: SparkSession, sf: str) -> DataFrame:
-    return align.best_hit(align.hamming_hits(_unique(spark, sf), _refs(spark, sf), SIMILARITY), _offsets(spark, sf))
+    return _best_of(_unique(spark, sf), spark, sf)
+
+
+def _written_reads(spark: SparkSession, sf: str, bases: str = CLEAN) -> DataFrame:
+    """Reads that a query needs more than once."""
+    return materialise(_reads(spark, sf, bases), "reads")
+
+
+def _counts_and_best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Reads by sequence and sample, and the best hits of the sequences; the documents are cut up once."""
+    counts = materialise(filtering.sample_histogram(_reads(spark, sf)), "counts")
+    return counts, _best_of(counts.select("seq").distinct(), spark, sf)
 
 
 def _otu(spark: SparkSession, sf: str) -> DataFrame:
-    return otu.otu_table(filtering.sample_histogram(_reads(spark, sf)), _best(spark, sf))
+    return otu.otu_table(*_counts_and_best(spark, sf))
+
+
+def _reads_and_best(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    reads = _written_reads(spark, sf)
+    return reads, materialise(_best_of(filtering.dereplicate(reads), spark, sf), "best")
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +99,8 @@ def _positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _support(mode: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return filtering.kmer_support(_unique(spark, sf), filtering.count_kmers(_reads(spark, sf), K), K, mode).select("seq", "min_kmer")
+        reads = _written_reads(spark, sf)
+        return filtering.kmer_support(filtering.dereplicate(reads), filtering.count_kmers(reads, K), K, mode).select("seq", "min_kmer")
 
     return query
 
@@ -107,8 +136,12 @@ def q09(spark, sf):
 
 
 def q14(spark, sf):
-    supported = filtering.kmer_support(_unique(spark, sf), filtering.count_kmers(_reads(spark, sf), K), K)
-    return filtering.denoise(supported, 1, 3).select("seq", "copies", "min_kmer")
+    return _denoised(_written_reads(spark, sf)).select("seq", "copies", "min_kmer")
+
+
+def _denoised(reads: DataFrame) -> DataFrame:
+    unique = filtering.dereplicate(filtering.reject_ambiguous(reads)[0])
+    return filtering.denoise(filtering.kmer_support(unique, filtering.count_kmers(reads, K), K), 1, 3)
 
 
 def q15(spark, sf):
@@ -152,8 +185,8 @@ def q23(spark, sf):
 
 def q24(spark, sf):
     """Neighbouring reads of a document as mates."""
-    best = _best(spark, sf)
-    placed = _reads(spark, sf).join(best, "seq").select("read_id", "ref_id", "pos", F.length("seq").cast("long").alias("len"))
+    reads, best = _reads_and_best(spark, sf)
+    placed = reads.join(best, "seq").select("read_id", "ref_id", "pos", F.length("seq").cast("long").alias("len"))
     first = placed.withColumn("pair_id", F.col("read_id"))
     second = placed.withColumn("pair_id", F.col("read_id") - 1)
     return align.concordant_pairs(first, second).select("pair_id", "ref_id", "pos", "pos2", "span")
@@ -162,12 +195,14 @@ def q24(spark, sf):
 def q25(spark, sf):
     best, refs = _best(spark, sf), _refs(spark, sf).select("ref_id", F.col("seq").alias("ref"))
     hits = best.join(refs, "ref_id").select(F.col("g_pos").alias("pos"), F.substring("ref", F.col("pos").cast("int"), F.length("seq")).alias("win")).distinct()
-    return otu.compact_positions(hits, 1).select("win", "pos", "new_pos")
+    return otu.compact_positions(hits).select("win", "pos", "new_pos")
 
 
 def q27(spark, sf):
-    samples = [f"src{i}" for i in range(20)]
-    return otu.pivot_table(_otu(spark, sf), samples)
+    """A column for every sample that has reads; the list of samples is short (Spark's limit for pivots holds)."""
+    counts, best = _counts_and_best(spark, sf)
+    samples = otu.sample_numbers(counts).orderBy("ix").select("sample").collect()
+    return otu.pivot_table(otu.otu_table(counts, best), [r["sample"] for r in samples])
 
 
 def q28(spark, sf):
@@ -179,11 +214,11 @@ def q29(spark, sf):
 
 
 def q30(spark, sf):
-    return otu.otu_map(_reads(spark, sf), _best(spark, sf))
+    return otu.otu_map(*_reads_and_best(spark, sf))
 
 
 def q31(spark, sf):
-    return otu.pass_fail(_reads(spark, sf), _best(spark, sf))
+    return otu.pass_fail(*_reads_and_best(spark, sf))
 
 
 def q32(spark, sf):
@@ -191,10 +226,133 @@ def q32(spark, sf):
 
 
 def q33(spark, sf):
-    from readloom.sources.fasta import biom_rows
+    return fasta.biom_rows(*_table_parts(spark, sf))
+
 
+def _table_parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """OTU table, taxonomy, numbered samples (those without a hit too), database order."""
+    counts, best = _counts_and_best(spark, sf)
+    table = materialise(otu.otu_table(counts, best), "otus")
     order = _refs(spark, sf).select(F.col("ref_id").alias("otu_id"), "ref_ord")
-    return biom_rows(_otu(spark, sf), _taxonomy(spark, sf), [f"src{i}" for i in range(20)], order)
+    return table, _taxonomy(spark, sf), materialise(otu.sample_numbers(counts), "samples"), order
+
+
+def q34(spark, sf):
+    path = new_path(spark, "fasta")
+    rows = _whole(spark, sf).select(F.concat_ws("_", "sample", F.col("doc_id").cast("string")).alias("name"), F.lower("seq").alias("seq"))
+    fasta.write_fasta(rows, path, "name")
+    return fasta.read_reads(spark, path)
+
+
+def q35(spark, sf):
+    """Best hits as alignment lines, written and read back; rix numbers the sequences in order."""
+    hits = number(_best(spark, sf), "rix", "seq")
+    lines = hits.select("rix", F.lit(0).alias("flag"), F.col("ref_id").cast("string").alias("rname"), "pos", F.lit(255).alias("mapq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), "seq", F.lit("*").alias("qual"))
+    path = new_path(spark, "sam")
+    fasta.write_sam(lines, path)
+    return fasta.read_sam(spark, path).select("rix", "rname", "pos", "cigar", "seq")
+
+
+def q36(spark, sf):
+    path = new_path(spark, "codes")
+    lzw.compress_references(_refs(spark, sf)).write.parquet(path)
+    return lzw.read_compressed(spark.read.parquet(path)).select(F.col("header").cast("long").alias("ref_id"), "seq")
+
+
+def q37(spark, sf):
+    """Some records get a second line, a blank or a foreign letter."""
+    seq, n = F.col("seq"), F.col("doc_id")
+    seq = F.when(n % 7 == 0, F.concat(F.lit("AC\n"), seq)).when(n % 11 == 0, F.concat(F.lit("A C"), seq)).when(n % 13 == 0, F.concat(F.lit("AXC"), seq)).otherwise(seq)
+    path = new_path(spark, "fasta")
+    fasta.write_fasta(_whole(spark, sf, WITH_N).filter("seq <> ''").select(n.alias("name"), seq.alias("seq")), path, "name")
+    return fasta.validate_fasta(spark, path)
+
+
+def q38(spark, sf):
+    return filtering.kmer_metrics(_reads(spark, sf, WITH_N), K)
+
+
+def q39(spark, sf):
+    return filtering.representative_totals(filtering.prefix_compact(_reads(spark, sf)))
+
+
+def q40(spark, sf):
+    """Two files, read in step: the first 100 bases of each document, and the last 80."""
+    rows = materialise(_whole(spark, sf).filter("seq <> ''"), "whole")
+    header = F.concat(F.lit(">"), "sample", F.lit("_"), F.col("doc_id").cast("string"), F.lit("\n"))
+    paths = [new_path(spark, "mates") for _ in range(2)]
+    for path, seq in zip(paths, (trim_head(F.col("seq"), 100), trim_tail(F.col("seq"), 80)), strict=True):
+        fasta.write_lines(rows.select("doc_id", F.concat(header, seq).alias("value")), path, "doc_id")
+    return fasta.read_pairs(spark, *paths)
+
+
+def _database(spark: SparkSession, sf: str) -> database_files.Database:
+    folder = new_path(spark, "database")
+    database_files.write_database(_refs(spark, sf), folder, "bench", _taxonomy(spark, sf))
+    return database_files.open_database(spark, folder, "bench")
+
+
+def q41(spark, sf):
+    """A database written as files and read again: offsets with taxonomy."""
+    base = _database(spark, sf)
+    return base.offsets.join(base.taxonomy, "otu_id", "left")
+
+
+def q42(spark, sf):
+    """Count lines encoded and decoded; sequences and samples are numbered in order."""
+    counts = materialise(filtering.sample_histogram(_reads(spark, sf)), "counts")
+    numbers = number(counts.select("seq").distinct(), "rix", "seq")
+    samples = materialise(otu.sample_numbers(counts), "samples")
+    return otu.decode_count_lines(otu.count_lines(counts.join(numbers, "seq"), samples))
+
+
+def q43(spark, sf):
+    reads = _written_reads(spark, sf, WITH_N)
+    return filtering.reject_log(reads, _denoised(reads))
+
+
+def q44(spark, sf):
+    """Reads without a hit, and those whose hit runs over a reference's end (by the 0-based reading of positions)."""
+    reads, best = _reads_and_best(spark, sf)
+    return otu.fail_log(reads, _chimeras(best, spark, sf))
+
+
+def _chimeras(best: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    hits = best.select("seq", F.col("g_pos").alias("pos"), F.length("seq").alias("len"))
+    return database.chimera_flag(database.locate(hits, _offsets(spark, sf))).select("seq", "is_chimera")
+
+
+def q45(spark, sf):
+    table, taxonomy, samples, order = _table_parts(spark, sf)
+    return otu.legacy_lines(table, samples, order, taxonomy)
+
+
+def q46(spark, sf):
+    table, taxonomy, samples, order = _table_parts(spark, sf)
+    return fasta.biom_lines(materialise(fasta.biom_rows(table, taxonomy, samples, order), "biom"), samples, "2024-01-01T00:00:00")
+
+
+def q47(spark, sf):
+    reads = _written_reads(spark, sf)
+    return otu.duplicate_lists(reads, number(filtering.denoise(filtering.dereplicate(reads).withColumn("min_kmer", F.lit(None).cast("long")), 2, None), "rix", "seq"))
+
+
+def q48(spark, sf):
+    """From files to the OTU table: compaction of reads and of positions, chimera test, taxonomy."""
+    reads, folder = new_path(spark, "reads"), new_path(spark, "database")
+    rows = _reads(spark, sf).select(F.concat_ws("_", "sample", F.col("read_id").cast("string")).alias("name"), "seq")
+    fasta.write_fasta(rows, reads, "name")
+    database_files.write_database(_refs(spark, sf), folder, "bench", _taxonomy(spark, sf))
+    c = Config(reads=reads, out=new_path(spark, "out"), database=folder, name="bench", similarity=SIMILARITY, indels=False, legacy=True)
+    taxonomy = database_files.open_database(spark, folder, "bench").taxonomy
+    table = run(spark, c)["table"].withColumn("otu_id", F.col("otu_id").cast("string"))
+    return otu.with_taxonomy(table, taxonomy).select("otu_id", "sample", "n", "taxonomy")
+
+
+def q49(spark, sf):
+    """References without a sequence hand their header on to the next one."""
+    rows = _refs(spark, sf).select(F.col("ref_ord").alias("ord"), F.concat(F.lit("h"), F.col("ref_id").cast("string")).alias("header"), F.when(F.col("ref_ord") % 5 < 2, "").otherwise(F.col("seq")).alias("seq"))
+    return database.drop_empty_headers(rows)
 
 
 QUERIES = {
@@ -206,7 +364,10 @@ QUERIES = {
     "q18_offset_lookup": q18, "q19_chimera_filter": q19, "q20_exact_align": q20, "q21_similarity_join": q21, "q22_similarity_edit": q22,
     "q23_both_strands": q23, "q24_paired_insert": q24, "q25_compact_positions": q25, "q26_otu_table_long": lambda s, d: _otu(s, d),
     "q27_otu_table_pivot": q27, "q28_taxonomy_join": q28, "q29_taxonomy_split": q29, "q30_otu_map": q30, "q31_pass_fail": q31,
-    "q32_run_metrics": q32, "q33_biom_rows": q33,
+    "q32_run_metrics": q32, "q33_biom_rows": q33, "q34_fasta_roundtrip": q34, "q35_sam_roundtrip": q35, "q36_lzw_roundtrip": q36,
+    "q37_validate_fasta": q37, "q38_kmer_metrics": q38, "q39_representative_totals": q39, "q40_paired_scan": q40, "q41_database_files": q41,
+    "q42_count_lines": q42, "q43_reject_log": q43, "q44_fail_log": q44, "q45_legacy_lines": q45, "q46_biom_lines": q46, "q47_duplicate_lists": q47,
+    "q48_full_run": q48, "q49_empty_headers": q49,
 }
 
 # ---- SQL -------------------------------------------------------------------------------------------------------
@@ -216,7 +377,7 @@ def _seq_sql(bases: str) -> str:
     return f"translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{bases}')"
 
 
-_TILES = "SELECT doc_id * 100000 + i AS read_id, sample, substr(s, (i * 60 + 1)::BIGINT, 60) AS seq FROM (SELECT doc_id, sample, s, unnest(range((length(s) + 59) // 60)) AS i FROM (SELECT doc_id, source AS sample, {seq} AS s FROM documents) WHERE s <> '')"
+_TILES = "SELECT doc_id * 67108864 + i AS read_id, sample, substr(s, (i * 60 + 1)::BIGINT, 60) AS seq FROM (SELECT doc_id, sample, s, unnest(range((length(s) + 59) // 60)) AS i FROM (SELECT doc_id, source AS sample, {seq} AS s FROM documents) WHERE s <> '')"
 _CTE = {
     "whole": f"SELECT doc_id, source AS sample, {_seq_sql(CLEAN)} AS seq FROM documents",
     "reads": _TILES.format(seq=_seq_sql(CLEAN)),
@@ -227,14 +388,20 @@ _CTE = {
     "kc": f"SELECT substr(s, (p)::BIGINT, {K}) AS kmer, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - {K} + 2)) AS p FROM (SELECT regexp_replace(seq, '[^ACGT]', 'A', 'g') AS s FROM {{src}}) WHERE length(s) >= {K}) GROUP BY 1",
     "pieces": "SELECT seq, e, length(seq) // (e + 1) AS k, i * (length(seq) // (e + 1)) AS off, substr(seq, (i * (length(seq) // (e + 1)) + 1)::BIGINT, length(seq) // (e + 1)) AS piece FROM (SELECT seq, e, unnest(range(e + 1)) AS i FROM (SELECT seq, floor({gap} * length(seq) + 1e-9)::BIGINT AS e FROM uniq))",
     "words": "SELECT ref_id, k, p0, substr(ref, (p0 + 1)::BIGINT, k) AS piece FROM (SELECT ref_id, seq AS ref, k, unnest(range(length(seq) - k + 1)) AS p0 FROM refs JOIN (SELECT DISTINCT k FROM pieces) ON length(seq) >= k)",
+    "cand": "SELECT DISTINCT p.seq, p.e, w.ref_id, w.p0 - p.off AS start FROM pieces p JOIN words w ON p.k = w.k AND p.piece = w.piece",
     "hits": "SELECT seq, ref_id, start + 1 AS pos, ed FROM (SELECT seq, e, c.ref_id, start, hamming(seq, substr(r.ref, (start + 1)::BIGINT, length(seq))) AS ed FROM (SELECT DISTINCT p.seq, p.e, w.ref_id, w.p0 - p.off AS start FROM pieces p JOIN words w ON p.k = w.k AND p.piece = w.piece) c JOIN (SELECT ref_id, seq AS ref FROM refs) r ON r.ref_id = c.ref_id WHERE start >= 0 AND start + length(seq) <= length(r.ref)) WHERE ed <= e",
     "best": "SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT h.*, start_off + pos AS g_pos, row_number() OVER (PARTITION BY h.seq ORDER BY ed, start_off + pos) AS rn FROM hits h JOIN (SELECT ref_id, start_off FROM offs) o ON o.ref_id = h.ref_id) WHERE rn = 1",
     "otus": "SELECT ref_id AS otu_id, sample, count(*) AS n FROM reads JOIN best ON reads.seq = best.seq GROUP BY 1, 2",
-    "tax": "SELECT ref_id AS otu_id, 'k__' || r_name || '; p__' || n_name AS taxonomy FROM refs JOIN nation ON ref_id % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE ref_id % 2 = 0",
+    "tax": "SELECT ref_id AS otu_id, 'k__' || r_name || '; p__' || n_name AS taxonomy FROM refs JOIN nation ON ref_id % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE ref_id % 4 <> 3",
     "places": "SELECT o_orderkey AS key, (o_orderkey * 7919) % ((SELECT sum(length(seq)) FROM refs)::BIGINT + 1) AS pos FROM orders",
+    "unread": "SELECT u.seq, copies, m.min_kmer FROM (SELECT seq, count(*) AS copies FROM nreads WHERE seq <> '' AND NOT regexp_matches(seq, '[^ACGT]') GROUP BY seq) u LEFT JOIN (SELECT seq, min(coalesce(n, 0)) AS min_kmer FROM (SELECT seq, substr(seq, (i * 16 + 1)::BIGINT, 16) AS word FROM (SELECT seq, unnest(range(length(seq) // 16)) AS i FROM (SELECT DISTINCT seq FROM nreads) WHERE length(seq) >= 16)) w LEFT JOIN kc ON w.word = kc.kmer GROUP BY seq) m ON u.seq = m.seq WHERE copies >= 2 OR coalesce(m.min_kmer, 4611686018427387904) >= 3",
+    "reps": "SELECT seq, last_value(seq) OVER (PARTITION BY grp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS rep FROM (SELECT seq, sum(brk) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (SELECT seq, CASE WHEN starts_with(seq, lag(seq) OVER (ORDER BY seq)) THEN 0 ELSE 1 END AS brk FROM uniq))",
+    "chim": "SELECT seq, len > start_off + n - pos AS is_chimera FROM (SELECT best.seq, length(best.seq) AS len, g_pos AS pos, o.start_off, length(o.seq) AS n FROM best ASOF JOIN (SELECT * FROM offs WHERE seq <> '') o ON best.g_pos >= o.start_off)",
+    "snames": "SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS ix FROM (SELECT DISTINCT coalesce(sample, '(none)') AS sample FROM reads)",
+    "biom": "SELECT r, a.otu_id, '{\"id\":\"' || a.otu_id || '\",\"metadata\":{\"taxonomy\":[' || CASE WHEN taxonomy IS NULL THEN '\"UNSUPPORTED_MAPPING\"' ELSE '\"' || replace(taxonomy, '; ', '\",\"') || '\"' END || ']}}' AS entry, data FROM (SELECT otu_id, row_number() OVER (ORDER BY otu_id) - 1 AS r FROM (SELECT DISTINCT otu_id FROM otus)) a JOIN (SELECT otu_id, r2, string_agg('[' || r2 || ',' || ix || ',' || n || ']', ',' ORDER BY ix) AS data FROM otus JOIN snames ON otus.sample = snames.sample JOIN (SELECT otu_id AS o2, row_number() OVER (ORDER BY otu_id) - 1 AS r2 FROM (SELECT DISTINCT otu_id FROM otus)) ON o2 = otu_id GROUP BY otu_id, r2) d ON a.otu_id = d.otu_id LEFT JOIN tax ON tax.otu_id = a.otu_id",
     "located": "SELECT key, pos, ref_id, start_off, length(seq) AS len FROM places ASOF JOIN (SELECT * FROM offs WHERE seq <> '') o ON places.pos >= o.start_off",
 }
-_NEEDS = {"offs": ["refs"], "uniq": ["reads"], "pieces": ["uniq"], "words": ["refs", "pieces"], "hits": ["refs", "pieces", "words"], "best": ["hits", "offs"], "otus": ["reads", "best"], "tax": ["refs"], "places": ["refs"], "located": ["places", "offs"]}
+_NEEDS = {"offs": ["refs"], "uniq": ["reads"], "pieces": ["uniq"], "words": ["refs", "pieces"], "cand": ["refs", "pieces", "words"], "hits": ["refs", "pieces", "words"], "best": ["hits", "offs"], "otus": ["reads", "best"], "tax": ["refs"], "places": ["refs"], "located": ["places", "offs"], "unread": ["nreads", "kc"], "reps": ["uniq"], "chim": ["best", "offs"], "snames": ["reads"], "biom": ["otus", "snames", "tax"]}
 
 
 def _sql(body: str, *names: str, gap: str = "(1 - 0.97::DOUBLE)", src: str = "reads") -> str:
@@ -282,4 +449,29 @@ SQL = {
     "q30_otu_map": _sql("SELECT ref_id AS otu_id, string_agg(read_id::VARCHAR, chr(9) ORDER BY read_id) AS reads FROM reads JOIN best ON reads.seq = best.seq GROUP BY 1", "reads", "best"),
     "q31_pass_fail": _sql("SELECT read_id, ref_id AS otu_id FROM reads LEFT JOIN best ON reads.seq = best.seq", "reads", "best"),
     "q32_run_metrics": _sql("SELECT count(*) AS n_reads, count(*) FILTER (regexp_matches(seq, '[^ACGT]')) AS n_ambiguous, sum(length(regexp_replace(seq, '[ACGT]', '', 'g')))::BIGINT AS ambiguous_bases, count(DISTINCT sample) AS n_samples, count(DISTINCT seq) AS n_distinct FROM nreads", "nreads"),
+    "q22_similarity_edit": _sql("SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT h.*, start_off + pos AS g_pos, row_number() OVER (PARTITION BY h.seq ORDER BY ed, start_off + pos) AS rn FROM edits h JOIN (SELECT ref_id, start_off FROM offs) o ON o.ref_id = h.ref_id) WHERE rn = 1", "cand", "offs").replace(" SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT h.*", ", edits AS (SELECT seq, ref_id, s + 1 AS pos, min(levenshtein(seq, substr(ref, (s + 1)::BIGINT, n::BIGINT))) AS ed FROM (SELECT DISTINCT c.seq, c.e, c.ref_id, r.ref, s, n FROM (SELECT seq, e, ref_id, start, unnest(range(start - e, start + e + 1)) AS s FROM cand) c JOIN (SELECT ref_id, seq AS ref FROM refs) r ON r.ref_id = c.ref_id, (SELECT unnest(range(-2, 3)) AS d), LATERAL (SELECT length(c.seq) + d AS n) WHERE abs(d) <= c.e AND s >= 0 AND s + n <= length(r.ref) AND n > 0) GROUP BY seq, e, ref_id, s HAVING min(levenshtein(seq, substr(ref, (s + 1)::BIGINT, n::BIGINT))) <= e) SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT h.*"),
+    "q23_both_strands": _sql("SELECT seq, ref_id, pos, '+' AS strand FROM hits UNION ALL SELECT reverse(translate(seq, 'ACGT', 'TGCA')) AS seq, ref_id, pos, '-' AS strand FROM rhits", "hits", gap="0.0").replace(" SELECT seq, ref_id, pos, '+' AS strand", ", rpieces AS (SELECT seq, length(seq) AS k, seq AS piece FROM (SELECT DISTINCT reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM uniq)), rhits AS (SELECT seq, ref_id, p0 + 1 AS pos FROM rpieces p JOIN words w ON p.k = w.k AND p.piece = w.piece) SELECT seq, ref_id, pos, '+' AS strand"),
+    "q33_biom_rows": _sql("SELECT r, otu_id, entry, data FROM biom", "biom"),
+    "q34_fasta_roundtrip": _sql("SELECT sample || '_' || doc_id AS read_id, sample, seq FROM whole", "whole"),
+    "q35_sam_roundtrip": _sql("SELECT row_number() OVER (ORDER BY seq) - 1 AS rix, ref_id::VARCHAR AS rname, pos, length(seq) || 'M' AS cigar, seq FROM best", "best"),
+    "q36_lzw_roundtrip": _sql("SELECT ref_id, seq FROM refs", "refs"),
+    "q37_validate_fasta": f"SELECT doc_id::VARCHAR AS header, CASE WHEN doc_id % 7 = 0 THEN 'sequence lines' WHEN doc_id % 11 = 0 THEN 'blank' ELSE 'letter' END AS reason FROM documents WHERE {_seq_sql(WITH_N)} <> '' AND (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0)",
+    "q38_kmer_metrics": _sql("SELECT coalesce(sum(n), 0)::BIGINT AS n_kmers, count(*) AS n_distinct_kmers FROM kc", "kc", src="nreads"),
+    "q39_representative_totals": _sql("SELECT rep, count(*) AS n FROM reads JOIN reps ON reads.seq = reps.seq GROUP BY rep", "reads", "reps"),
+    "q40_paired_scan": _sql("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, sample || '_' || doc_id AS read_id, sample, substr(seq, 1, 100) AS seq, substr(seq, greatest(length(seq) - 79, 1)::BIGINT, 80) AS seq2 FROM whole WHERE seq <> ''", "whole"),
+    "q41_database_files": _sql("SELECT offs.ref_id::VARCHAR AS otu_id, start_off, taxonomy FROM offs LEFT JOIN tax ON tax.otu_id = offs.ref_id", "offs", "tax"),
+    "q42_count_lines": _sql("SELECT dense_rank() OVER (ORDER BY seq) - 1 AS rix, dense_rank() OVER (ORDER BY sample) - 1 AS ix, n FROM (SELECT seq, sample, count(*) AS n FROM reads GROUP BY 1, 2)", "reads"),
+    "q43_reject_log": _sql("SELECT read_id, CASE WHEN seq = '' OR regexp_matches(seq, '[^ACGT]') THEN 'AMBIGUOUS' ELSE 'FILTERED' END AS reason FROM nreads WHERE seq NOT IN (SELECT seq FROM unread)", "nreads", "unread", src="nreads"),
+    "q44_fail_log": _sql("SELECT read_id FROM reads WHERE seq NOT IN (SELECT seq FROM chim WHERE NOT is_chimera)", "reads", "chim"),
+    "q45_legacy_lines": _sql("SELECT 0::BIGINT AS line_no, '#OTU ID' || chr(9) || string_agg(sample, chr(9) ORDER BY ix) || chr(9) || 'taxonomy' AS value FROM snames UNION ALL SELECT row_number() OVER (ORDER BY o) AS line_no, o || chr(9) || string_agg(coalesce(n, 0)::VARCHAR, chr(9) ORDER BY ix) || chr(9) || coalesce(any_value(taxonomy), 'UNSUPPORTED_MAPPING') AS value FROM (SELECT DISTINCT otu_id AS o FROM otus) CROSS JOIN snames LEFT JOIN otus ON otus.otu_id = o AND otus.sample = snames.sample LEFT JOIN tax ON tax.otu_id = o GROUP BY o", "otus", "snames", "tax"),
+    "q46_biom_lines": _sql("SELECT 0 AS section, 0::BIGINT AS r, '{\"id\":null,\"format\":\"Biological Observation Matrix 1.0.0\",\"format_url\":\"http://biom-format.org\",\"type\":\"OTU table\",\"generated_by\":\"readloom\",\"date\":\"2024-01-01T00:00:00\",\"matrix_type\":\"sparse\",\"matrix_element_type\":\"int\",\"shape\":[' || (SELECT count(*) FROM biom) || ',' || (SELECT count(*) FROM snames) || '],\"rows\":[' AS value UNION ALL SELECT 1, r, CASE WHEN r > 0 THEN ',' ELSE '' END || entry FROM biom UNION ALL SELECT 2, 0, '],\"columns\":[' UNION ALL SELECT 3, ix, CASE WHEN ix > 0 THEN ',' ELSE '' END || '{\"id\":\"' || sample || '\",\"metadata\":null}' FROM snames UNION ALL SELECT 4, 0, '],\"data\":[' UNION ALL SELECT 5, r, CASE WHEN r > 0 THEN ',' ELSE '' END || data FROM biom UNION ALL SELECT 6, 0, ']}'", "biom"),
+    "q47_duplicate_lists": _sql("SELECT rix, string_agg(read_id::VARCHAR, chr(9) ORDER BY read_id) AS reads FROM reads JOIN (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS rix FROM uniq WHERE copies >= 2) u ON u.seq = reads.seq GROUP BY rix", "reads", "uniq"),
+    "q49_empty_headers": _sql("SELECT min(ref_id) AS ord, 'h' || min(ref_id) AS header, max(s) AS seq FROM (SELECT ref_id, CASE WHEN ref_id % 5 < 2 THEN '' ELSE seq END AS s, min(CASE WHEN ref_id % 5 >= 2 AND seq <> '' THEN ref_id END) OVER (ORDER BY ref_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS target FROM refs) WHERE target IS NOT NULL GROUP BY target", "refs"),
 }
+#: The full run: representatives are aligned, windows compacted, positions looked up, chimeras dropped.
+SQL["q48_full_run"] = (
+    _sql("SELECT o.ref_id::VARCHAR AS otu_id, sample, count(*) AS n, coalesce(any_value(taxonomy), 'UNSUPPORTED_MAPPING') AS taxonomy FROM reads JOIN ureps ON ureps.seq = reads.seq JOIN placed ON placed.seq = ureps.rep JOIN (SELECT ref_id, start_off, length(seq) AS n_bases FROM offs) o ON o.start_off = placed.start_off LEFT JOIN tax ON tax.otu_id = o.ref_id WHERE o.n_bases > 0 AND NOT length(placed.seq) > placed.start_off + o.n_bases - new_pos GROUP BY 1, 2", "reads", "reps", "best", "tax")
+    .replace("pieces AS (", "ureps AS (SELECT * FROM reps), pieces AS (", 1)
+    .replace(" SELECT o.ref_id::VARCHAR", ", hw AS (SELECT best.seq, g_pos AS pos, substr(refs.seq, best.pos::BIGINT, length(best.seq)) AS win FROM best JOIN refs ON refs.ref_id = best.ref_id), moved AS (SELECT win, pos, first_value(pos) OVER (PARTITION BY grp ORDER BY win, pos) AS new_pos FROM (SELECT win, pos, sum(brk) OVER (ORDER BY win, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (SELECT win, pos, CASE WHEN starts_with(win, lag(win) OVER (ORDER BY win, pos)) THEN 0 ELSE 1 END AS brk FROM (SELECT DISTINCT win, pos FROM hw)))), placed AS (SELECT m.seq, new_pos, f.start_off FROM (SELECT hw.seq, moved.new_pos FROM hw JOIN moved ON moved.win = hw.win AND moved.pos = hw.pos) m ASOF JOIN (SELECT start_off FROM offs WHERE seq <> '') f ON m.new_pos >= f.start_off) SELECT o.ref_id::VARCHAR", 1)
+    .replace("floor((1 - 0.97::DOUBLE) * length(seq) + 1e-9)::BIGINT AS e FROM uniq)", "floor((1 - 0.97::DOUBLE) * length(seq) + 1e-9)::BIGINT AS e FROM (SELECT DISTINCT rep AS seq FROM reps))", 1)
+)

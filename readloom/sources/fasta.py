@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.sequences import read_id_of, sample_of, taxonomy_levels
+from readloom.operators.ordered import number
+from readloom.operators.otu import NO_SAMPLE, UNMAPPED
 
 SAM = "rix LONG, flag INT, rname STRING, pos LONG, mapq INT, cigar STRING, rnext STRING, pnext LONG, tlen INT, seq STRING, qual STRING"
 
@@ -13,9 +15,33 @@ SAM = "rix LONG, flag INT, rname STRING, pos LONG, mapq INT, cigar STRING, rnext
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """header, seq, n_lines. A record ends where the next line starts with >; sequence lines are joined."""
     records = spark.read.option("lineSep", "\n>").text(path).filter("trim(value) <> ''")
+    return _records(records)
+
+
+def _records(records: DataFrame, *others: str) -> DataFrame:
     lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
     body = F.filter(F.slice("lines", 2, 2**30), lambda x: x != "")
-    return records.select(lines.alias("lines")).select(F.element_at("lines", 1).alias("header"), F.array_join(body, "").alias("seq"), F.size(body).alias("n_lines"))
+    return records.select(lines.alias("lines"), *others).select(F.element_at("lines", 1).alias("header"), F.array_join(body, "").alias("seq"), F.size(body).alias("n_lines"), *others)
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Like read_fasta, with ord, the record's number in order of file name and place in the file."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    records = spark.read.option("lineSep", "\n>").text(path).select("value", *place).filter("trim(value) <> ''")
+    return number(_records(records, "file", "block", "at"), "ord", "file", "block", "at").drop("file", "block", "at")
+
+
+def read_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """ord, read_id, sample, seq, seq2: records of two files matched by their place; the second's headers are not used.
+
+    A file that is longer than the other stops the job.
+    """
+    one = read_numbered(spark, first).select("ord", "header", F.upper("seq").alias("seq"))
+    two = read_numbered(spark, second).select("ord", F.upper("seq").alias("seq2"))
+    both = one.join(two, "ord", "full")
+    alone = F.raise_error(F.concat(F.lit("no mate for record "), F.col("ord").cast("string")))
+    header = F.when(F.col("seq").isNotNull() & F.col("seq2").isNotNull(), F.col("header")).otherwise(alone)
+    return both.select("ord", read_id_of(header).alias("read_id"), sample_of(header).alias("sample"), "seq", "seq2")
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +75,11 @@ def write_sam(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", *[F.coalesce(F.col(x.split()[0]).cast("string"), F.lit("*")) for x in SAM.split(", ")])).write.text(path)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines that are not empty."""
+    return spark.read.text(path).filter("value <> ''")
+
+
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("otu_id STRING, start_off LONG").option("sep", "\t").csv(path)
 
@@ -57,27 +88,31 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("otu_id STRING, taxonomy STRING").option("sep", "\t").option("quote", "").csv(path)
 
 
-def biom_rows(table: DataFrame, taxonomy: DataFrame, samples: list[str], order: DataFrame) -> DataFrame:
-    """One row per OTU of a sparse BIOM 1.0 table in database order: id, JSON of its row entry, JSON of its data triples.
+def biom_rows(table: DataFrame, taxonomy: DataFrame, samples: DataFrame, order: DataFrame) -> DataFrame:
+    """One row per OTU of a sparse BIOM 1.0 table in database order: r, otu_id, JSON of its row entry, JSON of its data triples.
 
-    Rows are numbered densely by their place in ``order`` (otu_id, ref_ord). A table has no more rows than references.
+    ``samples`` (sample, ix) numbers the columns; rows are numbered densely in order of ``order`` (otu_id, ref_ord).
     """
-    from pyspark.sql import Window
-
-    columns = F.create_map(*[x for i, s in enumerate(samples) for x in (F.lit(s), F.lit(i))])
-    cells = F.array_sort(F.collect_list(F.struct(columns[F.col("sample")].alias("c"), F.col("n").alias("n"))))
-    rows = table.groupBy("otu_id").agg(cells.alias("cells")).join(order, "otu_id").join(taxonomy, "otu_id", "left")
-    rows = rows.withColumn("r", F.row_number().over(Window.orderBy("ref_ord")) - 1)
-    levels = taxonomy_levels(F.coalesce("taxonomy", F.lit("UNSUPPORTED_MAPPING")))
+    cells = F.array_sort(F.collect_list(F.struct(F.col("ix").alias("c"), F.col("n").alias("n"))))
+    named = table.withColumn("sample", F.coalesce("sample", F.lit(NO_SAMPLE))).join(samples, "sample")
+    rows = named.groupBy("otu_id").agg(cells.alias("cells")).join(order, "otu_id").join(taxonomy, "otu_id", "left")
+    rows = number(rows, "r", "ref_ord")
+    levels = taxonomy_levels(F.coalesce("taxonomy", F.lit(UNMAPPED)))
     entry = F.to_json(F.struct(F.col("otu_id").cast("string").alias("id"), F.struct(levels.alias("taxonomy")).alias("metadata")))
     data = F.array_join(F.transform("cells", lambda x: F.concat(F.lit("["), F.col("r").cast("string"), F.lit(","), x["c"].cast("string"), F.lit(","), x["n"].cast("string"), F.lit("]"))), ",")
     return rows.select("r", "otu_id", entry.alias("entry"), data.alias("data"))
 
 
-def biom_document(rows: DataFrame, samples: list[str], date: str) -> str:
-    """The whole BIOM document; its rows are the OTUs found, which the number of references bounds."""
-    import json
+def biom_lines(rows: DataFrame, samples: DataFrame, date: str) -> DataFrame:
+    """section, r, value: the lines of the BIOM document in that order. Nothing but two counts passes through the driver."""
+    shape = f"[{rows.count()},{samples.count()}]"
+    head = f'{{"id":null,"format":"Biological Observation Matrix 1.0.0","format_url":"http://biom-format.org","type":"OTU table","generated_by":"readloom","date":"{date}","matrix_type":"sparse","matrix_element_type":"int","shape":{shape},"rows":['
+    listed = lambda df, section, n, value: df.select(F.lit(section).alias("section"), F.col(n).alias("r"), F.concat(F.when(F.col(n) > 0, ",").otherwise(""), value).alias("value"))
+    columns = F.to_json(F.struct(F.col("sample").alias("id"), F.lit(None).cast("string").alias("metadata")), {"ignoreNullFields": "false"})
+    fixed = rows.sparkSession.createDataFrame([(0, 0, head), (2, 0, '],"columns":['), (4, 0, '],"data":['), (6, 0, "]}")], "section int, r long, value string")
+    return fixed.union(listed(rows, 1, "r", F.col("entry"))).union(listed(samples, 3, "ix", columns)).union(listed(rows, 5, "r", F.col("data")))
+
 
-    found = rows.orderBy("r").collect()
-    columns = ",".join(json.dumps({"id": s, "metadata": None}) for s in samples)
-    return f'{{"id":null,"format":"Biological Observation Matrix 1.0.0","format_url":"http://biom-format.org","type":"OTU table","generated_by":"readloom","date":"{date}","matrix_type":"sparse","matrix_element_type":"int","shape":[{len(found)},{len(samples)}],"rows":[{",".join(x["entry"] for x in found)}],"columns":[{columns}],"data":[{",".join(x["data"] for x in found)}]}}'
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """Column value as text files that, read in order of their names, follow the given order."""
+    lines.orderBy(*order).select("value").write.text(path)
