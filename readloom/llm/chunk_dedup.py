@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialise
+from readloom.llm.common import materialise, spread
 from readloom.llm.textbatch import mix
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_BYTES = 4, 12, 512, 128
@@ -147,4 +147,4 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return repeated_spans(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.tables import discard, materialise, new_path, partitions, shared_dir, spread
+
+__all__ = ["ascii_lower", "discard", "id_fold", "materialise", "new_path", "partitions", "shared_dir", "spread"]
+
 #: Words are separated by these characters and nothing else.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -22,48 +23,3 @@ def ascii_lower(text: Column) -> Column:
 def id_fold(key: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see. Only a session on one machine may do without and gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        path = tempfile.mkdtemp(prefix="spark-readloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/readloom/{name}-{uuid.uuid4().hex}"
-
-
-#: Lets Spark delete the shuffle files of an action when it ends; a table that is written has no use for them.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``materialise`` wrote and that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import discard, id_fold, materialise, partitions
+from readloom.llm.common import discard, id_fold, materialise, partitions, spread
 from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices
 
 BOS, END = np.uint64(0x1F0A2B3C4D5E6F71), np.uint64(0x2E1D0C3B4A596877)
@@ -245,4 +245,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score_texts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"))

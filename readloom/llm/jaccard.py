@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import discard, materialise, partitions
+from readloom.llm.common import discard, materialise, partitions, spread
 from readloom.llm.components import connected_components
 from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, split_by_range
 
@@ -429,4 +429,4 @@ def _candidate_texts(docs: DataFrame, rows: DataFrame, candidates: DataFrame, wi
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")).select("doc_id", "n_shingles", "component_id")

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import id_fold
+from readloom.llm.common import id_fold, spread
 from readloom.llm.textbatch import mix
 
 ORDERS = (3, 4)
@@ -147,6 +147,6 @@ def held_out(id_col: str) -> Column:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), "doc_id")
     model = predictor(spark, fit(docs.filter(~held_out("doc_id"))))
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), model("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

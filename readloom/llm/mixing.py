@@ -16,9 +16,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import partitions
+from readloom.llm.common import materialise, partitions
 
-#: Up to so many sources, a table of one row each is broadcast; beyond, sources are joined by a shuffle.
+#: Up to so many sources, a table of one row each is broadcast; beyond, only those of at least 1 / so many of all rows.
 MAX_BROADCAST_SOURCES = 10_000
 HEX = 13
 
@@ -60,10 +60,18 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, size: float | None
     If nested, all columns of docs lie in one, ``row``; else result columns replace columns of the same name.
     """
     spark = docs.sparkSession
-    rates = source_rates(docs, source_col, weights, size, alpha).select("source", "rate", "parts", "cdf")
-    small = rates.count() <= MAX_BROADCAST_SOURCES
+    rates = materialise(source_rates(docs, source_col, weights, size, alpha), "rates")
+    n_sources, n_rows = rates.agg(F.count(F.lit(1)), F.sum("n_rows")).first()
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"))
-    rows = rows.join(F.broadcast(rates) if small else rates, F.col("s").eqNullSafe(F.col("source")))
+    same = F.col("s").eqNullSafe(F.col("source"))
+    columns = ["row", "key", "rate", "parts", "cdf"]
+    if n_sources <= MAX_BROADCAST_SOURCES:
+        rows = rows.join(F.broadcast(rates), same).select(columns)
+    else:  # of many sources, the few hot ones are broadcast, so that no task gets all rows of one
+        hot = F.col("n_rows") >= n_rows / MAX_BROADCAST_SOURCES
+        rows = rows.join(F.broadcast(rates.filter(hot)), same, "left")
+        cold = rows.filter("n_rows IS NULL").select("row", "s", "key").join(rates.filter(~hot), same)
+        rows = rows.filter("n_rows IS NOT NULL").select(columns).union(cold.select(columns))
     draw = lambda j: F.size(F.filter("cdf", lambda c: _uniform(F.lit(seed), j, F.col("key")) >= c))
     one = F.size(F.filter("cdf", lambda c: F.col("u") >= c))
     many = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + draw(j))

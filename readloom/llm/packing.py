@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import WORD, ascii_lower, materialise
+from readloom.llm.common import WORD, ascii_lower, materialise, spread
 
 RESULT = "doc_id long, piece int, n_tokens long, shard long, bin int, bin_offset long"
 
@@ -73,4 +73,4 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id"))

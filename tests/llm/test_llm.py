@@ -49,6 +49,12 @@ def test_mixing(docs, empty):
     assert 1300 < mixing.mix_sources(many.limit(1), size=1400).count() + 100 < 1700
 
 
+def test_mixing_many_sources(docs, monkeypatch):
+    want = sorted(map(str, mixing.mix_sources(docs, size=40).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 2)
+    assert sorted(map(str, mixing.mix_sources(docs, size=40).collect())) == want and len(want) > 20
+
+
 def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
     rows = packing.pack(docs, capacity=100).collect()
