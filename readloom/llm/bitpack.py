@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import new_path, partitions
-from readloom.llm.textbatch import slices
+from readloom.llm.textbatch import slices, tidy
 
 BLOCK = "shard int, block int, n_ids long, first long, width int, doc_ids array<long>, lengths array<int>, payload binary"
 
@@ -213,7 +213,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
                         yield pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "n_ids": len(part), "first": first, "width": width, "doc_ids": keys.slice(a, b - a).to_pylist(), "lengths": lengths[a:b].tolist(), "payload": pack_bits(part, width)}], schema=ARROW_BLOCK)
                         block, first = block + 1, first + len(part)
 
-    rows.mapInArrow(encode, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    rows.mapInArrow(tidy(encode), BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     start, shards = 0, []
     for shard, n in sizes:
@@ -246,7 +246,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))] * with_ids, schema=pa.schema(fields))
 
     rows = blocks.select("doc_ids", "lengths", "n_ids", "width", "payload", (F.col("shard_start") + F.col("first")).alias("start"))
-    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import materialise, spread
-from readloom.llm.textbatch import mix
+from readloom.llm.textbatch import mix, tidy
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_BYTES = 4, 12, 512, 128
 #: Occurrences of a chunk that share a key; at least so many (or 1 / MAX_HOT of all) make a chunk hot.
@@ -87,7 +87,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 starts = np.concatenate([np.append(0, e[:-1]) if len(e) else e for e, _ in parts])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(hashes, n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["row", "doc_id", "text_hash", "a", "b", "i", "start", "end"])
 
-    return rows.mapInArrow(cut, "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int")
+    return rows.mapInArrow(tidy(cut), "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int")
 
 
 def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +129,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         out.append({"doc_id": doc, "owner_id": max(owned, key=lambda k: (owned[k], -k)), "start": start, "end": end, "n_chunks": sum(owned.values())})
             yield pa.RecordBatch.from_pylist(out, schema=SPANS)
 
-    return per_doc.mapInArrow(join_runs, "doc_id long, owner_id long, start int, end int, n_chunks int")
+    return per_doc.mapInArrow(tidy(join_runs), "doc_id long, owner_id long, start int, end int, n_chunks int")
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("owner_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_chunks", pa.int32())])

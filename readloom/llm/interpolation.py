@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import discard, id_fold, materialise, partitions, spread
-from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices
+from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, tidy
 
 BOS, END = np.uint64(0x1F0A2B3C4D5E6F71), np.uint64(0x2E1D0C3B4A596877)
 N_BUCKETS = 20
@@ -90,7 +90,7 @@ def write_batches(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, BATCHES.types, strict=True)], schema=BATCHES)
             batch_id += 1
 
-    return materialise(rows.mapInArrow(cut, "batch long, n long, texts binary, words binary, tokens binary"), "batches")
+    return materialise(rows.mapInArrow(tidy(cut), "batch long, n long, texts binary, words binary, tokens binary"), "batches")
 
 
 BATCHES = pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("texts", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
@@ -130,7 +130,7 @@ def count_blocks(batches: DataFrame, n_parts: int) -> DataFrame:
                 kinds, parts, payloads = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array([row.column(0)[i].as_py()] * len(out), pa.int64()), pa.array(payloads, pa.binary())], names=["kind", "part", "batch", "payload"])
 
-    return batches.mapInArrow(count, "kind int, part int, batch long, payload binary")
+    return batches.mapInArrow(tidy(count), "kind int, part int, batch long, payload binary")
 
 
 def add_up(table: pa.Table) -> pa.Table:
@@ -241,7 +241,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 test = pa.array(texts["fold"].to_numpy() == TEST)
                 yield from pa.table([texts["doc_id"], test, texts["n_tokens"], pa.array(known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).to_batches()
 
-    return resolved.select("texts", "tokens").mapInArrow(weigh, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return resolved.select("texts", "tokens").mapInArrow(tidy(weigh), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

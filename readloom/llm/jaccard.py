@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import discard, materialise, partitions, spread
 from readloom.llm.components import connected_components
-from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, split_by_range
+from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, split_by_range, tidy
 
 N2, K2 = 3, 1
 SUBSETS = list(combinations(range(N2), N2 - K2))
@@ -178,13 +178,13 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, n_parts:
                     done[node] = None
                     held.append((node, signatures(s, num, den)))
                     n_held += len(held[-1][1])
-            if n_held > 2_000_000:
+            if n_held > 1_000_000:
                 yield blocks()
                 held, n_held, done = [], 0, {}
         if held:
             yield blocks()
 
-    return _rows(docs, id_col, text_col).mapInArrow(sign, "part int, doc_id long, node long, n long, text_hash long, sketch binary, payload binary")
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(sign), "part int, doc_id long, node long, n long, text_hash long, sketch binary, payload binary")
 
 
 def _block(sigs: np.ndarray, nodes: np.ndarray) -> bytes:
@@ -223,7 +223,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
             keep = pa.array([num * max(i, j) <= den * min(i, j) and least_difference(p, q) * (den + num) <= (den - num) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(prune, "a long, b long")
+    return both.mapInArrow(tidy(prune), "a long, b long")
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
                             kept.append(i)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), part.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(tidy(verify), "a long, b long")
 
 
 def _groups(table: pa.Table) -> Iterator[pa.Table]:
@@ -336,7 +336,7 @@ def _spanning_links(near: DataFrame, texts: DataFrame, width: int, num: int, den
         out = {x for group in _groups(table) for x in _spanning(group, num, den)}
         return pa.table(list(map(pa.array, zip(*out, strict=True))) if out else [[], []], schema=pa.schema([("a", SIGNED), ("b", SIGNED)]))
 
-    sets = _texts_of(texts, once.select("node").distinct()).select("node", "text").mapInArrow(hashes, "node long, hashes binary")
+    sets = _texts_of(texts, once.select("node").distinct()).select("node", "text").mapInArrow(tidy(hashes), "node long, hashes binary")
     return once.join(sets, "node").groupBy(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))).applyInArrow(span, "a long, b long")
 
 
@@ -424,7 +424,7 @@ def _candidate_texts(docs: DataFrame, rows: DataFrame, candidates: DataFrame, wi
         for batch, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(s) for s in sets], np.uint64).view(np.int64)), batch.column(1)], names=["node", "text"])
 
-    named = _rows(docs, id_col, text_col).mapInArrow(name, "node long, text binary").join(candidates, "node")
+    named = _rows(docs, id_col, text_col).mapInArrow(tidy(name), "node long, text binary").join(candidates, "node")
     return materialise(named.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
 

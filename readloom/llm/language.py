@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import id_fold, spread
-from readloom.llm.textbatch import mix
+from readloom.llm.textbatch import mix, tidy
 
 ORDERS = (3, 4)
 N_HASHES = 3
@@ -119,7 +119,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n), pa.array([sum(x == lang for x in langs)] + [0] * (len(h) - 1) if len(h) else [], pa.int64())], names=["lang", "h", "n", "docs"])
 
-    grams = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, h long, n long, docs long")
+    grams = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(count), "lang string, h long, n long, docs long")
     sums = grams.groupBy("lang", "h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     docs_of = F.sum("docs").over(Window.partitionBy("lang"))
     top = sums.select("*", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h")).alias("rank"), docs_of.alias("lang_docs")).filter(F.col("rank") <= per_language)

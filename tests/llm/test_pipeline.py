@@ -102,7 +102,7 @@ def test_stages_on_odd_rows(spark):
 
 def test_language_stage_rejects_what_no_language_has(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    strange = ["Tämä on suomenkielinen teksti, jossa kerrotaan järvestä", "qwrtz xkcdp vbnmlk zzxqj wqkrt pplmk", "это русский текст о погоде и людях", "½ 12 _", ""]
+    strange = ["Ez egy magyar nyelvű szöveg a városról és az emberekről, akik ott élnek", "qwrtz xkcdp vbnmlk zzxqj wqkrt pplmk", "это русский текст о погоде и людях", "½ 12 _", ""]
     planted = spark.createDataFrame([(10_000 + i, t, None, "x", len(t)) for i, t in enumerate(strange)], docs.schema)
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs.union(planted), SF).collect()}
     clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
