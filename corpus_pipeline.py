@@ -19,8 +19,9 @@ from readloom.llm.mixing import mix_sources
 from readloom.llm.packing import pack
 
 
-#: Share of a text's n-grams that some learned language must have; clean texts of the test tables have 0.83 at least.
-LEAST_HIT_SHARE = 0.5
+#: Share of a text's n-grams that some learned language must have. The least of 256,410 documents in learned languages
+#: was 0.48 (a short text around a key); texts in other scripts or of random letters have under 0.2.
+LEAST_HIT_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
