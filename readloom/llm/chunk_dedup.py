@@ -90,25 +90,38 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(tidy(cut), "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int")
 
 
-def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b, owner, owner_hash (of its text), n_seen of chunks that occur more than once, written to the shared folder."""
-    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    sums = _chunks(docs, id_col, text_col).groupBy("a", "b").agg(first, F.count(F.lit(1)).alias("n_seen")).filter("n_seen > 1")
-    return materialise(sums.select("a", "b", F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_hash"), "n_seen"), "chunks")
+def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    return not docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
+
+
+def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids_repeat: bool = True) -> DataFrame:
+    """a, b, owner, owner_hash (of its text), n_seen of chunks that occur more than once, written to the shared folder.
+
+    If no id repeats, ids alone decide, and the sums need no sort; owner_hash is null then.
+    """
+    chunks = _chunks(docs, id_col, text_col)
+    if ids_repeat:
+        owner = F.min(F.struct("doc_id", "text_hash")).alias("first")
+        found = ["first.doc_id", "first.text_hash"]
+    else:
+        owner, found = F.min("doc_id").alias("first"), ["first", F.lit(None).cast("long")]
+    sums = chunks.groupBy("a", "b").agg(owner, F.count(F.lit(1)).alias("n_seen")).filter("n_seen > 1")
+    names = [(F.col(x) if isinstance(x, str) else x).alias(n) for x, n in zip(found, ("owner", "owner_hash"), strict=True)]
+    return materialise(sums.select("a", "b", *names, "n_seen"), "chunks")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, owner_id, start, end, n_chunks: runs of chunks that belong to an earlier text or place, with the id that owns most of the run's chunks; start and end in bytes."""
-    owners = chunk_owners(docs, id_col, text_col)
+    owners = chunk_owners(docs, id_col, text_col, _ids_repeat(docs, id_col))
     least = max(HOT, -(-(owners.agg(F.sum("n_seen")).first()[0] or 0) // MAX_HOT))
     keys = F.floor(F.col("n_seen") / least).cast("int")
     hot = owners.filter(F.col("n_seen") >= least).select("a", "b", keys.alias("keys"))
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), keys))).drop("n_seen")
     chunks = _chunks(docs, id_col, text_col).join(F.broadcast(hot), ["a", "b"], "left")
     chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
-    other = ((F.col("owner") != F.col("doc_id")) | (F.col("owner_hash") != F.col("text_hash"))).alias("other")
+    other = ((F.col("owner") != F.col("doc_id")) | F.coalesce(F.col("owner_hash") != F.col("text_hash"), F.lit(False))).alias("other")
     found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "owner", other, "a", "b").alias("chunk"))
-    per_doc = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("chunk")).alias("chunks")).drop("row")
+    per_doc = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks")).drop("row")
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
