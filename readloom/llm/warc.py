@@ -10,8 +10,9 @@ a null id makes a response, as nothing can refer to it; null urls are written as
 in a url are percent-encoded. Header fields are read by whole lines, so a url that quotes one changes nothing.
 Other columns of the input are ignored.
 
-A payload that very many records share is no skewed key: when records are written, the few hot addresses are broadcast;
-when they are read, a payload is repeated once for every ``HOT`` of its records and the records are dealt over these.
+A payload that very many records share is no skewed key. When records are written, those of the few hot addresses are
+dealt over several keys, to each of which the short entry of the payload goes; when they are read, a payload is repeated
+once for every ``HOT`` of its records.
 """
 
 from __future__ import annotations
@@ -45,11 +46,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     owners = spark.read.parquet(f"{path}/blobs").select("digest", "n_bytes", "owner", "n_records", "sha1")
     total = owners.agg(F.sum("n_records")).first()[0] or 0
-    hot = F.col("n_records") >= max(HOT, -(-total // MAX_HOT))
-    common = owners.filter(hot).select("digest", "n_bytes", F.struct("owner", "n_records", "sha1").alias("common"))
-    rows = rows.select("id", "url", *address).join(F.broadcast(common), ["digest", "n_bytes"], "left")
-    known = rows.filter("common IS NOT NULL").select("id", "url", "digest", "n_bytes", "common.*")
-    named = known.union(rows.filter("common IS NULL").join(owners.filter(~hot), ["digest", "n_bytes"]).select(known.columns))
+    least = max(HOT, -(-total // MAX_HOT))
+    keys = F.floor(F.col("n_records") / least).cast("int")
+    hot = owners.filter(F.col("n_records") >= least).select("digest", "n_bytes", keys.alias("keys"))
+    rows = rows.select("id", "url", *address).join(F.broadcast(hot), ["digest", "n_bytes"], "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("keys") + 1), F.lit(0)).cast("int"))
+    named = rows.join(owners.withColumn("salt", F.explode(F.sequence(F.lit(0), keys))), ["digest", "n_bytes", "salt"])
     revisit = (F.col("n_bytes") >= min_revisit) & (F.col("id") != F.col("owner"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "\r", "%0D"), "\n", "%0A")
     uri = lambda key: F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("none")), F.lit(">"))
