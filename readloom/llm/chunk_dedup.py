@@ -3,7 +3,9 @@
 A gear hash rolls over the bytes of each text: ``h = 2 h + gear[byte]`` modulo 2^16, so it depends on the last
 16 bytes. A chunk ends after a byte whose hash has ``CUT_BITS`` leading zeros, unless another such byte is among
 the ``MIN_GAP`` before it; boundaries therefore depend on nearby bytes alone and an insertion moves no
-boundary beyond its neighbourhood. Runs without a boundary are cut every ``MAX_CHUNK`` bytes, and cuts move
+boundary beyond its neighbourhood. Stretches of over ``LONG`` bytes without a boundary, as in a word said over and
+over, are cut after bytes whose hash is the least of ``SPAN`` and those before it; where such bytes come at a steady
+pace with one hash, several periods make a chunk. What is still longer is cut every ``MAX_CHUNK`` bytes. Cuts move
 forward to the start of a character. Chunks are equal when their 128-bit BLAKE2b digests are; the smallest id
 that holds a chunk owns it and every other occurrence is a repeat.
 
@@ -32,11 +34,32 @@ from readloom.llm.common import materialise, spread
 from readloom.llm.textbatch import mix, tidy
 
 CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_BYTES = 4, 12, 512, 128
+LONG, SPAN = 64, 32
 #: Occurrences of a chunk that share a key; at least so many (or 1 / MAX_HOT of all) make a chunk hot.
 HOT, MAX_HOT = 10_000, 4096
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def _least(h: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Cuts inside a stretch of the hashes that has no boundary."""
+    low = max(0, start - SPAN)
+    before = h[low:end]
+    for step in (1, 2, 4, 8, 16):  # the least of up to 32 hashes, the own one last
+        before = np.concatenate([before[:step], np.minimum(before[step:], before[:-step])])
+    at = np.flatnonzero(h[low:end] == before) + low
+    at = at[(at >= start + MIN_GAP) & (at < end - MIN_GAP)]
+    if len(at) < 2:
+        return at + 1
+    gaps = np.diff(at)
+    steady = (h[at[1:]] == h[at[:-1]]) & (gaps < SPAN)
+    steady[1:] &= (gaps[1:] == gaps[:-1]) | ~steady[:-1]
+    head = np.append(True, ~steady)  # a steady run's first byte
+    runs = np.cumsum(head) - 1
+    heads = np.flatnonzero(head)
+    pace = np.where(np.append(head[1:], True)[heads], SPAN, np.append(gaps, SPAN)[heads])
+    return at[(np.arange(len(at)) - heads[runs]) % -(-SPAN // pace[runs]) == 0] + 1
+
+
 def boundaries(data: bytes) -> np.ndarray:
     """End positions of the chunks, the last being the length of data."""
     if not data:
@@ -49,6 +72,11 @@ def boundaries(data: bytes) -> np.ndarray:
         h = h + shifted
     found = np.flatnonzero(h < np.uint16(1 << (16 - CUT_BITS))) + 1
     found = found[np.diff(found, prepend=-MAX_CHUNK) > MIN_GAP]
+    ends = np.append(found, len(raw))
+    bare = np.flatnonzero(np.diff(ends, prepend=0) > LONG)
+    if len(bare):
+        found = np.concatenate([found, *[_least(h, ends[i - 1] if i else 0, ends[i]) for i in bare]])
+        found.sort()
     starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of characters
     found = np.unique(np.append(starts[np.searchsorted(starts, found)], len(raw)))
     gaps = np.diff(found, prepend=0)

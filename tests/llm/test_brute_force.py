@@ -54,15 +54,33 @@ def test_packing_constraints(spark):
 # ---- op4 -------------------------------------------------------------------------------------------------------
 
 
+def _least(hashes: list[int], a: int, b: int) -> list[int]:
+    """Cuts in a stretch without a boundary, one byte after the other."""
+    span, gap = chunk_dedup.SPAN, chunk_dedup.MIN_GAP
+    at = [i for i in range(a + gap, b - gap) if hashes[i] == min(hashes[max(0, i - span + 1) : i + 1])]
+    same = [hashes[i] == hashes[j] and j - i < span for i, j in zip(at, at[1:], strict=False)]
+    steady = [x and (j == 0 or not same[j - 1] or at[j + 1] - at[j] == at[j] - at[j - 1]) for j, x in enumerate(same)]
+    out, n, every = [], 0, 1
+    for j, i in enumerate(at):
+        n += 1
+        if j == 0 or not steady[j - 1]:
+            n, every = 0, math.ceil(span / (at[j + 1] - i)) if j < len(steady) and steady[j] else 1
+        if n % every == 0:
+            out.append(i + 1)
+    return out
+
+
 def _chunks(data: bytes) -> list[tuple[int, int]]:
     """Byte by byte: the hash of the last 16 bytes decides."""
-    gear, h, found, last = [int(x) for x in chunk_dedup.GEAR], 0, [], None
+    gear, h, found, last, hashes = [int(x) for x in chunk_dedup.GEAR], 0, [], None, []
     for i, c in enumerate(data):
         h = (2 * h + gear[c]) & 0xFFFF
+        hashes.append(h)
         if h < 1 << (16 - chunk_dedup.CUT_BITS):
             if last is None or i + 1 - last > chunk_dedup.MIN_GAP:
                 found.append(i + 1)
             last = i + 1
+    found += [q for a, b in zip([0, *found], [*found, len(data)], strict=True) if b - a > chunk_dedup.LONG for q in _least(hashes, a, b)]
     forward = lambda p: next(q for q in range(p, len(data) + 1) if q == len(data) or data[q] & 0xC0 != 0x80)
     ends = sorted({forward(p) for p in found} | {len(data)})
     forced = [q for a, b in zip([0, *ends], ends, strict=False) if b - a > chunk_dedup.MAX_CHUNK for q in range(a + chunk_dedup.MAX_CHUNK, b, chunk_dedup.MAX_CHUNK)]
@@ -100,7 +118,7 @@ def test_chunk_dedup_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(chunk_dedup, "HOT", hot)
     rows = [(r.doc_id, r.text) for r in _documents(spark).collect()]
     long = max((t or "" for _, t in rows), key=len)
-    rows += [(7, long + " tail"), (7, "head é " + long), (7, "head é " + long), (900, "x" * 3000), (901, "é" * 2000), (902, ""), (903, None), (None, long)]
+    rows += [(7, long + " tail"), (7, "head é " + long), (7, "head é " + long), (900, "x" * 3000), (901, "é" * 2000), (904, "who is the the " + "the " * 90 + "end"), (905, "a to " + "the " * 70), (906, "é ü " * 80), (907, "one é ü " + "é ü " * 70), (902, ""), (903, None), (None, long)]
     got = chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(tuple(r) for r in got.collect()) == _spans(rows, chunk_dedup.MIN_BYTES)
 
@@ -225,6 +243,20 @@ def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
     assert [r.ids for r in got] == [t.encode(x or "", add_special_tokens=False).ids + [2] for _, x in rows]
 
 
+def test_words_said_over_and_over(spark):
+    """They are found wherever they begin, although they may hold no boundary."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    texts = {}
+    for i in range(40):
+        said = " ".join([word()[: rnd.randint(2, 6)] for _ in range(rnd.randint(1, 3))])
+        for side in (0, 1):
+            head, tail = (" ".join(word() for _ in range(rnd.randint(20, 40))) for _ in "ab")
+            texts[2 * i + side] = f"{head} {' '.join([said] * rnd.randint(60, 90))} {tail}"
+    got = chunk_dedup.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.owner_id == r.doc_id - 1} == {k for k in texts if k % 2}
+
+
 def test_digests_are_blake2b():
     data = random.Random(1).randbytes(4000)
     ends, digests = chunk_dedup.chunk_digests(data)
