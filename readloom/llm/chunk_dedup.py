@@ -11,10 +11,11 @@ that holds a chunk owns it and every other occurrence is a repeat.
 
 Only digests of chunks travel, first to find owners (summed inside map tasks), then to meet them again. A chunk that
 very many texts hold is dealt over several keys in that join, its owner repeated for each. A row's chunks then meet in
-its runs; they are about as large as its text. Runs of neighbouring repeats of at least ``min_bytes`` are reported.
+its runs; they are about as large as its text. A common passage ends somewhere in the chunks beside its run, so a run
+of ``min_bytes`` is reported if ``min_words`` words touch it, these two chunks and a few bytes more, or if it has ``long_bytes`` itself.
 
-Rules: null and empty texts have no chunks; repeats within one text count when they follow the first occurrence;
-rows with a null id are not compared. Of rows with equal id and different texts, the one with the smaller hash of its
+Rules: null and empty texts have no chunks; repeats within one text lengthen a run when they follow the first
+occurrence, and are reported by themselves with ``within`` only; rows with a null id are not compared. Of rows with equal id and different texts, the one with the smaller hash of its
 text comes first; rows with equal id and text are one document, met twice: each has the same runs.
 """
 
@@ -33,8 +34,12 @@ from pyspark.sql import functions as F
 from readloom.llm.common import materialise, spread
 from readloom.llm.textbatch import mix, tidy
 
-CUT_BITS, MIN_GAP, MAX_CHUNK, MIN_BYTES = 4, 12, 512, 128
+CUT_BITS, MIN_GAP, MAX_CHUNK = 4, 12, 512
 LONG, SPAN = 64, 32
+#: Passages of over 50 words; bytes decide where a text has no blanks.
+MIN_BYTES, MIN_WORDS, LONG_BYTES = 64, 51, 1024
+#: How far into a passage what stands before it can move a cut, in bytes: the hash's memory and ``MIN_GAP``.
+SLACK = 16 + MIN_GAP
 #: Occurrences of a chunk that share a key; at least so many (or 1 / MAX_HOT of all) make a chunk hot.
 HOT, MAX_HOT = 10_000, 4096
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -96,8 +101,19 @@ def chunk_digests(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.frombuffer(b"".join(joined), np.int64).reshape(-1, 2)
 
 
+def reach(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk the number of the first word that touches it, the chunk before or ``SLACK`` more bytes, and of the first one behind the next chunk and so much more."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
+    begins = inside & ~np.append(False, inside[:-1])
+    count = np.append(0, np.cumsum(begins, dtype=np.int32))
+    starts = np.maximum(np.append([0, 0], ends)[: len(ends)] - SLACK, 0)
+    behind = np.minimum(np.append(ends, ends[-1:])[1:] + SLACK, len(raw))
+    return count[starts] - (inside & ~begins)[starts], count[behind]
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (its number), doc_id, text_hash, a, b (halves of the digest), i, start and end (the chunk's place in the text)."""
+    """row (its number), doc_id, text_hash, a, b (halves of the digest), i, start and end (the chunk's place in the text), low and high (its reach in words)."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +129,10 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
                 digests, ends = np.concatenate([d for _, d in parts]), np.concatenate([e for e, _ in parts])
                 starts = np.concatenate([np.append(0, e[:-1]) if len(e) else e for e, _ in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(hashes, n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["row", "doc_id", "text_hash", "a", "b", "i", "start", "end"])
+                low_word, high_word = (np.concatenate(x) for x in zip(*[reach(t, e) for t, (e, _) in zip(texts, parts, strict=True)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(hashes, n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), *[pa.array(x.astype(np.int32)) for x in (starts, ends, low_word, high_word)]], names=["row", "doc_id", "text_hash", "a", "b", "i", "start", "end", "low", "high"])
 
-    return rows.mapInArrow(tidy(cut), "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int")
+    return rows.mapInArrow(tidy(cut), "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int, low int, high int")
 
 
 def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
@@ -138,8 +155,12 @@ def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialise(sums.select("a", "b", *names, "n_seen"), "chunks")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, owner_id, start, end, n_chunks: runs of chunks that belong to an earlier text or place, with the id that owns most of the run's chunks; start and end in bytes."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, long_bytes: int = LONG_BYTES, within: bool = False) -> DataFrame:
+    """doc_id, owner_id, start, end, n_chunks: runs of chunks that belong to an earlier text or place; start and end in bytes.
+
+    owner_id is the id of the earlier text that owns most of the run's chunks (the smallest of equals), or the text's own
+    if it repeats itself only.
+    """
     owners = chunk_owners(docs, id_col, text_col, _ids_repeat(docs, id_col))
     least = max(HOT, -(-(owners.agg(F.sum("n_seen")).first()[0] or 0) // MAX_HOT))
     keys = F.floor(F.col("n_seen") / least).cast("int")
@@ -148,7 +169,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = _chunks(docs, id_col, text_col).join(F.broadcast(hot), ["a", "b"], "left")
     chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
     other = ((F.col("owner") != F.col("doc_id")) | F.coalesce(F.col("owner_hash") != F.col("text_hash"), F.lit(False))).alias("other")
-    found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "owner", other, "a", "b").alias("chunk"))
+    found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "low", "high", "owner", other, "a", "b").alias("chunk"))
     per_doc = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks")).drop("row")
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +180,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for c in chunks:
                     again = c["other"] or (c["a"], c["b"]) in seen
                     seen.add((c["a"], c["b"]))
-                    if again and runs and runs[-1][2] == c["i"] - 1:
-                        run = runs[-1]
-                        run[1], run[2] = c["end"], c["i"]
-                        run[3][c["owner"]] = run[3].get(c["owner"], 0) + 1
-                    elif again:
-                        runs.append([c["start"], c["end"], c["i"], {c["owner"]: 1}])
-                for start, end, _, owned in runs:
-                    if end - start >= min_bytes:
-                        out.append({"doc_id": doc, "owner_id": max(owned, key=lambda k: (owned[k], -k)), "start": start, "end": end, "n_chunks": sum(owned.values())})
+                    if not again:
+                        continue
+                    if not runs or runs[-1]["last"] != c["i"] - 1:
+                        runs.append({"start": c["start"], "low": c["low"], "foreign": 0, "owners": {}})
+                    run, whose = runs[-1], (c["other"], c["owner"])
+                    run |= {"end": c["end"], "last": c["i"], "high": c["high"]}
+                    run["foreign"] += c["other"] * (c["end"] - c["start"])
+                    run["owners"][whose] = run["owners"].get(whose, 0) + 1
+                for run in runs:
+                    size, owners = run["end"] - run["start"], run["owners"]
+                    if (size if within else run["foreign"]) >= min_bytes and (run["high"] - run["low"] >= min_words or size >= long_bytes):
+                        first = max(owners, key=lambda k: (k[0], owners[k], -k[1]))
+                        out.append({"doc_id": doc, "owner_id": first[1], "start": run["start"], "end": run["end"], "n_chunks": sum(owners.values())})
             yield pa.RecordBatch.from_pylist(out, schema=SPANS)
 
     return per_doc.mapInArrow(tidy(join_runs), "doc_id long, owner_id long, start int, end int, n_chunks int")

@@ -88,7 +88,7 @@ def _chunks(data: bytes) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends, strict=False))
 
 
-def _spans(rows, least):
+def _spans(rows, within):
     cut = [(k, t.encode(), xxhash.xxh3_64_intdigest(t.encode())) for k, t in rows if k is not None and t]
     cut = [(k, d, h - (1 << 64) if h >> 63 else h, _chunks(d)) for k, d, h in cut]
     first, n = {}, Counter()
@@ -98,18 +98,25 @@ def _spans(rows, least):
             first[x], n[x] = min(first.get(x, (k, h)), (k, h)), n[x] + 1
     out = []
     for k, d, h, parts in cut:
-        seen, runs, before = set(), [], None
+        seen, runs = set(), []
         for i, (a, b) in enumerate(parts):
             x = d[a:b]
             if n[x] > 1 and (first[x] != (k, h) or x in seen):
-                if runs and before == i - 1:
-                    runs[-1][1] = b
-                    runs[-1][2].append(first[x][0])
-                else:
-                    runs.append([a, b, [first[x][0]]])
-                before = i
+                if not runs or runs[-1][-1] != i - 1:
+                    runs.append([])
+                runs[-1].append(i)
             seen.add(x)
-        out += [(k, min(-c for c in [-v for v, m in Counter(o).items() if m == max(Counter(o).values())]), a, b, len(o)) for a, b, o in runs if b - a >= least]
+        for run in runs:
+            a, b = parts[run[0]][0], parts[run[-1]][1]
+            owners = [first[d[slice(*parts[i])]] for i in run]
+            foreign = [o[0] for o in owners if o != (k, h)]
+            size = b - a if within else sum(parts[i][1] - parts[i][0] for i, o in zip(run, owners, strict=True) if o != (k, h))
+            low, high = parts[max(run[0] - 1, 0)][0], parts[min(run[-1] + 1, len(parts) - 1)][1]
+            low, high = low - chunk_dedup.SLACK, high + chunk_dedup.SLACK
+            words = sum(m.start() < high and m.end() > low for m in re.finditer(rb"[^\x20\x09-\x0D]+", d))
+            if size >= chunk_dedup.MIN_BYTES and (words >= chunk_dedup.MIN_WORDS or b - a >= chunk_dedup.LONG_BYTES):
+                most = Counter(foreign or [k])
+                out.append((k, min(o for o in most if most[o] == max(most.values())), a, b, len(run)))
     return sorted(out)
 
 
@@ -119,8 +126,10 @@ def test_chunk_dedup_equals_brute_force(spark, monkeypatch, hot):
     rows = [(r.doc_id, r.text) for r in _documents(spark).collect()]
     long = max((t or "" for _, t in rows), key=len)
     rows += [(7, long + " tail"), (7, "head é " + long), (7, "head é " + long), (900, "x" * 3000), (901, "é" * 2000), (904, "who is the the " + "the " * 90 + "end"), (905, "a to " + "the " * 70), (906, "é ü " * 80), (907, "one é ü " + "é ü " * 70), (902, ""), (903, None), (None, long)]
-    got = chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert sorted(tuple(r) for r in got.collect()) == _spans(rows, chunk_dedup.MIN_BYTES)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for within in (False, True):
+        got = chunk_dedup.repeated_spans(docs, within=within)
+        assert sorted(tuple(r) for r in got.collect()) == _spans(rows, within)
 
 
 def test_short_words_and_spans(spark):
@@ -128,13 +137,13 @@ def test_short_words_and_spans(spark):
     word = lambda n: "".join(rnd.choice("abcdefghijklm") for _ in range(n))
     texts, passages = {}, {}
     for p in range(40):
-        passages[p] = " ".join(word(4) for _ in range(60))
+        passages[p] = " ".join(word(4) for _ in range(51))
         for side in (0, 1):
             texts[2 * p + side] = f"{' '.join(word(6) for _ in range(30))} {passages[p]} {' '.join(word(6) for _ in range(30))}"
     spans = {}
     for r in chunk_dedup.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
         spans.setdefault(r.doc_id, []).append((r.start, r.end))
-    assert all(k % 2 for k in spans) and len(spans) >= 39
+    assert set(spans) == {k for k in texts if k % 2}
     left = chunk_dedup.remove_spans(texts[1], spans[1])
     assert len(left) < len(texts[1]) - 128 and texts[1].startswith(left[:100])
     assert chunk_dedup.remove_spans("abécd", [(1, 4), (2, 5)]) == "ad" and chunk_dedup.remove_spans(None, []) is None
