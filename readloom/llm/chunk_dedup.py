@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,24 +46,27 @@ HOT, MAX_HOT = 10_000, 4096
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _least(h: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Cuts inside a stretch of the hashes that has no boundary."""
-    low = max(0, start - SPAN)
-    before = h[low:end]
-    for step in (1, 2, 4, 8, 16):  # the least of up to 32 hashes, the own one last
-        before = np.concatenate([before[:step], np.minimum(before[step:], before[:-step])])
-    at = np.flatnonzero(h[low:end] == before) + low
-    at = at[(at >= start + MIN_GAP) & (at < end - MIN_GAP)]
-    if len(at) < 2:
-        return at + 1
+def _least(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Cuts inside stretches of the hashes that have no boundary."""
+    low = np.maximum(starts - SPAN, 0)
+    sizes = ends - low
+    place = np.repeat(low - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+    own = least = h[place]
+    for step in (1, 2, 4, 8, 16):  # of 32 hashes, the own one last; the first of a stretch, which see less, are not used
+        least = np.concatenate([least[:step], np.minimum(least[step:], least[:-step])])
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    found = np.flatnonzero((own == least) & (place >= starts[which] + MIN_GAP) & (place < ends[which] - MIN_GAP))
+    at, own, which = place[found], own[found], which[found]
+    if not len(at):
+        return at
     gaps = np.diff(at)
-    steady = (h[at[1:]] == h[at[:-1]]) & (gaps < SPAN)
-    steady[1:] &= (gaps[1:] == gaps[:-1]) | ~steady[:-1]
+    same = (own[1:] == own[:-1]) & (gaps < SPAN) & (which[1:] == which[:-1])
+    steady = same.copy()
+    steady[1:] &= (gaps[1:] == gaps[:-1]) | ~same[:-1]
     head = np.append(True, ~steady)  # a steady run's first byte
-    runs = np.cumsum(head) - 1
-    heads = np.flatnonzero(head)
-    pace = np.where(np.append(head[1:], True)[heads], SPAN, np.append(gaps, SPAN)[heads])
-    return at[(np.arange(len(at)) - heads[runs]) % -(-SPAN // pace[runs]) == 0] + 1
+    heads, run = np.flatnonzero(head), np.cumsum(head) - 1
+    pace = np.append(np.where(steady, gaps, SPAN), SPAN)[heads]
+    return at[(np.arange(len(at)) - heads[run]) % -(-SPAN // pace[run]) == 0] + 1
 
 
 def boundaries(data: bytes) -> np.ndarray:
@@ -77,11 +81,10 @@ def boundaries(data: bytes) -> np.ndarray:
         h = h + shifted
     found = np.flatnonzero(h < np.uint16(1 << (16 - CUT_BITS))) + 1
     found = found[np.diff(found, prepend=-MAX_CHUNK) > MIN_GAP]
-    ends = np.append(found, len(raw))
-    bare = np.flatnonzero(np.diff(ends, prepend=0) > LONG)
+    edges = np.concatenate([[0], found, [len(raw)]])
+    bare = np.flatnonzero(np.diff(edges) > LONG)
     if len(bare):
-        found = np.concatenate([found, *[_least(h, ends[i - 1] if i else 0, ends[i]) for i in bare]])
-        found.sort()
+        found = np.sort(np.append(found, _least(h, edges[bare], edges[bare + 1])))
     starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of characters
     found = np.unique(np.append(starts[np.searchsorted(starts, found)], len(raw)))
     gaps = np.diff(found, prepend=0)
@@ -112,8 +115,8 @@ def reach(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return count[starts] - (inside & ~begins)[starts], count[behind]
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (its number), doc_id, text_hash, a, b (halves of the digest), i, start and end (the chunk's place in the text), low and high (its reach in words)."""
+def _chunks(docs: DataFrame, id_col: str, text_col: str, places: bool) -> DataFrame:
+    """row (its number), doc_id, text_hash, a, b (halves of the digest); with places i, start and end (the chunk's place in the text), low and high (its reach in words)."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +130,16 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not sum(n):
                     continue
                 hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-                digests, ends = np.concatenate([d for _, d in parts]), np.concatenate([e for e, _ in parts])
-                starts = np.concatenate([np.append(0, e[:-1]) if len(e) else e for e, _ in parts])
-                low_word, high_word = (np.concatenate(x) for x in zip(*[reach(t, e) for t, (e, _) in zip(texts, parts, strict=True)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(hashes, n)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), *[pa.array(x.astype(np.int32)) for x in (starts, ends, low_word, high_word)]], names=["row", "doc_id", "text_hash", "a", "b", "i", "start", "end", "low", "high"])
+                digests = np.concatenate([d for _, d in parts])
+                out = [np.repeat(numbers, n), np.repeat(keys, n), np.repeat(hashes, n), digests[:, 0].copy(), digests[:, 1].copy()]
+                if places:
+                    starts = [np.append(0, e[:-1]) if len(e) else e for e, _ in parts]
+                    words = zip(*[reach(t, e) for t, (e, _) in zip(texts, parts, strict=True)], strict=True)
+                    out += [np.concatenate(x).astype(np.int32) for x in ([np.arange(k) for k in n], starts, [e for e, _ in parts], *words)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
-    return rows.mapInArrow(tidy(cut), "row long, doc_id long, text_hash long, a long, b long, i int, start int, end int, low int, high int")
+    names = ["row", "doc_id", "text_hash", "a", "b"] + ["i", "start", "end", "low", "high"] * places
+    return rows.mapInArrow(tidy(cut), ", ".join(f"{x} {'int' if k > 4 else 'long'}" for k, x in enumerate(names)))
 
 
 def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
@@ -144,7 +151,7 @@ def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     If no id repeats, ids alone decide, and the sums need no sort; owner_hash is null then.
     """
-    chunks = _chunks(docs, id_col, text_col)
+    chunks = _chunks(docs, id_col, text_col, False)
     if ids_repeat:
         owner = F.min(F.struct("doc_id", "text_hash")).alias("first")
         found = ["first.doc_id", "first.text_hash"]
@@ -155,6 +162,11 @@ def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialise(sums.select("a", "b", *names, "n_seen"), "chunks")
 
 
+def _equal(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row but the first equals the one before it."""
+    return np.logical_and.reduce([x[1:] == x[:-1] for x in columns])
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS, long_bytes: int = LONG_BYTES, within: bool = False) -> DataFrame:
     """doc_id, owner_id, start, end, n_chunks: runs of chunks that belong to an earlier text or place; start and end in bytes.
 
@@ -166,7 +178,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = F.floor(F.col("n_seen") / least).cast("int")
     hot = owners.filter(F.col("n_seen") >= least).select("a", "b", keys.alias("keys"))
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), keys))).drop("n_seen")
-    chunks = _chunks(docs, id_col, text_col).join(F.broadcast(hot), ["a", "b"], "left")
+    chunks = _chunks(docs, id_col, text_col, True).join(F.broadcast(hot), ["a", "b"], "left")
     chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
     other = ((F.col("owner") != F.col("doc_id")) | F.coalesce(F.col("owner_hash") != F.col("text_hash"), F.lit(False))).alias("other")
     found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "low", "high", "owner", other, "a", "b").alias("chunk"))
@@ -174,33 +186,38 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen, runs = set(), []
-                for c in chunks:
-                    again = c["other"] or (c["a"], c["b"]) in seen
-                    seen.add((c["a"], c["b"]))
-                    if not again:
-                        continue
-                    if not runs or runs[-1]["last"] != c["i"] - 1:
-                        runs.append({"start": c["start"], "low": c["low"], "foreign": 0, "owners": {}})
-                    run, whose = runs[-1], (c["other"], c["owner"])
-                    run |= {"end": c["end"], "last": c["i"], "high": c["high"]}
-                    run["foreign"] += c["other"] * (c["end"] - c["start"])
-                    run["owners"][whose] = run["owners"].get(whose, 0) + 1
-                for run in runs:
-                    size, owners = run["end"] - run["start"], run["owners"]
-                    if (size if within else run["foreign"]) >= min_bytes and (run["high"] - run["low"] >= min_words or size >= long_bytes):
-                        first = max(owners, key=lambda k: (k[0], owners[k], -k[1]))
-                        out.append({"doc_id": doc, "owner_id": first[1], "start": run["start"], "end": run["end"], "n_chunks": sum(owners.values())})
-            yield pa.RecordBatch.from_pylist(out, schema=SPANS)
+            flat = batch.column(1).flatten()
+            c = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            c["row"] = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column(1)).to_numpy())
+            seen = np.zeros(len(flat), bool)
+            order = np.lexsort((c["i"], c["b"], c["a"], c["row"]))
+            seen[order[1:]] = _equal(*(c[x][order] for x in ("row", "a", "b")))
+            c = {k: x[c["other"] | seen] for k, x in c.items()}
+            if not len(c["row"]):
+                continue
+            doc = batch.column(0).to_numpy()[c["row"]]
+            head = np.append(True, (np.diff(c["row"]) != 0) | (np.diff(c["i"]) != 1))
+            heads, run = np.flatnonzero(head), np.cumsum(head) - 1
+            tails = np.append(heads[1:], len(run)) - 1
+            start, end = c["start"][heads], c["end"][tails]
+            counted = end - start if within else np.add.reduceat(c["other"] * (c["end"] - c["start"]), heads)
+            keep = (counted >= min_bytes) & ((c["high"][tails] - c["low"][heads] >= min_words) | (end - start >= long_bytes))
+            if not keep.any():
+                continue
+            c = {"run": run[keep[run]], "other": c["other"][keep[run]], "owner": c["owner"][keep[run]]}
+            order = np.lexsort((c["owner"], c["other"], c["run"]))
+            c = {k: x[order] for k, x in c.items()}
+            groups = np.flatnonzero(np.append(True, ~_equal(*c.values())))
+            n = np.diff(np.append(groups, len(order)))
+            c = {k: x[groups] for k, x in c.items()}
+            order = np.lexsort((~c["owner"], n, c["other"], c["run"]))
+            best = order[np.append(np.diff(c["run"][order]) != 0, True)]
+            out = [doc[heads][keep], c["owner"][best], start[keep], end[keep], (tails - heads + 1)[keep].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "owner_id", "start", "end", "n_chunks"])
 
     return per_doc.mapInArrow(tidy(join_runs), "doc_id long, owner_id long, start int, end int, n_chunks int")
 
 
-SPANS = pa.schema([("doc_id", pa.int64()), ("owner_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_chunks", pa.int32())])
-
-
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the given byte ranges."""
     if text is None:
