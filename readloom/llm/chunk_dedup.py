@@ -173,15 +173,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     owner_id is the id of the earlier text that owns most of the run's chunks (the smallest of equals), or the text's own
     if it repeats itself only.
     """
-    owners = chunk_owners(docs, id_col, text_col, _ids_repeat(docs, id_col))
+    ids_repeat = _ids_repeat(docs, id_col)
+    owners = chunk_owners(docs, id_col, text_col, ids_repeat)
     least = max(HOT, -(-(owners.agg(F.sum("n_seen")).first()[0] or 0) // MAX_HOT))
     keys = F.floor(F.col("n_seen") / least).cast("int")
     hot = owners.filter(F.col("n_seen") >= least).select("a", "b", keys.alias("keys"))
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), keys))).drop("n_seen")
     chunks = _chunks(docs, id_col, text_col, True).join(F.broadcast(hot), ["a", "b"], "left")
     chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
-    other = ((F.col("owner") != F.col("doc_id")) | F.coalesce(F.col("owner_hash") != F.col("text_hash"), F.lit(False))).alias("other")
-    found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "low", "high", "owner", other, "a", "b").alias("chunk"))
+    other = F.col("owner") != F.col("doc_id")
+    if ids_repeat:  # else the texts' hashes need not travel
+        other |= F.col("owner_hash") != F.col("text_hash")
+    found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "low", "high", "owner", other.alias("other"), "a", "b").alias("chunk"))
     per_doc = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks")).drop("row")
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
