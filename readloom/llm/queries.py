@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import bitpack, chunk_dedup, exact_dedup, interpolation, jaccard, language, mixing, packing, quality, warc
+from readloom.llm import bitpack, chunk_dedup, conversations, exact_dedup, interpolation, jaccard, language, mixing, packing, quality, sharding, vector_codes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_token_ids": bitpack.op9_token_ids,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_shard": sharding.op12_shard,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
-SQL = warc.SQL | mixing.SQL | exact_dedup.SQL
+SQL = warc.SQL | mixing.SQL | exact_dedup.SQL | conversations.SQL | sharding.SQL | vector_codes.SQL
