@@ -39,6 +39,39 @@ def without_ambiguity(seq: Column) -> Column:
     return F.regexp_replace(F.upper(seq), "[^ACGT]", "A")
 
 
+def _in_longs(seq: Column, digits: str) -> Column:
+    n = F.ceil(F.length(seq) / 32).cast("int")
+    places = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    known = F.regexp_replace(seq, "[^ACGT]", "N")
+    return F.transform(places, lambda i: F.conv(F.translate(F.substring(known, i * 32 + 1, F.lit(32)), "ACGTN", digits), 4, -10).cast("long"))
+
+
+def packed(seq: Column) -> Column:
+    """Two bits a base, 32 bases a long, the last long filled up in front; letters other than A, C, G, T as A."""
+    return _in_longs(seq, "01230")
+
+
+def wild_bits(seq: Column) -> Column:
+    """The lower of the two bits is set for letters other than A, C, G, T."""
+    return _in_longs(seq, "00001")
+
+
+def wild_letters(seq: Column) -> Column:
+    """How many letters are none of A, C, G, T."""
+    return F.length(F.regexp_replace(seq, "[ACGT]+", ""))
+
+
+def mismatches(a: Column, b: Column, wild: Column) -> Column:
+    """In how many places two packed sequences of one length differ, those not counted that are set in wild (an array of longs)."""
+    odd = F.lit(0x5555555555555555)
+
+    def differ(i: Column) -> Column:
+        x = F.get(a, i).bitwiseXOR(F.get(b, i))
+        return F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd).bitwiseAND(F.bitwise_not(F.get(wild, i))))
+
+    return F.when(F.size(a) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(0), lambda acc, i: acc + differ(i)))
+
+
 def _words(seq: Column, k: int, count: Column, step: int) -> Column:
     places = F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.substring(seq, i * step + 1, F.lit(k)))

@@ -1,8 +1,22 @@
 """Similarity join of unique reads with reference windows.
 
-With at most e = floor((1 - s) L) differences, one of e + 1 equal pieces of a read occurs unchanged in the window
-(pigeonhole), so an equi-join on pieces finds every candidate; each is then compared in full. Unlike a heuristic
-aligner this loses nothing. The best hit of a read is the one with the fewest differences, then the lowest position.
+A read may differ from a window in at most e = floor((1 - s) L) places. Of e + 1 words of the read that do not overlap
+one occurs unchanged in such a window (pigeonhole), so an equi-join on words finds every candidate; each is then compared
+in full. Unlike a heuristic aligner this loses nothing. The best hit of a read is the one with the fewest differences, then
+the lowest position.
+
+Words. The references' places are written once, with the letters that follow; a seed of q letters joins on the first q
+of them (packed in a long), where q is one of ``SEED_SIZES``, the largest of which e + 1 fit into the read. So what is
+written does not grow with the number of read lengths.
+
+Rarity. Which words of a read are its seeds is chosen by dynamic programming: of all ways to place e + 1 words without
+overlap the one whose words are rarest in the references, by counts in ``BUCKETS`` buckets. A bucket with more than
+``HOT`` places or seeds is dealt over so many keys that each has about ``HOT`` of either (repeats, a common primer).
+
+Wild letters. A letter other than A, C, G, T, in the read or the window, costs nothing; in at most ``WILD_SHARE`` of the
+read's letters either may be wild. Seeds have no wild letters. Reference words of up to ``SPELT`` wild letters are
+spelt out; a window with more of them in a word is searched once more with floor(wild / (SPELT + 1)) seeds more, as each
+of those it spoils takes that many wild letters.
 """
 
 from __future__ import annotations
@@ -11,80 +25,265 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.sequences import reverse_complement
+from readloom.functions.sequences import mismatches, packed, reverse_complement, wild_bits, wild_letters
 from readloom.tables import materialise
 
+#: Letters of a seed; with 0 a read of too few clean letters meets every place.
+SEED_SIZES = (16, 8, 4, 2, 1, 0)
+#: So many counts for each size of seed go to all tasks (a prime below 2^20; up to ten letters each word has its own).
+BUCKETS = 1_048_573
+HOT = 4096
+WILD_SHARE = 0.15
+SPELT = 2
+
+
+def _allowed(length: Column, share: float) -> Column:
+    return F.floor(F.lit(share) * length + 1e-9).cast("int")
+
+
+def _places(refs: DataFrame) -> DataFrame:
+    """ref_id, at, word: every place of the references and up to 16 letters from there, written once."""
+    rows = refs.filter("seq <> ''").select("ref_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("at"))
+    return materialise(rows.select("ref_id", "at", F.substring("seq", F.col("at") + 1, F.lit(SEED_SIZES[0])).alias("word")), "places")
+
+
+def _words(places: DataFrame, sizes: list[int]) -> DataFrame:
+    """q, word (packed), ref_id, at for each size; up to SPELT wild letters are spelt out."""
+    rows = places.select("ref_id", "at", F.explode(F.array(*map(F.lit, sizes))).alias("q"), "word").withColumn("word", F.expr("left(word, q)"))
+    rows = rows.filter(F.length("word") == F.col("q")).filter(wild_letters(F.col("word")) <= SPELT)
+    for _ in range(SPELT):
+        clean = F.length(F.regexp_extract("word", "^[ACGT]*", 0))
+        rows = rows.withColumn("spelt", F.explode(F.when(clean < F.col("q"), F.array(*map(F.lit, "ACGT"))).otherwise(F.array(F.lit("")))))
+        rows = rows.withColumn("word", F.when(F.col("spelt") == "", F.col("word")).otherwise(F.concat(F.expr("left(word, length(regexp_extract(word, '^[ACGT]*', 0)))"), "spelt", F.expr("substring(word, length(regexp_extract(word, '^[ACGT]*', 0)) + 2)"))))
+    number = F.when(F.col("q") == 0, F.lit(0)).otherwise(F.conv(F.translate("word", "ACGT", "0123"), 4, 10).cast("long"))
+    return rows.select("q", number.alias("word"), "ref_id", "at")
 
-def _read_pieces(reads: DataFrame, similarity: float) -> DataFrame:
-    e = F.floor(F.lit(1 - similarity) * F.length("seq") + 1e-9).cast("int")
-    rows = reads.filter("seq <> ''").select("seq", e.alias("e")).withColumn("k", F.floor(F.length("seq") / (F.col("e") + 1)).cast("int"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
-    return rows.select("seq", "e", "k", (F.col("i") * F.col("k")).alias("off"), F.substring("seq", F.col("i") * F.col("k") + 1, F.col("k")).alias("piece"))
 
+def _bucket() -> Column:
+    return F.pmod("word", F.lit(BUCKETS)).cast("int").alias("bucket")
 
-def _ref_pieces(refs: DataFrame, sizes: list[int]) -> DataFrame:
-    """All words of the references, for each length that a read's piece has (at most as many as the longest read has bases)."""
-    rows = refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("n"))
-    rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).filter("n >= k")
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))))
-    return rows.select("ref_id", "k", "at", F.substring("ref", F.col("at") + 1, F.col("k")).alias("piece"))
 
+def _bucket_counts(words: DataFrame, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each size the number of reference words by bucket: at most sizes x BUCKETS rows reach the driver, as columns."""
+    table = words.groupBy("q", _bucket()).count().toArrow()
+    q, bucket, n = (table[c].to_numpy() for c in ("q", "bucket", "count"))
+    counts = {size: np.zeros(BUCKETS, np.int64) for size in sizes}
+    for size in sizes:
+        counts[size][bucket[q == size]] = n[q == size]
+    return counts
 
-def candidates(reads: DataFrame, refs: DataFrame, similarity: float) -> DataFrame:
-    """seq, e, ref_id, start (0-based, where an ungapped placement would begin)."""
-    reads = materialise(reads.select("seq"), "unique")  # read twice
-    pieces = _read_pieces(reads, similarity)
-    words = _ref_pieces(refs, sorted(r["k"] for r in pieces.select("k").distinct().collect()))
-    return pieces.join(words, ["k", "piece"]).select("seq", "e", "ref_id", (F.col("at") - F.col("off")).alias("start")).distinct()
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """Texts of one length as numbers 0 to 3, other letters as 4."""
+    table = np.full(256, 4, np.uint8)
+    table[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    return table[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), -1)]
+
+
+def rarest_words(codes: np.ndarray, q: int, m: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the places of the m words of q letters, none overlapping another or with a wild letter, whose counts add up to least.
+
+    Also their packed words, and whether there are so many.
+    """
+    n, length = codes.shape
+    spots = length - q + 1
+    words, wild = np.zeros((n, spots), np.int64), np.zeros((n, spots), bool)
+    for i in range(q):
+        words = words * 4 + (codes[:, i : i + spots] & 3)
+        wild |= codes[:, i : i + spots] > 3
+    cost = np.where(wild, np.inf, counts[words % BUCKETS] + 1.0)
+    least, taken = np.zeros((n, length + 1)), []
+    for _ in range(m):  # least[:, j]: the sum for words inside the first j letters
+        new, take = np.full((n, length + 1), np.inf), np.zeros((n, length + 1), bool)
+        for j in range(q, length + 1):
+            ending = least[:, j - q] + cost[:, j - q]
+            take[:, j] = ending < new[:, j - 1]
+            new[:, j] = np.minimum(new[:, j - 1], ending)
+        least = new
+        taken.append(take)
+    found, rows = np.isfinite(least[:, length]), np.arange(n)
+    places, end = np.zeros((n, m), np.int64), np.full(n, length)
+    for t in reversed(range(m)):
+        for _ in range(length):
+            back = found & ~taken[t][rows, end] & (end > 0)
+            if not back.any():
+                break
+            end = end - back
+        end = np.where(found, end - q, 0)
+        places[:, t] = end
+    return places, words[rows[:, None], np.where(found[:, None], places, 0)], found
+
+
+def _seeds(reads: DataFrame, counts: dict[int, np.ndarray]) -> DataFrame:
+    """seq, e, off, q, word: the seeds of reads (seq, e, m); of a read without m clean words of any size one of no letters."""
+    sent = reads.sparkSession.sparkContext.broadcast(counts)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, ms, shapes = batch.column(0).to_pylist(), batch.column(2).to_pylist(), {}
+            for i, (seq, m) in enumerate(zip(seqs, ms, strict=True)):
+                shapes.setdefault((len(seq), m), []).append(i)
+            for (length, m), rows in shapes.items():
+                left = np.array(rows)
+                for q in sorted(sent.value, reverse=True):
+                    if not len(left) or q * m > length:
+                        continue
+                    if q:
+                        places, words, found = rarest_words(_codes([seqs[i] for i in left]), q, m, sent.value[q])
+                    else:
+                        places = words = np.zeros((len(left), 1), np.int64)
+                        found = np.ones(len(left), bool)
+                    some, each = left[found], places.shape[1]
+                    if len(some):
+                        of = pa.array(np.repeat(some, each))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(places[found].ravel(), pa.int32()), pa.array(np.full(len(of), q), pa.int32()), pa.array(words[found].ravel(), pa.int64())], names=["seq", "e", "off", "q", "word"])
+                    left = left[~found]
 
-def hamming_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97) -> DataFrame:
+    return reads.select("seq", "e", "m").mapInArrow(choose, "seq string, e int, off int, q int, word long")
+
+
+def _balanced_join(seeds: DataFrame, words: DataFrame, counts: dict[int, np.ndarray]) -> DataFrame:
+    """seeds joined with words on q and word. The places of a hot bucket are dealt over keys, and so are its seeds; each meets all of the other side's.
+
+    The table of hot buckets has at most len(counts) x BUCKETS rows.
+    """
+    spark = seeds.sparkSession
+    many = {q: max(HOT, 4 * int(c.sum()) // BUCKETS) for q, c in counts.items()}
+    hot = [(q, int(b), int(-(-counts[q][b] // many[q]))) for q in counts for b in np.flatnonzero(counts[q] > many[q])]
+    by_seed = seeds.groupBy("q", _bucket()).count().filter(F.col("count") > HOT).select("q", "bucket", F.ceil(F.col("count") / HOT).cast("int").alias("n_seed"))
+    by_seed = materialise(by_seed, "hot-seeds")
+    if not hot and by_seed.isEmpty():
+        return seeds.join(words, ["q", "word"])
+    by_place = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*hot, strict=True) if hot else [[], [], []], (pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["q", "bucket", "n_place"]))
+    both = materialise(by_place.join(by_seed, ["q", "bucket"], "full").select("q", "bucket", F.coalesce("n_place", F.lit(1)).alias("n_place"), F.coalesce("n_seed", F.lit(1)).alias("n_seed")), "hot")
+    dealt = lambda key, n: F.pmod(F.xxhash64(*key), F.coalesce(n, F.lit(1))).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    left = seeds.withColumn("bucket", _bucket()).join(F.broadcast(both), ["q", "bucket"], "left")
+    left = left.withColumn("of_seed", dealt(["seq", "off"], F.col("n_seed"))).withColumn("of_place", all_of(F.col("n_place"))).drop("bucket", "n_seed", "n_place")
+    right = words.withColumn("bucket", _bucket()).join(F.broadcast(both), ["q", "bucket"], "left")
+    right = right.withColumn("of_place", dealt(["ref_id", "at"], F.col("n_place"))).withColumn("of_seed", all_of(F.col("n_seed"))).drop("bucket", "n_seed", "n_place")
+    return left.join(right, ["q", "word", "of_seed", "of_place"])
+
+
+def candidates(reads: DataFrame, refs: DataFrame, similarity: float, least_read: int = 1, wild_share: float = WILD_SHARE) -> DataFrame:
+    """seq, e, ref_id, start (0-based, where an ungapped placement would begin) for reads of ``least_read`` letters at least."""
+    length = F.length("seq")
+    reads = reads.filter(length >= max(1, least_read)).select("seq", _allowed(length, 1 - similarity).alias("e"), (wild_letters(F.col("seq")) > 0).alias("wild"))
+    reads = materialise(reads, "unique")
+    # at most as many rows as the longest read has letters
+    shapes = reads.groupBy(length.alias("length"), "e").agg(F.max("wild").alias("wild")).collect()
+    places = _places(refs)
+    found = _search(reads.withColumn("m", F.col("e") + 1), places, [(r["length"], r["e"] + 1, r["wild"]) for r in shapes])
+    dense = places.filter(wild_letters(F.col("word")) > SPELT).select("ref_id").distinct()
+    if shapes and not dense.isEmpty():
+        more = lambda r: r["e"] + int(wild_share * r["length"] + 1e-9) // (SPELT + 1) + 1
+        reach = max(r["length"] + r["e"] for r in shapes) + SEED_SIZES[0]
+        around = Window.partitionBy("ref_id").orderBy("at").rangeBetween(-reach, reach)
+        near = places.join(dense, "ref_id", "left_semi").withColumn("near", F.max(wild_letters(F.col("word")) > SPELT).over(around)).filter("near").drop("near")
+        m = F.col("e") + F.floor(_allowed(length, wild_share) / (SPELT + 1)).cast("int") + 1
+        found = found.union(_search(reads.withColumn("m", m), materialise(near, "near-wild"), [(r["length"], more(r), r["wild"]) for r in shapes]))
+    return found.distinct()
+
+
+def _search(reads: DataFrame, places: DataFrame, shapes: list[tuple[int, int, bool]]) -> DataFrame:
+    """seq, e, ref_id, start of all places that share a seed with a read; shapes are length, seeds and whether letters are wild."""
+    sizes = set()
+    for length, m, wild in shapes:
+        fit = [q for q in SEED_SIZES if q * m <= length]
+        sizes |= set(fit if wild else fit[:1])
+    sizes = sorted(sizes or {0})
+    words = _words(places, sizes)
+    counts = _bucket_counts(words, sizes)
+    seeds = materialise(_seeds(reads, counts), "seeds")
+    return _balanced_join(seeds, words, counts).select("seq", "e", "ref_id", (F.col("at") - F.col("off")).alias("start"))
+
+
+def hamming_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97, least_read: int = 1, wild_share: float = WILD_SHARE) -> DataFrame:
     """seq, ref_id, pos (1-based), ed of all ungapped placements inside a reference."""
-    rows = candidates(reads, refs, similarity).join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
+    rows = candidates(reads, refs, similarity, least_read, wild_share).join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
     rows = rows.filter((F.col("start") >= 0) & (F.col("start") + F.length("seq") <= F.length("ref")))
-    window = F.substring("ref", F.col("start") + 1, F.length("seq"))
-    differ = F.size(F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substring("seq", i, F.lit(1)) != F.substring("win", i, F.lit(1))))
-    rows = rows.withColumn("win", window).withColumn("ed", F.when(F.col("seq") == F.col("win"), 0).otherwise(differ))
+    rows = rows.select("seq", "e", "ref_id", "start", F.substring("ref", F.col("start") + 1, F.length("seq")).alias("win"))
+    free = wild_letters(F.concat("seq", "win")) > 0
+    rows = rows.withColumn("wild", F.when(free, F.zip_with(wild_bits(F.col("seq")), wild_bits(F.col("win")), lambda a, b: a.bitwiseOR(b))).otherwise(F.transform(packed(F.col("seq")), lambda _: F.lit(0).cast("long"))))
+    n_wild = F.aggregate("wild", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    rows = rows.filter(n_wild <= _allowed(F.length("seq"), wild_share))
+    rows = rows.withColumn("ed", F.when(F.col("seq") == F.col("win"), 0).otherwise(mismatches(packed(F.col("seq")), packed(F.col("win")), F.col("wild"))))
     return rows.filter("ed <= e").select("seq", "ref_id", (F.col("start") + 1).cast("long").alias("pos"), F.col("ed").cast("long").alias("ed"))
 
 
-def _semi_global(reads: list[str], windows: list[str]) -> np.ndarray:
-    """Fewest edits of each whole read against a part of its window, and where that part begins, as edits << 32 | place.
+def semi_global(reads: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Fewest edits of each read against parts of its window that begin at each place, for rows of letter codes (4 is wild).
+
+    The columns of the edit table go as differences in bits (Myers 1999, Hyyro 2003): 64 rows a lane, lanes for longer
+    reads one after the other, one step for all pairs at once. Read and window are turned, so that an end is a beginning.
+    """
+    n, length = reads.shape
+    width, one, ones = windows.shape[1], np.uint64(1), np.uint64(2**64 - 1)
+    turned, lanes = reads[:, ::-1], -(-length // 64)
+    same = np.zeros((lanes, 5, n), np.uint64)
+    for i in range(length):
+        bit = one << np.uint64(i % 64)
+        for c in range(4):
+            same[i // 64, c] |= np.where((turned[:, i] == c) | (turned[:, i] == 4), bit, np.uint64(0))
+    same[:, 4] = ones
+    up, down = np.full((lanes, n), ones), np.zeros((lanes, n), np.uint64)
+    score, out, every = np.full(n, length, np.int64), np.empty((n, width), np.int64), np.arange(n)
+    for j in range(width):
+        letter = windows[:, width - 1 - j]
+        plus, minus = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # the difference that comes in from the lane above
+        for b in range(lanes):
+            eq, pv, mv = same[b, letter, every], up[b], down[b]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            last = np.uint64(63 if b < lanes - 1 else (length - 1) % 64)
+            out_plus, out_minus = (ph >> last) & one, (mh >> last) & one
+            ph, mh = (ph << one) | plus, (mh << one) | minus
+            up[b], down[b] = mh | ~(xv | ph), ph & xv
+            plus, minus = out_plus, out_minus
+        score += plus.astype(np.int64) - minus.astype(np.int64)
+        out[:, width - 1 - j] = score
+    return out
+
+
+def _best_start(reads: list[str], windows: list[str], wild_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits of each read against a part of its window, and the first place where such a part begins.
 
-    All reads have one length and all windows another, so a step of the table is taken for all pairs at once.
+    Places from where the read's length of letters has too many wild ones, with the read's own, do not count.
     """
-    codes = lambda x: np.array([list(s.encode()) for s in x], np.uint8).reshape(len(x), -1)
-    read, window = codes(reads), codes(windows)
-    edit = np.int64(1 << 32)
-    steps = np.arange(window.shape[1] + 1, dtype=np.int64)
-    row = np.broadcast_to(steps, (len(reads), len(steps))).copy()
-    for i in range(read.shape[1]):
-        new = row + edit
-        np.minimum(new[:, 1:], row[:, :-1] + (read[:, i, None] != window) * edit, out=new[:, 1:])
-        row = np.minimum.accumulate(new - steps * edit, axis=1) + steps * edit
-    return row.min(axis=1)
-
-
-def edit_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97) -> DataFrame:
+    read, window = _codes(reads), _codes(windows)
+    edits = semi_global(read, window)
+    wild = window > 3
+    if wild.any() or (read > 3).any():
+        length, width = read.shape[1], window.shape[1]
+        so_far = np.concatenate([np.zeros((len(wild), 1), np.int64), np.cumsum(wild, axis=1)], axis=1)
+        ends = np.minimum(np.arange(width) + length, width)
+        held = so_far[:, ends] - so_far[:, :-1] + (read > 3).sum(axis=1)[:, None]
+        edits = np.where(held <= int(wild_share * length + 1e-9), edits, 1 << 30)
+    place = edits.argmin(axis=1)
+    return edits[np.arange(len(edits)), place], place
+
+
+def edit_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97, least_read: int = 1, wild_share: float = WILD_SHARE) -> DataFrame:
     """Like hamming_hits with insertions and deletions: windows reach e bases further to both sides."""
-    near = candidates(reads, refs, similarity).join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
+    near = candidates(reads, refs, similarity, least_read, wild_share).join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
     low = F.greatest(F.lit(0), F.col("start") - F.col("e"))
-    near = near.select("seq", "e", "ref_id", low.alias("low"), F.substring("ref", low + 1, F.col("start") + F.length("seq") + F.col("e") - low).alias("win"))
+    near = near.select("seq", "e", "ref_id", low.alias("low"), F.substring("ref", low + 1, F.col("start") + F.length("seq") + F.col("e") - low).alias("win")).filter("win <> ''")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs, windows, shapes = batch.column(0).to_pylist(), batch.column(4).to_pylist(), {}
             for i, (x, y) in enumerate(zip(seqs, windows, strict=True)):
                 shapes.setdefault((len(x), len(y)), []).append(i)
-            hits = np.zeros(len(seqs), np.int64)
+            edits, place = np.zeros(len(seqs), np.int64), np.zeros(len(seqs), np.int64)
             for rows in shapes.values():
                 for low in range(0, len(rows), 4096):
                     part = rows[low : low + 4096]
-                    hits[part] = _semi_global([seqs[i] for i in part], [windows[i] for i in part])
-            edits, place = hits >> 32, hits & 0xFFFFFFFF
+                    edits[part], place[part] = _best_start([seqs[i] for i in part], [windows[i] for i in part], wild_share)
             keep = np.flatnonzero(edits <= batch.column(1).to_numpy())
             pos = batch.column(3).to_numpy()[keep] + place[keep] + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(pos, pa.int64()), pa.array(edits[keep])], names=["seq", "ref_id", "pos", "ed"])

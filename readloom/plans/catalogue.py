@@ -355,6 +355,30 @@ def q49(spark, sf):
     return database.drop_empty_headers(rows)
 
 
+def _wild_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """References in which every 23rd base, and in every fourth one a run of four, is unknown."""
+    unknown = lambda i: ((i * 7 + F.col("ref_id")) % 23 == 0) | ((F.col("ref_id") % 4 == 1) & i.between(20, 23))
+    letters = F.transform(F.split("seq", ""), lambda x, i: F.when(unknown(i), "N").otherwise(x))
+    return _refs(spark, sf).withColumn("seq", F.array_join(letters, ""))
+
+
+def q50(spark, sf):
+    """Unknown bases of the references cost nothing, up to 15 % of a read."""
+    return align.best_hit(align.hamming_hits(_unique(spark, sf), _wild_refs(spark, sf), SIMILARITY), _offsets(spark, sf))
+
+
+def _repeats(seq: F.Column) -> F.Column:
+    """Runs of A with single C between."""
+    return F.translate(seq, "ACGT", "AACA")
+
+
+def q51(spark, sf):
+    """Reads and references of low complexity: nearly every word is repeated many times."""
+    reads = _reads(spark, sf).withColumn("seq", _repeats(F.col("seq")))
+    refs = _refs(spark, sf).withColumn("seq", _repeats(F.col("seq")))
+    return align.best_hit(align.hamming_hits(filtering.dereplicate(reads), refs, SIMILARITY, least_read=TILE), _offsets(spark, sf))
+
+
 QUERIES = {
     "q01_sample_extract": q01, "q02_trim": q02, "q03_ambiguity_reject": q03, "q04_convert_ambiguous": q04, "q05_revcomp": q05,
     "q06_dereplicate": lambda s, d: _unique(s, d), "q07_sample_histogram": lambda s, d: filtering.sample_histogram(_reads(s, d)),
@@ -367,7 +391,7 @@ QUERIES = {
     "q32_run_metrics": q32, "q33_biom_rows": q33, "q34_fasta_roundtrip": q34, "q35_sam_roundtrip": q35, "q36_lzw_roundtrip": q36,
     "q37_validate_fasta": q37, "q38_kmer_metrics": q38, "q39_representative_totals": q39, "q40_paired_scan": q40, "q41_database_files": q41,
     "q42_count_lines": q42, "q43_reject_log": q43, "q44_fail_log": q44, "q45_legacy_lines": q45, "q46_biom_lines": q46, "q47_duplicate_lists": q47,
-    "q48_full_run": q48, "q49_empty_headers": q49,
+    "q48_full_run": q48, "q49_empty_headers": q49, "q50_unknown_bases": q50, "q51_repeats": q51,
 }
 
 # ---- SQL -------------------------------------------------------------------------------------------------------
@@ -468,6 +492,10 @@ SQL = {
     "q47_duplicate_lists": _sql("SELECT rix, string_agg(read_id::VARCHAR, chr(9) ORDER BY read_id) AS reads FROM reads JOIN (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS rix FROM uniq WHERE copies >= 2) u ON u.seq = reads.seq GROUP BY rix", "reads", "uniq"),
     "q49_empty_headers": _sql("SELECT min(ref_id) AS ord, 'h' || min(ref_id) AS header, max(s) AS seq FROM (SELECT ref_id, CASE WHEN ref_id % 5 < 2 THEN '' ELSE seq END AS s, min(CASE WHEN ref_id % 5 >= 2 AND seq <> '' THEN ref_id END) OVER (ORDER BY ref_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS target FROM refs) WHERE target IS NOT NULL GROUP BY target", "refs"),
 }
+#: All windows of the references against all reads of their length; an unknown base differs from every base of a read.
+_ALL_WINDOWS = ", lens AS (SELECT DISTINCT length(seq) AS n FROM {reads}), wins AS MATERIALIZED (SELECT ref_id, n, s, substr(seq, (s + 1)::BIGINT, n) AS win, n - length(replace(substr(seq, (s + 1)::BIGINT, n), 'N', '')) AS w FROM (SELECT ref_id, n, seq, unnest(range(length(seq) - n + 1)) AS s FROM {refs}, lens WHERE length(seq) >= n)), found AS (SELECT u.seq, o.ref_id, s + 1 AS pos, hamming(u.seq, win) - w AS ed, start_off + s + 1 AS g_pos FROM {reads} u JOIN wins ON length(u.seq) = n JOIN (SELECT ref_id, start_off FROM offs) o ON o.ref_id = wins.ref_id WHERE w <= floor(0.15 * n + 1e-9) AND hamming(u.seq, win) - w <= floor((1 - 0.97::DOUBLE) * n + 1e-9)) SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ed, g_pos) AS rn FROM found) WHERE rn = 1"
+SQL["q50_unknown_bases"] = _sql("", "uniq", "offs") + ", nrefs AS (SELECT ref_id, string_agg(CASE WHEN (i * 7 + ref_id) % 23 = 0 OR (ref_id % 4 = 1 AND i BETWEEN 20 AND 23) THEN 'N' ELSE substr(seq, (i + 1)::BIGINT, 1) END, '' ORDER BY i) AS seq FROM (SELECT ref_id, seq, unnest(range(length(seq))) AS i FROM refs) GROUP BY ref_id)" + _ALL_WINDOWS.format(reads="uniq", refs="nrefs")
+SQL["q51_repeats"] = _sql("", "reads", "offs") + ", rreads AS (SELECT DISTINCT translate(seq, 'ACGT', 'AACA') AS seq FROM reads WHERE length(seq) >= 60), rrefs AS (SELECT ref_id, translate(seq, 'ACGT', 'AACA') AS seq FROM refs)" + _ALL_WINDOWS.format(reads="rreads", refs="rrefs")
 #: The full run: representatives are aligned, windows compacted, positions looked up, chimeras dropped.
 SQL["q48_full_run"] = (
     _sql("SELECT o.ref_id::VARCHAR AS otu_id, sample, count(*) AS n, coalesce(any_value(taxonomy), 'UNSUPPORTED_MAPPING') AS taxonomy FROM reads JOIN ureps ON ureps.seq = reads.seq JOIN placed ON placed.seq = ureps.rep JOIN (SELECT ref_id, start_off, length(seq) AS n_bases FROM offs) o ON o.start_off = placed.start_off LEFT JOIN tax ON tax.otu_id = o.ref_id WHERE o.n_bases > 0 AND NOT length(placed.seq) > placed.start_off + o.n_bases - new_pos GROUP BY 1, 2", "reads", "reps", "best", "tax")
