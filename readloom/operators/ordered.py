@@ -13,15 +13,21 @@ from readloom.tables import materialise, partitions
 
 #: The table of ranges has at most so many rows: it is broadcast, and a window over it runs in one task.
 MAX_RANGES, SAMPLES = 4096, 32
+#: Letters of a text key that the driver sees: splitters need not be keys, so those of long sequences are cut off.
+PREFIX = 256
 
 
 def ranges(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
-    """df, written once, with ``range``: numbers that ascend with the keys (not null), each for about as many rows."""
+    """df, written once, with ``range``: numbers that ascend with the keys (not null), each for about as many rows.
+
+    Rows whose first keys are texts with equal ``PREFIX`` letters are told apart by the other keys only.
+    """
     df = materialise(df, "ordered")
     n = min(n or 3 * partitions(df.sparkSession), MAX_RANGES)
     step = max(1, df.count() // (SAMPLES * n))
     key = F.struct(*keys)
-    sample = df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).distinct().orderBy(*keys).collect()
+    seen = [F.left(k, F.lit(PREFIX)).alias(k) if df.schema[k].dataType.typeName() == "string" else F.col(k) for k in keys]
+    sample = df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).select(*seen).distinct().orderBy(*keys).collect()
     found = sample[:: max(1, -(-len(sample) // n))][1:]
     if not found:
         return df.withColumn("range", F.lit(0))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.database import chimera_flag, locate, windows
 from readloom.operators.ordered import by_range, earlier, number, of_ranges, ranges
+from readloom.sources.files import write_stream_file
+from readloom.tables import materialise
 
 UNMAPPED = "UNSUPPORTED_MAPPING"
 #: What reads without a sample are listed under.
@@ -29,6 +32,46 @@ def compact_positions(hits: DataFrame) -> DataFrame:
     return rows.withColumn("new_pos", F.coalesce(new_pos, "carried")).select(*hits.columns, "new_pos")
 
 
+def compact_alignment(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """Alignment lines (pos from 1 in all references end to end, seq, ...) with the positions of compact_positions.
+
+    Of equal windows the least position counts. Lines that are not aligned (pos 0 or null) stay as they are.
+    """
+    lines = materialise(lines, "alignment")
+    aligned = lines.filter("pos > 0").withColumn("len", F.length("seq").cast("long"))
+    found = materialise(windows(aligned.select("pos", "len").distinct(), refs), "window-texts")
+    moved = compact_positions(found.select("win", "pos").distinct())
+    places = found.join(moved, ["win", "pos"]).select(F.col("pos").alias("_pos"), F.col("len").alias("_len"), "new_pos")
+    out = aligned.join(places, (F.col("pos") == F.col("_pos")) & (F.col("len") == F.col("_len"))).withColumn("pos", F.col("new_pos"))
+    return out.select(*lines.columns).union(lines.filter("pos IS NULL OR pos <= 0"))
+
+
+def assign_positions(places: DataFrame, refs: DataFrame, tolerance: int = 0, flush_end: str = "reject", pe_count: str = "pairs") -> DataFrame:
+    """rix, otu_id, is_chimera of aligned sequences or mates (rix, pos from 1, len), looked up by position.
+
+    With "pairs" a sequence with several places counts once, for the best of them (no chimera, then the lowest
+    position); with "lines" each place counts, so both mates of a pair add to the table.
+    """
+    at = F.col("pos") - (0 if flush_end == "reject" else 1)
+    found = chimera_flag(locate(places.select("rix", at.alias("pos"), "len"), refs), tolerance)
+    if pe_count == "lines":
+        return found.select("rix", F.col("ref_id").alias("otu_id"), "is_chimera")
+    first = F.min(F.struct("is_chimera", "pos", "ref_id")).alias("b")
+    return found.groupBy("rix").agg(first).select("rix", F.col("b.ref_id").alias("otu_id"), "b.is_chimera")
+
+
+def assign_alignment(lines: DataFrame, refs: DataFrame, tolerance: int = 0, flush_end: str = "reject", pe_count: str = "pairs") -> DataFrame:
+    """assign_positions of alignment lines (rix, rname, pos, seq); those with rname * are left out."""
+    return assign_positions(lines.filter("rname <> '*' AND pos > 0").select("rix", "pos", F.length("seq").cast("long").alias("len")), refs, tolerance, flush_end, pe_count)
+
+
+def write_otu_map(passed: DataFrame, path: str) -> None:
+    """One file with a line for each OTU in order of ids: the id and its reads (otu_id, read_id), a tab behind each."""
+    named = passed.select("otu_id").distinct().select("otu_id", F.lit(0).alias("kind"), F.lit("").alias("read_id"), F.col("otu_id").alias("value"))
+    reads = passed.select("otu_id", F.lit(1).alias("kind"), "read_id", F.col("read_id").alias("value"))
+    write_stream_file(named.union(reads), path, ["otu_id"], ["kind", "read_id"])
+
+
 def otu_table(counts: DataFrame, hits: DataFrame) -> DataFrame:
     """otu_id, sample, n from counts (seq, sample, n) and hits (seq, ref_id); sparse, so no row is all zero."""
     return counts.join(hits.select("seq", F.col("ref_id").alias("otu_id")), "seq").groupBy("otu_id", "sample").agg(F.sum("n").alias("n"))

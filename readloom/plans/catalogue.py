@@ -17,6 +17,7 @@ from readloom.operators import align, database, filtering, otu
 from readloom.operators.ordered import number
 from readloom.run import run
 from readloom.sources import database_files, fasta, lzw
+from readloom.sources.files import write_lines
 from readloom.tables import materialise, new_path, spread
 
 TILE, K, SIMILARITY = 60, 16, 0.97
@@ -53,11 +54,11 @@ def _offsets(spark: SparkSession, sf: str, spacer: int = 0) -> DataFrame:
     return database.concat_offsets(_refs(spark, sf), spacer)
 
 
-def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    """Three of four references have an entry."""
+def _taxonomy(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Three of four references have an entry, or all."""
     names = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     tax = F.concat(F.lit("k__"), F.col("r_name"), F.lit("; p__"), F.col("n_name"))
-    return _refs(spark, sf).filter("ref_id % 4 <> 3").join(names, F.expr("ref_id % 25") == F.col("n_nationkey")).select(F.col("ref_id").alias("otu_id"), tax.alias("taxonomy"))
+    return _refs(spark, sf).filter("true" if whole else "ref_id % 4 <> 3").join(names, F.expr("ref_id % 25") == F.col("n_nationkey")).select(F.col("ref_id").alias("otu_id"), tax.alias("taxonomy"))
 
 
 def _unique(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +211,7 @@ def q28(spark, sf):
 
 
 def q29(spark, sf):
-    return _taxonomy(spark, sf).select("otu_id", F.array_join(taxonomy_levels(F.col("taxonomy")), "|").alias("levels"))
+    return _taxonomy(spark, sf, whole=True).select("otu_id", F.array_join(taxonomy_levels(F.col("taxonomy")), "|").alias("levels"))
 
 
 def q30(spark, sf):
@@ -277,12 +278,13 @@ def q39(spark, sf):
 
 
 def q40(spark, sf):
-    """Two files, read in step: the first 100 bases of each document, and the last 80."""
+    """Two files, read in step: the two halves of each document."""
     rows = materialise(_whole(spark, sf).filter("seq <> ''"), "whole")
     header = F.concat(F.lit(">"), "sample", F.lit("_"), F.col("doc_id").cast("string"), F.lit("\n"))
     paths = [new_path(spark, "mates") for _ in range(2)]
-    for path, seq in zip(paths, (trim_head(F.col("seq"), 100), trim_tail(F.col("seq"), 80)), strict=True):
-        fasta.write_lines(rows.select("doc_id", F.concat(header, seq).alias("value")), path, "doc_id")
+    half = F.floor(F.length("seq") / 2).cast("int")
+    for path, seq in zip(paths, (F.substr("seq", F.lit(1), half), F.substr("seq", half + 1)), strict=True):
+        write_lines(rows.select("doc_id", F.concat(header, seq).alias("value")), path, "doc_id")
     return fasta.read_pairs(spark, *paths)
 
 
@@ -379,6 +381,80 @@ def q51(spark, sf):
     return align.best_hit(align.hamming_hits(filtering.dereplicate(reads), refs, SIMILARITY, least_read=TILE), _offsets(spark, sf))
 
 
+def _sam(rix, rname, pos, seq) -> list[F.Column]:
+    """The columns of an alignment line."""
+    return [F.col(rix).cast("long").alias("rix"), F.lit(0).alias("flag"), rname.alias("rname"), pos.cast("long").alias("pos"), F.lit(255).alias("mapq"), F.concat(F.length(seq).cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), seq.alias("seq"), F.lit("*").alias("qual")]
+
+
+def q52(spark, sf):
+    """Lines of an aligner with windows of 20 to 219 bases, most over borders of references, moved to common positions; every tenth is not aligned."""
+    total = _refs(spark, sf).agg(F.sum(F.length("seq"))).first()[0]
+    key, none = F.col("o_orderkey"), F.col("o_orderkey") % 10 == 0
+    seq = F.repeat(F.lit("A"), (20 + key % 200).cast("int"))
+    lines = _table(spark, sf, "orders").select(*_sam("o_orderkey", F.when(none, "*").otherwise("all"), F.when(none, 0).otherwise(F.pmod(key * 7919, F.lit(total)) + 1), seq))
+    paths = [new_path(spark, "sam") for _ in range(2)]
+    fasta.write_sam(lines, paths[0])
+    fasta.write_sam(otu.compact_alignment(fasta.read_sam(spark, paths[0]), _offsets(spark, sf)), paths[1])
+    return fasta.read_sam(spark, paths[1]).select("rix", "rname", "pos", F.length("seq").alias("len"))
+
+
+def q53(spark, sf):
+    """The OTU table from lines of an aligner and a file of counts; every third sequence has two lines, and lines are counted."""
+    counts, best = _counts_and_best(spark, sf)
+    counts = materialise(counts.join(number(counts.select("seq").distinct(), "rix", "seq"), "seq"), "counts")
+    files = [new_path(spark, x) for x in ("sam", "counts", "database", "out")]
+    lines = counts.select("rix", "seq").distinct().join(best.select("seq", "g_pos"), "seq", "left").withColumn("line", F.explode(F.sequence(F.lit(0), F.when(F.col("rix") % 3 == 0, 1).otherwise(0))))
+    fasta.write_sam(lines.select(*_sam("rix", F.when(F.col("g_pos").isNull(), "*").otherwise("all"), F.coalesce("g_pos", F.lit(0)), F.col("seq"))), files[0])
+    fasta.write_counts(counts, otu.sample_numbers(counts), files[1])
+    database_files.write_database(_refs(spark, sf), files[2], "bench", compress=False)
+    c = Config(reads="", out=files[3], database=files[2], name="bench", alignment=files[0], counts=files[1], compact=False, pe_count="lines", legacy=True)
+    return run(spark, c)["table"].select(F.col("otu_id").cast("string").alias("otu_id"), "sample", "n")
+
+
+def _faulty(spark: SparkSession, sf: str) -> str:
+    """A file in which some records have a second line, a blank, a foreign letter, a carriage return or a second header."""
+    seq, n = F.col("seq"), F.col("doc_id")
+    seq = F.when(n % 7 == 0, F.concat(F.lit("AC\n"), seq)).when(n % 11 == 0, F.concat(F.lit("A C"), seq)).when(n % 13 == 0, F.concat(F.lit("AXC"), seq)).when(n % 17 == 0, F.concat(seq, F.lit("\r"))).when(n % 19 == 0, F.concat(F.lit(">again\n"), seq)).otherwise(seq)
+    path = new_path(spark, "faulty")
+    rows = _whole(spark, sf, WITH_N).filter("seq <> ''")
+    write_lines(rows.select("doc_id", F.concat(F.lit(">"), n.cast("string"), F.lit("\n"), seq).alias("value")), path, "doc_id")
+    return path
+
+
+def q54(spark, sf):
+    return fasta.bad_lines(spark, _faulty(spark, sf))
+
+
+def q55(spark, sf):
+    """The same file, mended and read strictly."""
+    path = new_path(spark, "mended")
+    fasta.mend_fasta(spark, _faulty(spark, sf), path)
+    return fasta.read_reads(spark, path).select("read_id", "seq")
+
+
+def q56(spark, sf):
+    """Reads by OTU as one file of lines that are written as streams, and read back."""
+    reads, best = _reads_and_best(spark, sf)
+    path = new_path(spark, "otumap")
+    named = reads.join(best, "seq").select(F.lpad(F.col("ref_id").cast("string"), 12, "0").alias("otu_id"), F.lpad(F.col("read_id").cast("string"), 20, "0").alias("read_id"))
+    otu.write_otu_map(named, path)
+    parts = F.split("value", "\t")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.element_at(parts, 1).cast("long").alias("otu_id"), F.posexplode(F.filter(F.slice(parts, 2, 2**30), lambda x: x != "")).alias("place", "read"))
+    return lines.select("otu_id", F.col("place").cast("long").alias("place"), F.col("read").cast("long").alias("read_id"))
+
+
+def q57(spark, sf):
+    """The counters of a run with denoising by copies and words, from its log."""
+    reads, folder, out = (new_path(spark, x) for x in ("reads", "database", "out"))
+    fasta.write_fasta(_reads(spark, sf, WITH_N).select(F.concat_ws("_", "sample", F.col("read_id").cast("string")).alias("name"), "seq"), reads, "name")
+    database_files.write_database(_refs(spark, sf), folder, "bench", compress=False)
+    c = Config(reads=reads, out=out, database=folder, name="bench", similarity=SIMILARITY, indels=False, compact=False, denoise="1.003", k=K)
+    run(spark, c)
+    names = ["n_reads", "n_ambiguous", "ambiguous_bases", "n_samples", "n_distinct", "n_kmers", "n_distinct_kmers", "n_sequences", "n_committed", "n_rejected", "n_chimeras", "n_assigned", "n_expanded"]
+    log = F.from_json("value", "counters struct<" + ", ".join(f"{x}: long" for x in names) + ">")
+    return spark.read.text(f"{out}/metrics.json").select(log.alias("log")).select("log.counters.*")
+
+
 QUERIES = {
     "q01_sample_extract": q01, "q02_trim": q02, "q03_ambiguity_reject": q03, "q04_convert_ambiguous": q04, "q05_revcomp": q05,
     "q06_dereplicate": lambda s, d: _unique(s, d), "q07_sample_histogram": lambda s, d: filtering.sample_histogram(_reads(s, d)),
@@ -392,6 +468,7 @@ QUERIES = {
     "q37_validate_fasta": q37, "q38_kmer_metrics": q38, "q39_representative_totals": q39, "q40_paired_scan": q40, "q41_database_files": q41,
     "q42_count_lines": q42, "q43_reject_log": q43, "q44_fail_log": q44, "q45_legacy_lines": q45, "q46_biom_lines": q46, "q47_duplicate_lists": q47,
     "q48_full_run": q48, "q49_empty_headers": q49, "q50_unknown_bases": q50, "q51_repeats": q51,
+    "q52_compact_alignment": q52, "q53_table_from_alignment": q53, "q54_bad_lines": q54, "q55_mended_fasta": q55, "q56_otu_map_file": q56, "q57_run_counters": q57,
 }
 
 # ---- SQL -------------------------------------------------------------------------------------------------------
@@ -469,7 +546,7 @@ SQL = {
     "q26_otu_table_long": _sql("SELECT otu_id, sample, n FROM otus", "otus"),
     "q27_otu_table_pivot": _sql("SELECT otu_id, " + ", ".join(f"coalesce(sum(CASE WHEN sample = 'src{i}' THEN n END), 0)::BIGINT AS src{i}" for i in range(20)) + " FROM otus GROUP BY otu_id", "otus"),
     "q28_taxonomy_join": _sql("SELECT otus.otu_id, sample, n, coalesce(taxonomy, 'UNSUPPORTED_MAPPING') AS taxonomy FROM otus LEFT JOIN tax ON otus.otu_id = tax.otu_id", "otus", "tax"),
-    "q29_taxonomy_split": _sql("SELECT otu_id, replace(taxonomy, '; ', '|') AS levels FROM tax", "tax"),
+    "q29_taxonomy_split": _sql("SELECT otu_id, replace(taxonomy, '; ', '|') AS levels FROM tax", "tax").replace(" WHERE ref_id % 4 <> 3", ""),
     "q30_otu_map": _sql("SELECT ref_id AS otu_id, string_agg(read_id::VARCHAR, chr(9) ORDER BY read_id) AS reads FROM reads JOIN best ON reads.seq = best.seq GROUP BY 1", "reads", "best"),
     "q31_pass_fail": _sql("SELECT read_id, ref_id AS otu_id FROM reads LEFT JOIN best ON reads.seq = best.seq", "reads", "best"),
     "q32_run_metrics": _sql("SELECT count(*) AS n_reads, count(*) FILTER (regexp_matches(seq, '[^ACGT]')) AS n_ambiguous, sum(length(regexp_replace(seq, '[ACGT]', '', 'g')))::BIGINT AS ambiguous_bases, count(DISTINCT sample) AS n_samples, count(DISTINCT seq) AS n_distinct FROM nreads", "nreads"),
@@ -482,7 +559,7 @@ SQL = {
     "q37_validate_fasta": f"SELECT doc_id::VARCHAR AS header, CASE WHEN doc_id % 7 = 0 THEN 'sequence lines' WHEN doc_id % 11 = 0 THEN 'blank' ELSE 'letter' END AS reason FROM documents WHERE {_seq_sql(WITH_N)} <> '' AND (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0)",
     "q38_kmer_metrics": _sql("SELECT coalesce(sum(n), 0)::BIGINT AS n_kmers, count(*) AS n_distinct_kmers FROM kc", "kc", src="nreads"),
     "q39_representative_totals": _sql("SELECT rep, count(*) AS n FROM reads JOIN reps ON reads.seq = reps.seq GROUP BY rep", "reads", "reps"),
-    "q40_paired_scan": _sql("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, sample || '_' || doc_id AS read_id, sample, substr(seq, 1, 100) AS seq, substr(seq, greatest(length(seq) - 79, 1)::BIGINT, 80) AS seq2 FROM whole WHERE seq <> ''", "whole"),
+    "q40_paired_scan": _sql("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, sample || '_' || doc_id AS read_id, sample, substr(seq, 1, length(seq) // 2) AS seq, substr(seq, length(seq) // 2 + 1) AS seq2 FROM whole WHERE seq <> ''", "whole"),
     "q41_database_files": _sql("SELECT offs.ref_id::VARCHAR AS otu_id, start_off, taxonomy FROM offs LEFT JOIN tax ON tax.otu_id = offs.ref_id", "offs", "tax"),
     "q42_count_lines": _sql("SELECT dense_rank() OVER (ORDER BY seq) - 1 AS rix, dense_rank() OVER (ORDER BY sample) - 1 AS ix, n FROM (SELECT seq, sample, count(*) AS n FROM reads GROUP BY 1, 2)", "reads"),
     "q43_reject_log": _sql("SELECT read_id, CASE WHEN seq = '' OR regexp_matches(seq, '[^ACGT]') THEN 'AMBIGUOUS' ELSE 'FILTERED' END AS reason FROM nreads WHERE seq NOT IN (SELECT seq FROM unread)", "nreads", "unread", src="nreads"),
@@ -496,6 +573,21 @@ SQL = {
 _ALL_WINDOWS = ", lens AS (SELECT DISTINCT length(seq) AS n FROM {reads}), wins AS MATERIALIZED (SELECT ref_id, n, s, substr(seq, (s + 1)::BIGINT, n) AS win, n - length(replace(substr(seq, (s + 1)::BIGINT, n), 'N', '')) AS w FROM (SELECT ref_id, n, seq, unnest(range(length(seq) - n + 1)) AS s FROM {refs}, lens WHERE length(seq) >= n)), found AS (SELECT u.seq, o.ref_id, s + 1 AS pos, hamming(u.seq, win) - w AS ed, start_off + s + 1 AS g_pos FROM {reads} u JOIN wins ON length(u.seq) = n JOIN (SELECT ref_id, start_off FROM offs) o ON o.ref_id = wins.ref_id WHERE w <= floor(0.15 * n + 1e-9) AND hamming(u.seq, win) - w <= floor((1 - 0.97::DOUBLE) * n + 1e-9)) SELECT seq, ref_id, pos, ed, g_pos FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ed, g_pos) AS rn FROM found) WHERE rn = 1"
 SQL["q50_unknown_bases"] = _sql("", "uniq", "offs") + ", nrefs AS (SELECT ref_id, string_agg(CASE WHEN (i * 7 + ref_id) % 23 = 0 OR (ref_id % 4 = 1 AND i BETWEEN 20 AND 23) THEN 'N' ELSE substr(seq, (i + 1)::BIGINT, 1) END, '' ORDER BY i) AS seq FROM (SELECT ref_id, seq, unnest(range(length(seq))) AS i FROM refs) GROUP BY ref_id)" + _ALL_WINDOWS.format(reads="uniq", refs="nrefs")
 SQL["q51_repeats"] = _sql("", "reads", "offs") + ", rreads AS (SELECT DISTINCT translate(seq, 'ACGT', 'AACA') AS seq FROM reads WHERE length(seq) >= 60), rrefs AS (SELECT ref_id, translate(seq, 'ACGT', 'AACA') AS seq FROM refs)" + _ALL_WINDOWS.format(reads="rreads", refs="rrefs")
+SQL["q52_compact_alignment"] = _sql("SELECT o_orderkey AS rix, CASE WHEN o_orderkey % 10 = 0 THEN '*' ELSE 'all' END AS rname, coalesce(new_pos, 0) AS pos, (20 + o_orderkey % 200)::INTEGER AS len FROM orders LEFT JOIN moved ON o_orderkey % 10 <> 0 AND moved.pos = (o_orderkey * 7919) % total + 1 AND moved.len = 20 + o_orderkey % 200", "refs").replace(" SELECT o_orderkey", ", ends AS (SELECT string_agg(seq, '' ORDER BY ref_id) AS t, sum(length(seq))::BIGINT AS total FROM refs), wins AS (SELECT DISTINCT (o_orderkey * 7919) % total + 1 AS pos, 20 + o_orderkey % 200 AS len, total, substr(t, (o_orderkey * 7919) % total + 1, 20 + o_orderkey % 200) AS win FROM orders, ends WHERE o_orderkey % 10 <> 0), steps AS (SELECT win, pos, sum(brk) OVER (ORDER BY win, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (SELECT win, pos, CASE WHEN starts_with(win, lag(win) OVER (ORDER BY win, pos)) THEN 0 ELSE 1 END AS brk FROM (SELECT DISTINCT win, pos FROM wins))), firsts AS (SELECT win, pos, first_value(pos) OVER (PARTITION BY grp ORDER BY win, pos) AS new_pos FROM steps), moved AS (SELECT wins.pos, len, total, new_pos FROM wins JOIN firsts ON firsts.win = wins.win AND firsts.pos = wins.pos) SELECT o_orderkey", 1).replace("(o_orderkey * 7919) % total + 1 AND moved", "(o_orderkey * 7919) % (SELECT total FROM ends) + 1 AND moved")
+SQL["q53_table_from_alignment"] = _sql("SELECT ref_id::VARCHAR AS otu_id, sample, sum(n * times)::BIGINT AS n FROM placed JOIN (SELECT seq, sample, count(*) AS n FROM reads GROUP BY 1, 2) c ON c.seq = placed.seq WHERE NOT length(placed.seq) > start_off + bases - g_pos GROUP BY 1, 2", "reads", "best").replace(" SELECT ref_id::VARCHAR", ", rixes AS (SELECT seq, CASE WHEN (row_number() OVER (ORDER BY seq) - 1) % 3 = 0 THEN 2 ELSE 1 END AS times FROM uniq), placed AS (SELECT b.seq, b.times, b.g_pos, o.ref_id, o.start_off, length(o.seq) AS bases FROM (SELECT best.seq, times, g_pos FROM best JOIN rixes ON rixes.seq = best.seq) b ASOF JOIN (SELECT * FROM offs WHERE seq <> '') o ON b.g_pos >= o.start_off) SELECT ref_id::VARCHAR", 1)
+_FAULTY = f"WITH w AS (SELECT doc_id, {_seq_sql(WITH_N)} AS s FROM documents), texts AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ['AC', s] WHEN doc_id % 11 = 0 THEN ['A C' || s] WHEN doc_id % 13 = 0 THEN ['AXC' || s] WHEN doc_id % 17 = 0 THEN [s || chr(13)] WHEN doc_id % 19 = 0 THEN ['>again', s] ELSE [s] END AS body FROM w WHERE s <> ''), lines AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS line, doc_id, value FROM (SELECT doc_id, unnest(range(len(body) + 1)) AS i, unnest(['>' || doc_id] || body) AS value FROM texts))"
+SQL["q54_bad_lines"] = f"{_FAULTY} SELECT line, reason FROM (SELECT line, CASE WHEN title AND before THEN 'title after title' WHEN title THEN NULL WHEN regexp_matches(value, '[^ACGTNacgtn]') THEN 'letter' WHEN NOT before THEN 'sequence after sequence' END AS reason FROM (SELECT line, value, starts_with(value, '>') AS title, coalesce(lag(starts_with(value, '>')) OVER (ORDER BY line), false) AS before FROM lines)) WHERE reason IS NOT NULL"
+SQL["q55_mended_fasta"] = f"{_FAULTY}, recs AS (SELECT line, value, sum(CASE WHEN starts_with(value, '>') THEN 1 ELSE 0 END) OVER (ORDER BY line) AS rec FROM lines) SELECT max(CASE WHEN starts_with(value, '>') THEN substr(value, 2) END) AS read_id, coalesce(string_agg(CASE WHEN NOT starts_with(value, '>') THEN rtrim(value, chr(13)) END, '' ORDER BY line), '') AS seq FROM recs GROUP BY rec"
+SQL["q56_otu_map_file"] = _sql("SELECT ref_id AS otu_id, row_number() OVER (PARTITION BY ref_id ORDER BY read_id) - 1 AS place, read_id FROM reads JOIN best ON reads.seq = best.seq", "reads", "best")
+#: Clean reads and their representatives, those that denoising leaves, their best hits, and what became of them.
+SQL["q57_run_counters"] = (
+    f"WITH nreads AS ({_CTE['nreads']}), refs AS ({_CTE['refs']}), offs AS ({_CTE['offs']}), kc AS MATERIALIZED ({_CTE['kc'].replace('{src}', 'nreads')}), clean AS (SELECT seq FROM nreads WHERE NOT regexp_matches(seq, '[^ACGT]')), "
+    f"creps AS ({_CTE['reps'].replace('uniq', '(SELECT DISTINCT seq FROM clean)')}), grouped AS (SELECT rep AS seq, count(*) AS copies FROM clean JOIN creps ON creps.seq = clean.seq GROUP BY rep), "
+    f"mins AS (SELECT seq, min(coalesce(n, 0)) AS m FROM (SELECT seq, substr(seq, (i * {K} + 1)::BIGINT, {K}) AS word FROM (SELECT seq, unnest(range(length(seq) // {K})) AS i FROM grouped)) x LEFT JOIN kc ON kc.kmer = word GROUP BY seq), "
+    f"uniq AS MATERIALIZED (SELECT g.seq, copies FROM grouped g LEFT JOIN mins ON mins.seq = g.seq WHERE copies > 1 OR coalesce(m, 4611686018427387904) >= 3), pieces AS ({_CTE['pieces'].replace('{gap}', '(1 - 0.97::DOUBLE)')}), words AS ({_CTE['words']}), hits AS ({_CTE['hits']}), best AS ({_CTE['best']}), chim AS ({_CTE['chim']}) "
+    "SELECT r.*, (SELECT count(DISTINCT seq) FROM clean) AS n_distinct, (SELECT sum(n)::BIGINT FROM kc) AS n_kmers, (SELECT count(*) FROM kc) AS n_distinct_kmers, (SELECT count(*) FROM uniq) AS n_sequences, (SELECT sum(copies)::BIGINT FROM uniq) AS n_committed, (SELECT count(*) FROM clean) - (SELECT sum(copies)::BIGINT FROM uniq) AS n_rejected, count(*) FILTER (is_chimera) AS n_chimeras, count(*) FILTER (NOT is_chimera) AS n_assigned, coalesce(sum(copies) FILTER (NOT is_chimera), 0)::BIGINT AS n_expanded FROM chim JOIN uniq ON uniq.seq = chim.seq, "
+    "(SELECT count(*) AS n_reads, count(*) FILTER (regexp_matches(seq, '[^ACGT]')) AS n_ambiguous, sum(length(regexp_replace(seq, '[ACGT]', '', 'g')))::BIGINT AS ambiguous_bases, count(DISTINCT coalesce(sample, '(none)')) AS n_samples FROM nreads) r GROUP BY ALL"
+)
 #: The full run: representatives are aligned, windows compacted, positions looked up, chimeras dropped.
 SQL["q48_full_run"] = (
     _sql("SELECT o.ref_id::VARCHAR AS otu_id, sample, count(*) AS n, coalesce(any_value(taxonomy), 'UNSUPPORTED_MAPPING') AS taxonomy FROM reads JOIN ureps ON ureps.seq = reads.seq JOIN placed ON placed.seq = ureps.rep JOIN (SELECT ref_id, start_off, length(seq) AS n_bases FROM offs) o ON o.start_off = placed.start_off LEFT JOIN tax ON tax.otu_id = o.ref_id WHERE o.n_bases > 0 AND NOT length(placed.seq) > placed.start_off + o.n_bases - new_pos GROUP BY 1, 2", "reads", "reps", "best", "tax")

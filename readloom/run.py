@@ -1,55 +1,107 @@
-"""A whole run: reads and a database in, the OTU table and its logs out. ``python -m readloom.run --help``."""
+"""A whole run: reads and a database in, the OTU table and its logs out. ``python -m readloom.run --help``.
+
+With ``--alignment`` and ``--counts`` the run begins at lines of an aligner instead of reads.
+"""
 
 from __future__ import annotations
 
+import json
 import sys
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.config import Config, from_arguments, parse_denoise
-from readloom.functions.sequences import reverse_complement, trim_head, trim_tail
+from readloom.functions.sequences import is_ambiguous, reverse_complement, trim_head, trim_tail
 from readloom.operators import align, database, filtering, otu
 from readloom.operators.ordered import number
 from readloom.sources import fasta
 from readloom.sources.database_files import open_database
-from readloom.tables import materialise
+from readloom.sources.files import write_file, write_stream_file
+from readloom.tables import materialise, scratch
+
+
+class RunLog:
+    """What a run did: counters, observed while its tables are written, seconds of its stages, and remarks."""
+
+    def __init__(self) -> None:
+        self.counters: dict[str, int] = {}
+        self.seconds: dict[str, float] = {}
+        self.remarks: list[str] = []
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.monotonic()
+        yield
+        self.seconds[name] = round(time.monotonic() - began, 3)
 
+    def table(self, df: DataFrame, name: str, **counters: Column) -> DataFrame:
+        """df, written, with the counters taken from the rows that pass: no scan of their own."""
+        if not counters:
+            return materialise(df, name)
+        seen = Observation()
+        out = materialise(df.observe(seen, *[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in counters.items()]), name)
+        self.counters |= seen.get
+        return out
 
-def read_input(spark: SparkSession, c: Config) -> DataFrame:
+    def text(self) -> str:
+        return json.dumps({"counters": self.counters, "seconds": self.seconds, "remarks": self.remarks})
+
+
+def checked(spark: SparkSession, path: str, mended: str, log: RunLog) -> str:
+    """The path, or that of a mended file if a line of it is wrong."""
+    bad = fasta.bad_lines(spark, path).orderBy("line").first()
+    if bad is None:
+        return path
+    log.remarks.append(f"{path}: {bad['reason']} in line {bad['line']}; {mended} is used")
+    fasta.mend_fasta(spark, path, mended)
+    return mended
+
+
+def read_input(spark: SparkSession, c: Config, log: RunLog | None = None) -> DataFrame:
     """read_id, sample, seq (both mates joined), seq2 (the second mate or empty), trimmed."""
+    first, second = c.reads, c.reads2
     if c.check:
-        bad = fasta.validate_fasta(spark, c.reads).first()
-        if bad:
-            raise ValueError(f"bad record {bad['header']}: {bad['reason']}")
-    if not c.reads2:
-        rows = fasta.read_reads(spark, c.reads)
+        out, log = c.out.rstrip("/"), log or RunLog()
+        first = checked(spark, first, f"{out}/formatted_input_fasta.fna", log)
+        second = checked(spark, second, f"{out}/formatted_input2_fasta.fna", log) if second else None
+    if not second:
+        rows = fasta.read_reads(spark, first)
         return rows.select("read_id", "sample", trim_head(F.col("seq"), c.trim).alias("seq"), F.lit("").alias("seq2"))
-    rows = fasta.read_pairs(spark, c.reads, c.reads2)
+    rows = fasta.read_pairs(spark, first, second)
     head, tail = trim_head(F.col("seq"), c.trim), trim_tail(F.col("seq2"), c.trim2)
     return rows.select("read_id", "sample", F.concat(head, tail).alias("seq"), tail.alias("seq2"))
 
 
-def unique_reads(reads: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
+def unique_reads(reads: DataFrame, c: Config, log: RunLog) -> tuple[DataFrame, DataFrame]:
     """Kept sequences (rix, seq, seq2, copies), and for every sequence the rix that stands for it (seq, seq2, rix).
 
     Single reads with a copy threshold are compacted by prefix. Words are counted over all reads, each mate by itself.
+    With the key "joined" mates with an equal joined sequence are one, whatever their split; the least second mate stands.
     """
-    copies, support = parse_denoise(c.denoise)
+    copies, support = parse_denoise(c.denoise, c.denoise_float)
     clean = filtering.reject_ambiguous(reads)[0] if c.ambiguous == "reject" else filtering.convert_ambiguous(reads)
-    found = materialise(clean.groupBy("seq", "seq2").agg(F.count(F.lit(1)).alias("n")), "found")
-    stands = found.withColumn("rep", F.col("seq"))
-    if copies and not c.reads2:
-        stands = materialise(found.join(filtering.prefix_representatives(found.select("seq")), "seq"), "stands")
-    groups = stands.groupBy(F.col("rep").alias("seq"), "seq2").agg(F.sum("n").alias("copies"))
+    found = log.table(clean.groupBy("seq", "seq2").agg(F.count(F.lit(1)).alias("n")), "found", n_distinct=F.count(F.lit(1)))
+    stands = found.withColumn("rep", F.col("seq")).withColumn("rep2", F.col("seq2"))
+    if c.pe_key == "joined" and c.reads2:
+        stands = found.join(found.groupBy(F.col("seq").alias("rep")).agg(F.min("seq2").alias("rep2")), F.col("seq") == F.col("rep"))
+    elif copies and not c.reads2:
+        stands = materialise(found.join(filtering.prefix_representatives(found.select("seq")), "seq").withColumn("rep2", F.col("seq2")), "stands")
+    groups = stands.groupBy(F.col("rep").alias("seq"), F.col("rep2").alias("seq2")).agg(F.sum("n").alias("copies"))
     head = F.length("seq") - F.length("seq2")
     if support:
         mates = reads.select(F.explode(F.array(F.substr("seq", F.lit(1), head), "seq2")).alias("seq")).filter("seq <> ''")
-        groups = filtering.kmer_support(groups, filtering.count_kmers(mates, c.k), c.k, c.support, head if c.reads2 else None, ("seq", "seq2"))
+        words = log.table(filtering.count_kmers(mates, c.k), "kmers", n_kmers=F.sum("n"), n_distinct_kmers=F.count(F.lit(1)))
+        groups = filtering.kmer_support(groups, words, c.k, c.support, head if c.reads2 else None, ("seq", "seq2"))
     else:
         groups = groups.withColumn("min_kmer", F.lit(None).cast("long"))
-    kept = materialise(number(filtering.denoise(groups, copies, support).select("seq", "seq2", "copies"), "rix", "seq", "seq2"), "kept")
-    return kept, materialise(stands.select("seq", "seq2", "rep").join(kept.select(F.col("seq").alias("rep"), "seq2", "rix"), ["rep", "seq2"]).drop("rep"), "named")
+    kept = number(filtering.denoise(groups, copies, support).select("seq", "seq2", "copies"), "rix", "seq", "seq2")
+    kept = log.table(kept, "kept", n_sequences=F.count(F.lit(1)), n_committed=F.sum("copies"))
+    named = stands.select("seq", "seq2", "rep", "rep2").join(kept.select(F.col("seq").alias("rep"), F.col("seq2").alias("rep2"), "rix"), ["rep", "rep2"]).drop("rep", "rep2")
+    return kept, materialise(named, "named")
 
 
 def align_unique(kept: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
@@ -60,7 +112,7 @@ def align_unique(kept: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
     finder = align.edit_hits if c.indels else align.hamming_hits
 
     def hits_of(seqs: DataFrame) -> DataFrame:
-        one = lambda r, f: finder(r, f, c.similarity)
+        one = lambda r, f: finder(r, f, c.similarity, c.least_read)
         return align.both_strands(one, seqs, refs) if c.both_strands else one(seqs, refs)
 
     turn = lambda s: reverse_complement(s) if c.rc else s
@@ -82,7 +134,7 @@ def align_unique(kept: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
 def assign(hits: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
     """rix, otu_id, is_chimera: hits are compacted by their reference windows, then looked up by position.
 
-    Both mates of a pair count once, for the first of them.
+    Both mates of a pair count once, for the first of them, or each by itself if lines are counted.
     """
     pos = hits.select("rix", "len", "g_pos")
     if c.compact:
@@ -90,61 +142,102 @@ def assign(hits: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
         windows = materialise(text.select("rix", "len", F.col("g_pos").alias("pos"), F.substr("ref", F.col("pos").cast("int"), F.col("len").cast("int")).alias("win")), "windows")
         moved = otu.compact_positions(windows.select("win", "pos").distinct())
         pos = windows.join(moved, ["win", "pos"]).select("rix", "len", F.col("new_pos").alias("g_pos"))
-    at = F.col("g_pos") - (0 if c.flush_end == "reject" else 1)
-    found = database.chimera_flag(database.locate(pos.select("rix", "len", at.alias("pos")), refs), c.tolerance)
-    first = F.min(F.struct("is_chimera", "pos", "ref_id")).alias("b")
-    return found.groupBy("rix").agg(first).select("rix", F.col("b.ref_id").alias("otu_id"), "b.is_chimera")
+    return otu.assign_positions(pos.select("rix", F.col("g_pos").alias("pos"), "len"), refs, c.tolerance, c.flush_end, c.pe_count)
 
 
 def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
-    """Computes the tables of a run and writes its files below ``c.out``; returns the tables."""
+    """Computes the tables of a run and writes its files below ``c.out``; returns the tables.
+
+    What is written in between is deleted at the end, but for the tables returned.
+    """
     c.validate()
+    log = RunLog()
+    with scratch(spark) as keep:
+        results = from_alignment(spark, c, log) if c.alignment else from_reads(spark, c, log)
+        return keep(results)
+
+
+def from_reads(spark: SparkSession, c: Config, log: RunLog) -> dict[str, DataFrame]:
     base = open_database(spark, c.database, c.name)
-    refs = base.references
-    taxonomy = base.taxonomy if base.taxonomy is not None else spark.createDataFrame([], "otu_id string, taxonomy string")
-    reads = materialise(filtering.single_sample_fallback(read_input(spark, c)), "reads")
-    kept, named = unique_reads(reads, c)
-    found = materialise(assign(align_unique(kept, refs, c), refs, c), "assigned")
-    clean = reads if c.ambiguous == "reject" else filtering.convert_ambiguous(reads)
-    members = clean.join(named, ["seq", "seq2"])
-    counts = materialise(members.groupBy("rix", "sample").agg(F.count(F.lit(1)).alias("n")), "counts")
-    table = materialise(counts.join(found.filter("NOT is_chimera"), "rix").groupBy("otu_id", "sample").agg(F.sum("n").alias("n")), "table")
-    samples = materialise(otu.sample_numbers(reads), "samples")
-    order = refs.select(F.col("ref_id").alias("otu_id"), "ref_ord")
-    out = c.out.rstrip("/")
-    if c.legacy:
-        fasta.write_lines(otu.legacy_lines(table, samples, order, base.taxonomy), f"{out}/otutable.txt", "line_no")
-    else:
-        rows = materialise(fasta.biom_rows(table, taxonomy, samples, order), "biom")
-        date = spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0]
-        fasta.write_lines(fasta.biom_lines(rows, samples, date), f"{out}/otutable.biom", "section", "r")
-    results = {"table": table, "samples": samples, "kept": kept, "counts": counts, "assigned": found, "members": members.select("rix", "read_id", "sample")}
+    refs, seq = base.references, F.col("seq")
+    with log.stage("filter"):
+        unknown = F.length(F.regexp_replace(seq, "[ACGT]", ""))
+        rows = read_input(spark, c, log).withColumn("read_no", F.monotonically_increasing_id())
+        reads = log.table(rows, "reads", n_reads=F.count(F.lit(1)), n_ambiguous=F.count_if(is_ambiguous(seq)), ambiguous_bases=F.sum(unknown))
+        reads = filtering.single_sample_fallback(reads)
+        samples = log.table(otu.sample_numbers(reads), "samples", n_samples=F.count(F.lit(1)))
+        kept, named = unique_reads(reads, c, log)
+        clean = reads if c.ambiguous == "reject" else filtering.convert_ambiguous(reads)
+        members = materialise(clean.join(named, ["seq", "seq2"]).select("rix", "read_no", "read_id", "sample"), "members")
+        counts = materialise(members.groupBy("rix", "sample").agg(F.count(F.lit(1)).alias("n")), "counts")
+        log.counters["n_rejected"] = log.counters["n_reads"] - log.counters["n_ambiguous"] * (c.ambiguous == "reject") - log.counters["n_committed"]
+    with log.stage("align"):
+        hits = materialise(align_unique(kept, refs, c), "aligned")
+    with log.stage("compact and look up"):
+        found = log.table(assign(hits, refs, c), "assigned", n_chimeras=F.count_if("is_chimera"), n_assigned=F.count_if(~F.col("is_chimera")))
+    results = {"kept": kept, "counts": counts, "assigned": found, "samples": samples, "members": members} | write_table(spark, counts, samples, found, base, c, log)
     if c.logs:
-        write_logs(reads, results, order, c)
+        with log.stage("logs"):
+            write_logs(reads, results, c)
+    return finish(spark, results, c, log)
+
+
+def from_alignment(spark: SparkSession, c: Config, log: RunLog) -> dict[str, DataFrame]:
+    """The table from lines of an aligner (with positions in all references end to end) and the counts of their sequences."""
+    base = open_database(spark, c.database, c.name)
+    samples, decoded = fasta.read_counts(spark, c.counts)
+    samples = log.table(samples, "samples", n_samples=F.count(F.lit(1)))
+    counts = materialise(decoded.join(samples, "ix").select("rix", "sample", "n"), "counts")
+    lines = log.table(fasta.read_sam(spark, c.alignment), "lines", n_lines=F.count(F.lit(1)), n_unaligned=F.count_if(F.col("rname") == "*"))
+    with log.stage("compact and look up"):
+        if c.compact:
+            lines = materialise(otu.compact_alignment(lines, base.references), "compacted")
+            fasta.write_sam(lines, f"{c.out.rstrip('/')}/compacted.sam")
+        placed = otu.assign_alignment(lines, base.references, c.tolerance, c.flush_end, c.pe_count)
+        found = log.table(placed, "assigned", n_chimeras=F.count_if("is_chimera"), n_assigned=F.count_if(~F.col("is_chimera")))
+    results = {"counts": counts, "assigned": found, "samples": samples} | write_table(spark, counts, samples, found, base, c, log)
+    return finish(spark, results, c, log)
+
+
+def write_table(spark: SparkSession, counts: DataFrame, samples: DataFrame, found: DataFrame, base, c: Config, log: RunLog) -> dict[str, DataFrame]:
+    """The OTU table, also as one file."""
+    out = c.out.rstrip("/")
+    with log.stage("table"):
+        cells = counts.join(found.filter("NOT is_chimera"), "rix").groupBy("otu_id", "sample").agg(F.sum("n").alias("n"))
+        table = log.table(cells, "table", n_expanded=F.sum("n"))
+        order = base.references.select(F.col("ref_id").alias("otu_id"), "ref_ord")
+        if c.legacy:
+            write_file(otu.legacy_lines(table, samples, order, base.taxonomy), f"{out}/otutable.txt", "line_no")
+        else:
+            rows = materialise(fasta.biom_rows(table, base.taxonomy, samples, order), "biom")
+            date = spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0]
+            write_file(fasta.biom_lines(rows, samples, date), f"{out}/otutable.biom", "section", "r")
+    return {"table": table}
+
+
+def finish(spark: SparkSession, results: dict[str, DataFrame], c: Config, log: RunLog) -> dict[str, DataFrame]:
+    line = spark.createDataFrame([(0, log.text())], "i int, value string")
+    write_file(line, f"{c.out.rstrip('/')}/metrics.json", "i")
     return results
 
 
-def write_logs(reads: DataFrame, results: dict[str, DataFrame], order: DataFrame, c: Config) -> None:
-    """The filter's sequences, counts, duplicates and rejects; passed and failed reads; reads by OTU; counters."""
+def write_logs(reads: DataFrame, results: dict[str, DataFrame], c: Config) -> None:
+    """The filter's sequences, counts, duplicates and rejects; passed and failed reads; reads by OTU."""
     out, kept, members = c.out.rstrip("/"), results["kept"], results["members"]
     first = F.substr("seq", F.lit(1), F.length("seq") - F.length("seq2"))
     turn = lambda s: reverse_complement(s) if c.rc else s
     for name, seq in [("filt.fa", first)] + [("2_filt.fa", F.col("seq2"))] * bool(c.reads2):
-        fasta.write_lines(kept.select("rix", F.concat(F.lit(">"), F.col("rix").cast("string"), F.lit("\n"), turn(seq)).alias("value")), f"{out}/{name}", "rix")
-    fasta.write_lines(otu.count_lines(results["counts"], results["samples"]).select("rix", F.col("line").alias("value")), f"{out}/counts.txt", "rix")
-    fasta.write_lines(results["samples"].select("ix", F.col("sample").alias("value")), f"{out}/samples.txt", "ix")
-    dupes = members.groupBy("rix").agg(F.array_join(F.array_sort(F.collect_list("read_id")), "\t").alias("value"))
-    fasta.write_lines(dupes, f"{out}/dupes.txt", "rix")
-    gone = reads.join(members.select("read_id").distinct(), "read_id", "left_anti")
-    bad = filtering.is_ambiguous(F.col("seq")) if c.ambiguous == "reject" else F.lit(False)
-    fasta.write_lines(gone.select("read_id", F.concat_ws("\t", "read_id", F.when(bad, "AMBIGUOUS").otherwise("FILTERED")).alias("value")), f"{out}/filtered.txt", "read_id")
-    passed = members.join(results["assigned"].filter("NOT is_chimera"), "rix")
-    fasta.write_lines(passed.select("read_id", F.concat_ws("\t", "read_id", F.col("otu_id").cast("string")).alias("value")), f"{out}/pass.log", "read_id")
+        write_file(kept.select("rix", F.concat(F.lit(">"), F.col("rix").cast("string"), F.lit("\n"), turn(seq)).alias("value")), f"{out}/{name}", "rix")
+    fasta.write_counts(results["counts"], results["samples"], f"{out}/filt.db")
+    write_stream_file(members.select("rix", "read_id", F.col("read_id").alias("value")), f"{out}/dupes.txt", ["rix"], ["read_id"])
+    gone = reads.join(members.select("read_no"), "read_no", "left_anti")
+    bad = is_ambiguous(F.col("seq")) if c.ambiguous == "reject" else F.lit(False)
+    write_file(gone.select("read_id", F.concat_ws("\t", "read_id", F.when(bad, "AMBIGUOUS").otherwise("FILTERED")).alias("value")), f"{out}/filtered.txt", "read_id")
+    passed = members.join(results["assigned"].filter("NOT is_chimera"), "rix").select("rix", "read_id", F.col("otu_id").cast("string").alias("otu_id"))
+    write_file(passed.select("read_id", F.concat_ws("\t", "read_id", "otu_id").alias("value")), f"{out}/pass.log", "read_id")
     failed = members.join(passed.select("rix").distinct(), "rix", "left_anti")
-    fasta.write_lines(failed.select("read_id", F.col("read_id").alias("value")), f"{out}/fail.txt", "read_id")
-    by_otu = passed.groupBy("otu_id").agg(F.array_join(F.array_sort(F.collect_list("read_id")), "\t").alias("reads"))
-    fasta.write_lines(by_otu.select("otu_id", F.concat_ws("\t", F.col("otu_id").cast("string"), "reads").alias("value")), f"{out}/otumap.txt", "otu_id")
-    filtering.run_metrics(reads).write.json(f"{out}/metrics.json")
+    write_file(failed.select("read_id", F.col("read_id").alias("value")), f"{out}/fail.txt", "read_id")
+    otu.write_otu_map(passed, f"{out}/otumap.txt")
 
 
 def main(arguments: list[str]) -> None:

@@ -1,20 +1,21 @@
 """A reference database as files: concatenated FASTA, offset map, taxonomy, compressed text.
 
-``folder/name/`` holds ``name.fa`` (one record, a line per reference: the concatenation is the record's sequence),
-``name.db`` (id, offset), ``name.tcf`` (blocks of codes, Parquet), ``name.taxonomy`` (id, levels; may be missing) and
-``name.refs`` (Parquet, for joins). Each is a folder of part files in order of their names, as Spark writes them.
+``folder/name/`` holds ``name.fa`` (one record, all references end to end on one line), ``name.db`` (id, offset) and
+``name.taxonomy`` (id, levels; may be missing) as single files, and ``name.tcf`` (blocks of codes) and ``name.refs`` (for
+joins) as Parquet. ``python -m readloom.sources.database_files references.fna folder name [taxonomy]`` builds one.
 """
 
 from __future__ import annotations
 
+import argparse
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.database import concat_offsets, drop_empty_headers
-from readloom.sources.fasta import read_numbered, read_offsets, read_taxonomy, write_lines
+from readloom.sources.fasta import read_numbered, read_offsets, read_taxonomy
+from readloom.sources.files import write_file, write_one_line
 from readloom.sources.lzw import compress_references
 
 #: Unknown bases on each side of a gap between references, if spacers are asked for.
@@ -41,24 +42,36 @@ def write_database(refs: DataFrame, folder: str, name: str, taxonomy: DataFrame
     rows.write.parquet(f"{top}.refs")
     rows = refs.sparkSession.read.parquet(f"{top}.refs")
     gap = "N" * spacer
-    lines = rows.select("ref_ord", F.concat(F.lit(gap), "seq", F.lit(gap)).alias("value")) if spacer else rows.select("ref_ord", F.col("seq").alias("value"))
-    head = refs.sparkSession.createDataFrame([(-1, f">{name}")], "ref_ord long, value string")
-    write_lines(head.union(lines), f"{top}.fa", "ref_ord")
-    write_lines(rows.select("ref_ord", F.concat_ws("\t", F.col("ref_id").cast("string"), F.col("start_off").cast("string")).alias("value")), f"{top}.db", "ref_ord")
+    write_one_line(rows.select("ref_ord", F.concat(F.lit(gap), "seq", F.lit(gap)).alias("value")), f"{top}.fa", f">{name}", "ref_ord")
+    write_file(rows.select("ref_ord", F.concat_ws("\t", F.col("ref_id").cast("string"), F.col("start_off").cast("string")).alias("value")), f"{top}.db", "ref_ord")
     if compress:
         compress_references(rows).write.parquet(f"{top}.tcf")
     if taxonomy is not None:
-        taxonomy.select(F.concat_ws("\t", F.col("otu_id").cast("string"), "taxonomy")).write.text(f"{top}.taxonomy")
+        write_file(taxonomy.select("otu_id", F.concat_ws("\t", F.col("otu_id").cast("string"), "taxonomy").alias("value")), f"{top}.taxonomy", "otu_id")
     return top.rsplit("/", 1)[0]
 
 
 def open_database(spark: SparkSession, folder: str, name: str) -> Database:
     """The database called name below folder; without a taxonomy file its taxonomy is None."""
     top = f"{folder.rstrip('/')}/{name}/{name}"
-    try:
-        taxonomy = read_taxonomy(spark, f"{top}.taxonomy")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        taxonomy = None
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top}.taxonomy")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    taxonomy = read_taxonomy(spark, f"{top}.taxonomy") if there else None
     return Database(spark.read.parquet(f"{top}.refs"), read_offsets(spark, f"{top}.db"), taxonomy)
+
+
+def main() -> None:
+    parser = argparse.ArgumentParser(prog="readloom-database")
+    for name in ("references", "folder", "name"):
+        parser.add_argument(name)
+    parser.add_argument("taxonomy", nargs="?")
+    parser.add_argument("--spacer", type=int, default=0, help=f"unknown bases on each side of a gap, usually {SPACER}")
+    parser.add_argument("--compress", action=argparse.BooleanOptionalAction, default=True)
+    a = parser.parse_args()
+    spark = SparkSession.builder.appName("readloom-database").getOrCreate()
+    taxonomy = read_taxonomy(spark, a.taxonomy) if a.taxonomy else None
+    write_database(read_references(spark, a.references), a.folder, a.name, taxonomy, a.spacer, a.compress)
+
+
+if __name__ == "__main__":
+    main()

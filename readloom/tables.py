@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders below the shared one in which the tables of the works under way lie.
+_WORKS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/readloom/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark).rstrip("/"), "readloom", *_WORKS, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]:
+    """All that is written inside lies in one folder, which is deleted at the end, but for tables that the given function is called with."""
+    _WORKS.append(f"work-{uuid.uuid4().hex}")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    top = hadoop.Path("/".join([shared_dir(spark).rstrip("/"), "readloom", *_WORKS]))
+    fs = top.getFileSystem(conf)
+
+    def keep(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        kept, out = hadoop.Path(top.getParent(), f"kept-{uuid.uuid4().hex}"), {}
+        for name, df in tables.items():
+            made, files = hadoop.Path(kept, name), df.inputFiles()
+            fs.mkdirs(kept)
+            if not files or not fs.rename(hadoop.Path(files[0].rsplit("/", 1)[0]), made):
+                raise OSError(f"the table {name} could not be kept")
+            out[name] = spark.read.schema(df.schema).parquet(made.toString())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _WORKS.pop()
+        fs.delete(top, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
