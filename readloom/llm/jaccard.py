@@ -9,7 +9,8 @@ signatures of its own band and of the next one. Empty projections are left out w
 Equal sets are one class from the start. Signatures travel as sorted, compressed blocks, one per map batch and
 range of signatures, so a signature met in one class only never becomes a row; of each ``SIG_BITS`` bits are kept,
 which can only add candidates. The number of ranges grows with the bytes of text. Classes that share signatures are
-compared in steps that lose no link: every member of a signature with its smallest one; then, for signatures whose
+compared in steps that lose no link: every member of a signature with its smallest one (whose sketch and text
+travel once for each block of such members, so that a class that half of all others meet is no hot key); then, for signatures whose
 members are still in different components, a task finds those members that size and a parity sketch, which bounds
 the difference of two sets from below, leave within reach of another component. A signature of more than ``IN_TASK``
 members, or ``IN_TASK_ELEMENTS`` elements of their sets, is replaced by the pairs of its blocks first: its members
@@ -34,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import discard, materialise, partitions, spread
 from readloom.llm.components import connected_components
-from readloom.llm.textbatch import WordHasher, decode, encode, mix, slices, split_by_range, tidy
+from readloom.llm.textbatch import WordHasher, decode, encode, mix, release, slices, split_by_range, tidy
 
 N2, K2 = 3, 1
 SUBSETS = list(combinations(range(N2), N2 - K2))
@@ -212,18 +213,48 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"sig": sigs[keep].view(np.int64), "node": nodes[keep].view(np.int64)})
 
 
+def _in_blocks(pairs: DataFrame, weight: Column, most: int) -> DataFrame:
+    """pairs (a, b, ...) with block: the pairs of one ``a`` are dealt into blocks of about ``most`` of the weight's sum."""
+    loads = pairs.groupBy("a").agg(F.ceil(F.sum(weight) / most).cast("int").alias("n_blocks"))
+    hot = materialise(loads.filter("n_blocks > 1"), "hubs")
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    side = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_IDS else hot
+    return pairs.join(side, "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), n_blocks).cast("int")).drop("n_blocks")
+
+
+def _meet(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame, n_buckets: int, function, schema: str) -> DataFrame:
+    """function of tables of many hubs: pairs (a, block, ...) with of_b's columns, and (a, block) with of_a's columns.
+
+    A hub's data travel once for each of its blocks, not for each of its pairs; all that meets is a block of a hub.
+    """
+    bucket = lambda *key: F.pmod(F.xxhash64(*key), F.lit(n_buckets)).alias("bucket")
+    pairs = materialise(pairs, "blocks")
+    left = pairs.join(of_b, "b").select(bucket("a", "block"), *pairs.columns, *[c for c in of_b.columns if c != "b"])
+    hubs = pairs.select(F.col("a").alias("hub"), F.col("block").alias("hub_block")).distinct()
+    right = hubs.join(of_a.withColumnRenamed("a", "hub"), "hub").select(bucket("hub", "hub_block"), "hub", "hub_block", *[c for c in of_a.columns if c != "a"])
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(function, schema)
+
+
+def _hubs(table: pa.Table, column: str) -> dict[tuple[int, int], object]:
+    return {(a, block): x for a, block, x in zip(table["hub"].to_pylist(), table["hub_block"].to_pylist(), table[column], strict=True)}
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Without pairs whose sizes or sketches rule a link out; no link is lost."""
+    """a, b and m (the size of b's set) of the pairs whose sizes and sketches do not rule a link out; no link is lost."""
     side = lambda x: sketches.select(F.col("node").alias(x), F.struct("n", "sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa.n", F.col("sb.n").alias("m"), "sa.sketch", F.col("sb.sketch").alias("other"))
+    pairs = _in_blocks(pairs, F.lit(1), IN_TASK)
+    n_buckets = max(4 * partitions(pairs.sparkSession), pairs.count() // IN_TASK)
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
-            keep = pa.array([num * max(i, j) <= den * min(i, j) and least_difference(p, q) * (den + num) <= (den - num) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+    def prune(left: pa.Table, right: pa.Table) -> pa.Table:
+        hubs, keep, sizes = {k: x.as_py() for k, x in _hubs(right, "sa").items()}, [], []
+        for a, block, b in zip(left["a"].to_pylist(), left["block"].to_pylist(), left["sb"].to_pylist(), strict=True):
+            i, j, p, q = hubs[a, block]["n"], b["n"], hubs[a, block]["sketch"], b["sketch"]
+            keep.append(num * max(i, j) <= den * min(i, j) and least_difference(p, q) * (den + num) <= (den - num) * (i + j))
+            sizes.append(j)
+        kept = left.select(["a", "b"]).append_column("m", pa.array(sizes, pa.int64()))
+        return kept.filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(tidy(prune), "a long, b long")
+    return _meet(pairs, side("a"), side("b"), n_buckets, prune, "a long, b long, m long")
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,29 +267,31 @@ def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
     """Those pairs (a, b) whose texts' sets are similar."""
     pairs = materialise(_possible(pairs, sketches, num, den), "possible")
     texts = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            for low, high in slices(np.asarray(pc.binary_length(batch.column(2))) + np.asarray(pc.binary_length(batch.column(3))), 4 << 20):
-                part = batch.slice(low, high - low)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                kept, known = [], {}
-                for nodes, texts in ((a, part.column(2)), (b, part.column(3))):
-                    new = {x: i for i, x in enumerate(nodes) if x not in known}
-                    known.update(zip(new, shingle_sets(*hasher([texts[i].as_py() for i in new.values()]), width), strict=True))
-                for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                    s, t = known[x], known[y]
-                    if num * max(len(s), len(t)) <= den * min(len(s), len(t)):
-                        both = len(np.intersect1d(s, t, assume_unique=True))
-                        if den * both >= num * (len(s) + len(t) - both):
-                            kept.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), part.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
-
-    return both.mapInArrow(tidy(verify), "a long, b long")
+    elements = pairs.agg(F.sum("m")).first()[0] or 0
+    n_buckets = max(4 * partitions(pairs.sparkSession), -(-elements // (IN_TASK_ELEMENTS // 8)))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        hasher, kept = WordHasher(), []
+        hubs = _hubs(right, "text_a")
+        order = np.lexsort((left["block"].to_numpy(), left["a"].to_numpy()))
+        left = left.take(pa.array(order))
+        a, block, texts = left["a"].to_pylist(), left["block"].to_pylist(), left["text_b"]
+        held, s = None, None
+        sizes = np.asarray(pc.binary_length(texts.combine_chunks()))
+        for low, high in slices(sizes, 4 << 20):
+            for i, t in zip(range(low, high), shingle_sets(*hasher(texts.slice(low, high - low).to_pylist()), width), strict=True):
+                if held != (a[i], block[i]):
+                    held = (a[i], block[i])
+                    (s,) = shingle_sets(*hasher([hubs[held].as_py()]), width)
+                if num * max(len(s), len(t)) <= den * min(len(s), len(t)):
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if den * both >= num * (len(s) + len(t) - both):
+                        kept.append(i)
+        release()
+        return left.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return _meet(_in_blocks(pairs, F.col("m"), IN_TASK_ELEMENTS // 8).drop("m"), side("a"), side("b"), n_buckets, verify, "a long, b long")
 
 
 def _groups(table: pa.Table) -> Iterator[pa.Table]:
