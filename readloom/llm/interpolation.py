@@ -7,11 +7,13 @@ never seen share the place of one more word in the last term. The weights are le
 expectation-maximisation: counts come from training texts outside ``em_fold``, the events from those inside it.
 The final counts come from all training texts. Each text is BOS w1 .. wn END; END is predicted like a word.
 
-How it is spread: texts are cut into batches of a few MB, written as codes of the batch's own words. Each batch sends
-its distinct words and pairs, with their counts in it, in sorted compressed blocks to the range that owns their hash;
-so a pair is one entry a batch, however often it occurs. A range adds up and answers each block with the totals, and
-the batch, which then knows every count it needs, works out its texts. The number of ranges grows with the number of
-tokens. EM sees a histogram of held-out events by (bucket, log p2, log p1) in steps of 1/8, so at most about a million
+How it is spread: texts are cut into batches of a few MB, written as codes of the batch's own words. Words and pairs
+that most batches have are named first, at most ``MAX_COMMON`` of them, from at most ``SAMPLED`` batches; their counts
+are added up as vectors, ``FAN_IN`` of them at a time, and their totals, whose number is bounded, go to all tasks. For
+the others each batch sends its distinct words and pairs, with their counts in it, in sorted compressed blocks to the
+range that owns their hash. So no range gets an entry from nearly every batch; which keys are common decides their way,
+never their counts. A range adds up and answers each block with the totals, and the batch, which then knows every count
+it needs, works out its texts. The number of ranges grows with the number of tokens. EM sees a histogram of held-out events by (bucket, log p2, log p1) in steps of 1/8, so at most about a million
 cells whatever the input.
 
 Rules: a null text is empty, that is END alone; without training rows every token has probability 1 / (V + 1); rows
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ MAIN, EM, TEST = 0, 1, 2
 STEP, NEVER, COARSE = 2048, 65535, 8
 #: Text bytes of a batch, and tokens for each range of hashes.
 BATCH_BYTES, RANGE_TOKENS = 4 << 20, 1 << 20
+#: Keys that travel as vectors, batches from which they are read off, the share of those that must have them, and
+#: vectors that one task adds up.
+MAX_COMMON, SAMPLED, COMMON_SHARE, FAN_IN = 1 << 16, 64, 0.25, 64
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -60,21 +65,22 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, n_folds: int, test_fold:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), kind.cast("int").alias("kind"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices with the hashes of their words and the number of words of each text."""
     hasher = WordHasher()
     for batch in batches:
-        for low, high in slices(np.asarray(pc.binary_length(batch.column(1))), BATCH_BYTES):
+        for low, high in slices(np.asarray(pc.binary_length(batch.column(1))), most_bytes):
             part = batch.slice(low, high - low)
             yield part, *hasher(part.column(1).to_pylist())
 
 
 def write_batches(rows: DataFrame) -> DataFrame:
     """One row a batch: its texts, the sorted hashes of its words, and the text and word of each token."""
+    most_bytes = BATCH_BYTES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_id = TaskContext.get().partitionId() << 32
-        for part, words, counts in _batches(batches):
+        for part, words, counts in _batches(batches, most_bytes):
             n = len(counts)
             h = np.full(len(words) + n, END)
             is_word = np.ones(len(h), bool)
@@ -94,7 +100,7 @@ def write_batches(rows: DataFrame) -> DataFrame:
 
 
 BATCHES = pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("texts", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
-WORDS, PAIRS, TEXTS, TOTALS = range(4)
+WORDS, PAIRS, TEXTS, TOTALS, VECTOR = range(5)
 
 
 class Batch:
@@ -114,25 +120,103 @@ class Batch:
         self.fold = self.texts["fold"].to_numpy()[self.place.astype(np.int64)]
 
 
-def count_blocks(batches: DataFrame, n_parts: int) -> DataFrame:
-    """Each batch's distinct words and pairs with n (in its training texts) and n_em (in those for EM), for n_parts ranges."""
+class Common:
+    """Sorted hashes of common words and pairs, and where the vector of counts has them."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray):
+        self.keys, self.size = {WORDS: words, PAIRS: pairs}, len(words) + len(pairs)
+        self.first = {WORDS: 0, PAIRS: len(words)}
+
+    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are common, and the places of those in the vector."""
+        own = self.keys[kind]
+        if not len(own):
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        there = own[at] == keys
+        return there, at[there] + self.first[kind]
+
+
+def common_keys(batches: DataFrame) -> Common:
+    """Words and pairs that at least COMMON_SHARE of the sampled batches have, the most widespread first; none of fewer than four batches."""
+    sample = batches.orderBy(F.xxhash64("batch"), "batch").limit(SAMPLED)
+
+    def names(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for i in range(len(row)):
+                b = Batch(*(row.column(c)[i].as_py() for c in (2, 3, 4)))
+                for kind, keys in ((WORDS, b.hashes), (PAIRS, b.pairs)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], names=["kind", "hash"])
+
+    n = sample.count()
+    if n < 4:
+        return Common(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    spread_ = sample.repartition(min(n, partitions(batches.sparkSession)), "batch")
+    held = spread_.mapInArrow(tidy(names), "kind int, hash long").groupBy("kind", "hash").count().filter(F.col("count") >= max(4, COMMON_SHARE * n))
+    found = held.orderBy(F.desc("count"), "kind", "hash").limit(MAX_COMMON).toArrow()
+    kind, keys = found["kind"].to_numpy(), found["hash"].to_numpy().view(np.uint64)
+    return Common(np.sort(keys[kind == WORDS]), np.sort(keys[kind == PAIRS]))
+
+
+def count_blocks(batches: DataFrame, n_parts: int, common: Common | None = None) -> DataFrame:
+    """Each batch's distinct words and pairs with n (in its training texts) and n_em (in those for EM), for n_parts ranges.
+
+    Those that are common make one more row of the batch, of kind VECTOR: their places in the vector and counts.
+    """
     edges = np.array([(p << 64) // n_parts for p in range(n_parts)], np.uint64)
+    common = common or Common(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    sent = batches.sparkSession.sparkContext.broadcast(common)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for i in range(len(row)):
                 b = Batch(*(row.column(c)[i].as_py() for c in (2, 3, 4)))
-                out = []
+                out, vector = [], []
                 for kind, keys, at in ((WORDS, b.hashes, b.code), (PAIRS, b.pairs, b.pair)):
                     n, n_em = (np.bincount(at[x], minlength=len(keys)).astype(np.uint32) for x in (b.fold != TEST, b.fold == EM))
+                    there, places = sent.value.find(kind, keys)
+                    vector.append((places.astype(np.uint64), n[there], n_em[there]))
+                    keys, n, n_em = keys[~there], n[~there], n_em[~there]
                     cuts = np.append(np.searchsorted(keys, edges), len(keys))
                     out += [(kind, p, encode(keys[x:y], n[x:y], n_em[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+                if sent.value.size:
+                    out.append((VECTOR, 0, encode(*map(np.concatenate, zip(*vector, strict=True)))))
+                if not out:
+                    continue
                 kinds, parts, payloads = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array([row.column(0)[i].as_py()] * len(out), pa.int64()), pa.array(payloads, pa.binary())], names=["kind", "part", "batch", "payload"])
 
     return batches.mapInArrow(tidy(count), "kind int, part int, batch long, payload binary")
 
 
+def common_totals(vectors: DataFrame, n_batches: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """n and n_em of the common keys over all batches: FAN_IN vectors are added up in a task, until one task's are left."""
+
+    def add(table: pa.Table) -> pa.Table:
+        n, n_em = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        for x in table["payload"]:
+            places, a, b = decode(x.as_py(), "u8", "u8") if table["wide"][0].as_py() else decode(x.as_py(), "u4", "u4")
+            places = places.astype(np.int64)
+            n[places] += a.astype(np.uint64)
+            n_em[places] += b.astype(np.uint64)
+        some = np.flatnonzero(n)
+        return pa.table({"i": table["i"][:1], "wide": [True], "payload": pa.array([encode(some.astype(np.uint64), n[some], n_em[some])], pa.binary())})
+
+    groups = n_batches
+    rows = vectors.select(F.xxhash64("batch").alias("i"), F.lit(False).alias("wide"), "payload")
+    while True:
+        groups = -(-groups // FAN_IN)
+        rows = materialise(rows.groupBy(F.pmod("i", F.lit(groups)).alias("g")).applyInArrow(add, "i long, wide boolean, payload binary"), "common")
+        if groups <= FAN_IN:
+            break
+    n, n_em = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+    for row in rows.select("payload").toLocalIterator():  # at most FAN_IN of them
+        places, a, b = decode(bytes(row["payload"]), "u8", "u8")
+        n[places.astype(np.int64)] += a
+        n_em[places.astype(np.int64)] += b
+    return n, n_em
+
+
 def add_up(table: pa.Table) -> pa.Table:
     """Answers each block of one range with the totals of its keys; a last row has the range's own totals."""
     kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
@@ -156,8 +240,11 @@ COUNTS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("batch", pa.int
 RESOLVED = pa.schema([("texts", pa.binary()), ("tokens", pa.binary()), ("cells", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
 
-def resolve(n_main: int):
-    """Function of a batch and the answers to its blocks: each token's counts of word and pair, and held-out events."""
+def resolve(n_main: int, common: Broadcast):
+    """Function of a batch and the answers to its blocks: each token's counts of word and pair, and held-out events.
+
+    common holds the common keys and their totals n and n_em.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         kinds, parts = table["kind"].to_numpy(), table["part"].to_numpy()
@@ -165,12 +252,19 @@ def resolve(n_main: int):
         texts = table["payload"][i].as_py()
         b = Batch(texts, table["words"][i].as_py(), table["tokens"][i].as_py())
 
-        def totals(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        def totals(kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            named, *of_named = common.value
+            there, places = named.find(kind, keys)
             at = np.flatnonzero(kinds == kind)
             found = [decode(table["payload"][int(j)].as_py(), "u8", "u8")[1:] for j in at[np.argsort(parts[at])]]
-            return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-        (word, word_em), (pair, pair_em) = totals(WORDS), totals(PAIRS)
+            out = tuple(np.zeros(len(keys), np.uint64) for _ in range(2))
+            for i, x in enumerate(out):
+                x[there] = of_named[i][places]
+                if found:
+                    x[~there] = np.concatenate([f[i] for f in found])
+            return out
+
+        (word, word_em), (pair, pair_em) = totals(WORDS, b.hashes), totals(PAIRS, b.pairs)
         held = b.fold == EM
         cells = n = np.zeros(0, np.int64)
         if held.any():
@@ -206,20 +300,31 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, types: int, rounds: int = 60
     return weights
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_folds: int = 5, test_fold: int = 1, em_fold: int = 4, max_hot: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``max_hot`` is taken and has no effect: every word has its own estimate."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_folds: int = 5, test_fold: int = 1, em_fold: int = 4) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     batches = write_batches(_rows(docs, id_col, text_col, n_folds, test_fold, em_fold))
-    tokens = batches.agg(F.sum("n")).first()[0] or 0
+    tokens, n_batches = batches.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_parts = max(partitions(spark), -(-tokens // RANGE_TOKENS))
-    answers = count_blocks(batches, n_parts).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
+    common = common_keys(batches)
+    blocks = count_blocks(batches, n_parts, common)
+    own = np.zeros(common.size, np.uint64), np.zeros(common.size, np.uint64)
+    if common.size:
+        blocks = materialise(blocks, "blocks")
+        own = common_totals(blocks.filter(F.col("kind") == VECTOR), n_batches, common.size)
+    answers = blocks.filter(F.col("kind") != VECTOR).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
     counts = materialise(answers, "counts")
+    if common.size:
+        discard(blocks)
     n, n_main, types = (x or 0 for x in counts.filter(F.col("kind") == TOTALS).agg(F.sum("n"), F.sum("n_main"), F.sum("types")).first())
+    words = [x[: len(common.keys[WORDS])] for x in own]
+    n, n_main, types = n + int(words[0].sum()), n_main + int(words[0].sum() - words[1].sum()), types + int((words[0] > 0).sum())
+    shared = spark.sparkContext.broadcast((common, *own))
 
     none = F.lit(None).cast("binary")
     texts = batches.select("batch", F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), F.col("texts").alias("payload"), "words", "tokens")
     both = counts.filter(F.col("kind") != TOTALS).select("batch", "kind", "part", "payload", none.alias("words"), none.alias("tokens")).union(texts)
-    resolved = materialise(both.groupBy("batch").applyInArrow(resolve(n_main), "texts binary, tokens binary, cells array<long>, n array<long>"), "resolved")
+    resolved = materialise(both.groupBy("batch").applyInArrow(resolve(n_main, shared), "texts binary, tokens binary, cells array<long>, n array<long>"), "resolved")
     discard(batches)
     discard(counts)
     cells = resolved.select(F.explode(F.arrays_zip("cells", "n")).alias("x")).groupBy(F.col("x.cells").alias("code")).agg(F.sum("x.n").alias("n"))

@@ -1,5 +1,6 @@
 """Odd inputs (nulls, empty and very long texts, ties, repeated rows, no rows, clashing columns) and brute force."""
 
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -224,9 +225,6 @@ def test_interpolation(spark, docs, empty):
     assert interpolation.score_texts(empty).count() == 0
     rows = interpolation.score_texts(docs).collect()
     assert len(rows) == len(ROWS) and all(np.isfinite([r.score, r.base_score]).all() for r in rows)
-    # few frequent words: cold contexts and cold words go their own ways, base scores stay
-    few = {r.doc_id: r for r in interpolation.score_texts(docs, max_hot=3).collect()}
-    assert all(abs(few[r.doc_id].base_score - r.base_score) < 1e-6 * abs(r.base_score) + 1e-9 and few[r.doc_id].n_known == r.n_known for r in rows if r.doc_id != 5)
 
 
 def test_interpolation_is_a_distribution(spark):
@@ -249,7 +247,9 @@ def test_em_recovers_weights():
     assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and (w >= 0).all()
 
 
-def test_interpolation_gives_every_word_its_own_estimate(spark, docs):
+@pytest.mark.parametrize("batch_bytes", [4 << 20, 400])
+def test_interpolation_gives_every_word_its_own_estimate(spark, docs, monkeypatch, batch_bytes):
+    """In one batch a task, and in many, of which most have the common words and pairs; vectors are added up three at a time."""
     rnd = random.Random(8)
     vocab = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rnd.choices(vocab, [1 / (k + 1) for k in range(60)], k=rnd.randrange(30)))) for i in range(300)]
@@ -279,10 +279,19 @@ def test_interpolation_gives_every_word_its_own_estimate(spark, docs):
     weights = interpolation.learn_weights(*np.unique(cells, return_counts=True), types)
     want = {k: sum(np.log10(weights[b] @ (p2, p1, 1 / (types + 1))) for b, p2, p1 in (terms(v, w, *full) for v, w in g)) for k, g in grams.items()}
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for max_hot in (3, 100):
-        got = {r.doc_id: r for r in interpolation.score_texts(table, max_hot=max_hot).collect()}
-        assert all(abs(got[k].score - want[k]) < 1e-6 * abs(want[k]) for k in want)
-        assert all(got[k].n_tokens == len(g) and got[k].n_known == sum(w in full[0] for _, w in g) for k, g in grams.items())
+    named, find = [], interpolation.common_keys
+    monkeypatch.setattr(interpolation, "BATCH_BYTES", batch_bytes)
+    monkeypatch.setattr(interpolation, "FAN_IN", 3)
+    monkeypatch.setattr(interpolation, "common_keys", lambda b: named.append(find(b)) or named[-1])
+    got = {r.doc_id: r for r in interpolation.score_texts(table).collect()}
+    assert named[0].size > 20
+    assert all(abs(got[k].score - want[k]) < 1e-6 * abs(want[k]) for k in want)
+    assert all(got[k].n_tokens == len(g) and got[k].n_known == sum(w in full[0] for _, w in g) for k, g in grams.items())
+    del full[0]["<s>"]
+    n, v = sum(full[0].values()), len(full[0])
+    base = {k: sum(math.log10((full[0].get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for _, w in g) for k, g in grams.items()}
+    assert all(abs(got[k].base_score - base[k]) < 1e-9 * abs(base[k]) for k in base)
+    assert {r.train_tokens for r in got.values()} == {n} and all(got[k].held_out == (fold[k] == 1) for k in fold)
 
 
 def test_interpolation_ranges_see_a_pair_once_a_batch(spark, monkeypatch):
@@ -294,13 +303,28 @@ def test_interpolation_ranges_see_a_pair_once_a_batch(spark, monkeypatch):
     assert len(keys) == len(set(keys)) < 5000 and max(int(n.max()) for _, _, (_, n, _) in blocks) > 10_000
 
     asked, count = [], interpolation.count_blocks
-    monkeypatch.setattr(interpolation, "count_blocks", lambda b, n: asked.append(n) or count(b, n))
+    monkeypatch.setattr(interpolation, "count_blocks", lambda b, n, c: asked.append(n) or count(b, n, c))
     few = {r.doc_id: r.score for r in interpolation.score_texts(table).collect()}
     monkeypatch.setattr(interpolation, "RANGE_TOKENS", 10_000)
     many = {r.doc_id: r.score for r in interpolation.score_texts(table).collect()}
     assert asked[0] == 4 and asked[1] == 22 and few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 * abs(few[k]) for k in few)
 
 
+def test_common_words_do_not_reach_the_ranges(spark, monkeypatch):
+    """With ten times as many batches a range gets no more entries of the words that all have."""
+    monkeypatch.setattr(interpolation, "BATCH_BYTES", 300)
+    table = spark.createDataFrame([(i, f"the cat and the dog and the cow x{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    batches = interpolation.write_batches(interpolation._rows(table, "doc_id", "text", 5, 1, 4))
+    common = interpolation.common_keys(batches)
+    assert len(common.keys[interpolation.WORDS]) == 6 and batches.count() > 30  # with the end
+    blocks = interpolation.count_blocks(batches, 3, common).filter(F.col("kind") != interpolation.VECTOR).collect()
+    held = {}
+    for r in blocks:
+        for k in interpolation.decode(r.payload, "u4", "u4")[0]:
+            held[r.kind, int(k)] = held.get((r.kind, int(k)), 0) + 1
+    assert max(held.values()) == 1
+
+
 def test_quality_threshold_follows_the_labelled_rows(spark):
     rnd = random.Random(5)
     plain, odd = [f"w{i}" for i in range(40)], [f"spam{i}" for i in range(40)]
