@@ -50,8 +50,8 @@ def unpack_bits(payload: bytes, width: int, n: int, start: int = 0) -> np.ndarra
     return bits.reshape(n, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width - 1, -1, -1, dtype=np.uint32))
 
 
-#: A word that ends in a letter and then ASCII punctuation other than an apostrophe: the tokenizer always cuts between the two.
-LETTER_STOP = re.compile(rb"(.*(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.DOTALL)
+#: A letter, then ASCII punctuation other than an apostrophe up to a blank or the end: the tokenizer always cuts between the two.
+LETTER_STOP = r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([ \x09-\x0d]|\z)"
 
 
 #: A word that neither the normaliser nor the splitter of the tokenizer changes.
@@ -96,25 +96,12 @@ class WordCache:
 
     def learn(self) -> None:
         """Encodes the words that have a number but no ids yet."""
-        new, known = self.numbers.new, len(self.starts)
-        cut, halves = [], []
-        runs, others = ([], []), ([], [])
-        for n, word in enumerate(new, known):  # grows as halves are met for the first time
-            found = None if b"<|" in word else LETTER_STOP.match(word)
-            if found:
-                cut.append(n)
-                halves += [self.numbers[found[1]], self.numbers[found[2]]]
-            else:
-                text = word.decode("utf-8", "replace")
-                numbers, texts = runs if LETTERS.fullmatch(text) else others
-                numbers.append(n)
-                texts.append(text)
-        for tokenizer, (numbers, texts) in ((self.letters, runs), (self.tokenizer, others)):
-            encoded = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        known, texts = len(self.starts), [w.decode("utf-8", "replace") for w in self.numbers.new]
+        plain = np.fromiter(map(bool, map(LETTERS.fullmatch, texts)), bool, len(texts))
+        for tokenizer, these in ((self.letters, np.flatnonzero(plain)), (self.tokenizer, np.flatnonzero(~plain))):
+            encoded = [e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in these.tolist()], add_special_tokens=False)]
             lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self._append(np.array(numbers, np.int64), np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths, known + len(new))
-        both = np.array(halves, np.int64)
-        self._append(np.array(cut, np.int64), self.ids_of(both), self.lengths[both].reshape(-1, 2).sum(axis=1), known + len(new))
+            self._append(these + known, np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths, known + len(texts))
         self.numbers.new = []
 
     def _append(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray, total: int) -> None:
@@ -130,8 +117,9 @@ class WordCache:
         if len(self.numbers) > self.most:
             self.clear()
         texts = texts.view(pa.string())
-        # Texts that may hold a special token keep their capitals, as those decide whether it is one.
-        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        # Texts that may hold a special token stay as they are, as capitals and blanks decide whether it is one.
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_STOP, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, cut))
         words, of = split.flatten(), np.repeat(np.arange(len(split)), pc.list_value_length(split))
         full = pc.greater(pc.binary_length(words), 0)
         counts = np.bincount(of[np.asarray(full)], minlength=len(split))
