@@ -16,7 +16,8 @@ of ``min_bytes`` is reported if ``min_words`` words touch it, these two chunks a
 
 Rules: null and empty texts have no chunks; repeats within one text lengthen a run when they follow the first
 occurrence, and are reported by themselves with ``within`` only; rows with a null id are not compared. Of rows with equal id and different texts, the one with the smaller hash of its
-text comes first; rows with equal id and text are one document, met twice: each has the same runs.
+text comes first; rows with equal id and text are one document, met twice: each has the same runs. A text is known by
+its id, or id and hash where ids repeat, never by its place in a task, so a task that runs again changes nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,31 +115,40 @@ def reach(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return count[starts] - (inside & ~begins)[starts], count[behind]
 
 
-def _chunks(docs: DataFrame, id_col: str, text_col: str, places: bool) -> DataFrame:
-    """row (its number), doc_id, text_hash, a, b (halves of the digest); with places i, start and end (the chunk's place in the text), low and high (its reach in words)."""
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def _chunks(docs: DataFrame, id_col: str, text_col: str, places: bool, keyed: bool) -> DataFrame:
+    """doc_id, a, b (halves of the digest); keyed, text_hash and key, another hash of the text; with places i, start and end (the chunk's place in the text), low and high (its reach in words)."""
+    text = F.col(text_col)
+    rows = docs.filter(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), *[F.xxhash64(text).alias("key")] * keyed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                keys, texts = batch.column(0).slice(low, 256).to_numpy(zero_copy_only=False), batch.column(1).slice(low, 256).to_pylist()
+                part = batch.slice(low, 256)
+                texts = part.column(1).to_pylist()
                 parts = [chunk_digests(t) for t in texts]
                 n = [len(e) for e, _ in parts]
-                numbers, row = np.arange(row, row + len(texts)), row + len(texts)
                 if not sum(n):
                     continue
-                hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
                 digests = np.concatenate([d for _, d in parts])
-                out = [np.repeat(numbers, n), np.repeat(keys, n), np.repeat(hashes, n), digests[:, 0].copy(), digests[:, 1].copy()]
+                out = [np.repeat(part.column(0).to_numpy(zero_copy_only=False), n), digests[:, 0].copy(), digests[:, 1].copy()]
+                if keyed:
+                    hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+                    out += [np.repeat(hashes, n), np.repeat(part.column(2).to_numpy(), n)]
                 if places:
                     starts = [np.append(0, e[:-1]) if len(e) else e for e, _ in parts]
                     words = zip(*[reach(t, e) for t, (e, _) in zip(texts, parts, strict=True)], strict=True)
                     out += [np.concatenate(x).astype(np.int32) for x in ([np.arange(k) for k in n], starts, [e for e, _ in parts], *words)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
-    names = ["row", "doc_id", "text_hash", "a", "b"] + ["i", "start", "end", "low", "high"] * places
-    return rows.mapInArrow(tidy(cut), ", ".join(f"{x} {'int' if k > 4 else 'long'}" for k, x in enumerate(names)))
+    longs = ["doc_id", "a", "b"] + ["text_hash", "key"] * keyed
+    names = longs + ["i", "start", "end", "low", "high"] * places
+    return rows.mapInArrow(tidy(cut), ", ".join(f"{x} {'long' if x in longs else 'int'}" for x in names))
+
+
+def _repeated_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, times of rows that occur more than once with one id and text."""
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.groupBy(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
 
 
 def _ids_repeat(docs: DataFrame, id_col: str) -> bool:
@@ -151,7 +160,7 @@ def chunk_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     If no id repeats, ids alone decide, and the sums need no sort; owner_hash is null then.
     """
-    chunks = _chunks(docs, id_col, text_col, False)
+    chunks = _chunks(docs, id_col, text_col, False, ids_repeat)
     if ids_repeat:
         owner = F.min(F.struct("doc_id", "text_hash")).alias("first")
         found = ["first.doc_id", "first.text_hash"]
@@ -179,13 +188,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = F.floor(F.col("n_seen") / least).cast("int")
     hot = owners.filter(F.col("n_seen") >= least).select("a", "b", keys.alias("keys"))
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), keys))).drop("n_seen")
-    chunks = _chunks(docs, id_col, text_col, True).join(F.broadcast(hot), ["a", "b"], "left")
-    chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
+    chunks = _chunks(docs, id_col, text_col, True, ids_repeat).join(F.broadcast(hot), ["a", "b"], "left")
+    text = ["doc_id"] + ["key"] * ids_repeat  # what a text is known by, however often it occurs
+    chunks = chunks.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*text, "i"), F.col("keys") + 1), F.lit(0)).cast("int"))
     other = F.col("owner") != F.col("doc_id")
     if ids_repeat:  # else the texts' hashes need not travel
         other |= F.col("owner_hash") != F.col("text_hash")
-    found = chunks.join(owners, ["a", "b", "salt"]).select("row", "doc_id", F.struct("i", "start", "end", "low", "high", "owner", other.alias("other"), "a", "b").alias("chunk"))
-    per_doc = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks")).drop("row")
+    found = chunks.join(owners, ["a", "b", "salt"]).select(*text, F.struct("i", "start", "end", "low", "high", "owner", other.alias("other"), "a", "b").alias("chunk"))
+    gather = F.collect_set if ids_repeat else F.collect_list  # rows with equal id and text have the same chunks
+    per_doc = found.groupBy(*text).agg(F.array_sort(gather("chunk")).alias("chunks"), *([] if ids_repeat else [F.lit(0).cast("long").alias("key")])).select("doc_id", "chunks", "key")
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +209,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             c = {k: x[c["other"] | seen] for k, x in c.items()}
             if not len(c["row"]):
                 continue
-            doc = batch.column(0).to_numpy()[c["row"]]
+            doc, key = (batch.column(i).to_numpy()[c["row"]] for i in (0, 2))
             head = np.append(True, (np.diff(c["row"]) != 0) | (np.diff(c["i"]) != 1))
             heads, run = np.flatnonzero(head), np.cumsum(head) - 1
             tails = np.append(heads[1:], len(run)) - 1
@@ -215,10 +226,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             c = {k: x[groups] for k, x in c.items()}
             order = np.lexsort((~c["owner"], n, c["other"], c["run"]))
             best = order[np.append(np.diff(c["run"][order]) != 0, True)]
-            out = [doc[heads][keep], c["owner"][best], start[keep], end[keep], (tails - heads + 1)[keep].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "owner_id", "start", "end", "n_chunks"])
-
-    return per_doc.mapInArrow(tidy(join_runs), "doc_id long, owner_id long, start int, end int, n_chunks int")
+            out = [doc[heads][keep], c["owner"][best], start[keep], end[keep], (tails - heads + 1)[keep].astype(np.int32), key[heads][keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "owner_id", "start", "end", "n_chunks", "key"])
+
+    runs = per_doc.mapInArrow(tidy(join_runs), "doc_id long, owner_id long, start int, end int, n_chunks int, key long")
+    if not ids_repeat:
+        return runs.drop("key")
+    again = runs.join(_repeated_rows(docs, id_col, text_col), ["doc_id", "key"], "left")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long"))))
+    return again.withColumn("time", times).select("doc_id", "owner_id", "start", "end", "n_chunks")
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

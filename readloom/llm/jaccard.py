@@ -48,6 +48,8 @@ SUBSETS = list(combinations(range(N2), N2 - K2))
 MAX_BROADCAST_IDS = 1_000_000
 #: Members of a signature that one task compares with each other in memory, and the elements of all their sets.
 IN_TASK, IN_TASK_ELEMENTS = 4096, 4 << 20
+#: Pairs of one class, and elements of the sets paired with it, in a block that meets its sketch or text.
+BLOCK_PAIRS, BLOCK_ELEMENTS = 512, 1 << 17
 #: Bits of a signature, and text bytes for each range of signatures: a shingle makes about half a signature.
 SIG_BITS, RANGE_BYTES = 52, 32 << 20
 
@@ -242,7 +244,7 @@ def _hubs(table: pa.Table, column: str) -> dict[tuple[int, int], object]:
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """a, b and m (the size of b's set) of the pairs whose sizes and sketches do not rule a link out; no link is lost."""
     side = lambda x: sketches.select(F.col("node").alias(x), F.struct("n", "sketch").alias(f"s{x}"))
-    pairs = _in_blocks(pairs, F.lit(1), IN_TASK)
+    pairs = _in_blocks(pairs, F.lit(1), BLOCK_PAIRS)
     n_buckets = max(4 * partitions(pairs.sparkSession), pairs.count() // IN_TASK)
 
     def prune(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -291,7 +293,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
         release()
         return left.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    return _meet(_in_blocks(pairs, F.col("m"), IN_TASK_ELEMENTS // 8).drop("m"), side("a"), side("b"), n_buckets, verify, "a long, b long")
+    return _meet(_in_blocks(pairs, F.col("m"), BLOCK_ELEMENTS).drop("m"), side("a"), side("b"), n_buckets, verify, "a long, b long")
 
 
 def _groups(table: pa.Table) -> Iterator[pa.Table]:

@@ -185,6 +185,9 @@ def _components(rows, width, t):
 @pytest.mark.parametrize("in_task", [2, 4096])
 def test_jaccard_components(spark, monkeypatch, in_task):
     monkeypatch.setattr(jaccard, "IN_TASK", in_task)
+    if in_task == 2:  # every hub has several blocks
+        monkeypatch.setattr(jaccard, "BLOCK_PAIRS", 2)
+        monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 100)
     rnd = random.Random(6)
     rows = []
     for g in range(6):
@@ -325,6 +328,14 @@ def test_common_words_do_not_reach_the_ranges(spark, monkeypatch):
     assert max(held.values()) == 1
 
 
+def test_contradictory_labels_are_bad(spark):
+    rows = [(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 1), (4, None, 0), (5, 1, None), (5, 1, 0), (6, 0, 1), (None, 1, 0), (7, 1, 0), (7, None, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    good = {r.t_id for r in quality._good(labels, "doc_id").collect()}
+    held = {r.t_id: r.good for r in quality.held_ids(labels).collect()}
+    assert good == {1, 5} and {k for k, v in held.items() if not v} == {2, 6} and all(k in good for k, v in held.items() if v)
+
+
 def test_quality_threshold_follows_the_labelled_rows(spark):
     rnd = random.Random(5)
     plain, odd = [f"w{i}" for i in range(40)], [f"spam{i}" for i in range(40)]
