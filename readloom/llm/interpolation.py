@@ -161,7 +161,8 @@ def common_keys(batches: DataFrame) -> Common:
 def count_blocks(batches: DataFrame, n_parts: int, common: Common | None = None) -> DataFrame:
     """Each batch's distinct words and pairs with n (in its training texts) and n_em (in those for EM), for n_parts ranges.
 
-    Those that are common make one more row of the batch, of kind VECTOR: their places in the vector and counts.
+    Those that are common make one more row of the batch, of kind VECTOR: their places in the vector and counts. Vectors
+    are dealt evenly over the ranges, which add them up.
     """
     edges = np.array([(p << 64) // n_parts for p in range(n_parts)], np.uint64)
     common = common or Common(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -180,7 +181,7 @@ def count_blocks(batches: DataFrame, n_parts: int, common: Common | None = None)
                     cuts = np.append(np.searchsorted(keys, edges), len(keys))
                     out += [(kind, p, encode(keys[x:y], n[x:y], n_em[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
                 if sent.value.size:
-                    out.append((VECTOR, 0, encode(*map(np.concatenate, zip(*vector, strict=True)))))
+                    out.append((VECTOR, int(mix(np.array([row.column(0)[i].as_py()], np.uint64))[0] % np.uint64(n_parts)), encode(*map(np.concatenate, zip(*vector, strict=True)))))
                 if not out:
                     continue
                 kinds, parts, payloads = zip(*out, strict=True)
@@ -189,26 +190,23 @@ def count_blocks(batches: DataFrame, n_parts: int, common: Common | None = None)
     return batches.mapInArrow(tidy(count), "kind int, part int, batch long, payload binary")
 
 
-def common_totals(vectors: DataFrame, n_batches: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """n and n_em of the common keys over all batches: FAN_IN vectors are added up in a task, until one task's are left."""
+def _sum_vectors(payloads: list[bytes], kinds: str) -> bytes:
+    opened = [decode(x, kinds, kinds) for x in payloads]
+    places, at = np.unique(np.concatenate([x[0] for x in opened]), return_inverse=True)
+    n, n_em = (np.bincount(at, np.concatenate([x[i] for x in opened]), len(places)).astype(np.uint64) for i in (1, 2))
+    return encode(places, n, n_em)
 
-    def add(table: pa.Table) -> pa.Table:
-        n, n_em = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        for x in table["payload"]:
-            places, a, b = decode(x.as_py(), "u8", "u8") if table["wide"][0].as_py() else decode(x.as_py(), "u4", "u4")
-            places = places.astype(np.int64)
-            n[places] += a.astype(np.uint64)
-            n_em[places] += b.astype(np.uint64)
-        some = np.flatnonzero(n)
-        return pa.table({"i": table["i"][:1], "wide": [True], "payload": pa.array([encode(some.astype(np.uint64), n[some], n_em[some])], pa.binary())})
 
-    groups = n_batches
-    rows = vectors.select(F.xxhash64("batch").alias("i"), F.lit(False).alias("wide"), "payload")
-    while True:
+def common_totals(vectors: DataFrame, n_vectors: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """n and n_em of the common keys: FAN_IN vectors (part, payload) are added up in a task, until one task's are left."""
+    rows, groups = vectors.select(F.col("part").cast("long").alias("i"), "payload"), n_vectors
+    while groups > FAN_IN:
         groups = -(-groups // FAN_IN)
-        rows = materialise(rows.groupBy(F.pmod("i", F.lit(groups)).alias("g")).applyInArrow(add, "i long, wide boolean, payload binary"), "common")
-        if groups <= FAN_IN:
-            break
+
+        def add(table: pa.Table) -> pa.Table:
+            return pa.table({"i": table["i"][:1], "payload": pa.array([_sum_vectors(table["payload"].to_pylist(), "u8")], pa.binary())})
+
+        rows = materialise(rows.groupBy(F.pmod("i", F.lit(groups)).alias("g")).applyInArrow(add, "i long, payload binary").withColumn("i", F.pmod("i", F.lit(groups))), "common")
     n, n_em = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
     for row in rows.select("payload").toLocalIterator():  # at most FAN_IN of them
         places, a, b = decode(bytes(row["payload"]), "u8", "u8")
@@ -218,8 +216,10 @@ def common_totals(vectors: DataFrame, n_batches: int, size: int) -> tuple[np.nda
 
 
 def add_up(table: pa.Table) -> pa.Table:
-    """Answers each block of one range with the totals of its keys; a last row has the range's own totals."""
+    """Answers each block of one range with the totals of its keys; a last row has the range's own totals. Vectors become their sum."""
     kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    if kind == VECTOR:
+        return pa.table([pa.array([c], t) for c, t in zip((kind, part, -1, _sum_vectors(table["payload"].to_pylist(), "u4"), 0, 0, 0), COUNTS.types, strict=True)], schema=COUNTS)
     opened = [decode(x.as_py(), "u4", "u4") for x in table["payload"]]
     cuts = np.cumsum([0] + [len(x[0]) for x in opened])
     keys, n, n_em = (np.concatenate(c) for c in zip(*opened, strict=True))
@@ -304,18 +304,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     batches = write_batches(_rows(docs, id_col, text_col, n_folds, test_fold, em_fold))
-    tokens, n_batches = batches.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tokens = batches.agg(F.sum("n")).first()[0] or 0
     n_parts = max(partitions(spark), -(-tokens // RANGE_TOKENS))
     common = common_keys(batches)
-    blocks = count_blocks(batches, n_parts, common)
-    own = np.zeros(common.size, np.uint64), np.zeros(common.size, np.uint64)
-    if common.size:
-        blocks = materialise(blocks, "blocks")
-        own = common_totals(blocks.filter(F.col("kind") == VECTOR), n_batches, common.size)
-    answers = blocks.filter(F.col("kind") != VECTOR).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
+    answers = count_blocks(batches, n_parts, common).groupBy("kind", "part").applyInArrow(add_up, "kind int, part int, batch long, payload binary, n long, n_main long, types long")
     counts = materialise(answers, "counts")
-    if common.size:
-        discard(blocks)
+    own = common_totals(counts.filter(F.col("kind") == VECTOR), n_parts, common.size) if common.size else [np.zeros(0, np.uint64)] * 2
     n, n_main, types = (x or 0 for x in counts.filter(F.col("kind") == TOTALS).agg(F.sum("n"), F.sum("n_main"), F.sum("types")).first())
     words = [x[: len(common.keys[WORDS])] for x in own]
     n, n_main, types = n + int(words[0].sum()), n_main + int(words[0].sum() - words[1].sum()), types + int((words[0] > 0).sum())
@@ -323,7 +317,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     none = F.lit(None).cast("binary")
     texts = batches.select("batch", F.lit(TEXTS).alias("kind"), F.lit(0).alias("part"), F.col("texts").alias("payload"), "words", "tokens")
-    both = counts.filter(F.col("kind") != TOTALS).select("batch", "kind", "part", "payload", none.alias("words"), none.alias("tokens")).union(texts)
+    both = counts.filter(~F.col("kind").isin(TOTALS, VECTOR)).select("batch", "kind", "part", "payload", none.alias("words"), none.alias("tokens")).union(texts)
     resolved = materialise(both.groupBy("batch").applyInArrow(resolve(n_main, shared), "texts binary, tokens binary, cells array<long>, n array<long>"), "resolved")
     discard(batches)
     discard(counts)
