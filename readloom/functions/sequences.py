@@ -72,14 +72,34 @@ def mismatches(a: Column, b: Column, wild: Column) -> Column:
     return F.when(F.size(a) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(0), lambda acc, i: acc + differ(i)))
 
 
-def _words(seq: Column, k: int, count: Column, step: int) -> Column:
-    places = F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substring(seq, i * step + 1, F.lit(k)))
+def _up_to(count: Column) -> Column:
+    """0 .. count - 1."""
+    return F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _words(seq: Column, k: int, places: Column) -> Column:
+    return F.transform(places, lambda i: F.substring(seq, i + 1, F.lit(k)))
+
+
+def _kmer_places(seq: Column, k: int) -> Column:
+    return _up_to((F.length(seq) - (k - 1)).cast("int"))
 
 
 def kmers(seq: Column, k: int) -> Column:
     """All overlapping words of length k."""
-    return _words(seq, k, (F.length(seq) - (k - 1)).cast("int"), 1)
+    return _words(seq, k, _kmer_places(seq, k))
+
+
+def _support_places(seq: Column, k: int, mode: str, head: Column | None) -> Column:
+    if mode == "deep":
+        return _kmer_places(seq, k)
+    places = F.transform(_up_to(F.floor(F.length(seq) / k).cast("int")), lambda i: i * k)
+    if head is not None:
+        places = F.filter(places, lambda i: (i + k <= head) | (i >= head))
+    if mode == "endpiece":
+        last = (F.length(seq) - k).cast("int")
+        places = F.when((last >= 0) & (F.length(seq) % k != 0), F.concat(places, F.array(last))).otherwise(places)
+    return places
 
 
 def support_words(seq: Column, k: int, mode: str = "aligned", head: Column | None = None) -> Column:
@@ -88,18 +108,44 @@ def support_words(seq: Column, k: int, mode: str = "aligned", head: Column | Non
     For mates joined end to end, head is the first one's length: the word across the joint is left out and the
     second mate's words keep the grid of the joined sequence.
     """
-    if mode == "deep":
-        return kmers(seq, k)
-    n = F.floor(F.length(seq) / k).cast("int")
-    if head is None:
-        words = _words(seq, k, n, k)
-    else:
-        places = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        inside = F.filter(places, lambda i: (i * k + k <= head) | (i * k >= head))
-        words = F.transform(inside, lambda i: F.substring(seq, i * k + 1, F.lit(k)))
-    if mode == "endpiece":
-        words = F.when((F.length(seq) >= k) & (F.length(seq) % k != 0), F.concat(words, F.array(F.right(seq, F.lit(k))))).otherwise(words)
-    return words
+    return _words(seq, k, _support_places(seq, k, mode, head))
+
+
+#: Bases of a word that fits a long.
+MOST_PACKED = 32
+
+
+def _numbers(seq: Column, k: int, places: Column) -> Column:
+    """The words of k bases at the places as longs, two bits a base; null for a word with another letter than A, C, G, T."""
+    shift = lambda name, x, n: F.call_function(name, x, n)
+    whole = F.rpad(seq, F.ceil(F.length(seq) / 32).cast("int") * 32, F.lit("A"))
+    wild = F.when(seq.rlike("[^ACGT]"), wild_bits(whole))
+
+    def word(longs: Column, i: Column) -> Column:
+        at, by = F.floor(i / 32).cast("int"), (i % 32 * 2).cast("int")
+        rest = F.when(by > 0, shift("shiftrightunsigned", F.coalesce(F.get(longs, at + 1), F.lit(0).cast("long")), 64 - by)).otherwise(F.lit(0).cast("long"))
+        found = shift("shiftleft", F.get(longs, at), by).bitwiseOR(rest)
+        return F.shiftrightunsigned(found, 64 - 2 * k) if k < MOST_PACKED else found
+
+    def of(longs: Column) -> Column:  # the packed bases and the wild bits, made once for all words
+        return F.transform(places, lambda i: F.when(F.coalesce(word(longs["wild"], i), F.lit(0).cast("long")) == 0, word(longs["bases"], i)))
+
+    return F.transform(F.array(F.struct(packed(whole).alias("bases"), wild.alias("wild"))), of)[0]
+
+
+def kmer_numbers(seq: Column, k: int) -> Column:
+    """kmers as longs, k at most MOST_PACKED."""
+    return _numbers(seq, k, _kmer_places(seq, k))
+
+
+def support_numbers(seq: Column, k: int, mode: str = "aligned", head: Column | None = None) -> Column:
+    """support_words as longs, k at most MOST_PACKED; null for words with other letters."""
+    return _numbers(seq, k, _support_places(seq, k, mode, head))
+
+
+def spelt(number: Column, k: int) -> Column:
+    """The k bases of a packed word."""
+    return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def taxonomy_levels(taxonomy: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.sequences import is_ambiguous, kmers, support_words, without_ambiguity
+from readloom.functions.sequences import MOST_PACKED, is_ambiguous, kmer_numbers, kmers, spelt, support_numbers, support_words, without_ambiguity
 from readloom.operators.ordered import by_range, later, of_ranges, ranges
 from readloom.tables import materialise
 
@@ -61,15 +61,23 @@ def prefix_compact(reads: DataFrame) -> DataFrame:
     return counts.join(reps, "seq").groupBy("rep", "sample").agg(F.sum("n").alias("n"))
 
 
-def count_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """kmer, n over all reads, ambiguous ones too, with A for other letters. Equal reads are counted once and weighted."""
+def count_kmers(reads: DataFrame, k: int, as_numbers: bool = False) -> DataFrame:
+    """kmer, n over all reads, ambiguous ones too, with A for other letters. Equal reads are counted once and weighted.
+
+    Words of up to 32 bases are counted as longs; as_numbers leaves them so.
+    """
     weighted = convert_ambiguous(reads).groupBy("seq").agg(F.count(F.lit(1)).alias("w"))
-    return weighted.select(F.explode(kmers(F.col("seq"), k)).alias("kmer"), "w").groupBy("kmer").agg(F.sum("w").alias("n"))
+    short = k <= MOST_PACKED
+    words = kmer_numbers(F.col("seq"), k) if short else kmers(F.col("seq"), k)
+    counts = weighted.select(F.explode(words).alias("kmer"), "w").groupBy("kmer").agg(F.sum("w").alias("n"))
+    return counts.select(spelt(F.col("kmer"), k).alias("kmer"), "n") if short and not as_numbers else counts
 
 
 def kmer_support(unique: DataFrame, counts: DataFrame, k: int, mode: str = "aligned", head: Column | None = None, keys: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """unique with min_kmer, the count of its rarest word; null if it has no word, 0 for unknown words. head is as in support_words."""
-    words = unique.select(*keys, F.explode(F.array_distinct(support_words(F.col("seq"), k, mode, head))).alias("kmer"))
+    """unique with min_kmer, the count of its rarest word; null if it has no word, 0 for unknown words. head is as in support_words; counts may hold numbers."""
+    as_numbers = counts.schema["kmer"].dataType.typeName() == "long"
+    found = (support_numbers if as_numbers else support_words)(F.col("seq"), k, mode, head)
+    words = unique.select(*keys, F.explode(F.array_distinct(found)).alias("kmer"))
     found = words.join(counts, "kmer", "left").groupBy(*keys).agg(F.min(F.coalesce("n", F.lit(0))).alias("min_kmer"))
     return unique.join(found, list(keys), "left")
 
@@ -102,7 +110,7 @@ def representative_totals(counts: DataFrame) -> DataFrame:
 
 def kmer_metrics(reads: DataFrame, k: int) -> DataFrame:
     """One row: all k-mers of the reads and how many differ."""
-    return count_kmers(reads, k).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kmers"), F.count(F.lit(1)).alias("n_distinct_kmers"))
+    return count_kmers(reads, k, as_numbers=True).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kmers"), F.count(F.lit(1)).alias("n_distinct_kmers"))
 
 
 def run_metrics(reads: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def unique_reads(reads: DataFrame, c: Config, log: RunLog) -> tuple[DataFrame, D
     head = F.length("seq") - F.length("seq2")
     if support:
         mates = reads.select(F.explode(F.array(F.substr("seq", F.lit(1), head), "seq2")).alias("seq")).filter("seq <> ''")
-        words = log.table(filtering.count_kmers(mates, c.k), "kmers", n_kmers=F.sum("n"), n_distinct_kmers=F.count(F.lit(1)))
+        words = log.table(filtering.count_kmers(mates, c.k, as_numbers=True), "kmers", n_kmers=F.sum("n"), n_distinct_kmers=F.count(F.lit(1)))
         groups = filtering.kmer_support(groups, words, c.k, c.support, head if c.reads2 else None, ("seq", "seq2"))
     else:
         groups = groups.withColumn("min_kmer", F.lit(None).cast("long"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import sequences as s
-from readloom.operators import align
+from readloom.operators import align, filtering
 
 SHARE = align.WILD_SHARE
 
@@ -168,3 +168,22 @@ def test_packed_mismatches(spark):
     wild = F.zip_with(s.wild_bits(F.col("a")), s.wild_bits(F.col("b")), lambda x, y: x.bitwiseOR(y))
     for r in frame.select("a", "b", s.mismatches(s.packed(F.col("a")), s.packed(F.col("b")), wild).alias("n"), s.wild_letters(F.col("a")).alias("w")).collect():
         assert r.n == sum(not same(x, y) for x, y in zip(r.a, r.b, strict=True)) and r.w == r.a.count("N")
+
+
+def test_words_as_numbers(spark):
+    """Counts and support by packed words equal those by text, for words across longs, of 32 bases, and with other letters."""
+    rnd = random.Random(9)
+    seqs = ["".join(rnd.choice("ACGTTTTTN" if n % 4 == 0 else "ACGTTTTT") for _ in range(n)) for n in (0, 3, 31, 32, 33, 64, 65, 100, 40, 44)] + ["ACGT" * 10] * 3
+    reads = spark.createDataFrame([(x,) for x in seqs], "seq string")
+    for k in (1, 5, 31, 32):
+        model = {}
+        for x in (q.replace("N", "A") for q in seqs):
+            for i in range(len(x) - k + 1):
+                model[x[i : i + k]] = model.get(x[i : i + k], 0) + 1
+        counts = filtering.count_kmers(reads, k)
+        assert {r.kmer: r.n for r in counts.collect()} == model
+        numbers = filtering.count_kmers(reads, k, as_numbers=True)
+        for mode in ("aligned", "endpiece", "deep"):
+            head = F.floor(F.length("seq") / 2).cast("int") if mode == "endpiece" else None
+            got = [sorted(map(str, filtering.kmer_support(reads.distinct(), c, k, mode, head).collect())) for c in (counts, numbers)]
+            assert got[0] == got[1] and "min_kmer=0" in "".join(got[0]) or k == 1
