@@ -40,9 +40,9 @@ MAIN, EM, TEST = 0, 1, 2
 STEP, NEVER, COARSE = 2048, 65535, 8
 #: Text bytes of a batch, and tokens for each range of hashes.
 BATCH_BYTES, RANGE_TOKENS = 4 << 20, 1 << 20
-#: Keys that travel as vectors, batches from which they are read off, the share of those that must have them, and
-#: vectors that one task adds up.
-MAX_COMMON, SAMPLED, COMMON_SHARE, FAN_IN = 1 << 16, 64, 0.25, 64
+#: Keys that travel as vectors, batches from which they are read off, the share of those that must have them, how often
+#: at least in a batch, and vectors that one task adds up.
+MAX_COMMON, SAMPLED, COMMON_SHARE, OFTEN, FAN_IN = 1 << 16, 16, 0.25, 3, 64
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -138,14 +138,17 @@ class Common:
 
 
 def common_keys(batches: DataFrame) -> Common:
-    """Words and pairs that at least COMMON_SHARE of the sampled batches have, the most widespread first; none of fewer than four batches."""
+    """Words and pairs that at least COMMON_SHARE of the sampled batches have OFTEN times, the most widespread first; none of fewer than four batches."""
+    often = OFTEN
     sample = batches.orderBy(F.xxhash64("batch"), "batch").limit(SAMPLED)
 
     def names(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for i in range(len(row)):
                 b = Batch(*(row.column(c)[i].as_py() for c in (2, 3, 4)))
-                for kind, keys in ((WORDS, b.hashes), (PAIRS, b.pairs)):
+                for kind, keys, at in ((WORDS, b.hashes, b.code), (PAIRS, b.pairs, b.pair)):
+                    counts = np.bincount(at, minlength=len(keys))
+                    keys = keys[np.argsort(-counts, kind="stable")[: min(MAX_COMMON, int((counts >= often).sum()))]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], names=["kind", "hash"])
 
     n = sample.count()
@@ -153,7 +156,9 @@ def common_keys(batches: DataFrame) -> Common:
         return Common(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     spread_ = sample.repartition(min(n, partitions(batches.sparkSession)), "batch")
     held = spread_.mapInArrow(tidy(names), "kind int, hash long").groupBy("kind", "hash").count().filter(F.col("count") >= max(4, COMMON_SHARE * n))
+    held = materialise(held, "held")
     found = held.orderBy(F.desc("count"), "kind", "hash").limit(MAX_COMMON).toArrow()
+    discard(held)
     kind, keys = found["kind"].to_numpy(), found["hash"].to_numpy().view(np.uint64)
     return Common(np.sort(keys[kind == WORDS]), np.sort(keys[kind == PAIRS]))
 

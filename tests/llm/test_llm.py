@@ -285,6 +285,7 @@ def test_interpolation_gives_every_word_its_own_estimate(spark, docs, monkeypatc
     named, find = [], interpolation.common_keys
     monkeypatch.setattr(interpolation, "BATCH_BYTES", batch_bytes)
     monkeypatch.setattr(interpolation, "FAN_IN", 3)
+    monkeypatch.setattr(interpolation, "OFTEN", 1)
     monkeypatch.setattr(interpolation, "common_keys", lambda b: named.append(find(b)) or named[-1])
     got = {r.doc_id: r for r in interpolation.score_texts(table).collect()}
     assert named[0].size > 20
@@ -316,6 +317,7 @@ def test_interpolation_ranges_see_a_pair_once_a_batch(spark, monkeypatch):
 def test_common_words_do_not_reach_the_ranges(spark, monkeypatch):
     """With ten times as many batches a range gets no more entries of the words that all have."""
     monkeypatch.setattr(interpolation, "BATCH_BYTES", 300)
+    monkeypatch.setattr(interpolation, "OFTEN", 1)
     table = spark.createDataFrame([(i, f"the cat and the dog and the cow x{i}") for i in range(400)], "doc_id long, text string").repartition(4)
     batches = interpolation.write_batches(interpolation._rows(table, "doc_id", "text", 5, 1, 4))
     common = interpolation.common_keys(batches)
