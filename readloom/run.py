@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from readloom.config import Config, from_arguments, parse_denoise
 from readloom.functions.sequences import is_ambiguous, reverse_complement, trim_head, trim_tail
-from readloom.operators import align, database, filtering, otu
+from readloom.operators import align, filtering, otu
 from readloom.operators.ordered import number
 from readloom.sources import fasta
 from readloom.sources.database_files import open_database

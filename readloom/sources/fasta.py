@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.sequences import read_id_of, sample_of, taxonomy_levels
 from readloom.operators.ordered import by_range, number, of_ranges, ranges
 from readloom.operators.otu import NO_SAMPLE, UNMAPPED, count_lines, decode_count_lines
-from readloom.sources.files import first_bytes, write_file, write_lines
+from readloom.sources.files import first_bytes, write_file
 from readloom.tables import materialise
 
 SAM = "rix LONG, flag INT, rname STRING, pos LONG, mapq INT, cigar STRING, rnext STRING, pnext LONG, tlen INT, seq STRING, qual STRING"
