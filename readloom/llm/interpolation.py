@@ -140,7 +140,8 @@ class Common:
 def common_keys(batches: DataFrame) -> Common:
     """Words and pairs that at least COMMON_SHARE of the sampled batches have OFTEN times, the most widespread first; none of fewer than four batches."""
     often = OFTEN
-    sample = batches.orderBy(F.xxhash64("batch"), "batch").limit(SAMPLED)
+    ids = [r["batch"] for r in batches.select("batch").orderBy(F.xxhash64("batch"), "batch").limit(SAMPLED).collect()]
+    n, sample = len(ids), batches.filter(F.col("batch").isin(ids))
 
     def names(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
@@ -151,11 +152,10 @@ def common_keys(batches: DataFrame) -> Common:
                     keys = keys[np.argsort(-counts, kind="stable")[: min(MAX_COMMON, int((counts >= often).sum()))]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], names=["kind", "hash"])
 
-    n = sample.count()
     if n < 4:
         return Common(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    spread_ = sample.repartition(min(n, partitions(batches.sparkSession)), "batch")
-    held = spread_.mapInArrow(tidy(names), "kind int, hash long").groupBy("kind", "hash").count().filter(F.col("count") >= max(4, COMMON_SHARE * n))
+    dealt = sample.repartition(min(n, partitions(batches.sparkSession)), "batch")
+    held = dealt.mapInArrow(tidy(names), "kind int, hash long").groupBy("kind", "hash").count().filter(F.col("count") >= max(4, COMMON_SHARE * n))
     held = materialise(held, "held")
     found = held.orderBy(F.desc("count"), "kind", "hash").limit(MAX_COMMON).toArrow()
     discard(held)
