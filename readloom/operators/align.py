@@ -36,6 +36,10 @@ SEED_SIZES = (16, 8, 4, 2, 1, 0)
 #: So many counts for each size of seed go to all tasks (a prime below 2^20; up to ten letters each word has its own).
 BUCKETS = 1_048_573
 HOT = 4096
+#: References of so many bytes go to all tasks; of larger ones at most so many have their rows dealt over keys.
+SENT, MAX_HOT = 32 << 20, 100_000
+#: What an id and an offset count for.
+OFFSET_BYTES = 64
 WILD_SHARE = 0.15
 SPELT = 2
 
@@ -201,9 +205,37 @@ def _search(reads: DataFrame, places: DataFrame, shapes: list[tuple[int, int, bo
     return _balanced_join(seeds, words, counts).select("seq", "e", "ref_id", (F.col("at") - F.col("off")).alias("start"))
 
 
+def dealt(rows: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows and side (one row for each ref_id), both with a key _deal: equal rows meet on ref_id and _deal.
+
+    The rows of a reference with more than HOT of them are dealt over keys by a hash of all their columns, and each key
+    has the reference's row. The list of such references has at most ``MAX_HOT`` rows, as the bound grows with the rows.
+    """
+    many = max(HOT, rows.count() // MAX_HOT)
+    hot = rows.groupBy("ref_id").count().filter(F.col("count") > many).select("ref_id", F.ceil(F.col("count") / many).cast("int").alias("_n"))
+    hot = F.broadcast(materialise(hot, "hot-references"))
+    n = F.coalesce("_n", F.lit(1))
+    left = rows.join(hot, "ref_id", "left").withColumn("_deal", F.pmod(F.xxhash64(*rows.columns), n).cast("int"))
+    right = side.join(hot, "ref_id", "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.drop("_n"), right.drop("_n")
+
+
+def on_references(rows: DataFrame, side: DataFrame, weight: Column) -> DataFrame:
+    """rows (ref_id, ...) joined with side (one row for each ref_id; ``weight`` is a row's size in bytes) on ref_id.
+
+    A side of up to ``SENT`` bytes, added up before, goes to all tasks. A larger one is shuffled, and the rows of common
+    references are dealt over keys: most reads of a sample may lie on one species. Spark's own skew join would not split
+    them where the next operator needs the rows by ref_id again.
+    """
+    if (side.agg(F.sum(weight)).first()[0] or 0) <= SENT:
+        return rows.join(F.broadcast(side), "ref_id")
+    left, right = dealt(materialise(rows, "on-references"), side)
+    return left.join(right, ["ref_id", "_deal"]).drop("_deal")
+
+
 def hamming_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97, least_read: int = 1, wild_share: float = WILD_SHARE) -> DataFrame:
     """seq, ref_id, pos (1-based), ed of all ungapped placements inside a reference."""
-    rows = candidates(reads, refs, similarity, least_read, wild_share).join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
+    rows = on_references(candidates(reads, refs, similarity, least_read, wild_share), refs.select("ref_id", F.col("seq").alias("ref")), F.length("ref"))
     rows = rows.filter((F.col("start") >= 0) & (F.col("start") + F.length("seq") <= F.length("ref")))
     rows = rows.select("seq", "e", "ref_id", "start", F.substring("ref", F.col("start") + 1, F.length("seq")).alias("win"))
     free = wild_letters(F.concat("seq", "win")) > 0
@@ -270,7 +302,7 @@ def _best_start(reads: list[str], windows: list[str], wild_share: float) -> tupl
 
 def edit_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97, least_read: int = 1, wild_share: float = WILD_SHARE) -> DataFrame:
     """Like hamming_hits with insertions and deletions: windows reach e bases further to both sides."""
-    near = candidates(reads, refs, similarity, least_read, wild_share).join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
+    near = on_references(candidates(reads, refs, similarity, least_read, wild_share), refs.select("ref_id", F.col("seq").alias("ref")), F.length("ref"))
     low = F.greatest(F.lit(0), F.col("start") - F.col("e"))
     near = near.select("seq", "e", "ref_id", low.alias("low"), F.substring("ref", low + 1, F.col("start") + F.length("seq") + F.col("e") - low).alias("win")).filter("win <> ''")
 
@@ -294,7 +326,7 @@ def edit_hits(reads: DataFrame, refs: DataFrame, similarity: float = 0.97, least
 
 def best_hit(hits: DataFrame, offsets: DataFrame) -> DataFrame:
     """One hit per read: fewest differences, then lowest position in the references laid end to end (g_pos)."""
-    placed = hits.join(offsets.select("ref_id", "start_off"), "ref_id").withColumn("g_pos", F.col("start_off") + F.col("pos"))
+    placed = on_references(hits, offsets.select("ref_id", "start_off"), F.lit(OFFSET_BYTES)).withColumn("g_pos", F.col("start_off") + F.col("pos"))
     best = F.min(F.struct("ed", "g_pos", "ref_id", "pos")).alias("b")
     return placed.groupBy("seq").agg(best).select("seq", "b.ref_id", "b.pos", "b.ed", "b.g_pos")
 

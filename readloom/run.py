@@ -122,13 +122,14 @@ def align_unique(kept: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
         return queries.join(best, "seq").select("rix", "ref_id", "pos", F.length("seq").cast("long").alias("len"), "g_pos")
     first = turn(F.substr("seq", F.lit(1), F.length("seq") - F.length("seq2")))
     queries = kept.select("rix", first.alias("first"), reverse_complement(turn(F.col("seq2"))).alias("second"))
-    hits = materialise(hits_of(queries.select(F.explode(F.array("first", "second")).alias("seq")).distinct()).join(refs.select("ref_id", "start_off"), "ref_id"), "hits")
+    offsets = refs.select("ref_id", "start_off")
+    hits = materialise(align.on_references(hits_of(queries.select(F.explode(F.array("first", "second")).alias("seq")).distinct()), offsets, F.lit(align.OFFSET_BYTES)), "hits")
     mate = lambda name: queries.select(F.col("rix").alias("pair_id"), F.col(name).alias("seq")).join(hits, "seq").select("pair_id", "ref_id", "pos", F.length("seq").cast("long").alias("len"), "ed", (F.col("start_off") + F.col("pos")).alias("g_pos"))
     best = align.best_pair(align.concordant_pairs(mate("first"), mate("second"), c.max_insert))
     placed = best.join(queries, best["pair_id"] == queries["rix"])
     sides = F.explode(F.array(F.struct("pos", F.length("first").cast("long").alias("len")), F.struct(F.col("pos2").alias("pos"), F.length("second").cast("long").alias("len")))).alias("side")
     lines = placed.select("rix", "ref_id", sides).select("rix", "ref_id", "side.pos", "side.len")
-    return lines.join(refs.select("ref_id", "start_off"), "ref_id").select("rix", "ref_id", "pos", "len", (F.col("start_off") + F.col("pos")).alias("g_pos"))
+    return align.on_references(lines, offsets, F.lit(align.OFFSET_BYTES)).select("rix", "ref_id", "pos", "len", (F.col("start_off") + F.col("pos")).alias("g_pos"))
 
 
 def assign(hits: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
@@ -138,7 +139,7 @@ def assign(hits: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
     """
     pos = hits.select("rix", "len", "g_pos")
     if c.compact:
-        text = hits.join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
+        text = align.on_references(hits, refs.select("ref_id", F.col("seq").alias("ref")), F.length("ref"))
         windows = materialise(text.select("rix", "len", F.col("g_pos").alias("pos"), F.substr("ref", F.col("pos").cast("int"), F.col("len").cast("int")).alias("win")), "windows")
         moved = otu.compact_positions(windows.select("win", "pos").distinct())
         pos = windows.join(moved, ["win", "pos"]).select("rix", "len", F.col("new_pos").alias("g_pos"))

@@ -118,6 +118,45 @@ def test_repeats_are_dealt_over_keys(spark, monkeypatch):
     assert max(most) <= 3 * 20
 
 
+@pytest.mark.parametrize("case", [0, 1])
+def test_hits_of_large_references_equal_brute_force(spark, monkeypatch, case):
+    """References that are shuffled, and a dominant one whose rows are dealt over keys."""
+    monkeypatch.setattr(align, "SENT", 0)
+    monkeypatch.setattr(align, "HOT", 5)
+    reads, refs = some(random.Random(case + 20), n_refs=3, n_reads=20, lengths=(20, 40), **CASES[case])
+    reads += [refs[1][p : p + 30] for p in range(0, 60, 3)]
+    frame, table = frames(spark, reads, refs)
+    want = hamming(reads, refs, 0.93)
+    hits = align.hamming_hits(frame, table, 0.93)
+    assert {tuple(r) for r in hits.select("seq", "ref_id", "pos", "ed").collect()} == want
+    offsets = spark.createDataFrame([(i, 1000 * i) for i in range(3)], "ref_id long, start_off long")
+    least = {}
+    for x, i, p, ed in want:
+        least[x] = min(least.get(x, (ed, 1000 * i + p)), (ed, 1000 * i + p))
+    assert {r.seq: (r.ed, r.g_pos) for r in align.best_hit(hits, offsets).collect()} == least
+    edits = {}
+    for r in align.edit_hits(frame, table, 0.93).collect():
+        edits[r.seq, r.ref_id] = min(edits.get((r.seq, r.ref_id), (r.ed, r.pos)), (r.ed, r.pos))
+    assert edits == best_edits(reads, refs, 0.93)
+
+
+def test_rows_of_a_common_reference_are_dealt(spark, monkeypatch):
+    """No key has many more rows than the bound; nothing is lost or doubled, and references without rows or text are no matter."""
+    monkeypatch.setattr(align, "HOT", 50)
+    rows = spark.range(2000).select(F.col("id").alias("x"), F.when(F.col("id") % 3 < 2, 7).when(F.col("id") == 2, None).otherwise(F.col("id") % 11).alias("ref_id"))
+    side = spark.createDataFrame([(i, f"ref{i}") for i in range(9)] + [(20, None)], "ref_id long, ref string")
+    left, right = align.dealt(rows, side)
+    assert left.count() == 2000 and left.groupBy("ref_id", "_deal").count().agg(F.max("count")).first()[0] <= 2 * 50
+    assert right.groupBy("ref_id", "_deal").count().filter("count > 1").isEmpty()
+    plain = {tuple(r) for r in rows.join(side, "ref_id").select("x", "ref_id", "ref").collect()}
+    for sent in (0, 1 << 20):
+        monkeypatch.setattr(align, "SENT", sent)
+        got = align.on_references(rows, side, F.length("ref")).select("x", "ref_id", "ref").collect()
+        assert len(got) == len(plain) and {tuple(r) for r in got} == plain
+        empty = align.on_references(rows.limit(0), side, F.length("ref"))
+        assert empty.isEmpty() and set(empty.columns) == {"x", "ref_id", "ref"}
+
+
 def test_rarest_words():
     rnd = np.random.default_rng(2)
     codes = rnd.integers(0, 4, (40, 14)).astype(np.uint8)
