@@ -226,3 +226,13 @@ def test_words_as_numbers(spark):
             head = F.floor(F.length("seq") / 2).cast("int") if mode == "endpiece" else None
             got = [sorted(map(str, filtering.kmer_support(reads.distinct(), c, k, mode, head).collect())) for c in (counts, numbers)]
             assert got[0] == got[1] and "min_kmer=0" in "".join(got[0]) or k == 1
+
+
+def test_seeds_are_as_long_as_reads_allow(spark):
+    """In texts of low complexity words of 16 letters have many places, longer ones have few; nothing is lost."""
+    rnd = random.Random(11)
+    refs = ["".join(rnd.choice("AAAAC") for _ in range(2000)) for _ in range(5)]
+    reads = [rnd.choice(refs)[p : p + 60] for p in rnd.sample(range(1900), 60)] + ["".join(rnd.choice("AAAAC") for _ in range(60)) for _ in range(60)]
+    frame, table = frames(spark, reads, refs)
+    assert align.candidates(frame, table, 0.97).count() < 10 * len(reads)
+    assert {tuple(r) for r in align.hamming_hits(frame, table, 0.97).select("seq", "ref_id", "pos", "ed").collect()} == hamming(reads, refs, 0.97)
