@@ -3,13 +3,13 @@
 Words and word pairs of every text are hashed to ``n_buckets``. Two smoothed multinomials are estimated over the
 buckets: one from trusted texts, one from the raw corpus. A text's score is the mean over its n-grams of
 ``ln(p_trusted / p_raw)``; every text with a score of at least ``threshold`` passes, the others do not.
-Counts of the raw corpus cover all rows. Trusted texts are those named by a table of labels, at most
-``max_trusted`` of them (the smallest hashes of their ids), so their ids can be broadcast.
+Counts of the raw corpus cover all rows. Trusted texts are all those named by a table of labels but for one fold. Up to
+``SENT`` ids of them go to all tasks; more are joined by a shuffle of the texts.
 
-The threshold is read off labelled rows of the table at hand. One of ``HELD_FOLDS`` folds of the good ones is never
-trusted; of them and of the rows of quality 0, at most ``max_held`` each, the scores are counted in steps of 1 / STEPS,
-and the threshold is the one with the largest sum of shares of good rows kept and bad rows dropped. Rows that fail the
-base rules are not counted.
+The threshold is read off all labelled rows of the table at hand that are not trusted: one of ``HELD_FOLDS`` folds of
+the good ones, and the rows of quality 0. Their scores are counted in steps of 1 / STEPS, and the threshold is the one
+with the largest sum of shares of good rows kept and bad rows dropped. Rows that fail the base rules are not counted.
+Scores are written before the threshold is known, so each text is scored once and only scores meet the labels.
 
 Rules: null text has no words; a text without words has score 0 and fails the base rules; ids of null are never
 trusted. An id is good if all its labels are (quality 1, not toxic; without a quality it is not), and bad if one has
@@ -24,11 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import SPACES, WORD, materialise, spread
+from readloom.llm.common import SPACES, WORD, discard, materialise, spread
 
 N_BUCKETS = 1 << 14
-MAX_TRUSTED = 20_000
-MAX_HELD = 4_000
+#: So many ids of trusted texts go to all tasks.
+SENT = 1_000_000
 HELD_FOLDS = 5
 STEPS = 1000
 #: Where no held-out good row is at hand: a text passes that is at least as likely under trusted texts.
@@ -64,25 +64,22 @@ def _good(labels: DataFrame, id_col: str) -> DataFrame:
     return named.filter("all_good").select("t_id")
 
 
-def _first(ids: DataFrame, most: int) -> DataFrame:
-    return ids.orderBy(F.xxhash64("t_id"), "t_id").limit(most)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return _good(labels, id_col).filter(_fold(F.col("t_id")) != 0).withColumn("trusted", F.lit(1))
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    return _first(_good(labels, id_col).filter(_fold(F.col("t_id")) != 0), max_trusted).withColumn("trusted", F.lit(1))
-
-
-def held_ids(labels: DataFrame, id_col: str = "doc_id", max_held: int = MAX_HELD) -> DataFrame:
+def held_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """t_id, good: labelled rows that are not trusted, and bad ones."""
-    good = _first(_good(labels, id_col).filter(_fold(F.col("t_id")) == 0), max_held)
-    bad = _first(labels.filter((F.col("quality") == 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("t_id")).distinct(), max_held)
+    good = _good(labels, id_col).filter(_fold(F.col("t_id")) == 0)
+    bad = labels.filter((F.col("quality") == 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("t_id")).distinct()
     return good.withColumn("good", F.lit(1)).union(bad.withColumn("good", F.lit(0)))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = N_BUCKETS, alpha: float = 1.0) -> list[float]:
     """ln(p_trusted / p_raw) of each bucket. The driver gets n_buckets rows, whatever the input."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(trusted), rows["id"] == trusted["t_id"], "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
+    trusted = F.broadcast(trusted) if trusted.count() <= SENT else trusted
+    rows = rows.join(trusted, rows["id"] == trusted["t_id"], "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
     # explode() would make the optimiser filter on the array's size below the projections, where it is computed anew
     # for each word; explode_outer() does not.
     grams = with_grams(rows, F.col("text"), n_buckets).select(F.explode_outer("grams").alias("bucket"), "trusted")
@@ -129,11 +126,10 @@ def score_quality(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     return rows.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-def learn_threshold(docs: DataFrame, weights: list[float], held: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The driver gets one row for each step of the score that occurs."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(held), F.col("id") == F.col("t_id")).select("good", "text")
-    rows = score_quality(named, weights, "good", "text", 0.0).withColumn("step", F.floor(F.col("score") * STEPS).cast("int"))
-    cells = rows.groupBy("step", "base_failed").agg(F.sum("id").alias("good"), F.sum(1 - F.col("id")).alias("bad")).collect()
+def learn_threshold(scored: DataFrame, held: DataFrame) -> float:
+    """scored has id, base_failed, score. The driver gets one row for each step of the score that occurs."""
+    rows = scored.join(held, F.col("id") == F.col("t_id")).withColumn("step", F.floor(F.col("score") * STEPS).cast("int"))
+    cells = rows.groupBy("step", "base_failed").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).collect()
     cells = sorted((c["step"], c["good"], c["bad"]) for c in cells if not c["base_failed"])
     n_good, n_bad = sum(c[1] for c in cells), sum(c[2] for c in cells)
     if not n_good:
@@ -150,10 +146,14 @@ def learn_threshold(docs: DataFrame, weights: list[float], held: DataFrame, id_c
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
-    weights = fit_ratio(docs, trusted_ids(labels), id_col, text_col)
-    if threshold is None:
-        threshold = learn_threshold(docs, weights, held_ids(labels), id_col, text_col)
-    return materialise(score_quality(docs, weights, id_col, text_col, threshold), "quality")
+    weights = fit_ratio(docs, trusted_ids(labels, id_col), id_col, text_col)
+    if threshold is not None:
+        return materialise(score_quality(docs, weights, id_col, text_col, threshold), "quality")
+    scored = materialise(score_quality(docs, weights, id_col, text_col), "scores")
+    threshold = learn_threshold(scored, held_ids(labels, id_col))
+    kept = materialise(scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)), "quality")
+    discard(scored)
+    return kept
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,3 +351,14 @@ def test_quality_threshold_follows_the_labelled_rows(spark):
     rows = quality.quality_rules(table, labels).collect()
     assert sum(r.kept for r in rows if r.id % 4 and r.id in held) > 0.95 * sum(held.values())
     assert sum(r.kept for r in rows if r.id % 4 == 0) < 0.05 * 150
+
+
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    ids = F.col("id").alias("doc_id")
+    labels = spark.range(60_000).select(ids, (F.col("id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    held = {r.good: r["count"] for r in quality.held_ids(labels).groupBy("good").count().collect()}
+    assert held[0] == 20_000 and held[1] + quality.trusted_ids(labels).count() == 40_000
+    docs = spark.range(300).select(ids, F.concat(F.lit("a b w"), (F.col("id") % 7).cast("string")).alias("text"))
+    sent = quality.fit_ratio(docs, quality.trusted_ids(labels))
+    monkeypatch.setattr(quality, "SENT", 0)
+    assert quality.fit_ratio(docs, quality.trusted_ids(labels)) == sent
