@@ -191,19 +191,24 @@ def counted_words(weighted: DataFrame, k: int, as_numbers: bool) -> DataFrame:
 
 
 def rarest_counts(weighted: DataFrame, asked: DataFrame, k: int, mode: str) -> DataFrame:
-    """id, min_kmer of rows asked (seq, id[, head]): the count, over the rows seq, w, of the rarest of the words that mode names. Without a word there is no row."""
+    """id, low of rows asked (seq, id[, head]): the least count, over the rows seq, w, of some of the words that mode names; an id has several rows, or none without a word.
+
+    Rows without an id have n_words and n_distinct, which add up to the numbers of all words counted.
+    """
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, counts, _, bases, sizes, ids in _counted(batches, k):
+        for words, counts, complete, bases, sizes, ids in _counted(batches, k):
             asked, of = _unfolded(bases, sizes, k)
             low = np.where(sizes > 0, np.iinfo(np.int64).max, 0)
             if len(asked):
                 at = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
                 n = np.where(words[at] == asked, counts[at], 0) if len(words) else np.zeros(len(asked), np.int64)
                 low[sizes > 0] = np.minimum.reduceat(n, (np.cumsum(sizes) - sizes)[sizes > 0])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["id", "low"])
+            zeros, none = np.zeros(len(ids), np.int64), pa.nulls(1, pa.int64())
+            numbers = [pa.array(np.append(zeros, n)) for n in (counts[complete].sum(), complete.sum())]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids), none]), pa.concat_arrays([pa.array(low), none]), *numbers], names=["id", "low", "n_words", "n_distinct"])
 
     head = "head" in asked.columns
     letters = F.regexp_replace("seq", "[^ACGT]", "N").alias("seq")  # a byte for each
     rows = _rows(weighted.select("seq", F.col("w").alias("v")), k, 0).union(_rows(asked.select(letters, "id", *["head"] * head), k, 1, mode, head))
-    return _in_parts(rows).mapInArrow(look_up, "id long, low long").groupBy("id").agg(F.min("low").alias("min_kmer"))
+    return _in_parts(rows).mapInArrow(look_up, "id long, low long, n_words long, n_distinct long")

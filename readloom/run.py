@@ -94,8 +94,10 @@ def unique_reads(reads: DataFrame, c: Config, log: RunLog) -> tuple[DataFrame, D
     head = F.length("seq") - F.length("seq2")
     if support:
         mates = reads.select(F.explode(F.array(F.substr("seq", F.lit(1), head), "seq2")).alias("seq")).filter("seq <> ''")
-        words = log.table(filtering.count_kmers(mates, c.k, as_numbers=True), "kmers", n_kmers=F.sum("n"), n_distinct_kmers=F.count(F.lit(1)))
-        groups = filtering.kmer_support(groups, words, c.k, c.support, head if c.reads2 else None, ("seq", "seq2"))
+        counted = lambda rows: log.table(rows, "looked-up", n_kmers=F.sum("n_words"), n_distinct_kmers=F.sum("n_distinct"))
+        if not filtering.in_runs(c.k):
+            log.counters |= filtering.kmer_metrics(mates, c.k).first().asDict()
+        groups = filtering.read_support(groups, mates, c.k, c.support, head if c.reads2 else None, ("seq", "seq2"), counted)
     else:
         groups = groups.withColumn("min_kmer", F.lit(None).cast("long"))
     kept = number(filtering.denoise(groups, copies, support).select("seq", "seq2", "copies"), "rix", "seq", "seq2")

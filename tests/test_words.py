@@ -38,3 +38,11 @@ def test_few_rows_are_shuffled(spark):
     rnd = random.Random(6)
     reads = spark.createDataFrame([("".join(rnd.choice("ACGT") for _ in range(60)), 1) for _ in range(2000)], "seq string, v long")
     assert words._rows(reads, 16, 0).count() < 2000 * 12
+
+
+def test_words_are_counted_where_they_are_looked_up(spark):
+    _, reads = _some(spark)
+    seen = []
+    filtering.read_support(filtering.dereplicate(reads), reads, 16, write=lambda rows: seen.append(rows) or rows).count()
+    n = seen[0].filter("id IS NULL").agg(F.sum("n_words").alias("n_kmers"), F.sum("n_distinct").alias("n_distinct_kmers")).first()
+    assert n == filtering.kmer_metrics(reads, 16).first()
