@@ -29,18 +29,19 @@ def part_length(k: int) -> int:
 
 
 def _codes(texts: pa.Array, length: int) -> np.ndarray:
-    """Texts of one length in bytes as numbers 0 to 3, other letters as 4."""
+    """Texts of one length in bytes, an array of their own, as numbers 0 to 3, other letters as 4."""
     table = np.full(256, 4, np.uint8)
     table[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-    return table[np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8).reshape(len(texts), length)]
+    return table[np.frombuffer(texts.buffers()[2], np.uint8, len(texts) * length).reshape(len(texts), length)]
 
 
-def _rolled(codes: np.ndarray, k: int) -> np.ndarray:
-    """Each place's word of k letters, packed."""
-    places = codes.shape[1] - k + 1
-    out = np.zeros((len(codes), places), np.uint64)
-    for i in range(k):
-        out = (out << np.uint64(2)) | codes[:, i : i + places]
+def _rolled(codes: np.ndarray, k: int, kind: type = np.uint64) -> np.ndarray:
+    """Each place's word of k letters, packed; a word is put together of two halves."""
+    out, width = codes.astype(kind), 1
+    for odd in bin(k)[3:]:
+        out, width = (out[:, :-width] << kind(2 * width)) | out[:, width:], 2 * width
+        if odd == "1":
+            out, width = (out[:, :-1] << kind(2)) | codes[:, width:], width + 1
     return out
 
 
@@ -57,14 +58,14 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 def _keys(codes: np.ndarray, k: int) -> np.ndarray:
     """Each word's least part: a number of 32 bits that tells parts apart, in an order unlike that of letters."""
     m = part_length(k)
-    x = _rolled(codes, m).astype(np.uint32) * np.uint32(0x9E3779B1)
+    x = _rolled(codes, m, np.uint32) * np.uint32(0x9E3779B1)
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     return _least(x ^ (x >> np.uint32(13)), k - m + 1)
 
 
 def _runs(codes: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Row, key, bases and number of words of each run; letters are clean."""
-    keys, words, most = _keys(codes, k), _rolled(codes, k), MOST + 1 - k
+    keys, most = _keys(codes, k), MOST + 1 - k
     n, places = keys.shape
     first = np.ones((n, places), bool)
     first[:, 1:] = keys[:, 1:] != keys[:, :-1]
@@ -73,12 +74,9 @@ def _runs(codes: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     parts = -(-sizes // most)  # a run that does not fit a long is cut
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts, sizes = np.repeat(starts, parts) + nth * most, np.minimum(np.repeat(sizes, parts) - nth * most, most)
-    row, place = starts // places, starts % places
-    bases = words.ravel()[starts]
-    for j in range(1, int(sizes.max(initial=1))):
-        more = np.flatnonzero(sizes > j)
-        bases[more] = (bases[more] << np.uint64(2)) | codes[row[more], place[more] + (k - 1 + j)]
-    return row, keys.ravel()[starts], bases, sizes
+    longest = _rolled(np.pad(codes, ((0, 0), (0, MOST - k))), MOST)
+    bases = longest.ravel()[starts] >> (2 * (MOST + 1 - k - sizes)).astype(np.uint64)
+    return starts // places, keys.ravel()[starts], bases, sizes
 
 
 def _chosen(codes: np.ndarray, k: int, mode: str, heads: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -123,17 +121,23 @@ def _rows(df: DataFrame, k: int, value: int, mode: str = "", head: bool = False)
     return df.filter("seq IS NOT NULL").mapInArrow(cut, "run long, bases long, v long")
 
 
-def _unfolded(bases: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All words of the runs, and which run each is of."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    back = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(of))
-    return (bases[of] >> (2 * back).astype(np.uint64)) & np.uint64(2 ** (2 * k) - 1), of
+def _unfolded(bases: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """All words of the runs, run after run."""
+    back = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(sizes.sum())
+    return (np.repeat(bases, sizes) >> (2 * back).astype(np.uint64)) & np.uint64(2 ** (2 * k) - 1)
+
+
+#: The letters of each word of eight, as the bytes of a number.
+EIGHTS = np.frombuffer(b"ACGT", np.uint8)[(np.arange(1 << 16)[:, None] >> np.arange(14, -1, -2)) & 3].view(np.uint64).ravel()
 
 
 def _texts(words: np.ndarray, k: int) -> pa.Array:
-    letters = np.empty((len(words), k), np.uint8)
-    for i in range(k):
-        letters[:, i] = np.frombuffer(b"ACGT", np.uint8)[((words >> np.uint64(2 * (k - 1 - i))) & np.uint64(3)).astype(np.intp)]
+    eights = -(-k // 8)
+    letters = np.empty((len(words), eights), np.uint64)
+    left = words << np.uint64(2 * (8 * eights - k))
+    for i in range(eights):
+        letters[:, i] = EIGHTS[(left >> np.uint64(16 * (eights - 1 - i))) & np.uint64(0xFFFF)]
+    letters = np.ascontiguousarray(letters.view(np.uint8)[:, :k])
     return pa.StringArray.from_buffers(len(words), pa.py_buffer((np.arange(len(words) + 1) * k).astype(np.int32)), pa.py_buffer(letters))
 
 
@@ -142,39 +146,59 @@ def _in_parts(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.shiftright("run", 6)).sortWithinPartitions("run")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Words and their counts, once known, with the runs that are looked up: words, counts, which are complete, bases, sizes, ids."""
-    words, counts, held, n_held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+def _summed(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words in order, and the sums of their weights."""
+    if not len(words):
+        return words, weights
+    few = weights.sum() <= 2 * len(words)  # most weigh 1: numbers alone are sorted faster than with their weights
+    if few:
+        words = np.sort(np.repeat(words, weights))
+    else:
+        order = np.argsort(words)
+        words, weights = words[order], weights[order]
+    starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    return words[starts], np.diff(starts, append=len(words)) if few else np.add.reduceat(weights, starts)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """Words and their counts, once known, with the runs that are looked up: words, counts, whether they are complete, bases, sizes, ids.
+
+    Rows come by part, so those of the last one are a batch's end; its words are carried on until the next part begins.
+    """
+    none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    carried, words, counts, held, n_held = None, none, zero, [], 0
 
-    def flush() -> tuple[np.ndarray, ...]:
-        nonlocal words, counts
+    def flush() -> Iterator[tuple]:
+        nonlocal carried, words, counts
         run, bases, v = (np.concatenate([b[i] for b in held]) for i in range(3))
-        key, sizes, counting = run >> 6, (run & 31) + 1, (run & 32) == 0
-        more, of = _unfolded(bases[counting].view(np.uint64), sizes[counting], k)
-        every = np.concatenate([words, more])
-        weight = np.concatenate([counts, v[counting][of]])
-        last = np.concatenate([np.full(len(words), carried == key[-1]), (key[counting] == key[-1])[of]])
-        order = np.argsort(every)
-        every, weight, last = every[order], weight[order], last[order]
-        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-        every, last = every[starts], last[starts]
-        weight = np.add.reduceat(weight, starts) if len(starts) else weight
-        words, counts = every[last], weight[last]
-        ask = ~counting
-        return every, weight, ~last, bases[ask].view(np.uint64), np.where((run[ask] & 31) == 31, 0, sizes[ask]), v[ask], key[-1]
-
-    carried = None
+        bases, part = bases.view(np.uint64), run >> 6
+        if carried != part[0]:
+            yield words, counts, True, none, zero, zero
+            words, counts = none, zero
+        last = int(np.searchsorted(part, part[-1]))
+        for low, high in ((0, last), (last, len(part))):
+            if low == high:
+                continue
+            asked = (run[low:high] & 32) > 0
+            some = np.flatnonzero(~asked) + low
+            sizes = (run[some] & 31) + 1
+            more, weights = [_unfolded(bases[some], sizes, k)], [np.repeat(v[some], sizes)]
+            if low == 0:
+                more, weights = [words, *more], [counts, *weights]
+            words, counts = _summed(np.concatenate(more), np.concatenate(weights))
+            some = np.flatnonzero(asked) + low
+            yield words, counts, high == last, bases[some], np.where((run[some] & 31) == 31, 0, (run[some] & 31) + 1), v[some]
+        carried = part[-1]
+
     for batch in batches:
         held.append([batch.column(i).to_numpy() for i in range(3)])
         n_held += len(batch)
         if n_held >= BATCH:
-            *found, carried = flush()
+            yield from flush()
             held, n_held = [], 0
-            yield tuple(found)
     if n_held:
-        *found, carried = flush()
-        yield tuple(found)
-    yield words, counts, np.ones(len(words), bool), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield from flush()
+    yield words, counts, True, none, zero, zero
 
 
 def counted_words(weighted: DataFrame, k: int, as_numbers: bool) -> DataFrame:
@@ -182,9 +206,9 @@ def counted_words(weighted: DataFrame, k: int, as_numbers: bool) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts, complete, *_ in _counted(batches, k):
-            words = words[complete]
-            kmer = pa.array(words.view(np.int64)) if as_numbers else _texts(words, k)
-            yield pa.RecordBatch.from_arrays([kmer, pa.array(counts[complete])], names=["kmer", "n"])
+            if complete:
+                kmer = pa.array(words.view(np.int64)) if as_numbers else _texts(words, k)
+                yield pa.RecordBatch.from_arrays([kmer, pa.array(counts)], names=["kmer", "n"])
 
     rows = _in_parts(_rows(weighted.select("seq", F.col("w").alias("v")), k, 0))
     return rows.mapInArrow(count, f"kmer {'long' if as_numbers else 'string'}, n long")
@@ -198,14 +222,14 @@ def rarest_counts(weighted: DataFrame, asked: DataFrame, k: int, mode: str) -> D
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts, complete, bases, sizes, ids in _counted(batches, k):
-            asked, of = _unfolded(bases, sizes, k)
+            asked = _unfolded(bases, sizes, k)
             low = np.where(sizes > 0, np.iinfo(np.int64).max, 0)
             if len(asked):
                 at = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
                 n = np.where(words[at] == asked, counts[at], 0) if len(words) else np.zeros(len(asked), np.int64)
                 low[sizes > 0] = np.minimum.reduceat(n, (np.cumsum(sizes) - sizes)[sizes > 0])
             zeros, none = np.zeros(len(ids), np.int64), pa.nulls(1, pa.int64())
-            numbers = [pa.array(np.append(zeros, n)) for n in (counts[complete].sum(), complete.sum())]
+            numbers = [pa.array(np.append(zeros, n)) for n in (counts.sum() * complete, len(words) * complete)]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids), none]), pa.concat_arrays([pa.array(low), none]), *numbers], names=["id", "low", "n_words", "n_distinct"])
 
     head = "head" in asked.columns

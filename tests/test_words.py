@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,20 @@ def test_words_are_counted_where_they_are_looked_up(spark):
     filtering.read_support(filtering.dereplicate(reads), reads, 16, write=lambda rows: seen.append(rows) or rows).count()
     n = seen[0].filter("id IS NULL").agg(F.sum("n_words").alias("n_kmers"), F.sum("n_distinct").alias("n_distinct_kmers")).first()
     assert n == filtering.kmer_metrics(reads, 16).first()
+
+
+def test_words_are_packed_and_spelt():
+    rnd = random.Random(8)
+    for k in (12, 13, 16, 17, 31, 32):
+        texts = ["".join(rnd.choice("ACGT") for _ in range(k + 3)) for _ in range(5)]
+        rolled = words._rolled(words._codes(pa.array(texts), k + 3), k)
+        assert words._texts(rolled.ravel(), k).to_pylist() == [t[i : i + k] for t in texts for i in range(4)]
+
+
+def test_what_is_carried_is_one_part(monkeypatch):
+    """Words of a part are given out when the next part begins, even if each batch is of one part."""
+    monkeypatch.setattr(words, "BATCH", 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(4, key << 6)), pa.array(np.arange(4) + 4 * key), pa.array(np.full(4, 1 + key % 2 * 5))], names=["run", "bases", "v"]) for key in (1, 1, 2, 3, 5)]
+    seen = [(w.tolist(), n.tolist(), done) for w, n, done, *_ in words._counted(batches, 16)]
+    assert max(len(w) for w, *_ in seen) == 4
+    assert sorted((w, n) for ws, ns, done in seen if done for w, n in zip(ws, ns, strict=True)) == [(4 * key + i, (1 + key % 2 * 5) * (1 + (key == 1))) for key in (1, 2, 3, 5) for i in range(4)]
