@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from readloom.operators import tiles
 from readloom.plans import catalogue
 
 
@@ -17,3 +18,22 @@ def test_long_texts_are_cut_in_one_pass(spark, tmp_path):
     letters = sum(c != " " for c in text)
     assert (rows.n, rows.letters, rows.last) == (-(-letters // 60), letters, (1 << 26) + -(-letters // 60) - 1)
     assert time.time() - began < 20
+
+
+def test_odd_texts_are_cut_like_expressions(spark, tmp_path, monkeypatch):
+    """Arrays give what the expressions on whole texts give, over borders of what is worked on at a time too."""
+    monkeypatch.setattr(tiles, "BYTES", 100)
+    texts = ["İstanbul K ÄÖß Straße" * 9, None, "", "Zz" * 30, "z" * 61, "é" * 50, "x\ny\0z" * 40, "ΑΣ ςA" * 30]
+    spark.createDataFrame([(i if i else None, "x" if i % 3 else None, t) for i, t in enumerate(texts * 3)], "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for bases in (catalogue.CLEAN, catalogue.WITH_N):
+        want = []
+        for r in catalogue._whole(spark, str(tmp_path), bases).collect():
+            want += [(r.doc_id and r.doc_id * catalogue.TILES + i // 60, r.sample, r.seq[i : i + 60]) for i in range(0, len(r.seq), 60)]
+        got = [tuple(r) for r in catalogue._reads(spark, str(tmp_path), bases).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_reads_of_texts_are_not_made_by_expressions(spark, tmp_path):
+    spark.createDataFrame([(1, "x", "abc")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue._reads(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "regexp" not in plan and "translate" not in plan
