@@ -236,3 +236,34 @@ def test_seeds_are_as_long_as_reads_allow(spark):
     frame, table = frames(spark, reads, refs)
     assert align.candidates(frame, table, 0.97).count() < 10 * len(reads)
     assert {tuple(r) for r in align.hamming_hits(frame, table, 0.97).select("seq", "ref_id", "pos", "ed").collect()} == hamming(reads, refs, 0.97)
+
+
+def test_words_that_no_reference_has_are_no_seeds():
+    """A row goes before its seeds are chosen only if m words apart from each other are absent."""
+    rnd = np.random.default_rng(3)
+    codes = rnd.choice(5, (400, 23), p=[0.24, 0.24, 0.24, 0.24, 0.04]).astype(np.uint8)
+    for q, share in ((1, 0.5), (2, 0.5), (4, 0.3), (8, 0.2)):
+        counts = np.zeros(align.BUCKETS, np.int64)
+        counts[: 4**q] = rnd.random(4**q) >= share
+        for m in (1, 2, 3):
+            if q * m <= 23:
+                words, wild = align._words_at(codes, q)
+                absent = (counts[words] == 0) & ~wild
+                want = []
+                for row in absent:
+                    at = n = 0
+                    while at < len(row):
+                        at, n = (at + q, n + 1) if row[at] else (at + 1, n)
+                    want.append(n >= m)
+                assert align.unmatched(codes, q, m, counts).tolist() == want
+                places, chosen, found = align.rarest_words(codes, q, m, counts)
+                assert ((counts[chosen] == 0).all(axis=1) & found).tolist() == want
+
+
+def test_seeds_of_other_reads_are_not_written(spark):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    refs = spark.createDataFrame([(i, text(500)) for i in range(4)], "ref_id long, seq string")
+    reads = spark.createDataFrame([(text(60), 1, 2) for _ in range(1000)], "seq string, e int, m int")
+    words = align._words(align._places(refs), [28])
+    assert align._seeds(reads, align._bucket_counts(words, [28])).count() < 100
