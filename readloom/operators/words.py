@@ -1,9 +1,10 @@
 """Words of k bases of many reads, counted and looked up without a shuffled row for each word.
 
 Neighbouring words share most bases, and most share their least part of ``part_length(k)`` bases (by a hash). A run of
-such words is one row: its bases in a long, dealt by that part, so equal words meet wherever they lie in a read. In a task
-runs come sorted by part; words are unfolded, counted and looked up for some parts at a time, so what a task holds is
-bounded by the different words of one part.
+such words has its bases in a long and is dealt by that part, so equal words meet wherever they lie in a read. Parts are
+hashed to ``GROUPS`` groups, and a row is up to ``MOST_RUNS`` runs of one group from some thousand reads. In a task rows
+come sorted by group; words are unfolded, counted and looked up group by group, so what a task holds is bounded by the
+different words of one group and by ``BATCH`` runs.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 #: Words of fewer bases are too few to be many rows; those of more do not fit a long.
 LEAST, MOST = 12, 32
-#: So many runs are unfolded at a time.
+GROUPS, MOST_RUNS = 4096, 1024
+#: So many runs are unfolded at a time, or as many as there are different words of their group before.
 BATCH = 100_000
-#: Letters of equally long reads that are worked on at a time.
-LETTERS = 4_000_000
+#: Letters of equally long reads that are worked on at a time, and runs that are dealt to groups at a time.
+LETTERS, GATHERED = 4_000_000, 500_000
 
 
 def part_length(k: int) -> int:
@@ -101,24 +103,46 @@ def _chosen(codes: np.ndarray, k: int, mode: str, heads: np.ndarray | None) -> t
 
 
 def _rows(df: DataFrame, k: int, value: int, mode: str = "", head: bool = False) -> DataFrame:
-    """run (key, role, words - 1 or 31 for none), bases, v for the rows seq, v[, head] of df; role 0 is counted, 1 looked up."""
+    """part (group and role), bases, sizes and v of some runs as binaries, for the rows seq, v[, head] of df; role 0 is counted, 1 looked up."""
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        seqs, values = batch.column(0), batch.column(1).to_numpy()
+        heads = batch.column(2).to_numpy() if head else None
+        lengths = pc.binary_length(seqs).to_numpy()
+        for length in np.unique(lengths[lengths >= k]):
+            same = np.flatnonzero(lengths == length)
+            for low in range(0, len(same), max(1, LETTERS // int(length))):
+                rows = same[low : low + max(1, LETTERS // int(length))]
+                codes = _codes(seqs.take(pa.array(rows)), int(length))
+                whole = not value or (mode == "deep" and not (codes > 3).any())
+                row, key, bases, sizes = _runs(codes, k) if whole else _chosen(codes, k, mode, heads[rows] if head else None)
+                yield (key & np.uint32(GROUPS - 1)).astype(np.uint16), bases, sizes.astype(np.uint8), values[rows][row]
+
+    def rows_of(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        group, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(begins, append=len(group))
+        parts = -(-sizes // MOST_RUNS)
+        begins = np.repeat(begins, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * MOST_RUNS
+        places = np.append(begins, len(group))
+        packed = [pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((places * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(group[begins].astype(np.int32) * 2 + value), *packed], names=["part", "bases", "sizes", "v"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for batch in batches:
-            seqs, values = batch.column(0), batch.column(1).to_numpy()
-            heads = batch.column(2).to_numpy() if head else None
-            lengths = pc.binary_length(seqs).to_numpy()
-            for length in np.unique(lengths[lengths >= k]):
-                same = np.flatnonzero(lengths == length)
-                for low in range(0, len(same), max(1, LETTERS // int(length))):
-                    rows = same[low : low + max(1, LETTERS // int(length))]
-                    codes = _codes(seqs.take(pa.array(rows)), int(length))
-                    whole = not value or (mode == "deep" and not (codes > 3).any())
-                    row, key, bases, sizes = _runs(codes, k) if whole else _chosen(codes, k, mode, heads[rows] if head else None)
-                    run = (key.astype(np.int64) << 6) | (value << 5) | np.where(sizes > 0, sizes - 1, 31)
-                    yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(bases.view(np.int64)), pa.array(values[rows][row])], names=["run", "bases", "v"])
-
-    return df.filter("seq IS NOT NULL").mapInArrow(cut, "run long, bases long, v long")
+            for found in runs(batch):
+                held.append(found)
+                n_held += len(found[0])
+                if n_held >= GATHERED:
+                    yield rows_of(held)
+                    held, n_held = [], 0
+        if n_held:
+            yield rows_of(held)
+
+    return df.filter("seq IS NOT NULL").mapInArrow(cut, "part int, bases binary, sizes binary, v binary")
 
 
 def _unfolded(bases: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -142,8 +166,8 @@ def _texts(words: np.ndarray, k: int) -> pa.Array:
 
 
 def _in_parts(rows: DataFrame) -> DataFrame:
-    """Runs of one part in one task, those that are counted before those that are looked up."""
-    return rows.repartition(F.shiftright("run", 6)).sortWithinPartitions("run")
+    """Runs of one group in one task, those that are counted before those that are looked up."""
+    return rows.repartition(F.shiftright("part", 1)).sortWithinPartitions("part")
 
 
 def _summed(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,43 +185,43 @@ def _summed(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
-    """Words and their counts, once known, with the runs that are looked up: words, counts, whether they are complete, bases, sizes, ids.
+    """Words and their counts with the runs that are looked up: words, counts, whether they are complete, bases, sizes, ids.
 
-    Rows come by part, so those of the last one are a batch's end; its words are carried on until the next part begins.
+    Words are given once as complete, when the next group begins; before, they come with what is looked up in them.
     """
     none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    carried, words, counts, held, n_held = None, none, zero, [], 0
+    now, words, counts, held, n_held = None, none, zero, [], 0
+
+    def add() -> None:
+        nonlocal words, counts, held, n_held
+        if n_held:
+            bases, sizes, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            sizes = sizes.astype(np.int64)
+            words, counts = _summed(np.concatenate([words, _unfolded(bases, sizes, k)]), np.concatenate([counts, np.repeat(v, sizes)]))
+            held, n_held = [], 0
 
-    def flush() -> Iterator[tuple]:
-        nonlocal carried, words, counts
-        run, bases, v = (np.concatenate([b[i] for b in held]) for i in range(3))
-        bases, part = bases.view(np.uint64), run >> 6
-        if carried != part[0]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in filter(len, batches):
+            columns = [(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] // np.dtype(kind).itemsize, np.frombuffer(c.buffers()[2], kind, c.buffers()[2].size // np.dtype(kind).itemsize)) for c, kind in zip(batch.columns[1:], (np.uint64, np.uint8, np.int64), strict=True)]
+            part = batch.column(0).to_numpy()
+            firsts = np.flatnonzero(np.diff(part, prepend=-1))
+            for low, high in zip(firsts, [*firsts[1:], len(part)], strict=True):
+                yield int(part[low]), *(data[at[low] : at[high]].copy() for at, data in columns)
+
+    for part, bases, sizes, v in runs(batches):
+        if part >> 1 != now:
+            add()
             yield words, counts, True, none, zero, zero
-            words, counts = none, zero
-        last = int(np.searchsorted(part, part[-1]))
-        for low, high in ((0, last), (last, len(part))):
-            if low == high:
-                continue
-            asked = (run[low:high] & 32) > 0
-            some = np.flatnonzero(~asked) + low
-            sizes = (run[some] & 31) + 1
-            more, weights = [_unfolded(bases[some], sizes, k)], [np.repeat(v[some], sizes)]
-            if low == 0:
-                more, weights = [words, *more], [counts, *weights]
-            words, counts = _summed(np.concatenate(more), np.concatenate(weights))
-            some = np.flatnonzero(asked) + low
-            yield words, counts, high == last, bases[some], np.where((run[some] & 31) == 31, 0, (run[some] & 31) + 1), v[some]
-        carried = part[-1]
-
-    for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in range(3)])
-        n_held += len(batch)
-        if n_held >= BATCH:
-            yield from flush()
-            held, n_held = [], 0
-    if n_held:
-        yield from flush()
+            now, words, counts = part >> 1, none, zero
+        if part & 1:
+            add()
+            yield words, counts, False, bases, sizes.astype(np.int64), v
+        else:
+            held.append((bases, sizes, v))
+            n_held += len(bases)
+            if n_held >= max(BATCH, len(words)):
+                add()
+    add()
     yield words, counts, True, none, zero, zero
 
 
@@ -206,7 +230,7 @@ def counted_words(weighted: DataFrame, k: int, as_numbers: bool) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts, complete, *_ in _counted(batches, k):
-            if complete:
+            if complete and len(words):
                 kmer = pa.array(words.view(np.int64)) if as_numbers else _texts(words, k)
                 yield pa.RecordBatch.from_arrays([kmer, pa.array(counts)], names=["kmer", "n"])
 

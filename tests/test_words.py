@@ -58,10 +58,21 @@ def test_words_are_packed_and_spelt():
         assert words._texts(rolled.ravel(), k).to_pylist() == [t[i : i + k] for t in texts for i in range(4)]
 
 
-def test_what_is_carried_is_one_part(monkeypatch):
-    """Words of a part are given out when the next part begins, even if each batch is of one part."""
+def test_what_is_carried_is_one_group(monkeypatch):
+    """Words of a group are given out when the next group begins, however batches are cut."""
     monkeypatch.setattr(words, "BATCH", 4)
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(4, key << 6)), pa.array(np.arange(4) + 4 * key), pa.array(np.full(4, 1 + key % 2 * 5))], names=["run", "bases", "v"]) for key in (1, 1, 2, 3, 5)]
+    row = lambda g: [[2 * g], [np.arange(4 * g, 4 * g + 4).tobytes()], [np.ones(4, np.uint8).tobytes()], [np.full(4, 1 + g % 2 * 5).tobytes()]]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(sum(c, []), k) for c, k in zip(zip(*map(row, gs), strict=True), kinds, strict=True)], names=["part", "bases", "sizes", "v"]) for gs in ((1,), (1, 2), (3,), (5, 6))]
     seen = [(w.tolist(), n.tolist(), done) for w, n, done, *_ in words._counted(batches, 16)]
     assert max(len(w) for w, *_ in seen) == 4
-    assert sorted((w, n) for ws, ns, done in seen if done for w, n in zip(ws, ns, strict=True)) == [(4 * key + i, (1 + key % 2 * 5) * (1 + (key == 1))) for key in (1, 2, 3, 5) for i in range(4)]
+    assert sorted((w, n) for ws, ns, done in seen if done for w, n in zip(ws, ns, strict=True)) == [(4 * g + i, (1 + g % 2 * 5) * (1 + (g == 1))) for g in (1, 2, 3, 5, 6) for i in range(4)]
+
+
+def test_runs_are_shuffled_in_groups(spark, monkeypatch):
+    """Runs of some thousand reads are few rows, none of more than a bound."""
+    monkeypatch.setattr(words, "MOST_RUNS", 50)
+    rnd = random.Random(6)
+    reads = spark.createDataFrame([("".join(rnd.choice("ACGT") for _ in range(60)), 1) for _ in range(6000)] + [("A" * 60, 1)] * 600, "seq string, v long").coalesce(1)
+    rows = words._rows(reads, 16, 0).agg(F.count("*").alias("n"), F.sum(F.length("sizes")).alias("runs"), F.max(F.length("sizes")).alias("most")).first()
+    assert rows.runs > 6000 * 8 and rows.n < rows.runs / 6 and rows.most == 50
