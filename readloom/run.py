@@ -85,12 +85,19 @@ def unique_reads(reads: DataFrame, c: Config, log: RunLog) -> tuple[DataFrame, D
     copies, support = parse_denoise(c.denoise, c.denoise_float)
     clean = filtering.reject_ambiguous(reads)[0] if c.ambiguous == "reject" else filtering.convert_ambiguous(reads)
     found = log.table(clean.groupBy("seq", "seq2").agg(F.count(F.lit(1)).alias("n")), "found", n_distinct=F.count(F.lit(1)))
-    stands = found.withColumn("rep", F.col("seq")).withColumn("rep2", F.col("seq2"))
-    if c.pe_key == "joined" and c.reads2:
-        stands = found.join(found.groupBy(F.col("seq").alias("rep")).agg(F.min("seq2").alias("rep2")), F.col("seq") == F.col("rep"))
-    elif copies and not c.reads2:
-        stands = materialise(found.join(filtering.prefix_representatives(found.select("seq")), "seq").withColumn("rep2", F.col("seq2")), "stands")
-    groups = stands.groupBy(F.col("rep").alias("seq"), F.col("rep2").alias("seq2")).agg(F.sum("n").alias("copies"))
+    if copies and not c.reads2:
+        stands = materialise(filtering.prefix_runs(found.select("seq", "n")), "runs").withColumn("seq2", F.lit(""))
+        groups = stands.filter("copies IS NOT NULL").select("seq", "seq2", "copies", "run")
+        if copies == 1 and not support:  # all are kept
+            kept = log.table(groups.withColumnRenamed("run", "rix"), "kept", n_sequences=F.count(F.lit(1)), n_committed=F.sum("copies"))
+            return kept, stands.select("seq", "seq2", F.col("run").alias("rix"))
+        by, order = ["run"], ["run"]
+    else:
+        stands = found.withColumn("rep", F.col("seq")).withColumn("rep2", F.col("seq2"))
+        if c.pe_key == "joined" and c.reads2:
+            stands = found.join(found.groupBy(F.col("seq").alias("rep")).agg(F.min("seq2").alias("rep2")), F.col("seq") == F.col("rep"))
+        groups = stands.groupBy("rep", "rep2").agg(F.sum("n").alias("copies")).withColumns({"seq": F.col("rep"), "seq2": F.col("rep2")})
+        by, order = ["rep", "rep2"], ["seq", "seq2"]
     head = F.length("seq") - F.length("seq2")
     if support:
         mates = reads.select(F.explode(F.array(F.substr("seq", F.lit(1), head), "seq2")).alias("seq")).filter("seq <> ''")
@@ -100,10 +107,10 @@ def unique_reads(reads: DataFrame, c: Config, log: RunLog) -> tuple[DataFrame, D
         groups = filtering.read_support(groups, mates, c.k, c.support, head if c.reads2 else None, ("seq", "seq2"), counted)
     else:
         groups = groups.withColumn("min_kmer", F.lit(None).cast("long"))
-    kept = number(filtering.denoise(groups, copies, support).select("seq", "seq2", "copies"), "rix", "seq", "seq2")
+    kept = number(filtering.denoise(groups, copies, support).select(*dict.fromkeys(["seq", "seq2", "copies", *by])), "rix", *order)
     kept = log.table(kept, "kept", n_sequences=F.count(F.lit(1)), n_committed=F.sum("copies"))
-    named = stands.select("seq", "seq2", "rep", "rep2").join(kept.select(F.col("seq").alias("rep"), F.col("seq2").alias("rep2"), "rix"), ["rep", "rep2"]).drop("rep", "rep2")
-    return kept, materialise(named, "named")
+    named = stands.select("seq", "seq2", *by).join(kept.select(*by, "rix"), by).select("seq", "seq2", "rix")
+    return kept.drop(*by), materialise(named, "named")
 
 
 def align_unique(kept: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
@@ -114,13 +121,14 @@ def align_unique(kept: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
     finder = align.edit_hits if c.indels else align.hamming_hits
 
     def hits_of(seqs: DataFrame) -> DataFrame:
-        one = lambda r, f: finder(r, f, c.similarity, c.least_read)
+        one = lambda r, f: finder(r, f, c.similarity, c.least_read, written=c.both_strands or not c.reads2)
         return align.both_strands(one, seqs, refs) if c.both_strands else one(seqs, refs)
 
     turn = lambda s: reverse_complement(s) if c.rc else s
     if not c.reads2:
         queries = kept.select("rix", turn(F.col("seq")).alias("seq"))
-        best = align.best_hit(hits_of(queries.select("seq").distinct()), refs)
+        # the sequences differ already; of a written table Spark knows whether it is small, and so need not shuffle them
+        best = materialise(align.best_hit(hits_of(queries.select("seq")), refs), "best")
         return queries.join(best, "seq").select("rix", "ref_id", "pos", F.length("seq").cast("long").alias("len"), "g_pos")
     first = turn(F.substr("seq", F.lit(1), F.length("seq") - F.length("seq2")))
     queries = kept.select("rix", first.alias("first"), reverse_complement(turn(F.col("seq2"))).alias("second"))

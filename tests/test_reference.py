@@ -8,6 +8,7 @@ from readloom import config, run
 from readloom.functions import sequences as s
 from readloom.operators import align, database, filtering, ordered, otu
 from readloom.sources import database_files, fasta, lzw
+from readloom.tables import materialise
 
 
 def _run_model(seqs):
@@ -224,3 +225,44 @@ def test_compressed_files(spark, tmp_path):
     (tmp_path / "x.tcf").write_bytes(lzw.compress(b">one\nACGT\nAC\n>two\nGGG\n"))
     assert sorted((r.header, r.seq) for r in lzw.read_compressed_files(spark, str(tmp_path / "x.tcf")).collect()) == [("one", "ACGTAC"), ("two", "GGG")]
     assert lzw.read_compressed(lzw.compress_references(spark.createDataFrame([], "ref_ord long, ref_id long, seq string"))).collect() == []
+
+
+def test_prefix_runs_number_and_sum_representatives(spark, monkeypatch):
+    """Runs over many ranges, with primers that all reads share, as a model in plain Python has them."""
+    rnd = random.Random(11)
+    seqs = ["ACGT" * 3 + "".join(rnd.choice("AC") for _ in range(rnd.randint(0, 9))) for _ in range(500)] + ["A" * n for n in range(60)] + ["T" * n for n in range(1, 90)]
+    n = {x: rnd.randint(1, 5) for x in seqs}
+    rep = _run_model(seqs)
+    numbers = {r: i for i, r in enumerate(sorted(set(rep.values())))}
+    want = {x: (n[x], numbers[rep[x]], sum(n[y] for y in n if rep[y] == x) if rep[x] == x else None) for x in n}
+    for splits in (1, 3, 40, 300):
+        monkeypatch.setattr(ordered, "MAX_RANGES", splits)
+        frame = materialise(spark.createDataFrame(list(n.items()), "seq string, n long"), "found")
+        monkeypatch.setattr(ordered, "partitions", lambda spark: 100)
+        assert not ordered.ranges(frame, "seq").schema["range"].nullable
+        assert {r.seq: (r.n, r.run, r.copies) for r in filtering.prefix_runs(frame).collect()} == want
+    empty = materialise(spark.createDataFrame([], "seq string, n long"), "found")
+    assert filtering.prefix_runs(empty).count() == 0
+
+
+def test_a_run_groups_sequences_by_their_order(spark, tmp_path, monkeypatch):
+    """Single reads: sequences are compacted, counted and numbered in one shuffle by range; each rule of denoising gives what groups of representatives give."""
+    rnd = random.Random(12)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(40)) for _ in range(6)]
+    reads = [s[: rnd.choice([20, 30, 40])] for s in seqs * 12] + ["ACGTACGTAC"]
+    frame = spark.createDataFrame([(i, f"r{i}", "s", x, "") for i, x in enumerate(reads)], "read_no long, read_id string, sample string, seq string, seq2 string")
+    rep = _run_model(reads)
+    copies = {r: sum(rep[x] == r for x in reads) for r in rep.values()}
+    stages = []
+    monkeypatch.setattr(run, "materialise", lambda df, name: stages.append(name) or materialise(df, name))
+    for denoise in ("1", "2", "1.002"):
+        stages.clear()
+        c = config.Config(reads="x", out=str(tmp_path), database="x", denoise=denoise, k=16)
+        kept, named = run.unique_reads(frame, c, run.RunLog())
+        least, support = config.parse_denoise(denoise)
+        numbers = {r: i for i, r in enumerate(sorted(r for r in copies if copies[r] >= least))}
+        if support:  # a sequence of one read alone has words of one read alone
+            numbers = {r: i for i, r in enumerate(sorted(r for r in numbers if copies[r] > 1 or len(r) < 16))}
+        assert {r.seq: (r.copies, r.rix) for r in kept.collect()} == {r: (copies[r], i) for r, i in numbers.items()}
+        assert {(r.seq, r.seq2): r.rix for r in named.collect()} == {(x, ""): numbers[rep[x]] for x in set(reads) if rep[x] in numbers}
+        assert "stands" not in stages and (denoise != "1" or stages == ["found", "runs", "kept"])
