@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from readloom.operators import tiles
+from readloom.operators import otu, tiles
 from readloom.plans import catalogue
 
 
@@ -37,3 +37,11 @@ def test_reads_of_texts_are_not_made_by_expressions(spark, tmp_path):
     spark.createDataFrame([(1, "x", "abc")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalogue._reads(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "regexp" not in plan and "translate" not in plan
+
+
+def test_counts_meet_few_hits_without_a_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "x", "the quick brown fox jumps over the lazy dog " * 4)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog " * 6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    counts, best = catalogue._counts_and_best(spark, str(tmp_path))
+    plan = otu.otu_table(counts, best)._jdf.queryExecution().executedPlan().toString()
+    assert best.count() > 0 and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
