@@ -267,3 +267,27 @@ def test_seeds_of_other_reads_are_not_written(spark):
     reads = spark.createDataFrame([(text(60), 1, 2) for _ in range(1000)], "seq string, e int, m int")
     words = align._words(align._places(refs), [28])
     assert align._seeds(reads, align._bucket_counts(words, [28])).count() < 100
+
+
+@pytest.mark.parametrize("similarity", [1.0, 0.97, 0.93])
+def test_no_read_with_a_hit_fails_the_seed_test(spark, similarity):
+    """Reads of all lengths lie one after the other, as they are cut; those of another origin go."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    refs = [text(100) for _ in range(2)]
+    refs[0] = refs[0][:40] + "N" + refs[0][41:60] + "N" + refs[0][61:]
+    reads = [text(60) for _ in range(200)]
+    for n in [1, 2, 5, 9, 17, 26, 33, 34, 41, 47, 55, 56, 59, 60, 60]:
+        x = (ref := rnd.choice(refs))[(p := rnd.randrange(len(ref) - n)) : p + n]
+        i = rnd.randrange(n)
+        reads += [x, x[:i] + rnd.choice("ACGTN") + x[i + 1 :], x[:i] + x[i + 1 :] + "A", (x[:i] + "C" + x[i:])[:n]]
+    starts = np.cumsum([0, *map(len, reads)])
+    table = frames(spark, reads, refs)[1]
+    kept = align.seed_test(table, similarity)(np.frombuffer("".join(reads).encode(), np.uint8), starts[:-1], np.diff(starts))
+    near = {x for x, k in zip(reads, kept, strict=True) if k}
+    assert {x for x, *_ in hamming(reads, refs, similarity)} | {x for x, _ in best_edits([x for x in reads[200:] if x not in near], refs, similarity)} <= near
+    assert kept[:200].sum() < 20
+
+
+def test_dense_unknown_bases_have_no_seed_test(spark):
+    assert align.seed_test(frames(spark, [], ["ACGT" * 20 + "NNN" + "ACGT" * 20])[1], 0.97) is None

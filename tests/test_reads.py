@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from readloom.operators import otu, tiles
+from readloom.operators import align, otu, tiles
 from readloom.plans import catalogue
 
 
@@ -45,3 +45,21 @@ def test_counts_meet_few_hits_without_a_shuffle(spark, tmp_path):
     counts, best = catalogue._counts_and_best(spark, str(tmp_path))
     plan = otu.otu_table(counts, best)._jdf.queryExecution().executedPlan().toString()
     assert best.count() > 0 and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_reads_without_a_seed_are_not_shuffled(spark, tmp_path):
+    """The hits of the reads that are left are those of all reads, in places and in edits."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    items = [text(400) for _ in range(5)]
+    docs = [text(3000) for _ in range(30)] + [x[p : p + 200] for x in items for p in range(0, 120, 7)] + [x[:30] + x[31:90] + text(40) for x in items] + [None, "", "é"]
+    spark.createDataFrame([(i, "x", t) for i, t in enumerate(docs)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole, near = catalogue._unique(spark, str(tmp_path)), catalogue._unique_near(spark, str(tmp_path))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert near.count() < whole.count() / 3
+    best = rows(catalogue._best(spark, str(tmp_path)))
+    assert best and best == rows(catalogue._best_of(whole, spark, str(tmp_path)))
+    edits = lambda reads: rows(align.best_hit(align.edit_hits(reads, catalogue._refs(spark, str(tmp_path)), 0.97), catalogue._offsets(spark, str(tmp_path))))
+    found = rows(catalogue.q22(spark, str(tmp_path)))
+    assert len(found) > len(best) and found == edits(whole)
