@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.operators.ordered import by_range, of_ranges, ranges
+from readloom.operators.ordered import by_range, earlier, of_ranges, ranges
 
 #: File systems on which part files become one file without being read.
 JOINS_BLOCKS = ("hdfs", "webhdfs", "swebhdfs")
@@ -74,6 +74,24 @@ def write_stream_file(rows: DataFrame, path: str, keys: list[str], order: list[s
     join_files(rows.sparkSession, f"{path}-parts", path, end="\n")
 
 
+def read_stream_file(spark: SparkSession, path: str) -> DataFrame:
+    """line, place, value: a row for each record of a file of write_stream_file but the first of its line, which is ``line``; ``place`` counts the others from 0.
+
+    Records end at tabs, so the file is cut anywhere and no task holds a line. What goes before a range, and the line
+    begun last, are carried over.
+    """
+    rows = spark.read.option("lineSep", "\t").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    order = Window.partitionBy("range").orderBy("block", "at")
+    rows = of_ranges(ranges(rows, "block", "at"), F.count(F.lit(1)), F.coalesce(F.sum("before").over(earlier()), F.lit(0)), "before")
+    rows = rows.withColumn("no", F.col("before") + F.row_number().over(order))
+    text = F.regexp_replace("value", "^\n", "").alias("text")
+    rows = rows.withColumn("begun", F.when((F.col("no") == 1) | F.col("value").startswith("\n"), F.struct("no", text)))
+    rows = of_ranges(rows, F.max("begun"), F.last("carried", ignorenulls=True).over(earlier()), "carried")
+    inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("line", F.coalesce(F.last("begun", ignorenulls=True).over(inside), "carried")).filter("begun IS NULL")
+    return rows.select(F.col("line.text").alias("line"), (F.col("no") - F.col("line.no") - 1).alias("place"), "value")
+
+
 def write_one_line(pieces: DataFrame, path: str, head: str, *order: str) -> None:
     """head, a line feed, and then all of column value in order on one line, as one file.
 

@@ -94,6 +94,20 @@ def test_lines_as_streams(spark, tmp_path):
     assert not (tmp_path / "parts").exists()
 
 
+@pytest.mark.parametrize("lines", [[], [("a", [])], [("b", [f"v{i}" for i in range(3000)])], [("a", ["one"]), ("b", [f"v{i}" for i in range(3000)]), ("c", ["y", "", "y"]), ("d", []), ("e", ["z"])]])
+def test_streams_are_read_by_records(spark, tmp_path, monkeypatch, lines):
+    """A line spans many splits and ranges, and so do short lines beside it; no line is a value in any task."""
+    (tmp_path / "x.txt").write_text("\n".join("".join(f"{x}\t" for x in [name, *values]) for name, values in lines) + "\n")
+    real = ordered.ranges
+    monkeypatch.setattr(files, "ranges", lambda df, *k: real(df, *k, n=50))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    rows = files.read_stream_file(spark, str(tmp_path / "x.txt"))
+    got = rows.collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got)) == sorted((name, i, x) for name, values in lines for i, x in enumerate(values))
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_file_and_one_line(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"v{i}") for i in range(500)], "i long, value string").repartition(4)
     files.write_file(rows, str(tmp_path / "x.txt"), "i")
